@@ -7,6 +7,7 @@ from dupeframe.catalog.queries import ELAPSED, EXCLUDES, INCLUDES, MID, OVERLAPP
 from dupeframe.catalog.queries import PRUNE_ROOTS, SCAN_TIME, STORE_DIR
 from dupeframe.operators.validate import (
     ALL_TRASHED_MESSAGE,
+    NONE_EXISTS_MESSAGE,
     OVERLAP_MESSAGE,
     PATHS_PER_MESSAGE,
 )
@@ -181,6 +182,7 @@ def _before_count(text: str) -> tuple[str, str]:
 
 _FOUND_HEAD, _FOUND_TAIL = _before_count(FOUND)
 _TRASHED_HEAD, _TRASHED_TAIL = _before_count(ALL_TRASHED_MESSAGE)
+_NONE_HEAD, _NONE_TAIL = _before_count(NONE_EXISTS_MESSAGE)
 
 ORACLES: dict[str, str] = {
     "manifest": f"WITH {FILES_SQL} SELECT path, root, root_ord, size, mtime FROM files",
@@ -430,13 +432,20 @@ WITH {_UNSAFE}, numbered AS (
 SELECT 'overlap' AS check_name, CAST(part AS BIGINT) AS part,
        CASE WHEN part = 1 THEN '{OVERLAP_MESSAGE}' ELSE ', ' END
          || string_agg(path, ', ' ORDER BY path) AS message
-FROM numbered GROUP BY part""",
+FROM numbered GROUP BY part
+UNION ALL
+SELECT CASE WHEN all_trashed THEN 'all_trashed' ELSE 'none_exists' END, 1,
+       CASE WHEN all_trashed THEN '{_TRASHED_HEAD}' || hash || '{_TRASHED_TAIL}'
+            ELSE '{_NONE_HEAD}' || hash || '{_NONE_TAIL}' END
+FROM (SELECT * FROM flags WHERE (all_trashed OR none_exists)
+      AND NOT EXISTS (SELECT * FROM overlapped) ORDER BY group_idx LIMIT 1)""",
     "first_group_violation": f"""
 WITH {_UNSAFE}
-SELECT 'all_trashed' AS check_name, hash, CAST(1 AS BIGINT) AS part,
-       '{_TRASHED_HEAD}' || hash || '{_TRASHED_TAIL}' AS message
-FROM (SELECT * FROM flags WHERE all_trashed OR none_exists ORDER BY group_idx LIMIT 1)
-WHERE all_trashed""",
+SELECT CASE WHEN all_trashed THEN 'all_trashed' ELSE 'none_exists' END AS check_name, hash,
+       CAST(1 AS BIGINT) AS part,
+       CASE WHEN all_trashed THEN '{_TRASHED_HEAD}' || hash || '{_TRASHED_TAIL}'
+            ELSE '{_NONE_HEAD}' || hash || '{_NONE_TAIL}' END AS message
+FROM (SELECT * FROM flags WHERE all_trashed OR none_exists ORDER BY group_idx LIMIT 1)""",
     "reclaim_plan": _rule(
         "mtime DESC",
         "SELECT path, TRUE AS \"exists\", size FROM chosen WHERE decision = 'trash' ORDER BY path",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dupeframe.functions.paths import path_length
 from dupeframe.operators.groups import number_in_group
 from dupeframe.operators.skew import skew_join
+from dupeframe.staging import stage
 
 
 def enrich(members: DataFrame, present: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def apply_overrides(members: DataFrame, selection: DataFrame, edits: DataFrame)
     kept path has been trashed only those two can be kept, and trashing one keeps the other.
     """
     pairs = existing(members).select("hash", "path")
-    valid = edits.join(pairs, ["hash", "path"], "left_semi")
+    valid = stage(edits.join(pairs, ["hash", "path"], "left_semi"), "edits")
     start = selection.where("decision = 'keep'").select("hash", F.col("path").alias("_start"))
     place = F.row_number().over(Window.partitionBy("hash").orderBy("member_pos"))
     heads = (

@@ -37,16 +37,19 @@ def number_groups(groups: DataFrame) -> DataFrame:
     return with_global_index(groups, ["first_root_ord", "first_path"], "group_idx")
 
 
-def number_members(fingerprints: DataFrame, groups: DataFrame) -> DataFrame:
+def number_members(
+    fingerprints: DataFrame, groups: DataFrame, largest: int | None = None
+) -> DataFrame:
     """Members of numbered ``groups`` with ``member_pos``, 1-based in scan order.
 
     ``fingerprints`` and ``groups`` should be staged: both are read again if there are groups
-    of more than ``hot_rows`` members.
+    of more than ``hot_rows`` members. ``largest`` is the member count of the largest group,
+    if the caller knows it.
     """
     limit = hot_rows(fingerprints.sparkSession)
     columns = groups.select("hash", "n_members", "group_idx")
     hot = columns.where(F.col("n_members") > limit)
-    if hot.isEmpty():
+    if hot.isEmpty() if largest is None else largest <= limit:
         members = _ranked(fingerprints.join(columns, "hash"), ["root_ord", "path"], "member_pos")
     else:
         # at most (rows / hot_rows) hashes are hot, so these broadcasts are bounded

@@ -22,27 +22,41 @@ class UnsafeSelection(ValueError):
     """A selection would lose content; nothing was moved."""
 
 
-def _paths(selection: DataFrame, decision: str) -> DataFrame:
-    return decision_sets(selection).where(F.col("decision") == decision).select("path")
+def path_marks(selection: DataFrame) -> DataFrame:
+    """One row per path of a selection: ``kept`` and ``trashed``, over all groups."""
+    return selection.groupBy("path").agg(
+        F.bool_or(F.col("decision") == "keep").alias("kept"),
+        F.bool_or(F.col("decision") == "trash").alias("trashed"),
+    )
 
 
 def overlapping_paths(selection: DataFrame) -> DataFrame:
     """Paths marked both to keep and to trash."""
-    return _paths(selection, "keep").intersect(_paths(selection, "trash"))
+    sets = decision_sets(selection)
+    return (
+        sets.where("decision = 'keep'").select("path")
+        .intersect(sets.where("decision = 'trash'").select("path"))
+    )
+
+
+def _trash(marks: DataFrame) -> DataFrame:
+    return marks.where("trashed").select("path")
 
 
 def untrashed_members(members: DataFrame, selection: DataFrame) -> DataFrame:
     """Group members that are not marked for trash."""
     return members.where(F.col("path").isNotNull()).join(
-        _paths(selection, "trash"), "path", "left_anti"
+        _trash(path_marks(selection)), "path", "left_anti"
     ).select(*members.columns)
 
 
 def group_flags(members: DataFrame, selection: DataFrame) -> DataFrame:
     """Per group: ``all_trashed`` and ``none_exists`` (no untrashed member exists)."""
-    marked = members.join(
-        _paths(selection, "trash").withColumn("_trash", F.lit(True)), "path", "left"
-    )
+    return _flags(members, path_marks(selection))
+
+
+def _flags(members: DataFrame, marks: DataFrame) -> DataFrame:
+    marked = members.join(_trash(marks).withColumn("_trash", F.lit(True)), "path", "left")
     # the one row of an empty group has no path, and nothing in it survives
     trashed = F.col("path").isNull() | F.coalesce("_trash", F.lit(False))
     return marked.groupBy("group_idx", "hash").agg(
@@ -58,11 +72,12 @@ def validate(members: DataFrame, selection: DataFrame, strict: bool = True) -> D
     ``not_in_report`` for trash paths that are no group's member.
     """
     none_long, none_text = F.lit(None).cast("long"), F.lit(None).cast("string")
-    overlap = overlapping_paths(selection).select(
+    marks = stage(path_marks(selection), "marks")
+    overlap = marks.where("kept AND trashed").select(
         F.lit(1).alias("severity"), none_long.alias("group_idx"),
         F.lit("overlap").alias("check"), none_text.alias("hash"), "path",
     )
-    groups = group_flags(members, selection).where("all_trashed OR none_exists").select(
+    groups = _flags(members, marks).where("all_trashed OR none_exists").select(
         F.lit(2).alias("severity"), "group_idx",
         F.when(F.col("all_trashed"), F.lit("all_trashed")).otherwise(
             F.lit("none_exists")).alias("check"),
@@ -70,7 +85,7 @@ def validate(members: DataFrame, selection: DataFrame, strict: bool = True) -> D
     )
     violations = overlap.unionByName(groups)
     if strict:
-        foreign = _paths(selection, "trash").join(members.select("path"), "path", "left_anti")
+        foreign = _trash(marks).join(members.select("path"), "path", "left_anti")
         violations = violations.unionByName(foreign.select(
             F.lit(3).alias("severity"), none_long.alias("group_idx"),
             F.lit("not_in_report").alias("check"), none_text.alias("hash"), "path",

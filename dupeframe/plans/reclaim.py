@@ -69,9 +69,9 @@ def plan_reclaim(
         selection = apply_rule(members, rule, selection)
     elif selection is None:
         selection = default_selection(members)
-    if edits is not None:
-        selection = apply_overrides(members, selection, edits)
     selection = stage(selection, "selection")
+    if edits is not None:
+        selection = stage(apply_overrides(members, selection, edits), "selection")
     return ReclaimPlan(
         members=members,
         selection=selection,

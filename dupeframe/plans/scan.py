@@ -83,16 +83,19 @@ def find_duplicates(
     scoped = exclude(manifest, list(excludes), store)
     if includes is not None:
         scoped = in_scope(scoped, includes)
-    if opened is None:
-        if size_prefilter:
-            scoped = _prefilter_content(scoped)
-        hashed = _hash_table(scoped, algorithm).withColumn("hit", F.lit(False))
+    total = None
+    if opened is not None:
+        hashed = _reuse_table(scoped, opened.read(), algorithm, paths_unique)
     else:
-        hashed = _reuse_table(scoped, opened.read(), algorithm)
-    if not paths_unique:
-        hashed = dedupe_paths(hashed)
-    return _finish(hashed, includes or [], (), algorithm, opened, outputs, started,
-                   _total(scoped) if size_prefilter and opened is None else None)
+        wanted = scoped
+        if size_prefilter:
+            paths = scoped.select("path")
+            total = (paths if paths_unique else paths.distinct()).count()
+            wanted = _prefilter_content(scoped)
+        hashed = _hash_table(wanted, algorithm).withColumn("hit", F.lit(False))
+        if not paths_unique:
+            hashed = dedupe_paths(hashed)
+    return _finish(hashed, includes or [], (), algorithm, opened, outputs, started, total)
 
 
 def find_duplicates_in_tree(
@@ -141,10 +144,6 @@ def _hash_table(manifest: DataFrame, algorithm: str) -> DataFrame:
     )
 
 
-def _total(manifest: DataFrame) -> int:
-    return manifest.select("path").distinct().count()
-
-
 def _prefilter_content(manifest: DataFrame) -> DataFrame:
     """Keep rows of repeated sizes while the sizes are few enough to broadcast; beyond that
     hashing every row is cheaper than shuffling content, and gives the same groups."""
@@ -157,23 +156,28 @@ def _prefilter_content(manifest: DataFrame) -> DataFrame:
     return manifest.join(F.broadcast(sizes), "size", "left_semi").select(*manifest.columns)
 
 
-def _reuse_table(manifest: DataFrame, stored: DataFrame, algorithm: str) -> DataFrame:
+def _reuse_table(
+    manifest: DataFrame, stored: DataFrame, algorithm: str, paths_unique: bool
+) -> DataFrame:
     """Fingerprints of a table, computed only for rows the store does not answer.
 
     The look-up joins metadata. Misses are broadcast if their counted number is small;
     otherwise every row is hashed where it is read, since moving content to its misses would
     cost more than hashing it. Stored hashes win for hits either way.
     """
+    def one_per_path(rows: DataFrame) -> DataFrame:
+        return rows if paths_unique else dedupe_paths(rows)
+
     if stored.isEmpty():
-        return _hash_table(manifest, algorithm).withColumn("hit", F.lit(False))
+        return one_per_path(_hash_table(manifest, algorithm)).withColumn("hit", F.lit(False))
     looked = stage(
-        lookup(dedupe_paths(manifest.select(*MANIFEST.names)), stored, algorithm), "lookup"
+        lookup(one_per_path(manifest.select(*MANIFEST.names)), stored, algorithm), "lookup"
     )
     misses = looked.where(~F.col("hit")).select(*MANIFEST.names)
     to_hash = manifest
     if misses.count() <= BROADCAST_MISSES:
         to_hash = manifest.join(F.broadcast(misses.select("path")), "path", "left_semi")
-    hashed = dedupe_paths(_hash_table(to_hash, algorithm)).select("path", "hash")
+    hashed = one_per_path(_hash_table(to_hash, algorithm)).select("path", "hash")
     fresh = misses.join(hashed, "path").withColumn("hit", F.lit(False))
     return looked.where("hit").unionByName(fresh)
 
@@ -191,13 +195,16 @@ def _finish(
     observed, progress = observe_scan(hashed, F.col("hit"))
     fingerprints = stage(observed, "fingerprints")
     groups = number_groups(group_table(fingerprints))
+    sizes = groups.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max("n_members"), F.lit(0)).alias("largest")
+    ).first()
     result = ScanResult(
         fingerprints=fingerprints,
         groups=groups,
-        members=number_members(fingerprints, groups),
+        members=number_members(fingerprints, groups, sizes["largest"]),
         total_files=progress.get["total_files"] if total is None else total,
         cache_hits=progress.get["cache_hits"],
-        duplicate_groups=groups.count(),
+        duplicate_groups=sizes["n"],
         scan_folders=list(roots),
         algorithm=algorithm,
         scan_time=datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"),
