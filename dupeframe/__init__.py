@@ -1,8 +1,15 @@
 """Spark-native detection and safe reclamation of duplicate content."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from dupeframe.plans.reclaim import ReclaimPlan, plan_reclaim
 from dupeframe.plans.scan import ScanResult, find_duplicates, find_duplicates_in_tree
 
+# Functions that run in tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "ReclaimPlan",
     "ScanResult",

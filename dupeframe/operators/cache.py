@@ -94,3 +94,21 @@ def stale_rows(
     return store.where(in_prune_scope(F.col("filepath"), roots, file_roots)).join(
         found, "filepath", "left_anti"
     ).select(*store.columns)
+
+
+def merge_scan(
+    store: DataFrame, found: DataFrame, algorithm: str, roots: list[str],
+    file_roots: list[str] = (),
+) -> DataFrame:
+    """``upsert`` and ``prune`` after a scan in one join: the store with the fingerprints
+    ``found`` (all items of the scan, one row per path) under ``algorithm``."""
+    fresh = found.select(
+        F.col("path").alias("filepath"), "size", "mtime", "hash",
+        F.lit(algorithm).alias("algorithm"),
+    )
+    seen = fresh.select("filepath", F.lit(True).alias("_found"))
+    outside = ~in_prune_scope(F.col("filepath"), roots, file_roots)
+    kept = store.join(seen, "filepath", "left").where(
+        F.when(F.col("_found"), F.col("algorithm") != F.lit(algorithm)).otherwise(outside)
+    )
+    return kept.select(*store.columns).unionByName(fresh.select(*store.columns))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dupeframe.operators.skew import skew_join
 from dupeframe.session import hot_rows
-from dupeframe.staging import with_global_index
+from dupeframe.staging import global_index, with_global_index
 
 
 def group_table(fingerprints: DataFrame) -> DataFrame:
@@ -32,9 +32,12 @@ def group_table(fingerprints: DataFrame) -> DataFrame:
     )
 
 
-def number_groups(groups: DataFrame) -> DataFrame:
-    """Add ``group_idx``: 1-based, in the order in which a scan first meets each group."""
-    return with_global_index(groups, ["first_root_ord", "first_path"], "group_idx")
+def number_groups(groups: DataFrame) -> tuple[DataFrame, int, int]:
+    """Add ``group_idx``: 1-based, in the order in which a scan first meets each group.
+
+    Also gives the number of groups and the member count of the largest one.
+    """
+    return global_index(groups, ["first_root_ord", "first_path"], "group_idx", "n_members")
 
 
 def number_members(

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dupeframe.functions.fingerprint import check_algorithm, fingerprint
-from dupeframe.operators.cache import lookup, prune, upsert
+from dupeframe.operators.cache import lookup, merge_scan
 from dupeframe.operators.groups import (
     group_table,
     number_groups,
@@ -17,7 +17,7 @@ from dupeframe.operators.groups import (
     size_candidates,
 )
 from dupeframe.operators.scope import dedupe_paths, exclude, in_scope
-from dupeframe.schemas import MANIFEST, STORE_KEY
+from dupeframe.schemas import MANIFEST
 from dupeframe.sources.files import fingerprint_files
 from dupeframe.sources.report import Summary, check_report_paths, write_reports
 from dupeframe.sources.store import FingerprintStore, open_store
@@ -194,17 +194,14 @@ def _finish(
 ) -> ScanResult:
     observed, progress = observe_scan(hashed, F.col("hit"))
     fingerprints = stage(observed, "fingerprints")
-    groups = number_groups(group_table(fingerprints))
-    sizes = groups.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max("n_members"), F.lit(0)).alias("largest")
-    ).first()
+    groups, n_groups, largest = number_groups(group_table(fingerprints))
     result = ScanResult(
         fingerprints=fingerprints,
         groups=groups,
-        members=number_members(fingerprints, groups, sizes["largest"]),
+        members=number_members(fingerprints, groups, largest),
         total_files=progress.get["total_files"] if total is None else total,
         cache_hits=progress.get["cache_hits"],
-        duplicate_groups=sizes["n"],
+        duplicate_groups=n_groups,
         scan_folders=list(roots),
         algorithm=algorithm,
         scan_time=datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"),
@@ -220,11 +217,6 @@ def _finish(
 def _next_version(
     opened: FingerprintStore, result: ScanResult, file_roots: list[str]
 ) -> DataFrame:
-    """Upsert and prune in one rewrite of the store."""
-    fresh = result.fingerprints.where(F.col("hash").isNotNull()).select(
-        F.col("path").alias("filepath"), "size", "mtime", "hash",
-        F.lit(result.algorithm).alias("algorithm"),
-    )
+    found = result.fingerprints.where(F.col("hash").isNotNull())
     directories = [root for root in result.scan_folders if root not in file_roots]
-    merged = upsert(opened.read(), fresh, list(STORE_KEY))
-    return prune(merged, directories, result.fingerprints, file_roots)
+    return merge_scan(opened.read(), found, result.algorithm, directories, file_roots)

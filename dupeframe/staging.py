@@ -53,24 +53,37 @@ def with_global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     A global sort range-partitions the rows; monotonically_increasing_id() then holds the
     partition number (upper bits) and the position in it (lower 33 bits). The result is staged
     before partition sizes are read, as a second sort could sample other ranges. ``order`` must
-    be unique, which also keeps any range from being larger than the others. Only one count per
+    be unique, which also keeps any range from being larger than the others. Only one row per
     partition reaches the driver.
     """
+    return global_index(df, order, name)[0]
+
+
+def global_index(
+    df: DataFrame, order: list[str], name: str, largest: str | None = None
+) -> tuple[DataFrame, int, int]:
+    """``with_global_index`` plus the number of rows and the maximum of column ``largest``."""
     spark = df.sparkSession
     staged = stage(df.orderBy(*order).withColumn("_rid", F.monotonically_increasing_id()), name)
     part = F.shiftright("_rid", 33)
     local = F.col("_rid").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted(staged.groupBy(part.alias("part")).count().collect())
-    if len(sizes) <= 1:
-        return staged.withColumn(name, local + 1).drop("_rid")
+    maximum = F.lit(0) if largest is None else F.max(largest)
+    sizes = sorted(
+        staged.groupBy(part.alias("part"))
+        .agg(F.count(F.lit(1)).alias("rows"), maximum.alias("largest")).collect()
+    )
     starts, total = [], 0
-    for number, rows in sizes:
+    for number, rows, _ in sizes:
         starts.append((number, total))
         total += rows
+    highest = max((row["largest"] for row in sizes), default=0)
+    if len(sizes) <= 1:
+        return staged.withColumn(name, local + 1).drop("_rid"), total, highest
     offsets = spark.createDataFrame(starts, "_part long, _offset long")
-    return (
+    indexed = (
         staged.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + local + 1)
         .drop("_rid", "_part", "_offset")
     )
+    return indexed, total, highest

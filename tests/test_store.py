@@ -189,3 +189,21 @@ def test_stats(spark):
     assert rows(cache.cache_stats(cache.lookup(now, stored, "xxh3"))) == [(1, 3, 1 / 3 * 100)]
     empty = cache.lookup(manifest(spark, []), stored, "xxh3")
     assert rows(cache.cache_stats(empty)) == [(0, 0, None)]
+
+
+def test_merge_equals_upsert_and_prune(spark):
+    import random
+
+    from dupeframe.schemas import STORE_KEY
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    pairs = {(f"/{rng.choice('abc')}/{i}", a) for i in range(40) for a in ("md5", "xxh3") if rng.random() < 0.7}
+    stored = store_rows(spark, [(p, 1, 1.0, "old", a) for p, a in sorted(pairs)])
+    found = spark.createDataFrame(
+        [(f"/{d}/{i}", 2, 2.0, "new") for d in "ab" for i in range(40) if rng.random() < 0.5],
+        "path string, size long, mtime double, hash string")
+    fresh = found.select(F.col("path").alias("filepath"), "size", "mtime", "hash", F.lit("md5").alias("algorithm"))
+    expected = cache.prune(cache.upsert(stored, fresh, list(STORE_KEY)), ["/a", "/b"], found)
+    assert rows(cache.merge_scan(stored, found, "md5", ["/a", "/b"])) == rows(
+        expected.select(*stored.columns))
