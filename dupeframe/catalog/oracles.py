@@ -322,9 +322,10 @@ FROM events GROUP BY 1""",
     "rates": f"""
 WITH {STORE_SQL}, {_LOOKUP}
 SELECT root, CAST(count(hash) AS DOUBLE) / count(*) * 100 AS hit_rate FROM looked GROUP BY root""",
-    "list_join": """
-SELECT lang, string_agg(source, ', ' ORDER BY source) AS folders
-FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang""",
+    "list_join": f"""
+WITH {FILES_SQL}
+SELECT path, '/, /corpus, ' || root || ', ' || root || '/' || lang || ', ' || path AS folders
+FROM files""",
     "report_json_roundtrip": f"""
 WITH {MEMBERS_SQL} SELECT group_idx, hash, n_members, member_pos, path FROM members""",
     "report_json_rows_roundtrip": f"""

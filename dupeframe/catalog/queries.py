@@ -410,10 +410,9 @@ def rates(spark, d):
 
 @query
 def list_join(spark, d):
-    """The roots of each language, joined as a report joins its folders."""
-    roots = table(spark, d, "documents").select("lang", "source").distinct()
-    return roots.groupBy("lang").agg(
-        formats.join_list(F.array_sort(F.collect_list("source"))).alias("folders")
+    """Each file with its directories, joined as a report joins its folders."""
+    return corpus.files(spark, d).select(
+        "path", formats.join_list(paths.ancestors(F.col("path"))).alias("folders")
     )
 
 

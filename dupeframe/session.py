@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # recording a call site per column expression takes longer than planning small queries
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 # A key with more rows than this is "hot": its rows are spread over several tasks.

@@ -46,10 +46,11 @@ def fingerprint_files(
                 "hash", pa.array(hashes, type=pa.string())
             ).append_column("error", pa.array(errors, type=pa.string()))
 
-    return _spread(manifest).mapInArrow(read, schema)
+    return spread_files(manifest).mapInArrow(read, schema)
 
 
-def _spread(manifest: DataFrame) -> DataFrame:
+def spread_files(manifest: DataFrame) -> DataFrame:
+    """Spread files by path over as many tasks as their bytes and number call for."""
     spark = manifest.sparkSession
     totals = manifest.agg(
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files")

@@ -7,6 +7,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from dupeframe.sources.files import spread_files
 from dupeframe.staging import stage
 
 _OUTCOME = pa.schema([
@@ -37,7 +38,7 @@ def quarantine(
                 schema=_OUTCOME,
             )
 
-    moved = plan.select("path").mapInArrow(
+    moved = spread_files(plan.select("path", "size")).select("path").mapInArrow(
         move, "path string, status string, bytes long, error string"
     )
     return moved if dry_run else stage(moved, "quarantine")
@@ -54,6 +55,8 @@ def _move(path: str, target_root: str, dry_run: bool) -> tuple:
         if dry_run:
             return path, "planned", size, None
         if os.path.lexists(target):
+            if not os.path.lexists(path):
+                raise FileNotFoundError(path)
             return path, "failed", 0, f"{target} is there already"
         os.makedirs(os.path.dirname(target), exist_ok=True)
         os.replace(path, target)

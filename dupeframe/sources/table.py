@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def manifest_from_table(
@@ -28,3 +30,25 @@ def manifest_from_table(
         (F.lit(0.0) if mtime is None else mtime).cast("double").alias("mtime"),
         body.alias("content"),
     )
+
+
+def manifest_from_objects(spark: SparkSession, includes: list[str]) -> DataFrame:
+    """Manifest with content of the objects below ``includes``, for stores that executors reach
+    through Spark and not as a mounted tree.
+
+    Sizes and times come from the listing, so scan with ``size_prefilter=True``: content is
+    then read for repeated sizes only. Differences from ``read_tree``: empty objects and names
+    that start with ``.`` or ``_`` are left out, links are followed, and an object must fit in
+    one row (2 GiB).
+    """
+    listed = [
+        manifest_from_table(
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root),
+            F.col("path"), "content",
+            size=F.col("length"),
+            mtime=F.unix_micros("modificationTime") / 1000000,
+            root=F.lit(root), root_ord=F.lit(order),
+        )
+        for order, root in enumerate(includes)
+    ]
+    return reduce(DataFrame.unionByName, listed)

@@ -15,6 +15,9 @@ def spark():
     session = build_session(
         "local[8]", "tests",
         spark__sql__shuffle__partitions="4",
+        # inputs are tiny: compiling each plan would take most of the time
+        spark__sql__codegen__wholeStage="false",
+        spark__sql__codegen__factoryMode="NO_CODEGEN",
         spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")

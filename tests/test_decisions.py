@@ -194,7 +194,7 @@ def test_totals_count_all_marked_and_sum_existing(spark):
 
 
 def _plan(spark, *paths):
-    return spark.createDataFrame([(str(p),) for p in paths], "path string")
+    return spark.createDataFrame([(str(p), 1) for p in paths], "path string, size long")
 
 
 def test_quarantine_moves_files_once(spark, tmp_path):

@@ -2,12 +2,13 @@ import os
 import random
 
 import pytest
-from conftest import make_tree, rows
+from conftest import make_tree, plan_text, rows
 from pyspark.sql import functions as F
 
 from dupeframe import find_duplicates, find_duplicates_in_tree
 from dupeframe.operators import groups, scope
 from dupeframe.sources.files import fingerprint_files
+from dupeframe.sources.table import manifest_from_objects
 from dupeframe.sources.tree import read_tree, stat_paths
 from dupeframe.staging import with_global_index
 
@@ -179,6 +180,16 @@ def test_scopes_of_a_table(spark):
     assert rows(result.members, "member_pos", "path") == [(1, "/a/b/2"), (2, "/a/1"), (3, "/c/4")]
 
 
+def test_objects_read_through_spark(spark, tmp_path):
+    root = make_tree(tmp_path, {**COPIES, "d": b"longer content", ".hidden": b"common content"})
+    manifest = manifest_from_objects(spark, [str(root)])
+    result = find_duplicates(manifest, algorithm="xxh3", size_prefilter=True)
+    assert (result.total_files, result.duplicate_groups) == (4, 1)
+    assert rows(result.members, "path", "size") == [
+        (f"file:{root}/a/one.txt", 14), (f"file:{root}/b/two.txt", 14)]
+    assert "content:binary" not in plan_text(manifest.select("path", "size", "mtime"))
+
+
 def test_repeated_paths_count_once(spark):
     table = _items(spark, [("/a", 1, "x"), ("/a", 0, "x"), ("/b", 0, "y")])
     result = find_duplicates(table, algorithm="md5")
