@@ -85,7 +85,8 @@ def find_duplicates(
         scoped = in_scope(scoped, includes)
     total = None
     if opened is not None:
-        hashed = _reuse_table(scoped, opened.read(), algorithm, paths_unique)
+        stored = None if opened.current_version() is None else opened.read()
+        hashed = _reuse_table(scoped, stored, algorithm, paths_unique)
     else:
         wanted = scoped
         if size_prefilter:
@@ -157,7 +158,7 @@ def _prefilter_content(manifest: DataFrame) -> DataFrame:
 
 
 def _reuse_table(
-    manifest: DataFrame, stored: DataFrame, algorithm: str, paths_unique: bool
+    manifest: DataFrame, stored: DataFrame | None, algorithm: str, paths_unique: bool
 ) -> DataFrame:
     """Fingerprints of a table, computed only for rows the store does not answer.
 
@@ -168,14 +169,16 @@ def _reuse_table(
     def one_per_path(rows: DataFrame) -> DataFrame:
         return rows if paths_unique else dedupe_paths(rows)
 
-    if stored.isEmpty():
+    if stored is None:
         return one_per_path(_hash_table(manifest, algorithm)).withColumn("hit", F.lit(False))
-    looked = stage(
-        lookup(one_per_path(manifest.select(*MANIFEST.names)), stored, algorithm), "lookup"
+    observed, counts = observe_scan(
+        lookup(one_per_path(manifest.select(*MANIFEST.names)), stored, algorithm), F.col("hit")
     )
+    looked = stage(observed, "lookup")
     misses = looked.where(~F.col("hit")).select(*MANIFEST.names)
     to_hash = manifest
-    if misses.count() <= BROADCAST_MISSES:
+    # tasks that ran twice can only raise this count, so it is a safe bound
+    if counts.get["total_files"] - counts.get["cache_hits"] <= BROADCAST_MISSES:
         to_hash = manifest.join(F.broadcast(misses.select("path")), "path", "left_semi")
     hashed = one_per_path(_hash_table(to_hash, algorithm)).select("path", "hash")
     fresh = misses.join(hashed, "path").withColumn("hit", F.lit(False))
