@@ -25,8 +25,9 @@ from dupeframe.sources.tree import read_tree
 from dupeframe.staging import stage
 from dupeframe.streaming.progress import observe_scan
 
-# A table's misses are broadcast, to hash only them, while they are no more than this.
-BROADCAST_MISSES = 200_000
+# Keys that are broadcast to pick the rows to hash are 8 bytes each, and no more than this many
+# (16 MB); beyond it every row is hashed where it is read, which gives the same result.
+BROADCAST_KEYS = 2_000_000
 
 
 @dataclass
@@ -152,7 +153,7 @@ def _prefilter_content(manifest: DataFrame) -> DataFrame:
         manifest.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size"),
         "sizes",
     )
-    if sizes.count() > BROADCAST_MISSES:
+    if sizes.count() > BROADCAST_KEYS:
         return manifest
     return manifest.join(F.broadcast(sizes), "size", "left_semi").select(*manifest.columns)
 
@@ -178,8 +179,12 @@ def _reuse_table(
     misses = looked.where(~F.col("hit")).select(*MANIFEST.names)
     to_hash = manifest
     # tasks that ran twice can only raise this count, so it is a safe bound
-    if counts.get["total_files"] - counts.get["cache_hits"] <= BROADCAST_MISSES:
-        to_hash = manifest.join(F.broadcast(misses.select("path")), "path", "left_semi")
+    if counts.get["total_files"] - counts.get["cache_hits"] <= BROADCAST_KEYS:
+        # a collision of path keys lets a hit be hashed in vain; the join on the path drops it
+        keys = misses.select(F.xxhash64("path").alias("_key"))
+        to_hash = manifest.withColumn("_key", F.xxhash64("path")).join(
+            F.broadcast(keys), "_key", "left_semi"
+        )
     hashed = one_per_path(_hash_table(to_hash, algorithm)).select("path", "hash")
     fresh = misses.join(hashed, "path").withColumn("hit", F.lit(False))
     return looked.where("hit").unionByName(fresh)

@@ -121,7 +121,10 @@ def _walker(roots: list[tuple[int, str]], excludes: list[str], allowance: int):
                             else:
                                 rows.append(("dir", entry.path, root, order, None, None))
                         elif entry.is_file(follow_symlinks=False):
-                            status = entry.stat(follow_symlinks=False)
+                            try:
+                                status = entry.stat(follow_symlinks=False)
+                            except FileNotFoundError:  # gone since it was listed
+                                continue
                             rows.append(
                                 ("file", entry.path, root, order, status.st_size, status.st_mtime)
                             )
@@ -138,5 +141,5 @@ def _entries(directory: str):
     try:
         with os.scandir(directory) as entries:
             yield from entries
-    except (PermissionError, FileNotFoundError):
+    except (PermissionError, FileNotFoundError, NotADirectoryError):
         return

@@ -87,11 +87,29 @@ def test_groups_are_counted_before_the_shuffle(spark):
 
 
 def test_edits_need_only_two_members_of_a_group(spark):
-    members = spark.createDataFrame(
-        [], "hash string, path string, exists boolean, member_pos long, n_members long")
-    place = F.expr("row_number() OVER (PARTITION BY hash ORDER BY member_pos)")
-    limited = members.withColumn("place", place).where("place <= 2")
-    assert plan_text(limited).count("WindowGroupLimit") in (0, 2)
+    plan = plan_text(REGISTRY["manual_edits"](spark, DATA))
+    # members beyond the second are dropped before the shuffle, also in a hot group
+    assert "row_number(), 2, Partial" in plan and "row_number(), 2, Final" in plan
+
+
+def test_positions_reuse_the_partitioning_of_the_join(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(REGISTRY["dup_members"](spark, DATA))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    between = plan[plan.index("Window ["):plan.index("SortMergeJoin")]
+    assert "Exchange" not in between
+
+
+def test_misses_are_found_by_short_keys_and_hashed_after(spark, tmp_path):
+    from dupeframe.sources.store import open_store
+
+    store = open_store(spark, f"{tmp_path}/s")
+    store.upsert(corpus.stored(spark, DATA))
+    plan = plan_text(
+        scan._reuse_table(corpus.files(spark, DATA), store.read(), "sha256", True))
+    assert plan.index("sha2(") < plan.index("LeftSemi") and "_key" in plan
 
 
 def test_store_look_up_prunes_partitions(spark, tmp_path):

@@ -169,7 +169,7 @@ def test_prefilter_gives_up_beyond_its_bound(spark, monkeypatch):
 
     table = _items(spark, [("/a", 0, "x"), ("/b", 0, "x"), ("/c", 0, "yy")])
     expected = rows(find_duplicates(table, algorithm="md5").members)
-    monkeypatch.setattr(scan, "BROADCAST_MISSES", 0)
+    monkeypatch.setattr(scan, "BROADCAST_KEYS", 0)
     result = find_duplicates(table, algorithm="md5", size_prefilter=True)
     assert rows(result.members) == expected and result.total_files == 3
 

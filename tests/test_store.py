@@ -173,8 +173,8 @@ def test_incremental_scan_of_a_table(spark, tmp_path, monkeypatch):
 
     before = [("/r/1", "x", 1.0), ("/r/2", "x", 1.0), ("/r/3", "zz", 1.0)]
     after = [("/r/1", "x", 1.0), ("/r/2", "y", 2.0), ("/r/4", "x", 1.0), ("/r/1", "x", 1.0)]
-    for limit in (200_000, 0):
-        monkeypatch.setattr(scan, "BROADCAST_MISSES", limit)
+    for limit in (2_000_000, 0):
+        monkeypatch.setattr(scan, "BROADCAST_KEYS", limit)
         store = f"{tmp_path}/s{limit}"
         assert find_duplicates(table(before), ["/r"], algorithm="md5", store=store).cache_hits == 0
         result = find_duplicates(table(after), ["/r"], algorithm="md5", store=store)
