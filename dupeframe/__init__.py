@@ -5,7 +5,7 @@ import sys
 from pyspark import cloudpickle
 
 from dupeframe.plans.reclaim import ReclaimPlan, plan_reclaim
-from dupeframe.plans.scan import ScanResult, find_duplicates, find_duplicates_in_tree
+from dupeframe.plans.scan import ScanResult, scan_table, scan_tree
 
 # Functions that run in tasks travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -13,7 +13,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 __all__ = [
     "ReclaimPlan",
     "ScanResult",
-    "find_duplicates",
-    "find_duplicates_in_tree",
+    "scan_table",
+    "scan_tree",
     "plan_reclaim",
 ]

@@ -13,11 +13,12 @@ from dupeframe.functions.fingerprint import NATIVE, STREAMED
 from dupeframe.operators.reclaim import moved_totals
 from dupeframe.operators.validate import UnsafeSelection
 from dupeframe.plans.reclaim import plan_reclaim
-from dupeframe.plans.scan import find_duplicates_in_tree
+from dupeframe.plans.scan import scan_tree
 from dupeframe.session import build_session
 from dupeframe.sources.actions import read_actions
 from dupeframe.sources.report import check_report_paths, read_report
 from dupeframe.sources.tree import stat_paths
+from dupeframe.staging import drop_stages
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -42,7 +43,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _scan(spark, args) -> None:
-    result = find_duplicates_in_tree(
+    result = scan_tree(
         spark, args.include, args.exclude, args.algorithm, args.store
     )
     result.write(args.output, args.single_file)
@@ -83,6 +84,8 @@ def main(argv: list[str] | None = None) -> int:
     except (RuntimeError, UnsafeSelection) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
+    finally:
+        drop_stages(spark)
     return 0
 
 

@@ -315,7 +315,7 @@ SELECT l_orderkey, l_linenumber,
        strftime(make_timestamp(CAST((1704067200 + l_orderkey * 61 + l_linenumber) * 1000000
                                     AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS text
 FROM lineitem""",
-    "label_algorithms": """
+    "algorithm_label": """
 SELECT CASE event_type WHEN 'view' THEN 'XXH3-128' WHEN 'click' THEN 'BLAKE3'
        ELSE upper(event_type) END AS label, count(*) AS n
 FROM events GROUP BY 1""",

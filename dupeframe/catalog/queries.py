@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dupeframe.catalog import corpus
 from dupeframe.catalog.corpus import table
 from dupeframe.functions import formats, paths
-from dupeframe.functions.fingerprint import algorithm_label, fingerprint
+from dupeframe.functions.fingerprint import algorithm_label as label_of
+from dupeframe.functions.fingerprint import fingerprint
 from dupeframe.operators import cache, decisions, groups, reclaim, scope, summary, validate
 from dupeframe.plans.reclaim import plan_reclaim
-from dupeframe.plans.scan import ScanResult, find_duplicates
+from dupeframe.plans.scan import ScanResult, scan_table
 from dupeframe.schemas import MANIFEST
 from dupeframe.sources import report
 from dupeframe.sources.actions import parse_actions
@@ -166,7 +167,7 @@ def fp_md5(spark, d):
 
 
 def _scan(spark, d, algorithm: str = "sha256", **options) -> ScanResult:
-    return find_duplicates(
+    return scan_table(
         corpus.files(spark, d), algorithm=algorithm, paths_unique=True, **options
     )
 
@@ -191,7 +192,7 @@ def dup_members(spark, d):
 @query
 def dup_members_scoped(spark, d):
     """The whole scan with overlapping roots, excludes and repeated paths."""
-    return find_duplicates(
+    return scan_table(
         corpus.files(spark, d), OVERLAPPING, EXCLUDES, "sha256"
     ).members.select("group_idx", "hash", "member_pos", "path")
 
@@ -210,7 +211,7 @@ def dup_members_all_tables(spark, d):
         corpus.files(spark, d), corpus.page_files(spark, d),
         corpus.conversation_files(spark, d), corpus.benchmark_files(spark, d),
     ]
-    return find_duplicates(
+    return scan_table(
         reduce(DataFrame.unionByName, sources), algorithm="sha256"
     ).members.select("group_idx", "hash", "member_pos", "path")
 
@@ -337,7 +338,7 @@ def incremental_scan(spark, d):
     store = stage_path(spark, "store")
     good = table(spark, d, "labels").where("quality = 1").select("doc_id")
     first = corpus.as_files(table(spark, d, "documents").join(good, "doc_id", "left_anti"))
-    find_duplicates(first, algorithm="sha256", store=store, paths_unique=True)
+    scan_table(first, algorithm="sha256", store=store, paths_unique=True)
     return _scan(spark, d, store=store).fingerprints.select("path", "hash", "hit")
 
 
@@ -390,12 +391,12 @@ def format_mtime(spark, d):
 
 
 @query
-def label_algorithms(spark, d):
+def algorithm_label(spark, d):
     """Report labels of algorithm names, for the names a scan and the event log can hold."""
     name = F.when(F.col("event_type") == "view", F.lit("xxh3")).when(
         F.col("event_type") == "click", F.lit("blake3")
     ).otherwise(F.col("event_type"))
-    return table(spark, d, "events").groupBy(algorithm_label(name).alias("label")).agg(
+    return table(spark, d, "events").groupBy(label_of(name).alias("label")).agg(
         F.count(F.lit(1)).alias("n")
     )
 

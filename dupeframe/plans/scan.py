@@ -59,7 +59,7 @@ class ScanResult:
         write_reports(self.members, self.summary(), paths, single_file)
 
 
-def find_duplicates(
+def scan_table(
     manifest: DataFrame,
     includes: list[str] | None = None,
     excludes: list[str] = (),
@@ -75,7 +75,8 @@ def find_duplicates(
     becomes a fingerprint there, and only metadata moves on. ``size_prefilter`` skips hashing
     items of a size that occurs once; it pays where ``size`` is a stored column, since
     otherwise the sizes cost one more pass over the content. ``paths_unique`` saves the
-    shuffle that removes repeated paths.
+    shuffle that removes repeated paths. Store rows of vanished items are pruned beneath
+    ``includes``; without includes none are.
     """
     started = time.perf_counter()
     check_algorithm(algorithm)
@@ -100,7 +101,7 @@ def find_duplicates(
     return _finish(hashed, includes or [], (), algorithm, opened, outputs, started, total)
 
 
-def find_duplicates_in_tree(
+def scan_tree(
     spark: SparkSession,
     includes: list[str],
     excludes: list[str] = (),

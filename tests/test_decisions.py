@@ -4,7 +4,7 @@ import pytest
 from conftest import make_tree, rows
 from pyspark.sql import functions as F
 
-from dupeframe import find_duplicates_in_tree, plan_reclaim
+from dupeframe import scan_tree, plan_reclaim
 from dupeframe.operators import decisions, reclaim, validate
 from dupeframe.operators.validate import UnsafeSelection
 from dupeframe.sources import report
@@ -225,7 +225,7 @@ def test_quarantine_goes_on_after_a_failure(spark, tmp_path):
 def test_from_scan_to_reclaim(spark, tmp_path):
     root = make_tree(tmp_path / "t", {
         "a/long-name": b"same", "b/x": b"same", "c": b"same", "d": b"other", "e": b"other", "f": b"one"})
-    find_duplicates_in_tree(spark, [str(root)], outputs=[f"{tmp_path}/r.json"])
+    scan_tree(spark, [str(root)], outputs=[f"{tmp_path}/r.json"])
     listed = report.read_report(spark, f"{tmp_path}/r.json")
     (root / "e").unlink()
     present = stat_paths(listed.members)
@@ -239,7 +239,7 @@ def test_from_scan_to_reclaim(spark, tmp_path):
 
 def test_no_duplicates_are_left_once_all_groups_are_actioned(spark, tmp_path):
     root = make_tree(tmp_path, {f"{d}/{i}": str(i // 3).encode() for d in "ab" for i in range(9)})
-    result = find_duplicates_in_tree(spark, [str(root)])
+    result = scan_tree(spark, [str(root)])
     planned = plan_reclaim(result.members, result.members, rule="newest")
     left = planned.survivors(result.fingerprints)
     assert left.count() == left.select("hash").distinct().count() == 3
@@ -247,7 +247,7 @@ def test_no_duplicates_are_left_once_all_groups_are_actioned(spark, tmp_path):
 
 def test_unsafe_plans_are_refused(spark, tmp_path):
     root = make_tree(tmp_path / "t", {"a": b"same", "b": b"same"})
-    result = find_duplicates_in_tree(spark, [str(root)])
+    result = scan_tree(spark, [str(root)])
     everything = result.members.select("hash", "path", F.lit("trash").alias("decision"))
     planned = plan_reclaim(result.members, result.members, selection=everything)
     with pytest.raises(UnsafeSelection, match="所有文件都标记了删除"):
@@ -259,7 +259,7 @@ def test_unsafe_plans_are_refused(spark, tmp_path):
 
 def test_choices_and_edits_in_a_plan(spark, tmp_path):
     root = make_tree(tmp_path, {"a": b"same", "b": b"same", "c": b"same"})
-    result = find_duplicates_in_tree(spark, [str(root)])
+    result = scan_tree(spark, [str(root)])
     name = result.members.first().hash
     choices = spark.createDataFrame([(name, "3")], "hash string, choice string")
     planned = plan_reclaim(result.members, result.members, choices=choices)

@@ -48,10 +48,10 @@ def test_tasks_need_no_copy_of_the_package(tmp_path):
     make_tree(tmp_path / "t", {"a": b"same", "b": b"same"})
     code = (
         f"import sys; sys.path.insert(0, {REPO!r})\n"
-        "from dupeframe import find_duplicates_in_tree\n"
+        "from dupeframe import scan_tree\n"
         "from dupeframe.session import build_session\n"
         "spark = build_session('local[2]', spark__sql__shuffle__partitions='2')\n"
-        f"print('groups', find_duplicates_in_tree(spark, [{str(tmp_path / 't')!r}]).duplicate_groups)\n"
+        f"print('groups', scan_tree(spark, [{str(tmp_path / 't')!r}]).duplicate_groups)\n"
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env,

@@ -5,7 +5,7 @@ import json
 import pytest
 from conftest import make_tree, rows
 
-from dupeframe import find_duplicates_in_tree
+from dupeframe import scan_tree
 from dupeframe.schemas import MEMBERS
 from dupeframe.sources import report
 from dupeframe.sources.actions import read_actions
@@ -158,21 +158,21 @@ def test_repeated_keys_and_empty_groups(spark, tmp_path):
 
 def test_suffixes_are_checked_before_the_scan(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported"):
-        find_duplicates_in_tree(spark, [str(tmp_path)], outputs=[f"{tmp_path}/r.xml"])
+        scan_tree(spark, [str(tmp_path)], outputs=[f"{tmp_path}/r.xml"])
     report.check_report_paths(["a.TXT", "b.Json", "c.csv"])
 
 
 def test_several_reports_of_one_scan(spark, tmp_path):
     root = make_tree(tmp_path / "t", {"a": b"same", "b": b"same"})
     out = [f"{tmp_path}/out/r.{suffix}" for suffix in ("json", "CSV", "txt")]
-    result = find_duplicates_in_tree(spark, [str(root)])
+    result = scan_tree(spark, [str(root)])
     result.write(out, single_file=True)
     data = json.loads((tmp_path / "out" / "r.json").read_text())
     assert list(data["duplicates"].values()) == [[f"{root}/a", f"{root}/b"]]
     assert data["summary"]["total_files"] == 2 and data["summary"]["algorithm"] == "xxh3"
     assert data["summary"]["scan_folders"] == [str(root)]
     assert (tmp_path / "out" / "r.CSV").read_text().count(str(root)) == 2
-    find_duplicates_in_tree(spark, [str(root)], outputs=[f"{tmp_path}/parts/r.json"])
+    scan_tree(spark, [str(root)], outputs=[f"{tmp_path}/parts/r.json"])
     assert report.read_report(spark, f"{tmp_path}/parts/r.json").members.count() == 2
 
 

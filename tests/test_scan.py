@@ -5,7 +5,7 @@ import pytest
 from conftest import make_tree, plan_text, rows
 from pyspark.sql import functions as F
 
-from dupeframe import find_duplicates, find_duplicates_in_tree
+from dupeframe import scan_table, scan_tree
 from dupeframe.operators import groups, scope
 from dupeframe.sources.files import fingerprint_files
 from dupeframe.sources.table import manifest_from_objects
@@ -21,7 +21,7 @@ def listed(df, root):
 
 def test_groups_events_and_totals(spark, tmp_path):
     root = make_tree(tmp_path, COPIES)
-    result = find_duplicates_in_tree(spark, [str(root)])
+    result = scan_tree(spark, [str(root)])
     assert (result.total_files, result.cache_hits, result.duplicate_groups) == (3, 0, 1)
     assert rows(result.members, "group_idx", "member_pos", "path") == [
         (1, 1, f"{root}/a/one.txt"), (1, 2, f"{root}/b/two.txt")]
@@ -30,7 +30,7 @@ def test_groups_events_and_totals(spark, tmp_path):
 
 def test_excluded_directory(spark, tmp_path):
     root = make_tree(tmp_path, COPIES)
-    result = find_duplicates_in_tree(spark, [f"{root}/a", f"{root}/b"], [f"{root}/b"])
+    result = scan_tree(spark, [f"{root}/a", f"{root}/b"], [f"{root}/b"])
     assert (result.total_files, result.duplicate_groups) == (1, 0)
 
 
@@ -42,26 +42,26 @@ def test_exclusion_goes_by_component(spark, tmp_path):
 def test_single_file_roots(spark, tmp_path):
     root = make_tree(tmp_path, COPIES)
     includes = [f"{root}/a/one.txt", f"{root}/b/two.txt", f"{root}/c.txt"]
-    result = find_duplicates_in_tree(spark, includes)
+    result = scan_tree(spark, includes)
     assert (result.total_files, result.duplicate_groups) == (3, 1)
 
 
 def test_excluded_single_file_root(spark, tmp_path):
     root = make_tree(tmp_path, COPIES)
     includes = [f"{root}/a/one.txt", f"{root}/b/two.txt"]
-    result = find_duplicates_in_tree(spark, includes, [f"{root}/b/two.txt"])
+    result = scan_tree(spark, includes, [f"{root}/b/two.txt"])
     assert (result.total_files, result.duplicate_groups) == (1, 0)
 
 
 def test_directory_and_file_roots(spark, tmp_path):
     root = make_tree(tmp_path, COPIES)
-    result = find_duplicates_in_tree(spark, [f"{root}/a", f"{root}/b/two.txt"])
+    result = scan_tree(spark, [f"{root}/a", f"{root}/b/two.txt"])
     assert rows(result.members, "member_pos", "path") == [
         (1, f"{root}/a/one.txt"), (2, f"{root}/b/two.txt")]
 
 
 def test_absent_roots_and_empty_scans(spark, tmp_path):
-    result = find_duplicates_in_tree(spark, [f"{tmp_path}/nowhere"])
+    result = scan_tree(spark, [f"{tmp_path}/nowhere"])
     assert (result.total_files, result.duplicate_groups, result.hit_rate) == (0, 0, None)
     assert result.members.count() == 0
 
@@ -81,7 +81,7 @@ def test_which_entries_are_listed(spark, tmp_path):
 
 def test_empty_files_are_one_group(spark, tmp_path):
     root = make_tree(tmp_path, {"a": b"", "b": b"", "c": b"c"})
-    members = find_duplicates_in_tree(spark, [str(root)]).members
+    members = scan_tree(spark, [str(root)]).members
     assert rows(members, "path", "size", "hash") == [
         (f"{root}/{name}", 0, "99aa06d3014798d86001c324468d497f") for name in ("a", "b")]
 
@@ -131,7 +131,7 @@ def test_large_file_is_read_in_chunks(spark, tmp_path):
 
     body = random.Random(1).randbytes(3 * 1024 * 1024 + 17)
     root = make_tree(tmp_path, {"big": body, "same": body})
-    members = find_duplicates_in_tree(spark, [str(root)]).members.collect()
+    members = scan_tree(spark, [str(root)]).members.collect()
     assert [m.hash for m in members] == [xxhash.xxh3_128_hexdigest(body)] * 2
 
 
@@ -159,7 +159,7 @@ def test_groups_equal_brute_force(spark, hot):
         for position, path in enumerate(paths, start=1)
     ]
     for options in ({}, {"size_prefilter": True}, {"paths_unique": True}):
-        result = find_duplicates(table, algorithm="md5", **options)
+        result = scan_table(table, algorithm="md5", **options)
         assert rows(result.members, "group_idx", "member_pos", "path") == sorted(expected, key=repr)
         assert result.total_files == 300
 
@@ -168,22 +168,22 @@ def test_prefilter_gives_up_beyond_its_bound(spark, monkeypatch):
     from dupeframe.plans import scan
 
     table = _items(spark, [("/a", 0, "x"), ("/b", 0, "x"), ("/c", 0, "yy")])
-    expected = rows(find_duplicates(table, algorithm="md5").members)
+    expected = rows(scan_table(table, algorithm="md5").members)
     monkeypatch.setattr(scan, "BROADCAST_KEYS", 0)
-    result = find_duplicates(table, algorithm="md5", size_prefilter=True)
+    result = scan_table(table, algorithm="md5", size_prefilter=True)
     assert rows(result.members) == expected and result.total_files == 3
 
 
 def test_scopes_of_a_table(spark):
     table = _items(spark, [(p, 9, "same") for p in ("/a/1", "/a/b/2", "/ab/3", "/c/4", "/a/b/5")])
-    result = find_duplicates(table, ["/a/b", "/a", "/c"], ["/a/b/5"], "md5")
+    result = scan_table(table, ["/a/b", "/a", "/c"], ["/a/b/5"], "md5")
     assert rows(result.members, "member_pos", "path") == [(1, "/a/b/2"), (2, "/a/1"), (3, "/c/4")]
 
 
 def test_objects_read_through_spark(spark, tmp_path):
     root = make_tree(tmp_path, {**COPIES, "d": b"longer content", ".hidden": b"common content"})
     manifest = manifest_from_objects(spark, [str(root)])
-    result = find_duplicates(manifest, algorithm="xxh3", size_prefilter=True)
+    result = scan_table(manifest, algorithm="xxh3", size_prefilter=True)
     assert (result.total_files, result.duplicate_groups) == (4, 1)
     assert rows(result.members, "path", "size") == [
         (f"file:{root}/a/one.txt", 14), (f"file:{root}/b/two.txt", 14)]
@@ -192,7 +192,7 @@ def test_objects_read_through_spark(spark, tmp_path):
 
 def test_repeated_paths_count_once(spark):
     table = _items(spark, [("/a", 1, "x"), ("/a", 0, "x"), ("/b", 0, "y")])
-    result = find_duplicates(table, algorithm="md5")
+    result = scan_table(table, algorithm="md5")
     assert (result.total_files, result.duplicate_groups) == (2, 0)
 
 
@@ -210,7 +210,7 @@ def test_global_index_has_no_gaps(spark):
 
 def test_group_parts_are_bounded_and_whole(spark):
     table = _items(spark, [(f"/{i:02d}", 0, "x") for i in range(25)])
-    members = find_duplicates(table, algorithm="md5").members
+    members = scan_table(table, algorithm="md5").members
     parts = groups.group_parts(members, rows_per_part=10).orderBy("part").collect()
     assert [len(p.paths) for p in parts] == [10, 10, 5]
     assert [path for p in parts for path in p.paths] == [f"/{i:02d}" for i in range(25)]

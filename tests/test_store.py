@@ -3,7 +3,7 @@ import os
 import pytest
 from conftest import make_tree, rows
 
-from dupeframe import find_duplicates, find_duplicates_in_tree, hadoop
+from dupeframe import scan_table, scan_tree, hadoop
 from dupeframe.operators import cache
 from dupeframe.schemas import MANIFEST, STORE
 from dupeframe.sources.store import ensure_store_schema, open_store
@@ -121,7 +121,7 @@ def test_an_unusable_location_is_fatal(spark, tmp_path):
         with pytest.raises(RuntimeError, match="cannot open"):
             open_store(spark, path)
         with pytest.raises(RuntimeError, match="cannot open"):
-            find_duplicates_in_tree(spark, [str(tmp_path)], store=path)
+            scan_tree(spark, [str(tmp_path)], store=path)
 
 
 def test_an_unfinished_version_is_ignored_and_vacuumed(spark, tmp_path):
@@ -139,15 +139,15 @@ def test_an_unfinished_version_is_ignored_and_vacuumed(spark, tmp_path):
 def test_incremental_scan_of_a_tree(spark, tmp_path):
     root = make_tree(tmp_path / "t", {"a": b"same", "b": b"same", "c": b"other"})
     store = f"{root}/.store"
-    first = find_duplicates_in_tree(spark, [str(root)], store=store)
+    first = scan_tree(spark, [str(root)], store=store)
     assert (first.total_files, first.cache_hits) == (3, 0)
-    again = find_duplicates_in_tree(spark, [str(root)], store=store)
+    again = scan_tree(spark, [str(root)], store=store)
     # the store itself is never listed
     assert (again.total_files, again.cache_hits, again.hit_rate) == (3, 3, 100.0)
     assert rows(again.members) == rows(first.members)
     (root / "a").write_bytes(b"changed")
     (root / "b").unlink()
-    last = find_duplicates_in_tree(spark, [str(root)], store=store)
+    last = scan_tree(spark, [str(root)], store=store)
     assert (last.total_files, last.cache_hits, last.duplicate_groups) == (2, 1, 0)
     assert rows(open_store(spark, store).read(), "filepath") == [(f"{root}/a",), (f"{root}/c",)]
 
@@ -155,11 +155,11 @@ def test_incremental_scan_of_a_tree(spark, tmp_path):
 def test_a_vanished_root_is_pruned_and_others_stay(spark, tmp_path):
     root = make_tree(tmp_path, {"a/1": b"1", "b/2": b"2"})
     store = str(tmp_path / "store")
-    find_duplicates_in_tree(spark, [f"{root}/a"], store=store)
-    find_duplicates_in_tree(spark, [f"{root}/b"], store=store)
+    scan_tree(spark, [f"{root}/a"], store=store)
+    scan_tree(spark, [f"{root}/b"], store=store)
     (root / "a" / "1").unlink()
     (root / "a").rmdir()
-    find_duplicates_in_tree(spark, [f"{root}/a"], store=store)
+    scan_tree(spark, [f"{root}/a"], store=store)
     assert rows(open_store(spark, store).read(), "filepath") == [(f"{root}/b/2",)]
 
 
@@ -176,8 +176,8 @@ def test_incremental_scan_of_a_table(spark, tmp_path, monkeypatch):
     for limit in (2_000_000, 0):
         monkeypatch.setattr(scan, "BROADCAST_KEYS", limit)
         store = f"{tmp_path}/s{limit}"
-        assert find_duplicates(table(before), ["/r"], algorithm="md5", store=store).cache_hits == 0
-        result = find_duplicates(table(after), ["/r"], algorithm="md5", store=store)
+        assert scan_table(table(before), ["/r"], algorithm="md5", store=store).cache_hits == 0
+        result = scan_table(table(after), ["/r"], algorithm="md5", store=store)
         assert (result.total_files, result.cache_hits) == (3, 1)
         assert rows(result.members, "path") == [("/r/1",), ("/r/4",)]
         assert rows(open_store(spark, store).read(), "filepath") == [("/r/1",), ("/r/2",), ("/r/4",)]
