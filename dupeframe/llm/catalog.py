@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from dupeframe.llm import (
-    chat_format, mixing, packing, quality_rules, token_output, url_filters,
+    chat_format, jaccard_join, language_model, mixing, ordinal, packing, quality_rules, simhash,
+    token_output, url_filters,
 )
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_packing": packing.op2_packing,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
+    "op6_ordinal_quality": ordinal.op6_ordinal_quality,
     "op7_url_filters": url_filters.op7_url_filters,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_language_model": language_model.op10_language_model,
 }
 
 ORACLES = {
