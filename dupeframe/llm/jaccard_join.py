@@ -7,14 +7,17 @@ made where distances are below 1: of x's shingles in one global order, a prefix
 must meet the prefix of anything within r, so each prefix shingle is a region and a document is
 copied to the regions of its prefix only. The order is rare shingles first. Inside a region:
 
-1. a pivot is taken and compared with every member, exactly;
-2. links join components; a region within one component is done;
-3. the others go on with the next pivot, over what is left of them;
-4. after the last round members of different components are compared, if their distances to the
-   pivots differ by r at most (the triangle inequality) and their sizes allow a link.
-
-Every pair within r meets in a region, and a pair is passed over only if it is in one component
-already or if a bound rules it out; so components are exact.
+1. a pivot is taken and compared with every member; links join components;
+2. a region within one component is done; what is left of the others takes the next pivot, for
+   ``rounds`` rounds;
+3. then the members outside a region's first component are compared with all the others, if
+   their distances to the pivot differ by r at most (the triangle inequality).
+
+Comparisons pass three bounds of the distance before whole sets are fetched: sizes, places of the
+shared shingle in both prefixes, and the Hamming distance of parity sketches, which is at most
+the number of shingles in one set only. Every pair within r meets in a region, and a pair is
+passed over only if it is in one component already or a bound rules it out, so components are
+exact.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dupeframe.llm.words import WordHashes, shingles, text_bytes
 from dupeframe.staging import stage
@@ -34,9 +37,9 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 # Shingles in more prefixes than this come last in the order. The flag is one of 2 ** BITS bits of
 # a map that is broadcast, 8 MiB whatever the corpus; any map gives a valid order.
-COMMON = 64
+COMMON = 8
 BITS = 26
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -67,11 +70,11 @@ def common_shingles(texts: DataFrame, size: int, percent: int, common: int) -> n
     """The map of shingles that stand in more than ``common`` prefixes in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(lower=True)
         for batch in batches:
             parts = [np.empty(0, np.uint64)]
             for text in batch.column("text"):
-                own = shingles(hashes.of(text.as_py().lower()), size)
+                own = shingles(hashes.of(text.as_py()), size)
                 parts.append(own[:_prefix_length(len(own), percent)])
             found, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
@@ -85,35 +88,54 @@ def _digest(own: np.ndarray) -> bytes:
     return blake2b(own.tobytes(), digest_size=16).digest()
 
 
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """One bit for each place that a hash can fall on, set if an odd number does; as many places
+    as the next power of two, 64 at least."""
+    places = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    hits = np.bincount((own >> np.uint64(20)).astype(np.int64) & (places - 1), minlength=places)
+    return np.packbits((hits & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def sketch_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """At most the size of the symmetric difference; the longer sketch is folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def described(texts: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Rows (row_id, doc_id, text_hash, n, digest, spot, rare, frequent) of all texts: the size
-    and a digest of each set, and the hashes of its prefix, rare and common ones apart."""
+    """Rows (row_id, doc_id, text_hash, n, digest, spot, rare, frequent, sketch) of all texts: the
+    size and a digest of each set, and the hashes of its prefix, rare and common ones apart."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, common = WordHashes(), shared.value
+        hashes, common = WordHashes(lower=True), shared.value
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                own = shingles(hashes.of(text.as_py().lower()), size)
+                own = shingles(hashes.of(text.as_py()), size)
                 length = _prefix_length(len(own), percent)
                 often = _has(common, own & _SPOT)
                 rare = own[~often][:length]
                 digest = _digest(own) if len(own) else None
                 rows.append((
                     len(own), digest, int.from_bytes(digest[:4], "little") & int(_SPOT) if digest else None,
-                    rare.view(np.int64), own[often][:length - len(rare)].view(np.int64)))
-            columns = list(zip(*rows)) or [()] * 5
+                    rare.view(np.int64), own[often][:length - len(rare)].view(np.int64),
+                    parity_sketch(own).view(np.int64)))
+            columns = list(zip(*rows)) or [()] * 6
             long_list = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text_hash"),
                 pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()),
                 pa.array(columns[2], pa.int64()), pa.array(columns[3], long_list), pa.array(columns[4], long_list),
-            ], names=["doc_id", "text_hash", "n", "digest", "spot", "rare", "frequent"])
+                pa.array(columns[5], long_list),
+            ], names=["doc_id", "text_hash", "n", "digest", "spot", "rare", "frequent", "sketch"])
 
     return texts.mapInArrow(
         run, "doc_id long, text_hash long, n long, digest binary, spot long, rare array<long>, "
-        "frequent array<long>").withColumn("row_id", F.monotonically_increasing_id())
+        "frequent array<long>, sketch array<long>").withColumn("row_id", F.monotonically_increasing_id())
 
 
 def sets_of(texts: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
@@ -121,11 +143,11 @@ def sets_of(texts: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, wanted, done = WordHashes(), shared.value, set()
+        hashes, wanted, done = WordHashes(lower=True), shared.value, set()
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                own = shingles(hashes.of(text.as_py().lower()), size)
+                own = shingles(hashes.of(text.as_py()), size)
                 if len(own):
                     digest = _digest(own)
                     spot = np.array([int.from_bytes(digest[:4], "little")], np.uint64) & _SPOT
@@ -140,8 +162,12 @@ def sets_of(texts: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
         F.first("shingles").alias("shingles"))
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
+def _may_link(n: Column, at: Column, other_n: Column, other_at: Column, percent: int) -> Column:
+    """Whether sizes, and what can follow a shared shingle at these places of both prefixes, allow
+    a link. A pair's first shared shingle is one of its regions and passes this if it links."""
+    sizes = 100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)
+    most = 1 + F.least(n - at - 1, other_n - other_at - 1)
+    return sizes & ((100 + percent) * most >= percent * (n + other_n))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,7 +205,8 @@ def jaccard_components(
     common: int = COMMON,
     rounds: int = PIVOT_ROUNDS,
 ) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, text_hash), one for each document.
+    """Rows (doc_id, n_shingles, component_id, text_hash, component), one for each document;
+    ``component`` is unique to a component, also where its ids are null.
 
     Documents link if their sets of ``size``-word shingles (words in lower-cased A-Z; a shorter
     text is one shingle) have ``percent`` % or more of their union in common. ``component_id`` is
@@ -201,102 +228,133 @@ def jaccard_components(
         F.first("spot").alias("spot")), "shingle-classes")
     nodes = told.select("row_id", "rare", "frequent").join(
         classes.select(F.col("node").alias("row_id"), "n"), "row_id").withColumnRenamed("row_id", "node")
+    sketches = told.select(F.col("row_id").alias("node"), "n", "sketch")
 
-    regions = stage(_regions(nodes), "regions")
+    members = stage(_regions(nodes), "regions")
     verified: list[DataFrame] = []  # (a, b, apart, union) with a < b, distance apart / union
-    sets: list[DataFrame] = []  # (node, shingles) of the nodes seen in pairs so far
-    members = regions.where("node <> pivot")
     comps: DataFrame | None = None
     for step in range(rounds + 1):
-        if step == 0:
-            pairs = members.select("node", "n", F.col("pivot").alias("other"), F.col("pivot_n").alias("other_n"))
-        else:
+        if step:
             members = _undecided(members, comps)
-            if step < rounds:
+        if step < rounds:
+            if step:
                 members = stage(_next_pivot(members), "regions")
-                pairs = members.where("node <> pivot AND comp <> pivot_comp").select(
-                    "node", "n", F.col("pivot").alias("other"), F.col("pivot_n").alias("other_n"))
-                members = members.where("node <> pivot").drop("comp", "pivot_comp")
-            else:
-                pairs = _windowed(members, reduce(DataFrame.unionByName, verified), percent)
-        wanted = pairs.where(_fits(F.col("n"), F.col("other_n"), percent)).select(
-            F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            pairs = members.where("node <> pivot" + (" AND comp <> pivot_comp" if step else ""))
+            pairs = pairs.withColumnsRenamed({"pivot": "other", "pivot_n": "other_n", "pivot_at": "other_at"})
+            members = members.where("node <> pivot").select("h", "node", "n", "at", "pivot")
+        else:
+            pairs = _windowed(members, _all(verified), percent)
+        wanted = pairs.where(_may_link(
+            F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent
+        )).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if verified:
-            wanted = wanted.join(reduce(DataFrame.unionByName, verified).select("a", "b"), ["a", "b"], "left_anti")
-        wanted = stage(wanted, "candidates")
+            wanted = wanted.join(_all(verified).select("a", "b"), ["a", "b"], "left_anti")
+        wanted = stage(_near_sketches(wanted, sketches, percent), "candidates")
         if wanted.isEmpty():
-            if step == 0:
+            if not verified:
                 break
             continue
-        sets = _known_sets(wanted, sets, classes, texts, size)
-        verified.append(stage(_compared(wanted, reduce(DataFrame.unionByName, sets)), "verified"))
-        links = reduce(DataFrame.unionByName, verified).where(
+        verified.append(stage(_compared(wanted, classes, texts, size), "verified"))
+        links = _all(verified).where(
             100 * (F.col("union") - F.col("apart")) >= percent * F.col("union"))
         comps = stage(components(links.select("a", "b")), "components")
     return _named(told, classes, comps)
 
 
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def _regions(nodes: DataFrame) -> DataFrame:
-    """(h, node, n, pivot, pivot_n) of regions with two members or more. A region's pivot is its
-    member with the least hash, which makes regions of one group agree on it."""
-    order = F.struct(F.xxhash64("node").alias("by"), "node", "n")
-    rare = nodes.select(F.explode("rare").alias("h"), "node", "n")
-    frequent = nodes.select(F.explode("frequent").alias("h"), "node", "n")
-    found = []
-    for rows in (rare, frequent):
-        pivots = rows.groupBy("h").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("members")).where(
-            "members > 1").select("h", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        found.append(rows.join(pivots, "h"))
-    return found[0].unionByName(found[1])
+    """(h, node, n, at, pivot, pivot_n, pivot_at) of regions with two members or more; ``at`` is
+    the place of h in the member's prefix. A region's pivot is its member with the least hash,
+    which makes regions of one group agree on it.
+
+    Regions of rare shingles are small and take a window; those of common ones may hold a third
+    of all nodes, so their pivots come from a combining aggregation and are joined.
+    """
+    order = F.struct(F.xxhash64("node").alias("by"), "node", "n", "at")
+    rare = nodes.select(F.posexplode("rare").alias("at", "h"), "node", "n")
+    region = Window.partitionBy("h")
+    small = rare.withColumn("p", F.min(order).over(region)).withColumn(
+        "members", F.count(F.lit(1)).over(region)).where("members > 1").drop("members")
+    frequent = nodes.select(F.posexplode("frequent").alias("at", "h"), "node", "n", F.size("rare").alias("skip"))
+    frequent = frequent.withColumn("at", F.col("at") + F.col("skip")).drop("skip")
+    pivots = frequent.groupBy("h").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("members")).where(
+        "members > 1").drop("members")
+    return small.unionByName(frequent.join(pivots, "h")).select(
+        "h", "node", "n", "at", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"),
+        F.col("p.at").alias("pivot_at"))
 
 
 def _undecided(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members with their components, of regions that are in more than one."""
-    known = members.select("h", "node", "n").join(comps, "node", "left").withColumn(
-        "comp", F.coalesce("comp", "node"))
-    open_regions = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(
-        "x <> y").select("h")
-    return known.join(open_regions, "h")
+    """Members with their components, of regions that are in more than one, and ``first``, the
+    component of a region's pivot or else its smallest."""
+    known = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    pivots = comps.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_in"))
+    known = known.join(pivots, "pivot", "left")
+    open_regions = known.groupBy("h").agg(
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("pivot_in").alias("p"),
+        F.max(F.col("comp") == F.col("pivot_in")).alias("with_pivot")).where("x <> y").select(
+        "h", F.when(F.col("with_pivot"), F.col("p")).otherwise(F.col("x")).alias("first"))
+    return known.drop("pivot_in").join(open_regions, "h")
 
 
 def _next_pivot(members: DataFrame) -> DataFrame:
-    pivots = members.groupBy("h").agg(
-        F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n", "comp")).alias("p")).select(
-        "h", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.comp").alias("pivot_comp"))
-    return members.join(pivots, "h")
+    """The members with a pivot from outside the region's first component."""
+    pivots = members.where("comp <> first").groupBy("h").agg(
+        F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n", "at", "comp")).alias("p")).select(
+        "h", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.at").alias("pivot_at"),
+        F.col("p.comp").alias("pivot_comp"))
+    return members.drop("pivot").join(pivots, "h")
 
 
 def _windowed(members: DataFrame, verified: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of different components whose distances to a shared pivot do not differ
-    by more than the limit."""
-    left = members.select("h", "node", "n", "comp")
-    right = members.select("h", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"))
-    return left.join(right, "h").where(
-        (F.col("node") < F.col("other")) & (F.col("comp") != F.col("other_comp"))
-        & _fits(F.col("n"), F.col("other_n"), percent)).select("node", "n", "other", "other_n")
-
-
-def _known_sets(
-    wanted: DataFrame, sets: list[DataFrame], classes: DataFrame, texts: DataFrame, size: int
-) -> list[DataFrame]:
-    """``sets`` and, staged, the sets of nodes in ``wanted`` that it lacks."""
-    needed = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
-    for known in sets:
-        needed = needed.join(known.select("node"), "node", "left_anti")
-    needed = stage(classes.join(needed, "node").select("node", "digest", "spot", "n"), "needed")
-    if needed.isEmpty():
-        return sets
-    found = sets_of(texts, size, bit_map(needed.select("spot"))).join(needed, "digest")
-    return [*sets, stage(found.select("node", "n", "shingles"), "sets")]
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, apart, union) of all pairs, from whole sets; the distance is apart / union."""
+    """Pairs of a member outside the region's first component with members of other components,
+    whose distances to the last pivot, where both are known, differ by the limit at most. The
+    first component, often nearly the whole region, is never paired with itself."""
+    both = verified.select("a", "b", (F.col("apart") / F.col("union")).alias("d"))
+    ways = both.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d").unionByName(
+        both.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "d"))
+    placed = members.join(ways, ["node", "pivot"], "left")
+    left = placed.where("comp <> first").select("h", "node", "n", "at", "comp", "d")
+    right = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "at", "comp", "d")],
+                          F.col("node").alias("other"))
+    near = F.coalesce(
+        F.abs(F.col("d") - F.col("other_d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    return left.join(right, (left["h"] == right["h"]) & (F.col("comp") != F.col("other_comp")) & near & _may_link(
+        F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent))
+
+
+def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule out a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [[np.array(x.values, np.int64).view(np.uint64) for x in batch.column(name)]
+                     for name in ("sketch_a", "sketch_b")]
+            sizes = np.array(batch.column("n_a")) + np.array(batch.column("n_b"))
+            apart = np.array([sketch_distance(x, y) for x, y in zip(*sides)], np.int64)
+            near = pa.array((100 + percent) * apart <= (100 - percent) * sizes)
+            yield batch.select(["a", "b"]).filter(near)
+
+    joined = pairs
+    for side in ("a", "b"):
+        joined = joined.join(sketches.select(
+            F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, apart, union) of all pairs, from whole sets; the distance is apart / union.
+
+    The texts are read once more and give the sets of the nodes in ``pairs``; each set goes to
+    its pairs, and two sets meet in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             distances = []
-            for one, other in zip(batch.column("sa"), batch.column("sb")):
+            for one, other in zip(batch.column("one"), batch.column("other")):
                 x = np.frombuffer(one.as_buffer(), np.uint64)
                 y = np.frombuffer(other.as_buffer(), np.uint64)
                 if len(x) > len(y):
@@ -310,25 +368,28 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 pa.array([d[0] for d in distances], pa.int64()), pa.array([d[1] for d in distances], pa.int64()),
             ], names=["a", "b", "apart", "union"])
 
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(
-        run, "a long, b long, apart long, union long")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    ends = stage(ends.join(classes.select("node", "digest", "spot"), "node"), "ends")
+    found = sets_of(texts, size, bit_map(ends.select("spot")))
+    met = found.join(ends, "digest").groupBy("a", "b").agg(
+        F.max(F.when(F.col("node") == F.col("a"), F.col("shingles"))).alias("one"),
+        F.max(F.when(F.col("node") == F.col("b"), F.col("shingles"))).alias("other"))
+    return met.mapInArrow(run, "a long, b long, apart long, union long")
 
 
 def _named(told: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
     """The smallest document id of each component, for all documents."""
     if comps is None:
-        named = classes.select("digest", F.col("least_id").alias("component_id"))
+        named = classes.select("digest", F.col("least_id").alias("component_id"), F.col("node").alias("component"))
     else:
         known = classes.select("node", "digest", "least_id").join(comps, "node", "left").withColumn(
             "comp", F.coalesce("comp", "node"))
         least = known.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-        named = known.join(least, "comp").select("digest", "component_id")
+        named = known.join(least, "comp").select("digest", "component_id", F.col("comp").alias("component"))
     return told.select("doc_id", "text_hash", "n", "digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        "text_hash")
+        "text_hash", "component")
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

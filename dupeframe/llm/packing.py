@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dupeframe.llm.tokens import Encoder
+from dupeframe.llm.tokens import worker_encoder
 from dupeframe.llm.words import text_bytes
 
 SCHEMA = (
@@ -98,7 +98,7 @@ def pack_in_order(
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer, end_id, by_word)
+        encoder = worker_encoder(tokenizer, end_id, by_word)
         sequence = TaskContext.get().partitionId() << 33
         # units waiting for a window: (document, start, length), a document being (id, ids)
         units: list[tuple] = []

@@ -68,7 +68,8 @@ def clean_lines(
     """All columns of ``docs`` and one struct column ``_quality``:
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed: the base rules.
-    cleaned: the text without failed lines, repeats of an earlier line and lines without words.
+    cleaned: the text without failed lines, repeats of an earlier line and lines without words;
+    unchanged where no line fails or repeats.
     lost_chars: code points in words that the cleaning removed.
     kept: not base_failed, and at most ``max_lost`` of ``word_chars`` lost.
 
@@ -118,7 +119,8 @@ def clean_lines(
         (F.size("_q_lines") - F.size(distinct)).cast("long").alias("n_dup_lines"),
         F.col("_q_repeat").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.array_join(F.col("_q_kept_lines.line"), "\n").alias("cleaned"),
+        F.when(chars == left, F.col("_q_text")).otherwise(
+            F.array_join(F.col("_q_kept_lines.line"), "\n")).alias("cleaned"),
         (chars - left).alias("lost_chars"),
         (~failed & (chars - left <= max_lost * chars)).alias("kept"),
     )

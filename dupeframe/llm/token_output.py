@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dupeframe.llm.tokens import Encoder
+from dupeframe.llm.tokens import worker_encoder
 from dupeframe.llm.words import text_bytes
 
 SCHEMA = (
@@ -135,7 +135,7 @@ def pack_token_ids(
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer, end_id, by_word)
+        encoder = worker_encoder(tokenizer, end_id, by_word)
         number, pieces, held = TaskContext.get().partitionId() << 33, [], 0
         for batch in rows:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from array import array
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 
@@ -14,15 +17,38 @@ SENTENCE_ENDS = tuple(mark.encode() for mark in ".!?…。！？")
 CLOSING = b"\"')]}"
 
 
+class _Index(dict):
+    """Words and their places; a new word gets the next place and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+
+def worker_encoder(path: str, end_id: int, by_word: bool = True) -> Encoder:
+    """The encoder of this Python worker, which later tasks of the worker find with its words."""
+    kept = sys.modules.setdefault("_dupeframe_encoders", ModuleType("_dupeframe_encoders")).__dict__
+    key = f"{path}:{end_id}:{by_word}"
+    if key not in kept:
+        kept[key] = Encoder(path, end_id, by_word)
+    return kept[key]
+
+
 class Encoder:
     """Encodes texts with a vocabulary file of the ``tokenizers`` library.
 
     ``by_word`` is for tokenizers that drop white space and never join across it: each distinct
-    word is then encoded once per task and looked up afterwards. Other tokenizers encode each
+    word is then encoded once per Python worker and looked up afterwards. Other tokenizers encode each
     text as a whole. ``end_id`` closes every document.
     """
 
     def __init__(self, path: str, end_id: int, by_word: bool = True):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,30 +56,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.by_word = end_id, by_word
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        for token, number in vocabulary.items() if suffix else ():
+            self.ends_word[number] = token.endswith(suffix)
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.starts, self.lengths, self.closes = (
-            array("I"), array("q"), array("q"), array("b"))
+        self.index, self.flat = _Index(), array("I")
+        self.starts, self.lengths, self.closes = array("q"), array("q"), array("b")
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.index) > CACHED_WORDS:
-            self._clear()
-        new = [word for word in dict.fromkeys(words) if word not in self.index]
-        encoded = self.tokenizer.encode_batch_fast(
-            [word.decode("utf-8", "replace") for word in new], add_special_tokens=False)
-        for word, one in zip(new, encoded):
-            ids = one.ids
-            self.index[word] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.lengths.append(len(ids))
-            self.closes.append(word.rstrip(CLOSING).endswith(SENTENCE_ENDS))
-            self.flat.extend(ids)
+        """Encode words whose places follow the last known one."""
+        first = len(self.starts)
+        self.starts.frombytes(bytes(8 * len(words)))
+        self.lengths.frombytes(bytes(8 * len(words)))
+        self.closes.frombytes(bytes(len(words)))
+        texts = [word.decode("utf-8", "replace") for word in words]
+        plain = [k for k, text in enumerate(texts) if text.isalpha()] if self.ends_word is not None else []
+        if plain:
+            # letters only: in one call with the others, told apart by the word ends
+            joined = self.tokenizer.encode_batch_fast(
+                [" ".join([texts[k] for k in plain])], add_special_tokens=False)[0]
+            ids = np.array(joined.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                self._put(first, plain, ids, np.diff(ends, prepend=0))
+            else:
+                plain = []
+        known = set(plain)
+        rest = [k for k in range(len(words)) if k not in known]
+        if rest:
+            found = [one.ids for one in self.tokenizer.encode_batch_fast(
+                [texts[k] for k in rest], add_special_tokens=False)]
+            self._put(first, rest, np.array(list(chain.from_iterable(found)), np.uint32),
+                      np.array([len(ids) for ids in found]))
+            for k in rest:
+                self.closes[first + k] = words[k].rstrip(CLOSING).endswith(SENTENCE_ENDS)
+
+    def _put(self, first: int, which: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
+        places = first + np.array(which)
+        np.frombuffer(self.starts, np.int64)[places] = len(self.flat) + np.cumsum(lengths) - lengths
+        np.frombuffer(self.lengths, np.int64)[places] = lengths
+        self.flat.frombytes(ids.tobytes())
 
     def _piece(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        self._learn(words)
+        if len(self.index) > CACHED_WORDS:
+            self._clear()
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         lengths = np.frombuffer(self.lengths, np.int64)[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1])

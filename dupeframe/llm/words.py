@@ -13,7 +13,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 CHUNK_BYTES = 1 << 20
-CACHED_WORDS = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,25 +41,44 @@ def chunks(data: bytes, size: int = CHUNK_BYTES) -> Iterator[bytes]:
     yield data[start:] if start else data
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; the hashes of up to ``CACHED_WORDS`` words are remembered."""
+class WordHashes:
+    """64-bit hashes of the words of texts, computed for all bytes of a text at once.
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
+    A word's hash is the sum of its bytes (each + 1) times powers of an odd base, by its place in
+    the word: differences of one running sum, divided by the power at which the word starts.
+    """
 
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
+    def __init__(self, lower: bool = False):
+        self.lower = lower
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.gap = np.zeros(256, bool)
+        self.gap[[0x20, *range(0x09, 0x0E)]] = True
+
+    def _reach(self, size: int) -> None:
+        if size > len(self.powers):
+            size = max(1 << 12, 1 << size.bit_length())
+            base = int(_PRIME)
+            for name, step in (("powers", base), ("inverses", pow(base, -1, 1 << 64))):
+                values = np.full(size, step, np.uint64)
+                values[0] = 1
+                setattr(self, name, np.cumprod(values, dtype=np.uint64))
 
     def of(self, data: bytes) -> np.ndarray:
         """The hashes of all words of a text, in order."""
-        parts = []
-        for piece in chunks(data):
-            words = piece.split()
-            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
-            if len(self) > CACHED_WORDS:
-                self.clear()
+        parts = [self._piece(piece.lower() if self.lower else piece) for piece in chunks(data)]
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
+    def _piece(self, data: bytes) -> np.ndarray:
+        values = np.frombuffer(data, np.uint8)
+        self._reach(len(values) + 1)
+        edges = np.flatnonzero(np.diff(self.gap[values], prepend=True, append=True))
+        if not len(edges):
+            return np.empty(0, np.uint64)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.powers[:len(values)], out=sums[1:])
+        starts, ends = edges[::2], edges[1::2]
+        return mixed((sums[ends] - sums[starts]) * self.inverses[starts])
+
 
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finaliser of splitmix64)."""
