@@ -112,6 +112,9 @@ def clean_lines(
     failed = (n_words < min_words) | (100 * F.col("_q_repeat") > max_repeat_percent * n_words)
     chars = F.length(F.array_join("_q_words", "")).cast("long")
     left = F.aggregate("_q_kept_lines", F.lit(0).cast("long"), lambda n, x: n + x["chars"])
+    # Always true. As it is not deterministic to the optimiser, a filter on the verdict stays above
+    # this projection; moved below, it would compute every array anew where it is used.
+    here = F.monotonically_increasing_id() >= 0
     quality = F.struct(
         n_words.alias("n_words"),
         chars.alias("word_chars"),
@@ -122,7 +125,7 @@ def clean_lines(
         F.when(chars == left, F.col("_q_text")).otherwise(
             F.array_join(F.col("_q_kept_lines.line"), "\n")).alias("cleaned"),
         (chars - left).alias("lost_chars"),
-        (~failed & (chars - left <= max_lost * chars)).alias("kept"),
+        (here & ~failed & (chars - left <= max_lost * chars)).alias("kept"),
     )
     return base.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_quality"], quality.alias("_quality"))
 
