@@ -51,12 +51,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         found.where("n_shingles = 0").select("doc_id", "text_hash", F.lit(True).alias("wordless")).distinct())
     keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "wordless").withColumnRenamed(
         "wordless", "_wordless")
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    joined = hashed.join(
-        keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    rows = docs.select(
+        F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row"), F.xxhash64("text").alias("_text_hash"),
+        F.col("doc_id").cast("long").alias("_doc_id"))
+    joined = rows.join(keys, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     # equal rows of one id are one document, unless they have no words
     once = joined.withColumn("_own", F.when(F.col("_wordless"), F.monotonically_increasing_id()).otherwise(-1))
-    return once.dropDuplicates(["_id", "_hash", "_own"]).select(*[f"`{c}`" for c in docs.columns])
+    return once.dropDuplicates(["_id", "_hash", "_own"]).select("_row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

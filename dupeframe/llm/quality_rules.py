@@ -79,7 +79,9 @@ def clean_lines(
     """
     # Arrays that a lambda looks into are columns of their own with two or more uses, so that
     # the optimiser keeps them materialised instead of computing them once per element.
-    step = docs.drop("_quality").withColumn("_q_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "_quality"]
+    step = docs.select(F.struct(*kept).alias("_q_row"), F.coalesce(
+        F.col(text_col).cast("string"), F.lit("")).alias("_q_text"))
     step = step.withColumn("_q_symbols", _symbols(F.col("_q_text")).cast("long"))
     step = step.withColumn("_q_words", _words(F.col("_q_text")))
     step = step.withColumn("_q_hashes", F.transform("_q_words", lambda w: F.xxhash64(w)))
@@ -127,7 +129,7 @@ def clean_lines(
         (chars - left).alias("lost_chars"),
         (here & ~failed & (chars - left <= max_lost * chars)).alias("kept"),
     )
-    return base.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_quality"], quality.alias("_quality"))
+    return base.select("_q_row.*", quality.alias("_quality"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from dupeframe.llm.words import ascii_lower
 # (verdict, host, path)
 Rule = tuple[str, str, str]
 TRIE_BYTES = 64 << 20
+PATHS, ENDS = 0, 1  # keys that are no label or segment
 
 RULES: list[Rule] = [
     ("allow", "org", "/"),
@@ -36,21 +37,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def build_trie(rules: list[Rule]) -> dict:
     """Nested dictionaries over reversed host labels, then path segments.
 
-    A label's node is under the label; a host's paths start under the key ``None`` (no label is
-    None). Path segments include their leading slash; what a rule's path ends with need not be
-    a whole segment, so the ends are kept in ``""`` as {partial last segment: rule}. Between
-    equal rules block wins.
+    A label's node is under the label, a host's paths are under ``PATHS``. Path segments include
+    their leading slash; what a rule's path ends with need not be a whole segment, so the ends are
+    under ``ENDS`` as {partial last segment: rule}. Between equal rules block wins.
     """
     trie: dict = {}
     for verdict, host, path in rules:
         node = trie
         for label in reversed(host.split(".")):
             node = node.setdefault(label, {})
-        node = node.setdefault(None, {})
+        node = node.setdefault(PATHS, {})
         *whole, last = _segments(path)
         for segment in whole:
             node = node.setdefault(segment, {})
-        ends = node.setdefault("", {})
+        ends = node.setdefault(ENDS, {})
         if ends.get(last, ("", "allow"))[1] != "block":
             ends[last] = (host + path, verdict)
     return trie
@@ -70,14 +70,14 @@ def longest_match(trie: dict, host: str, path: str) -> tuple[str, str] | None:
         node = node.get(label)
         if node is None:
             break
-        here = node.get(None)
+        here = node.get(PATHS)
         deepest = None
         for segment in [*segments, None]:
             if here is None:
                 break
-            fits = [end for end in here.get("", ()) if (segment or "").startswith(end)]
+            fits = [end for end in here.get(ENDS, ()) if (segment or "").startswith(end)]
             if fits:
-                deepest = here[""][max(fits, key=len)]
+                deepest = here[ENDS][max(fits, key=len)]
             here = here.get(segment)
         found = deepest or found
     return found
@@ -100,7 +100,8 @@ def judge_urls(
     existing column ``_url`` is replaced; repeated rows are kept.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
-    read = pages.drop("_url").withColumn("_host", host).withColumn("_path", path)
+    own = [F.col(f"`{c}`") for c in pages.columns if c != "_url"]
+    read = pages.select(F.struct(*own).alias("_page"), host.alias("_host"), path.alias("_path"))
     if sum(len(host) + len(path) + 256 for _, host, path in rules) > trie_bytes:
         return _by_join(read, rules, default)
     shared = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
@@ -112,9 +113,8 @@ def judge_urls(
             found = [longest_match(trie, h, p) or (None, default) for h, p in zip(hosts, paths)]
             yield pd.DataFrame(found, columns=["rule", "verdict"])
 
-    return read.withColumn("_found", look_up("_host", "_path")).withColumn("_url", F.struct(
-        F.col("_host").alias("host"), F.col("_path").alias("path"), "_found.rule", "_found.verdict",
-    )).drop("_host", "_path", "_found")
+    return read.withColumn("_found", look_up("_host", "_path")).select("_page.*", F.struct(
+        F.col("_host").alias("host"), F.col("_path").alias("path"), "_found.rule", "_found.verdict").alias("_url"))
 
 
 def _by_join(read: DataFrame, rules: list[Rule], default: str) -> DataFrame:
@@ -131,10 +131,9 @@ def _by_join(read: DataFrame, rules: list[Rule], default: str) -> DataFrame:
     best = hits.groupBy("_row").agg(F.max(F.struct(
         F.size(F.split("_h", r"\.")).alias("labels"), F.length("_p").alias("n"), "_v",
         F.concat("_h", "_p").alias("rule"))).alias("_best"))
-    return keyed.join(best, "_row", "left").withColumn("_url", F.struct(
+    return keyed.join(best, "_row", "left").select("_page.*", F.struct(
         F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.rule").alias("rule"),
-        F.coalesce("_best._v", F.lit(default)).alias("verdict"),
-    )).drop("_host", "_path", "_row", "_best")
+        F.coalesce("_best._v", F.lit(default)).alias("verdict")).alias("_url"))
 
 
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:
