@@ -5,14 +5,16 @@ from __future__ import annotations
 from dupeframe.catalog.corpus import ENRICHED_SQL, FILES_SQL, MEMBERS_SQL, STORE_SQL
 from dupeframe.catalog.queries import ELAPSED, EXCLUDES, INCLUDES, MID, OVERLAPPING
 from dupeframe.catalog.queries import PRUNE_ROOTS, SCAN_TIME, STORE_DIR
-from dupeframe.operators.validate import (
-    ALL_TRASHED_MESSAGE,
-    NONE_EXISTS_MESSAGE,
-    OVERLAP_MESSAGE,
-    PATHS_PER_MESSAGE,
-)
-from dupeframe.sources.report import FOUND, RULE, SCAN_FOLDERS
-from dupeframe.sources.report import ELAPSED as ELAPSED_LINE, SCAN_TIME as SCAN_TIME_LINE
+
+# The texts of reports and checks, stated here so that the engine is held against them.
+ALL_TRASHED_MESSAGE = "安全防护：重复组 {} 的所有文件都标记了删除，必须至少保留一个文件！"
+NONE_EXISTS_MESSAGE = "安全防护：重复组 {} 保留的文件均在磁盘上不存在，必须确保至少保留一个物理存在的文件！"
+OVERLAP_MESSAGE = "安全防护：文件同时被标记为保留和删除："
+FOUND = "扫描完成：共发现 {} 组重复文件。"
+RULE = '=' * 42
+SCAN_FOLDERS = "扫描目录: "
+ELAPSED_LINE = "执行总耗时: {:.2f} 秒"
+SCAN_TIME_LINE = "扫描时间: "
 
 
 def _beneath(column: str, bases: list[str]) -> str:
@@ -39,6 +41,16 @@ def _scoped(bases: list[str]) -> str:
     )
 
 
+def _uri_scope(sources: range) -> str:
+    roots = [f"s3://bucket//x/corpus/src{i}/{lang}" for i in sources for lang in ("de", "fr", "es")]
+    return (
+        f"WITH {FILES_SQL}, named AS (SELECT 's3://bucket//x' || path AS path FROM files) "
+        f"SELECT path, {_first_root(roots, lambda i, base: repr(base))} AS root, "
+        f"CAST({_first_root(roots, lambda i, base: str(i))} AS INTEGER) AS root_ord "
+        f"FROM named WHERE {_beneath('path', roots)}"
+    )
+
+
 _MANY = [f"/corpus/src{i}/{lang}" for i in range(3, 20) for lang in ("de", "fr", "es")]
 
 _PAGE_PATHS = "(SELECT page_id, '/web/' || regexp_replace(url, '^https?://', '') AS path FROM pages)"
@@ -211,6 +223,8 @@ FROM {_PAGE_PATHS}""",
     "scope_first_root": _scoped(OVERLAPPING),
     "scope_exclude": f"WITH {FILES_SQL} SELECT path FROM files WHERE NOT {_beneath('path', EXCLUDES)}",
     "scope_exclude_many": f"WITH {FILES_SQL} SELECT path FROM files WHERE NOT {_beneath('path', _MANY)}",
+    "scope_include_uri": _uri_scope(range(1, 2)),
+    "scope_include_many": _uri_scope(range(0, 20)),
     "scope_exclude_store": f"""
 WITH {FILES_SQL} SELECT path FROM files WHERE NOT {_beneath('path', [*EXCLUDES, STORE_DIR])}""",
     "scope_overlap": _scoped(OVERLAPPING),
@@ -427,15 +441,12 @@ UNION ALL
 SELECT DISTINCT 3, CAST(NULL AS BIGINT), 'not_in_report', CAST(NULL AS VARCHAR), path
 FROM selection WHERE decision = 'trash' AND path NOT IN (SELECT path FROM enriched)""",
     "first_violation": f"""
-WITH {_UNSAFE}, numbered AS (
-  SELECT path, (row_number() OVER (ORDER BY path) - 1) // {PATHS_PER_MESSAGE} + 1 AS part
-  FROM overlapped)
-SELECT 'overlap' AS check_name, CAST(part AS BIGINT) AS part,
-       CASE WHEN part = 1 THEN '{OVERLAP_MESSAGE}' ELSE ', ' END
-         || string_agg(path, ', ' ORDER BY path) AS message
-FROM numbered GROUP BY part
+WITH {_UNSAFE}
+SELECT 'overlap' AS check_name, row_number() OVER (ORDER BY path) AS position, path,
+       '{OVERLAP_MESSAGE}' || path AS message
+FROM overlapped
 UNION ALL
-SELECT CASE WHEN all_trashed THEN 'all_trashed' ELSE 'none_exists' END, 1,
+SELECT CASE WHEN all_trashed THEN 'all_trashed' ELSE 'none_exists' END, 1, NULL,
        CASE WHEN all_trashed THEN '{_TRASHED_HEAD}' || hash || '{_TRASHED_TAIL}'
             ELSE '{_NONE_HEAD}' || hash || '{_NONE_TAIL}' END
 FROM (SELECT * FROM flags WHERE (all_trashed OR none_exists)
@@ -443,7 +454,7 @@ FROM (SELECT * FROM flags WHERE (all_trashed OR none_exists)
     "first_group_violation": f"""
 WITH {_UNSAFE}
 SELECT CASE WHEN all_trashed THEN 'all_trashed' ELSE 'none_exists' END AS check_name, hash,
-       CAST(1 AS BIGINT) AS part,
+       CAST(1 AS BIGINT) AS position,
        CASE WHEN all_trashed THEN '{_TRASHED_HEAD}' || hash || '{_TRASHED_TAIL}'
             ELSE '{_NONE_HEAD}' || hash || '{_NONE_TAIL}' END AS message
 FROM (SELECT * FROM flags WHERE all_trashed OR none_exists ORDER BY group_idx LIMIT 1)""",
@@ -474,3 +485,4 @@ WITH {FILES_SQL}, best AS (
            PARTITION BY content ORDER BY length(path), root_ord, path) AS place FROM files)
 SELECT path, size FROM best WHERE place = 1""",
 }
+ORACLES["survivors_prefiltered"] = ORACLES["survivors"]

@@ -115,11 +115,37 @@ def scope_exclude(spark, d):
 
 @query
 def scope_exclude_many(spark, d):
-    """More excludes than are tested one by one: some languages of most sources."""
+    """Many excludes: some languages of most sources."""
     many = [f"/corpus/src{i}/{lang}" for i in range(3, 20) for lang in ("de", "fr", "es")]
     return scope.exclude(corpus.metadata(spark, d), many).select("path")
 
 
+def _uri_scope(spark, d, sources: range) -> DataFrame:
+    """Object names with a scheme and an empty part, in the scope of some sources and languages."""
+    files = corpus.metadata(spark, d).withColumn("path", F.concat(F.lit("s3://bucket//x"), "path"))
+    roots = [f"s3://bucket//x/corpus/src{i}/{lang}" for i in sources for lang in ("de", "fr", "es")]
+    return scope.in_scope(files.drop("root", "root_ord"), roots).select("path", "root", "root_ord")
+
+
+@query
+def scope_include_uri(spark, d):
+    return _uri_scope(spark, d, range(1, 2))
+
+
+@query
+def scope_include_many(spark, d):
+    return _uri_scope(spark, d, range(0, 20))
+
+
+@query
+def survivors_prefiltered(spark, d):
+    """What is left after a scan that hashes items of a repeated size only."""
+    files = corpus.files(spark, d)
+    scanned = scan_table(files, algorithm="sha256", size_prefilter=True, paths_unique=True)
+    planned = plan_reclaim(scanned.members, scanned.fingerprints, rule="shortest")
+    return planned.survivors(scanned.fingerprints).select("path", "size")
+
+
 @query
 def scope_exclude_store(spark, d):
     return scope.exclude(corpus.metadata(spark, d), EXCLUDES, STORE_DIR).select("path")
@@ -679,7 +705,7 @@ def violations(spark, d):
 @query
 def first_violation(spark, d):
     found = validate.first_violation(validate.validate(*_checked(spark, d)))
-    return found.select(F.col("check").alias("check_name"), "part", "message")
+    return found.select(F.col("check").alias("check_name"), "position", "path", "message")
 
 
 @query
@@ -688,7 +714,7 @@ def first_group_violation(spark, d):
     found = validate.first_violation(
         validate.validate(members, _unsafe_without_overlap(members, spark, d))
     )
-    return found.select(F.col("check").alias("check_name"), "hash", "part", "message")
+    return found.select(F.col("check").alias("check_name"), "hash", "position", "message")
 
 
 # -- reclaim ----------------------------------------------------------------------------------

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import os
 
 from pyspark.sql import Column, functions as F
 
-# Above this many bases a set look-up on the ancestors replaces a chain of prefix tests.
-MAX_PREFIX_TESTS = 32
-
 
 def normalize_path(path: Column, base: str = "/") -> Column:
     """Lexical absolute form: ``\\`` to ``/``, no empty, ``.`` or ``..`` components."""
@@ -40,26 +37,28 @@ def is_relative_to(path: Column, base: str | Column) -> Column:
     )
 
 
-def ancestors(path: Column) -> Column:
-    """The path itself and every directory above it, ``/`` first."""
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    below = F.transform(
-        F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")),
+def beginnings(path: Column) -> Column:
+    """What stands before each ``/`` of the path, as written: no part is changed or left out."""
+    slashes = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    return F.transform(
+        F.when(slashes > 0, F.sequence(F.lit(1), slashes)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.call_function("substring_index", path, F.lit("/"), i),
     )
-    return F.concat(F.array(F.lit("/")), below)
 
 
 def is_beneath_any(path: Column, bases: list[str]) -> Column:
-    """True if ``path`` is one of ``bases`` or beneath one; a row-local test, no join."""
+    """True if ``path`` is one of ``bases`` or beneath one; a row-local test, no join.
+
+    The same for any number of bases: a path is beneath a base if a beginning of it, cut before
+    a ``/``, is that base. Paths with a scheme or empty parts are compared as they are written.
+    """
     if not bases:
         return F.lit(False)
-    if len(bases) <= MAX_PREFIX_TESTS:
-        return reduce(lambda a, b: a | b, [is_relative_to(path, base) for base in bases])
-    stems = [base.rstrip("/") or "/" for base in bases]
-    return F.exists(ancestors(path), lambda a: a.isin(stems))
+    stems = sorted({base.rstrip("/") for base in bases})
+    # what all bases begin with is a plain prefix test, which reaches the scan of a stored path
+    common = os.path.commonprefix([stem or "/" for stem in stems])
+    return path.startswith(common) & (path.isin([stem or "/" for stem in stems]) | F.exists(
+        beginnings(path), lambda start: start.isin(stems)))
 
 
 def path_suffix(path: Column) -> Column:

@@ -65,11 +65,21 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def copy(spark: SparkSession, source: str, target: str) -> None:
-    """Copy one file, replacing ``target``; the file systems may differ."""
-    fs, hpath = _fs(spark, source)
-    target_fs, target_path = _fs(spark, target)
-    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(
-        fs, hpath, target_fs, target_path, False, True,
-        spark.sparkContext._jsc.hadoopConfiguration(),
-    )
+def concatenate(spark: SparkSession, sources: list[str], target: str) -> None:
+    """Append the bytes of ``sources`` to each other as ``target``, which is replaced."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs, hpath = _fs(spark, target)
+    if is_directory(spark, target):  # an earlier report of the same name in the folder form
+        fs.delete(hpath, True)
+    out = fs.create(hpath, True)
+    try:
+        for source in sources:
+            from_fs, from_path = _fs(spark, source)
+            stream = from_fs.open(from_path)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()

@@ -63,21 +63,23 @@ def upsert(base: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return kept.unionByName(fresh.select(*base.columns))
 
 
-def in_prune_scope(path: Column, roots: list[str], file_roots: list[str] = ()) -> Column:
+def in_prune_scope(path: Column, roots: list[str] | None, file_roots: list[str] = ()) -> Column:
     """Rows a scan of ``roots`` answers for: beneath a directory (or vanished) root, or equal
-    to a root that is a file. Prefixes are literal and case-sensitive."""
+    to a root that is a file. Prefixes are literal and case-sensitive. None is every path."""
+    if roots is None:
+        return F.lit(True)
     exact = path.isin(*file_roots) if file_roots else F.lit(False)
     return is_beneath_any(path, list(roots)) | exact
 
 
 def prune(
-    store: DataFrame, roots: list[str], keep: DataFrame, file_roots: list[str] = ()
+    store: DataFrame, roots: list[str] | None, keep: DataFrame, file_roots: list[str] = ()
 ) -> DataFrame:
     """Store rows that survive a scan: out of its scope, or of a path it found.
 
     Rows of all algorithms go together, as only the path decides.
     """
-    found = keep.select(F.col("path").alias("filepath"), F.lit(True).alias("_found"))
+    found = keep.select(F.col("path").alias("filepath")).distinct().withColumn("_found", F.lit(True))
     scope = in_prune_scope(F.col("filepath"), roots, file_roots)
     return (
         store.join(found, "filepath", "left")
@@ -87,7 +89,7 @@ def prune(
 
 
 def stale_rows(
-    store: DataFrame, roots: list[str], keep: DataFrame, file_roots: list[str] = ()
+    store: DataFrame, roots: list[str] | None, keep: DataFrame, file_roots: list[str] = ()
 ) -> DataFrame:
     """The rows that ``prune`` removes."""
     found = keep.select(F.col("path").alias("filepath"))
@@ -97,7 +99,7 @@ def stale_rows(
 
 
 def merge_scan(
-    store: DataFrame, found: DataFrame, algorithm: str, roots: list[str],
+    store: DataFrame, found: DataFrame, algorithm: str, roots: list[str] | None,
     file_roots: list[str] = (),
 ) -> DataFrame:
     """``upsert`` and ``prune`` after a scan in one join: the store with the fingerprints

@@ -94,7 +94,8 @@ def apply_overrides(members: DataFrame, selection: DataFrame, edits: DataFrame)
 
     ``keep p`` keeps p. ``trash p`` matters only if p is the kept one: then the first other
     existing member is kept. Edits of paths that are not existing members, or of groups
-    without a selection, have no effect.
+    without a selection, have no effect. Where ``selection`` keeps several members of an edited
+    group, the first of them counts as the kept one and the others become trash.
 
     No edit list is collected. The outcome depends on three facts per group, all of them
     aggregates that combine on the map side: the last ``keep``, the first later ``trash`` of
@@ -103,7 +104,9 @@ def apply_overrides(members: DataFrame, selection: DataFrame, edits: DataFrame)
     """
     pairs = existing(members).select("hash", "path")
     valid = stage(edits.join(pairs, ["hash", "path"], "left_semi"), "edits")
-    start = selection.where("decision = 'keep'").select("hash", F.col("path").alias("_start"))
+    start = selection.where("decision = 'keep'").join(
+        existing(members).select("hash", "path", "member_pos"), ["hash", "path"]
+    ).groupBy("hash").agg(F.min_by("path", "member_pos").alias("_start"))
     place = F.row_number().over(Window.partitionBy("hash").orderBy("member_pos"))
     heads = (
         existing(members)

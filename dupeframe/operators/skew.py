@@ -22,22 +22,30 @@ def skew_join(
 
     A key with more than ``hot_rows`` rows is split into ceil(n / hot_rows) salts: its left rows
     are spread by the hash of ``salt_by`` and its one right row is repeated per salt. Other
-    keys keep salt 0. The broadcast table holds hot keys only, at most
-    (left rows / hot_rows) of them, so its size is bounded by construction. ``null_safe`` lets
+    keys keep salt 0. The broadcast table holds 64-bit hashes of hot keys only, at most
+    (left rows / hot_rows) of them, so its bytes are bounded by construction; a key whose hash
+    agrees with a hot one's is spread as well, on both sides, which changes no result. ``null_safe`` lets
     NULL keys match each other, as they do in a ``groupBy``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     limit = hot_rows(left.sparkSession)
     salts = F.ceil(F.col(n_col) / F.lit(limit)).cast("int")
-    hot = right.where(F.col(n_col) > limit).select(*keys, salts.alias("_salts"))
-    spread = _join(left, F.broadcast(hot), keys, "left", null_safe).withColumn(
+    hot = F.broadcast(
+        right.where(F.col(n_col) > limit)
+        .groupBy(F.xxhash64(*keys).alias("_key")).agg(F.max(salts).alias("_salts"))
+    )
+
+    def salted(side: DataFrame) -> DataFrame:
+        return side.withColumn("_key", F.xxhash64(*keys)).join(hot, "_key", "left").drop("_key")
+
+    spread = salted(left).withColumn(
         "_salt",
         F.pmod(F.xxhash64(*salt_by), F.coalesce("_salts", F.lit(1)).cast("long")).cast("int"),
     ).drop("_salts")
-    repeated = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))
-    )
+    repeated = salted(right).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    ).drop("_salts")
     return _join(spread, repeated, [*keys, "_salt"], how, null_safe).drop("_salt")
 
 

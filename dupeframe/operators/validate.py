@@ -15,8 +15,6 @@ NONE_EXISTS_MESSAGE = (
 )
 NOT_IN_REPORT_MESSAGE = "安全防护：待回收文件不在报告中：{}"
 
-PATHS_PER_MESSAGE = 1000
-
 
 class UnsafeSelection(ValueError):
     """A selection would lose content; nothing was moved."""
@@ -94,42 +92,45 @@ def validate(members: DataFrame, selection: DataFrame, strict: bool = True) -> D
 
 
 def first_violation(violations: DataFrame) -> DataFrame:
-    """The first violation as ``check, hash, part, message``, empty if there is none.
+    """The first violation as ``check, hash, position, path, message``, empty if there is none.
 
-    Overlap comes before groups, groups in report order. An overlap names all its paths, in
-    order; a message of more than PATHS_PER_MESSAGE paths continues in further parts, so that
-    no row grows with the number of paths.
+    Overlap comes before groups, groups in report order. An overlap has one row for each of its
+    paths, in order; any other violation is one row.
     """
     spark = violations.sparkSession
     staged = stage(violations, "violations")
-    schema = "check string, hash string, part long, message string"
+    schema = "check string, hash string, position long, path string, message string"
     top = staged.orderBy("severity", "group_idx", "path").limit(1).collect()
     if not top:
         return spark.createDataFrame([], schema)
-    check, hash_value = top[0]["check"], top[0]["hash"]
+    check, hash_value, path = top[0]["check"], top[0]["hash"], top[0]["path"]
     if check != "overlap":
         message = {
             "all_trashed": ALL_TRASHED_MESSAGE,
             "none_exists": NONE_EXISTS_MESSAGE,
             "not_in_report": NOT_IN_REPORT_MESSAGE,
-        }[check].format(hash_value or top[0]["path"])
-        return spark.createDataFrame([(check, hash_value, 1, message)], schema)
+        }[check].format(hash_value or path)
+        return spark.createDataFrame([(check, hash_value, 1, path, message)], schema)
     numbered = with_global_index(
-        staged.where("check = 'overlap'").select("path"), ["path"], "_number"
-    )
-    part = (F.floor((F.col("_number") - 1) / PATHS_PER_MESSAGE) + 1).cast("long")
-    listed = numbered.withColumn("part", part).groupBy("part").agg(
-        F.array_sort(F.collect_list("path")).alias("paths")
+        staged.where("check = 'overlap'").select("path"), ["path"], "position"
     )
-    opening = F.when(F.col("part") == 1, F.lit(OVERLAP_MESSAGE)).otherwise(F.lit(", "))
-    return listed.select(
-        F.lit(check).alias("check"), F.lit(None).cast("string").alias("hash"), "part",
-        F.concat(opening, F.array_join("paths", ", ")).alias("message"),
+    return numbered.select(
+        F.lit(check).alias("check"), F.lit(None).cast("string").alias("hash"), "position", "path",
+        F.concat(F.lit(OVERLAP_MESSAGE), "path").alias("message"),
     )
 
 
 def require_safe(violations: DataFrame) -> None:
-    """Raise the first violation, before anything is moved."""
-    if not violations.isEmpty():
-        message = first_violation(violations).where("part = 1").first()["message"]
-        raise UnsafeSelection(message)
+    """Raise the first violation, before anything is moved.
+
+    An overlap can have any number of paths: the error states how many, and the staged table
+    that names them all.
+    """
+    if violations.isEmpty():
+        return
+    found = stage(first_violation(violations), "first-violation")
+    first = found.first()
+    if first["check"] != "overlap":
+        raise UnsafeSelection(first["message"])
+    table = found.inputFiles()[0].rpartition("/")[0]
+    raise UnsafeSelection(f"{OVERLAP_MESSAGE}{found.count()} ({table})")

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dupeframe.functions.fingerprint import check_algorithm, fingerprint
+from dupeframe.operators.bitmap import among
 from dupeframe.operators.cache import lookup, merge_scan
 from dupeframe.operators.groups import (
     group_table,
@@ -22,17 +23,18 @@ from dupeframe.sources.files import fingerprint_files
 from dupeframe.sources.report import Summary, check_report_paths, write_reports
 from dupeframe.sources.store import FingerprintStore, open_store
 from dupeframe.sources.tree import read_tree
-from dupeframe.staging import stage
+from dupeframe.staging import stage, stage_root
 from dupeframe.streaming.progress import observe_scan
 
-# Keys that are broadcast to pick the rows to hash are 8 bytes each, and no more than this many
-# (16 MB); beyond it every row is hashed where it is read, which gives the same result.
-BROADCAST_KEYS = 2_000_000
-
 
 @dataclass
 class ScanResult:
-    """``fingerprints``, ``groups`` and ``members`` are DataFrames over staged tables."""
+    """``fingerprints``, ``groups`` and ``members`` are DataFrames over staged tables.
+
+    ``fingerprints`` has a row for every item of the scan; ``hash`` is NULL where a size that
+    occurs once, or an error, left an item without one. ``errors`` has ``path, error`` of the
+    items that could not be read, None where nothing could be skipped.
+    """
 
     fingerprints: DataFrame
     groups: DataFrame
@@ -44,6 +46,7 @@ class ScanResult:
     algorithm: str
     scan_time: str
     elapsed_seconds: float
+    errors: DataFrame | None = None
 
     @property
     def hit_rate(self) -> float | None:
@@ -76,7 +79,7 @@ def scan_table(
     items of a size that occurs once; it pays where ``size`` is a stored column, since
     otherwise the sizes cost one more pass over the content. ``paths_unique`` saves the
     shuffle that removes repeated paths. Store rows of vanished items are pruned beneath
-    ``includes``; without includes none are.
+    ``includes``; without includes the scan answers for all paths.
     """
     started = time.perf_counter()
     check_algorithm(algorithm)
@@ -85,20 +88,19 @@ def scan_table(
     scoped = exclude(manifest, list(excludes), store)
     if includes is not None:
         scoped = in_scope(scoped, includes)
-    total = None
     if opened is not None:
         stored = None if opened.current_version() is None else opened.read()
         hashed = _reuse_table(scoped, stored, algorithm, paths_unique)
     else:
-        wanted = scoped
-        if size_prefilter:
-            paths = scoped.select("path")
-            total = (paths if paths_unique else paths.distinct()).count()
-            wanted = _prefilter_content(scoped)
-        hashed = _hash_table(wanted, algorithm).withColumn("hit", F.lit(False))
+        wanted = _prefilter_content(scoped) if size_prefilter else scoped
+        hashed = _hash_table(wanted, algorithm)
         if not paths_unique:
             hashed = dedupe_paths(hashed)
-    return _finish(hashed, includes or [], (), algorithm, opened, outputs, started, total)
+        if size_prefilter:
+            items = scoped.select(*MANIFEST.names)
+            hashed = _with_hashes(items if paths_unique else dedupe_paths(items), hashed)
+        hashed = hashed.withColumn("hit", F.lit(False))
+    return _finish(hashed, includes, (), algorithm, opened, outputs, started)
 
 
 def scan_tree(
@@ -122,23 +124,40 @@ def scan_tree(
     check_algorithm(algorithm)
     check_report_paths(list(outputs))
     opened = open_store(spark, store) if store else None
-    dropped = [*excludes, store] if store else list(excludes)
+    # the library's own files are no items, also where a root is above them
+    dropped = [*excludes, *[_local_path(own) for own in (store, stage_root(spark)) if own]]
     manifest = read_tree(spark, includes, dropped)
     if opened is not None:
         looked = stage(lookup(manifest, opened.read(), algorithm), "lookup")
-        fresh = fingerprint_files(
-            looked.where(~F.col("hit")).select(*MANIFEST.names), algorithm, on_error
-        ).withColumn("hit", F.lit(False))
-        hashed = looked.where("hit").unionByName(fresh.drop("error"))
-        total = None
+        read = stage(fingerprint_files(
+            looked.where(~F.col("hit")).select(*MANIFEST.names), algorithm, on_error), "read")
+        fresh = read.drop("error").withColumn("hit", F.lit(False))
+        hashed = looked.where("hit").unionByName(fresh)
     else:
-        total = manifest.count()
-        wanted = size_candidates(manifest) if size_prefilter else manifest
-        hashed = fingerprint_files(stage(wanted, "candidates"), algorithm, on_error)
-        hashed = hashed.drop("error").withColumn("hit", F.lit(False))
+        manifest = stage(manifest, "manifest")
+        wanted = stage(size_candidates(manifest), "candidates") if size_prefilter else manifest
+        read = stage(fingerprint_files(wanted, algorithm, on_error), "read")
+        hashed = read.drop("error")
+        if size_prefilter:
+            hashed = _with_hashes(manifest, hashed)
+        hashed = hashed.withColumn("hit", F.lit(False))
+    errors = read.where(F.col("error").isNotNull()).select("path", "error")
     folders = [os.path.realpath(root) for root in includes]
     files = [root for root in folders if os.path.isfile(root)]
-    return _finish(hashed, folders, files, algorithm, opened, outputs, started, total)
+    return _finish(hashed, folders, files, algorithm, opened, outputs, started, errors)
+
+
+def _local_path(name: str) -> str:
+    """A ``file:`` URI as a path; other names as they are."""
+    from urllib.parse import unquote, urlparse
+
+    parsed = urlparse(name)
+    return unquote(parsed.path) if parsed.scheme == "file" else name
+
+
+def _with_hashes(items: DataFrame, hashed: DataFrame) -> DataFrame:
+    """All items, with the hashes of those that have one; paths are unique on both sides."""
+    return items.join(hashed.select("path", "hash"), "path", "left").select(*items.columns, "hash")
 
 
 def _hash_table(manifest: DataFrame, algorithm: str) -> DataFrame:
@@ -148,15 +167,9 @@ def _hash_table(manifest: DataFrame, algorithm: str) -> DataFrame:
 
 
 def _prefilter_content(manifest: DataFrame) -> DataFrame:
-    """Keep rows of repeated sizes while the sizes are few enough to broadcast; beyond that
-    hashing every row is cheaper than shuffling content, and gives the same groups."""
-    sizes = stage(
-        manifest.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size"),
-        "sizes",
-    )
-    if sizes.count() > BROADCAST_KEYS:
-        return manifest
-    return manifest.join(F.broadcast(sizes), "size", "left_semi").select(*manifest.columns)
+    """Keep rows of repeated sizes (and some others, which form no group), where they are read."""
+    sizes = manifest.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size")
+    return among(manifest, F.col("size"), sizes)
 
 
 def _reuse_table(
@@ -164,28 +177,19 @@ def _reuse_table(
 ) -> DataFrame:
     """Fingerprints of a table, computed only for rows the store does not answer.
 
-    The look-up joins metadata. Misses are broadcast if their counted number is small;
-    otherwise every row is hashed where it is read, since moving content to its misses would
-    cost more than hashing it. Stored hashes win for hits either way.
+    The look-up joins metadata. A map of the misses is broadcast, so that content is hashed where
+    it is read and does not move; what passes the map by chance is dropped by the join on the
+    path. Stored hashes win for hits.
     """
     def one_per_path(rows: DataFrame) -> DataFrame:
         return rows if paths_unique else dedupe_paths(rows)
 
     if stored is None:
         return one_per_path(_hash_table(manifest, algorithm)).withColumn("hit", F.lit(False))
-    observed, counts = observe_scan(
-        lookup(one_per_path(manifest.select(*MANIFEST.names)), stored, algorithm), F.col("hit")
-    )
-    looked = stage(observed, "lookup")
+    looked = stage(
+        lookup(one_per_path(manifest.select(*MANIFEST.names)), stored, algorithm), "lookup")
     misses = looked.where(~F.col("hit")).select(*MANIFEST.names)
-    to_hash = manifest
-    # tasks that ran twice can only raise this count, so it is a safe bound
-    if counts.get["total_files"] - counts.get["cache_hits"] <= BROADCAST_KEYS:
-        # a collision of path keys lets a hit be hashed in vain; the join on the path drops it
-        keys = misses.select(F.xxhash64("path").alias("_key"))
-        to_hash = manifest.withColumn("_key", F.xxhash64("path")).join(
-            F.broadcast(keys), "_key", "left_semi"
-        )
+    to_hash = among(manifest, F.col("path"), misses.select("path"))
     hashed = one_per_path(_hash_table(to_hash, algorithm)).select("path", "hash")
     fresh = misses.join(hashed, "path").withColumn("hit", F.lit(False))
     return looked.where("hit").unionByName(fresh)
@@ -193,13 +197,13 @@ def _reuse_table(
 
 def _finish(
     hashed: DataFrame,
-    roots: list[str],
+    roots: list[str] | None,
     file_roots: list[str],
     algorithm: str,
     opened: FingerprintStore | None,
     outputs: list[str],
     started: float,
-    total: int | None,
+    errors: DataFrame | None = None,
 ) -> ScanResult:
     observed, progress = observe_scan(hashed, F.col("hit"))
     fingerprints = stage(observed, "fingerprints")
@@ -208,24 +212,25 @@ def _finish(
         fingerprints=fingerprints,
         groups=groups,
         members=number_members(fingerprints, groups, largest),
-        total_files=progress.get["total_files"] if total is None else total,
+        total_files=progress.get["total_files"],
         cache_hits=progress.get["cache_hits"],
         duplicate_groups=n_groups,
-        scan_folders=list(roots),
+        scan_folders=list(roots or []),
         algorithm=algorithm,
         scan_time=datetime.datetime.now().strftime("%Y-%m-%d %H:%M:%S"),
         elapsed_seconds=time.perf_counter() - started,
+        errors=errors,
     )
     if opened is not None:
-        opened.replace(_next_version(opened, result, file_roots))
+        opened.replace(_next_version(opened, result, roots, file_roots))
     if outputs:
         result.write(list(outputs))
     return result
 
 
 def _next_version(
-    opened: FingerprintStore, result: ScanResult, file_roots: list[str]
+    opened: FingerprintStore, result: ScanResult, roots: list[str] | None, file_roots: list[str]
 ) -> DataFrame:
     found = result.fingerprints.where(F.col("hash").isNotNull())
-    directories = [root for root in result.scan_folders if root not in file_roots]
+    directories = None if roots is None else [root for root in roots if root not in file_roots]
     return merge_scan(opened.read(), found, result.algorithm, directories, file_roots)

@@ -19,7 +19,6 @@ from dupeframe.schemas import REPORT_DOCUMENT, REPORT_ROWS, SUMMARY
 from dupeframe.staging import stage, stage_path, with_global_index
 
 SUFFIXES = (".txt", ".json", ".csv")
-SINGLE_FILE_LINES = 1_000_000
 
 # Texts of the report, in its language.
 SCAN_TIME = "扫描时间: "
@@ -150,31 +149,21 @@ def json_lines(members: DataFrame, summary: Summary) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, single_file: bool = False, line_sep: str = "\n") -> None:
-    """Write lines in order: a folder of parts, or one file if ``single_file``.
+    """Write lines in order, replacing what ``path`` holds: a folder of parts, or one file.
 
-    One file is one task, so it is refused above SINGLE_FILE_LINES lines.
+    Many tasks sort and write parts either way; for one file the parts' bytes are then appended
+    to each other, so no task and no row grows with the report.
     """
     spark = lines.sparkSession
-    order = ["section", "group_idx", "line_no"]
-    if not single_file:
-        lines.orderBy(*order).select("line").write.option("lineSep", line_sep).text(path)
-        return
-    lines = stage(lines, "lines")
-    count = lines.count()
-    if count > SINGLE_FILE_LINES:
-        raise ValueError(
-            f"{count} lines are too many for one file; write the report as a folder of parts"
-        )
-    parts = stage_path(spark, "report")
-    (
-        lines.repartition(1).sortWithinPartitions(*order).select("line")
-        .write.option("lineSep", line_sep).text(parts)
-    )
-    parent = os.path.dirname(path)
-    if parent:
-        hadoop.mkdirs(spark, parent)
-    part = next(n for n in hadoop.list_names(spark, parts) if n.startswith("part-"))
-    hadoop.copy(spark, f"{parts}/{part}", path)
+    parts = stage_path(spark, "report") if single_file else path
+    lines.orderBy("section", "group_idx", "line_no").select("line").write.mode("overwrite").option(
+        "lineSep", line_sep).text(parts)
+    if single_file:
+        parent = os.path.dirname(path)
+        if parent:
+            hadoop.mkdirs(spark, parent)
+        names = [name for name in hadoop.list_names(spark, parts) if name.startswith("part-")]
+        hadoop.concatenate(spark, [f"{parts}/{name}" for name in names], path)
 
 
 def write_report_txt(members: DataFrame, summary: Summary, path: str, single_file: bool = False) -> None:
@@ -190,7 +179,7 @@ def write_report_csv(members: DataFrame, summary: Summary, path: str, single_fil
         F.col("group_idx").alias("Group"), F.col("hash").alias("Hash"),
         F.col("path").alias("FilePath"),
     )
-    rows.write.options(**CSV_OPTIONS).csv(path)
+    rows.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 # Spaces, quotes, backslashes and line ends in a path survive writing and reading.
@@ -214,8 +203,8 @@ def write_report_json(members: DataFrame, summary: Summary, path: str, single_fi
     if single_file:
         write_lines(json_lines(members, summary), path, True)
         return
-    summary.as_row(members.sparkSession).write.json(f"{path}/summary")
-    report_order(members).select(*REPORT_ROWS.names).write.json(f"{path}/members")
+    summary.as_row(members.sparkSession).write.mode("overwrite").json(f"{path}/summary")
+    report_order(members).select(*REPORT_ROWS.names).write.mode("overwrite").json(f"{path}/members")
 
 
 _SINKS = {".txt": write_report_txt, ".json": write_report_json, ".csv": write_report_csv}

@@ -144,18 +144,26 @@ def test_all_members_trashed(spark):
 def test_overlap_names_sorted_paths_and_comes_first(spark):
     decided = [("h", p, d) for p in ("/b", "/a") for d in ("keep", "trash")]
     assert _first(spark, PAIR, decided) == [
-        ("overlap", None, "安全防护：文件同时被标记为保留和删除：/a, /b")]
+        ("overlap", None, f"安全防护：文件同时被标记为保留和删除：{path}") for path in ("/a", "/b")]
 
 
-def test_a_long_overlap_is_whole(spark, monkeypatch):
-    monkeypatch.setattr(validate, "PATHS_PER_MESSAGE", 4)
-    paths = [f"/p{i:02d}" for i in range(10)]
+def test_a_long_overlap_is_whole(spark):
+    paths = [f"/p{i:04d}" for i in range(1500)]
     decided = [("h", p, d) for p in paths for d in ("keep", "trash")]
     found = validate.first_violation(validate.validate(
         members(spark, {"h": [(p, True, 1.0) for p in paths]}), selection(spark, decided)))
-    parts = found.orderBy("part").collect()
-    assert len(parts) == 3
-    assert "".join(p.message for p in parts).endswith("：" + ", ".join(paths))
+    assert [(r.position, r.path) for r in found.orderBy("position").collect()] == list(enumerate(paths, 1))
+    with pytest.raises(UnsafeSelection, match="1500 .*first-violation"):
+        validate.require_safe(validate.validate(
+            members(spark, {"h": [(p, True, 1.0) for p in paths]}), selection(spark, decided)))
+
+
+def test_several_kept_members_and_an_edit(spark):
+    group = {"h": [(p, True, 1.0) for p in ("/a", "/b", "/c")]}
+    decided = [("h", "/a", "keep"), ("h", "/b", "keep"), ("h", "/c", "trash")]
+    edits = spark.createDataFrame([(1, "h", "trash", "/a")], "seq long, hash string, action string, path string")
+    after = decisions.apply_overrides(members(spark, group), selection(spark, decided), edits)
+    assert rows(after, "path", "decision") == [("/a", "trash"), ("/b", "keep"), ("/c", "trash")]
 
 
 def test_kept_member_must_exist(spark):

@@ -70,15 +70,18 @@ def test_is_relative_to_goes_by_component(spark):
 
 
 def test_many_bases_equal_few(spark):
-    values = ["/", "/a", "/a/b", "/a/bc/d", "/x/y/z", "/x"]
-    few = ["/a/b", "/x/y"]
-    many = few + [f"/none/{i}" for i in range(paths.MAX_PREFIX_TESTS + 1)]
-    assert apply(spark, values, lambda c: paths.is_beneath_any(c, few)) == apply(
-        spark, values, lambda c: paths.is_beneath_any(c, many))
-
-
-def test_ancestors(spark):
-    assert apply(spark, ["/a/b", "/"], paths.ancestors) == [["/", "/a", "/a/b"], ["/"]]
+    values = ["/", "/a", "/a/b", "/a/bc/d", "/x/y/z", "/x", "s3://b/x/1", "s3://b/xy", "file:/b/x",
+              "/a/b//c", "/b//x/3", "/b/x/3", "x", ""]
+    for few in (["/a/b", "/x/y"], ["s3://b/x", "file:/b/x/"], ["/b//x"], ["/"], ["x"]):
+        def plain(value):
+            return any(value == (b.rstrip("/") or "/") or value.startswith(b.rstrip("/") + "/") for b in few)
+        for bases in (few, few + [f"/none/{i}" for i in range(60)]):
+            assert apply(spark, values, lambda c: paths.is_beneath_any(c, bases)) == list(map(plain, values))
+
+
+def test_beginnings(spark):
+    assert apply(spark, ["/a/b", "/", "s3://b//x", "x"], paths.beginnings) == [
+        ["", "/a"], [""], ["s3:", "s3:/", "s3://b", "s3://b/"], []]
 
 
 def test_path_suffix(spark):

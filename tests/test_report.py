@@ -136,10 +136,23 @@ def test_text_in_parts_is_the_same_text(spark, tmp_path):
     assert b"".join(p.read_bytes() for p in parts) == (tmp_path / "one.txt").read_bytes()
 
 
-def test_a_file_of_too_many_lines_is_refused(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(report, "SINGLE_FILE_LINES", 3)
-    with pytest.raises(ValueError, match="too many"):
-        report.write_report_txt(members(spark), summary(), f"{tmp_path}/r.txt", single_file=True)
+@pytest.mark.parametrize("single", [True, False])
+def test_a_report_replaces_an_earlier_one(spark, tmp_path, single):
+    for kind in ("txt", "csv", "json"):
+        for count in (3, 1):
+            groups = {f"h{i:03d}": [f"/{i}/a", f"/{i}/b"] for i in range(count)}
+            report.write_reports(members(spark, groups), summary(groups), [f"{tmp_path}/r.{kind}"], single)
+    read = report.read_report(spark, f"{tmp_path}/r.json" if single else f"{tmp_path}/r.json")
+    assert read is not None
+    text = (tmp_path / "r.csv").read_text() if single else "".join(
+        p.read_text() for p in (tmp_path / "r.csv").glob("part-*"))
+    assert "/0/a" in text and "/2/a" not in text
+
+
+def test_a_file_of_many_parts(spark, tmp_path):
+    lines = spark.range(1_000_100).selectExpr("0 AS section", "id AS group_idx", "0 AS line_no", "string(id) AS line")
+    report.write_lines(lines.repartition(5), f"{tmp_path}/r.txt", True)
+    assert (tmp_path / "r.txt").read_text() == "".join(f"{k}\n" for k in range(1_000_100))
 
 
 def test_absent_sections_are_empty(spark, tmp_path):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dupeframe import scan_table, scan_tree
 from dupeframe.operators import groups, scope
+from dupeframe.plans.reclaim import plan_reclaim
 from dupeframe.sources.files import fingerprint_files
 from dupeframe.sources.table import manifest_from_objects
 from dupeframe.sources.tree import read_tree, stat_paths
@@ -164,14 +165,49 @@ def test_groups_equal_brute_force(spark, hot):
         assert result.total_files == 300
 
 
-def test_prefilter_gives_up_beyond_its_bound(spark, monkeypatch):
-    from dupeframe.plans import scan
-
+def test_prefilter_keeps_all_items(spark):
     table = _items(spark, [("/a", 0, "x"), ("/b", 0, "x"), ("/c", 0, "yy")])
     expected = rows(scan_table(table, algorithm="md5").members)
-    monkeypatch.setattr(scan, "BROADCAST_KEYS", 0)
-    result = scan_table(table, algorithm="md5", size_prefilter=True)
-    assert rows(result.members) == expected and result.total_files == 3
+    for unique in (True, False):
+        result = scan_table(table, algorithm="md5", size_prefilter=True, paths_unique=unique)
+        assert rows(result.members) == expected and result.total_files == 3
+        assert rows(result.fingerprints.where("hash IS NULL"), "path") == [("/c",)]
+        planned = plan_reclaim(result.members, result.fingerprints, rule="oldest")
+        assert rows(planned.survivors(result.fingerprints), "path") == [("/a",), ("/c",)]
+
+
+@pytest.mark.parametrize("bits", [28, 6])
+def test_a_map_of_keys_loses_no_row(spark, bits):
+    from dupeframe.operators.bitmap import among
+    from pyspark.sql import functions as F
+
+    table = spark.range(1000)
+    found = {r.id for r in among(table, F.col("id"), table.where("id % 7 = 0"), bits).collect()}
+    assert {k for k in range(0, 1000, 7)} <= found
+    assert bits == 6 or len(found) == 143
+    assert among(table, F.col("id"), table.where("id < 0"), bits).count() == 0
+
+
+def test_a_root_above_the_staging_folder(spark, tmp_path):
+    from dupeframe.staging import stage_root
+
+    root = stage_root(spark)
+    os.makedirs(f"{root}/x", exist_ok=True)
+    above = os.path.dirname(root)
+    excludes = [f"{above}/{name}" for name in os.listdir(above) if f"{above}/{name}" != root]
+    result = scan_tree(spark, [above], excludes, "md5")
+    assert rows(result.fingerprints.where(result.fingerprints.path.startswith(root))) == []
+
+
+def test_reasons_of_skipped_files(spark, tmp_path, monkeypatch):
+    from dupeframe.sources import files
+
+    root = make_tree(tmp_path, {"a": b"same", "b": b"same"})
+    manifest = scan_tree(spark, [str(root)]).fingerprints.drop("hash", "hit")
+    gone = spark.createDataFrame([(f"{root}/gone", str(root), 0, 4, 1.0)], manifest.schema)
+    read = files.fingerprint_files(manifest.unionByName(gone), "md5", "skip")
+    assert rows(read.where("error IS NOT NULL"), "path") == [(f"{root}/gone",)]
+    assert scan_tree(spark, [str(root)], on_error="skip").errors.count() == 0
 
 
 def test_scopes_of_a_table(spark):
