@@ -23,4 +23,5 @@ QUERIES = {
 ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op7_url_filters": url_filters.ORACLE_SQL,
+    "op8_chat_format": chat_format.ORACLE_SQL,
 }

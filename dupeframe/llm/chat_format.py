@@ -75,5 +75,35 @@ def rotate_perspectives(
 
 
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
-    """All conversations from the perspective of each participant."""
-    return rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All conversations from the perspective of each participant, spans as text (start:end,...)."""
+    rotated = rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    span = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return rotated.select(
+        "conv_id", "speaker", "part", F.col("n_turns").cast("long").alias("n_turns"), "text",
+        F.array_join(span, ",").alias("spans"), F.col("trained_chars").cast("long").alias("trained_chars"))
+
+
+ORACLE_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, turn // 256 AS part, coalesce(role, 'unknown') AS name, coalesce(text, '') AS body
+  FROM conversations
+), people AS (
+  SELECT DISTINCT conv_id, name AS speaker FROM turns WHERE name <> 'system'
+), rendered AS (
+  SELECT conv_id, speaker, part, turn, name, body, name = speaker AS mine,
+    '<|im_start|>' || CASE WHEN name = speaker THEN 'assistant' WHEN name = 'system' THEN 'system'
+                           ELSE 'user name=' || name END || chr(10) AS head,
+    body || '<|im_end|>' || chr(10) AS tail
+  FROM turns JOIN people USING (conv_id)
+), placed AS (
+  SELECT *, sum(length(head) + length(tail)) OVER (
+    PARTITION BY conv_id, speaker, part ORDER BY turn, name, body
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ends FROM rendered
+)
+SELECT conv_id, speaker, part, count(*) AS n_turns,
+  string_agg(head || tail, '' ORDER BY turn, name, body) AS text,
+  coalesce(string_agg((ends - length(tail))::VARCHAR || ':' || ends::VARCHAR, ',' ORDER BY turn, name, body)
+           FILTER (mine), '') AS spans,
+  coalesce(sum(length(tail)) FILTER (mine), 0)::BIGINT AS trained_chars
+FROM placed GROUP BY conv_id, speaker, part
+"""
