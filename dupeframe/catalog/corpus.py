@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from dupeframe.plans.scan import local_path
 from dupeframe.schemas import MANIFEST
 from dupeframe.sources.table import manifest_from_table
+from dupeframe.staging import stage_path
 
 EPOCH = 1704067200.0
 DAY = 86400
@@ -85,6 +87,33 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select(*MANIFEST.names)
 
 
+def write_tree(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+    """Write every document as a file below the staging folder, with its time; the folder that
+    stands for ``/``, and the corpus' roots in order. Tasks write where they run."""
+    top = local_path(stage_path(spark, "tree"))
+
+    def write(batches):
+        import os
+
+        for batch in batches:
+            for path, content, mtime in zip(*[column.to_pylist() for column in batch.columns]):
+                os.makedirs(os.path.dirname(top + path), exist_ok=True)
+                with open(top + path, "wb") as stream:
+                    stream.write(content)
+                os.utime(top + path, (mtime, mtime))
+            yield batch.select(["path"])
+
+    written = files(spark, sf_dir).select("path", F.col("content").cast("binary"), "mtime")
+    written.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    last = table(spark, sf_dir, "documents").agg(F.max(_source_number())).first()[0]
+    return top, [f"{top}/corpus/src{i}" for i in range(last + 1)]
+
+
+def below(top: str, name: str = "path") -> Column:
+    """A path of ``write_tree`` as it is in the corpus."""
+    return F.substring(name, F.lit(len(top) + 1), F.length(name)).alias(name)
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/web/"), F.col("page_id").cast("string"), F.lit(".html"))
     return manifest_from_table(

@@ -486,3 +486,21 @@ WITH {FILES_SQL}, best AS (
 SELECT path, size FROM best WHERE place = 1""",
 }
 ORACLES["survivors_prefiltered"] = ORACLES["survivors"]
+ORACLES |= {
+    "tree_manifest": ORACLES["manifest"],
+    "tree_scan": ORACLES["dup_members"],
+    "tree_scan_excludes": ORACLES["dup_members_scoped"],
+    "tree_incremental": f"""
+WITH {FILES_SQL}
+SELECT path, sha256(content) AS hash, NOT {_beneath('path', EXCLUDES)} AS hit FROM files""",
+    "quarantine_outcome": f"""
+WITH {MEMBERS_SQL} SELECT path, 'moved' AS status, size AS bytes FROM members WHERE member_pos > 1""",
+    "quarantine_totals": f"""
+WITH {MEMBERS_SQL}
+SELECT count(*) AS count, CAST(coalesce(sum(size), 0) AS BIGINT) AS reclaimed_bytes
+FROM members WHERE member_pos > 1""",
+    "refused_plan": f"""
+WITH {MEMBERS_SQL}
+SELECT '{_TRASHED_HEAD}' || hash || '{_TRASHED_TAIL}' AS message
+FROM members WHERE group_idx = 1 AND member_pos = 1""",
+}

@@ -13,11 +13,12 @@ from dupeframe.functions import formats, paths
 from dupeframe.functions.fingerprint import algorithm_label as label_of
 from dupeframe.functions.fingerprint import fingerprint
 from dupeframe.operators import cache, decisions, groups, reclaim, scope, summary, validate
-from dupeframe.plans.reclaim import plan_reclaim
-from dupeframe.plans.scan import ScanResult, scan_table
+from dupeframe.plans.reclaim import ReclaimPlan, plan_reclaim
+from dupeframe.plans.scan import ScanResult, scan_table, scan_tree
 from dupeframe.schemas import MANIFEST
 from dupeframe.sources import report
 from dupeframe.sources.actions import parse_actions
+from dupeframe.sources.tree import read_tree
 from dupeframe.staging import stage, stage_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -766,3 +767,72 @@ def survivors(spark, d):
     members = _scan(spark, d).members.drop("size", "mtime")
     meta = corpus.metadata(spark, d)
     return plan_reclaim(members, meta, rule="shortest").survivors(meta).select("path", "size")
+
+
+# -- file trees -------------------------------------------------------------------------------
+
+
+@query
+def tree_manifest(spark, d):
+    """The documents as files, listed from the file system."""
+    top, roots = corpus.write_tree(spark, d)
+    return read_tree(spark, roots).select(
+        corpus.below(top), corpus.below(top, "root"), "root_ord", "size", "mtime")
+
+
+@query
+def tree_scan(spark, d):
+    top, roots = corpus.write_tree(spark, d)
+    return scan_tree(spark, roots, algorithm="sha256").members.select(
+        "group_idx", "hash", "n_members", "member_pos", corpus.below(top), "size", "mtime")
+
+
+@query
+def tree_scan_excludes(spark, d):
+    """Overlapping roots and excludes; only items of a repeated size are read."""
+    top, _ = corpus.write_tree(spark, d)
+    result = scan_tree(spark, [top + p for p in OVERLAPPING], [top + p for p in EXCLUDES], "sha256")
+    return result.members.select("group_idx", "hash", "member_pos", corpus.below(top))
+
+
+@query
+def tree_incremental(spark, d):
+    """A stored scan without the excluded files, then one of all files."""
+    top, roots = corpus.write_tree(spark, d)
+    store = stage_path(spark, "store")
+    scan_tree(spark, roots, [top + p for p in EXCLUDES], "sha256", store)
+    return scan_tree(spark, roots, (), "sha256", store).fingerprints.select(
+        corpus.below(top), "hash", "hit")
+
+
+def _tree_plan(spark, d) -> tuple[str, ReclaimPlan]:
+    top, roots = corpus.write_tree(spark, d)
+    result = scan_tree(spark, roots, algorithm="sha256")
+    return top, plan_reclaim(result.members, result.fingerprints)
+
+
+@query
+def quarantine_outcome(spark, d):
+    """What became of each file of the plan, after the moves."""
+    top, planned = _tree_plan(spark, d)
+    outcome = planned.execute(f"{top}/quarantine", dry_run=False)
+    return outcome.select(corpus.below(top), "status", "bytes")
+
+
+@query
+def quarantine_totals(spark, d):
+    top, planned = _tree_plan(spark, d)
+    return reclaim.moved_totals(planned.execute(f"{top}/quarantine", dry_run=False))
+
+
+@query
+def refused_plan(spark, d):
+    """The refusal of a plan that would move every member of every group."""
+    result = _scan(spark, d)
+    everything = result.members.select("hash", "path", F.lit("trash").alias("decision"))
+    planned = plan_reclaim(result.members, result.fingerprints, selection=everything)
+    try:
+        planned.execute(stage_path(spark, "quarantine"), dry_run=False)
+    except validate.UnsafeSelection as refusal:
+        return spark.createDataFrame([(str(refusal),)], "message string")
+    return spark.createDataFrame([], "message string")

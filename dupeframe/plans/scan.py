@@ -124,8 +124,11 @@ def scan_tree(
     check_algorithm(algorithm)
     check_report_paths(list(outputs))
     opened = open_store(spark, store) if store else None
-    # the library's own files are no items, also where a root is above them
-    dropped = [*excludes, *[_local_path(own) for own in (store, stage_root(spark)) if own]]
+    # the library's own files are no items where a root is above them
+    dropped = [*excludes, *[local_path(store)] * bool(store)]
+    staged = os.path.realpath(local_path(stage_root(spark)))
+    if not any(f"{os.path.realpath(root)}/".startswith(f"{staged}/") for root in includes):
+        dropped.append(staged)
     manifest = read_tree(spark, includes, dropped)
     if opened is not None:
         looked = stage(lookup(manifest, opened.read(), algorithm), "lookup")
@@ -147,7 +150,7 @@ def scan_tree(
     return _finish(hashed, folders, files, algorithm, opened, outputs, started, errors)
 
 
-def _local_path(name: str) -> str:
+def local_path(name: str) -> str:
     """A ``file:`` URI as a path; other names as they are."""
     from urllib.parse import unquote, urlparse
 
