@@ -101,8 +101,10 @@ def assign_positions(
     """
     schedules = schedules or [STEADY]
     own = [c for c in docs.columns if c != "_mix"]
+    # under names of their own, so that what a caller does not use is never shuffled
+    carried = {f"_own{k}": c for k, c in enumerate(own)}
     measured = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"),
+        *[F.col(f"`{c}`").alias(name) for name, c in carried.items()],
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit("curriculum"), id_col, text_col).alias("hash"),
@@ -143,7 +145,7 @@ def assign_positions(
 
     copies = F.filter(F.array(*[copy(k) for k in range(most_repeats)]), lambda c: c.isNotNull())
     return placed.withColumn("copies", copies).select(
-        *[F.col("row").getField(c).alias(c) for c in own],
+        *[F.col(name).alias(c) for name, c in carried.items()],
         F.struct(
             "size", "source_size", F.col("target"),
             F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"),
