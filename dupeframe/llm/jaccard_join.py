@@ -40,6 +40,8 @@ PERCENT = 80
 COMMON = 8
 BITS = 26
 PIVOT_ROUNDS = 1
+# Pivots of a region of a common shingle in the first round.
+PIVOTS = 8
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -239,11 +241,13 @@ def jaccard_components(
         if step < rounds:
             if step:
                 members = stage(_next_pivot(members), "regions")
-            pairs = members.where("node <> pivot" + (" AND comp <> pivot_comp" if step else ""))
-            pairs = pairs.withColumnsRenamed({"pivot": "other", "pivot_n": "other_n", "pivot_at": "other_at"})
-            members = members.where("node <> pivot").select("h", "node", "n", "at", "pivot")
+            pairs = members.select("*", F.explode("pivots").alias("p")).where(
+                "node <> p.node" + (" AND comp <> p.comp" if step else "")).select(
+                "node", "n", "at", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"),
+                F.col("p.at").alias("other_at"))
+            members = members.select("h", "node", "n", "at", F.col("pivots")[0]["node"].alias("pivot"))
         else:
-            pairs = _windowed(members, _all(verified), percent)
+            pairs = _windowed(members, _all(verified), sketches, percent)
         wanted = pairs.where(_may_link(
             F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent
         )).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -266,25 +270,32 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """(h, node, n, at, pivot, pivot_n, pivot_at) of regions with two members or more; ``at`` is
-    the place of h in the member's prefix. A region's pivot is its member with the least hash,
-    which makes regions of one group agree on it.
+    """(h, node, n, at, pivots) of regions with two members or more; ``at`` is the place of h in
+    the member's prefix. Pivots are the members with the least hashes (of one or more hash
+    functions), which makes regions of one group agree on them.
 
-    Regions of rare shingles are small and take a window; those of common ones may hold a third
-    of all nodes, so their pivots come from a combining aggregation and are joined.
+    Regions of rare shingles are small and take one pivot from a window; those of common ones may
+    hold a third of all nodes, so their ``PIVOTS`` pivots come from a combining aggregation and
+    are joined. More pivots join more of a large group before its rest is compared.
     """
-    order = F.struct(F.xxhash64("node").alias("by"), "node", "n", "at")
+    def order(k: int) -> Column:
+        return F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "n", "at")
+
+    def places(*found: Column) -> Column:
+        return F.array_distinct(F.array(*[F.struct(
+            x["node"].alias("node"), x["n"].alias("n"), x["at"].alias("at")) for x in found]))
+
     rare = nodes.select(F.posexplode("rare").alias("at", "h"), "node", "n")
     region = Window.partitionBy("h")
-    small = rare.withColumn("p", F.min(order).over(region)).withColumn(
-        "members", F.count(F.lit(1)).over(region)).where("members > 1").drop("members")
+    small = rare.withColumn("p", F.min(order(0)).over(region)).withColumn(
+        "members", F.count(F.lit(1)).over(region)).where("members > 1").withColumn(
+        "pivots", places(F.col("p"))).drop("members", "p")
     frequent = nodes.select(F.posexplode("frequent").alias("at", "h"), "node", "n", F.size("rare").alias("skip"))
     frequent = frequent.withColumn("at", F.col("at") + F.col("skip")).drop("skip")
-    pivots = frequent.groupBy("h").agg(F.min(order).alias("p"), F.count(F.lit(1)).alias("members")).where(
-        "members > 1").drop("members")
-    return small.unionByName(frequent.join(pivots, "h")).select(
-        "h", "node", "n", "at", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"),
-        F.col("p.at").alias("pivot_at"))
+    least = [F.min(order(k)).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = frequent.groupBy("h").agg(F.count(F.lit(1)).alias("members"), *least).where("members > 1").select(
+        "h", places(*[F.col(f"p{k}") for k in range(PIVOTS)]).alias("pivots"))
+    return small.unionByName(frequent.join(pivots, "h")).select("h", "node", "n", "at", "pivots")
 
 
 def _undecided(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -301,29 +312,44 @@ def _undecided(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _next_pivot(members: DataFrame) -> DataFrame:
-    """The members with a pivot from outside the region's first component."""
+    """The members with one pivot from outside the region's first component."""
     pivots = members.where("comp <> first").groupBy("h").agg(
         F.min(F.struct(F.xxhash64("node").alias("by"), "node", "n", "at", "comp")).alias("p")).select(
-        "h", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.at").alias("pivot_at"),
-        F.col("p.comp").alias("pivot_comp"))
+        "h", F.array(F.struct("p.node", "p.n", "p.at", "p.comp")).alias("pivots"))
     return members.drop("pivot").join(pivots, "h")
 
 
-def _windowed(members: DataFrame, verified: DataFrame, percent: int) -> DataFrame:
+def _sketches_allow(a: Column, b: Column, sizes: Column, percent: int) -> Column:
+    """``sketch_distance`` in column expressions, for sizes that may link: one sketch is at most
+    twice as long as the other."""
+    def folded(x: Column, half: Column) -> Column:
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    x = F.when(F.size(a) > F.size(b), folded(a, F.size(b))).otherwise(a)
+    y = F.when(F.size(b) > F.size(a), folded(b, F.size(a))).otherwise(b)
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
+def _windowed(members: DataFrame, verified: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs of a member outside the region's first component with members of other components,
-    whose distances to the last pivot, where both are known, differ by the limit at most. The
-    first component, often nearly the whole region, is never paired with itself."""
+    whose distances to the first pivot, where both are known, differ by the limit at most, and
+    whose sketches allow a link; what a bound rules out leaves the join as no row. The first
+    component, often nearly the whole region, is never paired with itself."""
     both = verified.select("a", "b", (F.col("apart") / F.col("union")).alias("d"))
     ways = both.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d").unionByName(
         both.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "d"))
-    placed = members.join(ways, ["node", "pivot"], "left")
-    left = placed.where("comp <> first").select("h", "node", "n", "at", "comp", "d")
-    right = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "at", "comp", "d")],
+    placed = members.join(ways, ["node", "pivot"], "left").join(sketches.select("node", "sketch"), "node")
+    left = placed.where("comp <> first").select("h", "node", "n", "at", "comp", "d", "sketch")
+    right = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "at", "comp", "d", "sketch")],
                           F.col("node").alias("other"))
     near = F.coalesce(
         F.abs(F.col("d") - F.col("other_d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+    sketched = _sketches_allow(
+        F.col("sketch"), F.col("other_sketch"), F.col("n") + F.col("other_n"), percent)
     return left.join(right, (left["h"] == right["h"]) & (F.col("comp") != F.col("other_comp")) & near & _may_link(
-        F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent))
+        F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent) & sketched).select(
+        "node", "n", "at", "other", "other_n", "other_at")
 
 
 def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
