@@ -504,3 +504,8 @@ WITH {MEMBERS_SQL}
 SELECT '{_TRASHED_HEAD}' || hash || '{_TRASHED_TAIL}' AS message
 FROM members WHERE group_idx = 1 AND member_pos = 1""",
 }
+ORACLES |= {
+    "dup_members_hot": ORACLES["dup_members"],
+    "dup_row_members_hot": ORACLES["dup_row_members_lineitem"],
+    "keep_newest_hot": ORACLES["keep_newest"],
+}

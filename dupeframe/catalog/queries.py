@@ -16,6 +16,7 @@ from dupeframe.operators import cache, decisions, groups, reclaim, scope, summar
 from dupeframe.plans.reclaim import ReclaimPlan, plan_reclaim
 from dupeframe.plans.scan import ScanResult, scan_table, scan_tree
 from dupeframe.schemas import MANIFEST
+from dupeframe.session import HOT_ROWS_KEY
 from dupeframe.sources import report
 from dupeframe.sources.actions import parse_actions
 from dupeframe.sources.tree import read_tree
@@ -836,3 +837,24 @@ def refused_plan(spark, d):
     except validate.UnsafeSelection as refusal:
         return spark.createDataFrame([(str(refusal),)], "message string")
     return spark.createDataFrame([], "message string")
+
+
+# -- groups above the limit of hot keys -------------------------------------------------------
+
+
+def _hot(name: str, function: Query) -> None:
+    """Register a query again with every key treated as hot while its plan is built."""
+    def hot(spark, d):
+        before = spark.conf.get(HOT_ROWS_KEY, None)
+        spark.conf.set(HOT_ROWS_KEY, "2")
+        try:
+            return function(spark, d)
+        finally:
+            spark.conf.unset(HOT_ROWS_KEY) if before is None else spark.conf.set(HOT_ROWS_KEY, before)
+
+    REGISTRY[name] = hot
+
+
+_hot("dup_members_hot", dup_members)
+_hot("dup_row_members_hot", dup_row_members_lineitem)
+_hot("keep_newest_hot", keep_newest)
