@@ -1,4 +1,9 @@
-"""Operator 10: language-model scores from a weighted backoff automaton."""
+"""Operator 10: language-model scores from a weighted backoff model.
+
+``score_documents`` keeps all n-grams that occur twice as Spark tables, and scores texts by a join.
+``train`` and ``Scorer`` are the same model as an automaton in one process, for training texts whose
+n-grams fit it; tests compare the two.
+"""
 
 from __future__ import annotations
 
@@ -7,22 +12,26 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import log10
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dupeframe.llm.words import chunks, text_bytes
+from dupeframe.llm.words import WordHashes, chunks, mixed, text_bytes, windows
 from dupeframe.staging import stage
 
 # Shares of all training tokens. A word or n-gram with at least a share s of N tokens is one of
-# at most 1 / s (of each length), which bounds what is broadcast whatever the corpus.
+# at most 1 / s (of each length), which bounds what is broadcast whatever the corpus. Rarer ones
+# are joined; the automaton of ``train`` leaves them out.
 WORD_SHARE = 1e-6
 CONTEXT_SHARE = 1e-4
 GRAM_SHARE = 4e-6
 FLUSH_WORDS = 1 << 18
+FLUSH_TOKENS = 1 << 20
 END = b""  # no word is empty
+END_HASH = np.uint64(0)
 
 
 def _hash(word: bytes) -> int:
@@ -81,7 +90,7 @@ def count_grams(texts: DataFrame, words: np.ndarray, kept: list[np.ndarray]) ->
 
     ``words`` are the sorted hashes of the context words; a code is (number of the n-gram
     without its last word in ``kept[-1]``, or of its first word) * len(words) + its last word.
-    Only n-grams whose beginning and ending are kept are counted: no other can be as frequent.
+    Only n-grams of context words whose beginning and ending are kept are counted.
     """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((words, kept))
@@ -301,67 +310,209 @@ def train(
     return build_automaton(totals, hashes, counts, context_share * tokens, grams), words
 
 
-def score_texts(docs: DataFrame, automaton: Automaton, words: DataFrame, keep: list[str]) -> DataFrame:
+@dataclass
+class Hot:
+    """Frequent words and n-grams, at most 1 / share of each length; the rest is joined."""
+
+    keys: np.ndarray  # sorted
+    values: np.ndarray
+    counts: np.ndarray  # of words; 0 for longer n-grams
+
+
+def _sequences(
+    texts: Iterator[tuple[object, bytes]], order: int
+) -> Iterator[tuple[list, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Parts of about FLUSH_TOKENS tokens: (tags, length of each text, [(hash, text) of the
+    n-grams of 1 to ``order`` words]); no n-gram spans two texts, and each text has its end."""
+    maker, tags, parts = WordHashes(lower=True), [], []
+
+    def made() -> tuple[list, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        lengths = np.array([len(part) for part in parts])
+        seq, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), lengths)
+        grams = [(seq, owner)]
+        for k in range(1, order):
+            same = owner[:-k] == owner[k:]
+            grams.append((windows(seq, k + 1)[same], owner[k:][same]))
+        return tags, lengths, grams
+
+    held = 0
+    for tag, text in texts:
+        tags.append(tag)
+        parts.append(np.append(maker.of(text), END_HASH))
+        held += len(parts[-1])
+        if held > FLUSH_TOKENS:
+            yield made()
+            tags, parts, held = [], [], 0
+    if parts:
+        yield made()
+
+
+def gram_counts(texts: DataFrame, order: int) -> DataFrame:
+    """Rows (key, k, n, prefix, suffix) of all words (k = 1) and of all n-grams of k words that
+    occur twice or more: 64-bit hashes of the n-gram, of it without its last and without its
+    first word. No other limit: what is kept grows with the corpus and stays in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, grams in _sequences(((None, x.as_py()) for b in batches for x in b.column("text")), order):
+            shorter = None
+            for k, (keys, owner) in enumerate(grams, 1):
+                found, at, n = np.unique(keys, return_index=True, return_counts=True)
+                prefix = suffix = np.zeros(len(found), np.uint64)
+                if k > 1:
+                    # texts with fewer than k - 1 words have no n-gram of either length
+                    codes, of_text = shorter
+                    same = np.flatnonzero(of_text[:-1] == of_text[1:])
+                    prefix, suffix = codes[same[at]], codes[same[at] + 1]
+                shorter = (keys, owner)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(found.view(np.int64)), pa.array(np.full(len(found), k, np.int32)), pa.array(n),
+                    pa.array(prefix.view(np.int64)), pa.array(suffix.view(np.int64)),
+                ], names=["key", "k", "n", "prefix", "suffix"])
+
+    return texts.select("text").mapInArrow(run, "key long, k int, n long, prefix long, suffix long").groupBy(
+        "key", "k").agg(F.sum("n").alias("n"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix")
+    ).where("k = 1 OR n > 1")
+
+
+def gram_values(counts: DataFrame, order: int, totals: tuple[int, int, int, int]) -> DataFrame:
+    """Rows (key, k, n, value): a text's score is the sum of the values of its words and n-grams
+    of 2 to ``order`` words, where an n-gram that is not in the table has 0.
+
+    A word's value is log p(w) + b(w), with b the log of its backoff weight. An n-gram's is
+    log p - (log p of it without its first word + b of it without its last word) + b: what it
+    adds to the backoff that the shorter n-grams sum to. Both shorter n-grams of one that is kept
+    are kept. b is 0 for what nothing kept follows.
+    """
+    tokens, _, once, twice = totals
+    discount = min(once / (once + 2 * twice), 0.9) if once else 0.5
+    lower = counts.where("k = 1").select(
+        "key", "k", "n", F.log10((F.col("n") - discount) / tokens).alias("lp"),
+        F.log10((F.col("n") - discount) / tokens).alias("value"))
+    made = []
+    for k in range(2, order + 1):
+        level = stage(counts.where(F.col("k") == k).join(
+            lower.select(F.col("key").alias("suffix"), F.col("lp").alias("lower")), "suffix"), "lm-grams")
+        states = level.groupBy("prefix").agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("arcs"), F.sum(F.pow(F.lit(10.0), "lower")).alias("mass")
+        ).join(lower.select(F.col("key").alias("prefix"), F.col("n").alias("of")), "prefix")
+        left = 1 - (F.col("total") - F.col("arcs") * discount) / F.col("of")
+        least = F.lit(1e-12)
+        states = stage(states.select("prefix", "of", F.log10(
+            F.greatest(left, least) / F.greatest(1 - F.col("mass"), least)).alias("b")), "lm-states")
+        made.append(lower.join(states.select(F.col("prefix").alias("key"), "b"), "key", "left").select(
+            "key", "k", "n", (F.col("value") + F.coalesce("b", F.lit(0.0))).alias("value")))
+        lp = F.log10((F.col("n") - discount) / F.col("of"))
+        lower = stage(level.join(states, "prefix").select(
+            "key", "k", "n", lp.alias("lp"), (lp - F.col("lower") - F.col("b")).alias("value")), "lm-level")
+    return reduce(DataFrame.unionByName, made, lower.select("key", "k", "n", "value")) if made else lower.drop("lp")
+
+
+def score_texts(
+    docs: DataFrame, values: DataFrame, hot: Hot, order: int, totals: tuple[int, int, int, int], keep: list[str]
+) -> DataFrame:
     """Columns ``keep`` of ``docs`` with n_tokens, n_known, base_score and score of the bytes in
     its column ``text``.
 
-    The automaton is broadcast; tokens that are not frequent (a small share of all) leave each
-    text as one entry per distinct token, are joined with the counts of all words, and their
-    terms are summed by row. Their keys are infrequent by definition, but for words that occur
-    in unseen texts only, and AQE splits such a join.
+    What is hot is looked up in the task; every other word and n-gram of a text is a row, joined
+    with all values and summed by text. Those keys are infrequent in training by definition; one
+    that is frequent in unseen texts only is split by AQE.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    schema = "id long, n_tokens long, n_frequent long, base double, score double, hs array<long>, ns array<long>"
+    spark = docs.sparkSession
+    # arrays only: executors have no copy of this package
+    shared = spark.sparkContext.broadcast((hot.keys, hot.values, hot.counts))
+    tokens, vocabulary, once, twice = totals
+    discount = min(once / (once + 2 * twice), 0.9) if once else 0.5
+    smooth = tokens + 0.5 * (vocabulary + 1)
+    unseen = log10(discount * vocabulary / tokens) if tokens else 0.0
+    numbered = docs.withColumn("id", F.monotonically_increasing_id()).select("id", *keep, "text")
+    kinds = [field.dataType.simpleString() for field in docs.select(*keep).schema]
+    schema = ", ".join([
+        "id long, key long, word boolean, n long, known long, base double, score double",
+        *[f"_{k} {kind}" for k, kind in enumerate(kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        hot_keys, hot_values, hot_counts = shared.value
         for batch in batches:
-            made = [scorer.of(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("id"),
-                pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
-                pa.array([m[2] for m in made], pa.float64()), pa.array([m[3] for m in made], pa.float64()),
-                pa.array([list(map(_hash, m[4])) for m in made], pa.list_(pa.int64())),
-                pa.array([list(m[4].values()) for m in made], pa.list_(pa.int64())),
-            ], names=[part.split()[0] for part in schema.split(", ")])
-
-    numbered = docs.withColumn("id", F.monotonically_increasing_id())
-    scored = stage(numbered.select("id", "text").mapInArrow(run, schema), "lm-scores")
-    kept = numbered.select("id", *keep)
-    tokens, vocabulary, discount = automaton.tokens, automaton.vocabulary, automaton.discount
-    rest = scored.select("id", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select(
-        "id", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
-    count = F.coalesce(F.col("c"), F.lit(0)).cast("double")
-    mass = F.when(count > 0, count - discount).otherwise(F.lit(discount * vocabulary))
-    terms = rest.join(words, "h", "left").select(
-        "id", "n", F.when(count > 0, F.col("n")).otherwise(F.lit(0)).alias("known"),
-        (F.col("n") * F.log10((count + 0.5) / (tokens + 0.5 * (vocabulary + 1)))).alias("base"),
-        (F.col("n") * (F.log10(mass / tokens) if tokens else F.lit(0.0))).alias("score"))
-    sums = terms.groupBy("id").agg(
-        F.sum("known").alias("known"), F.sum("base").alias("base_rest"), F.sum("score").alias("score_rest"))
-    zero = F.lit(0)
-    return kept.join(scored.drop("hs", "ns"), "id").join(sums, "id", "left").select(
-        *keep, "n_tokens", (F.col("n_frequent") + F.coalesce("known", zero)).alias("n_known"),
-        (F.col("base") + F.coalesce("base_rest", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("score_rest", zero)).alias("score"))
+            ids = np.array(batch.column("id"), np.int64)
+            kept = batch.select(keep)
+            names = ["id", "key", "word", "n", "known", "base", "score", *[f"_{k}" for k in range(len(keep))]]
+            blank = [pa.nulls(0, column.type) for column in kept.columns]
+            texts = ((row, x.as_py()) for row, x in enumerate(batch.column("text")))
+            for rows, lengths, grams in _sequences(texts, order):
+                score, base, known = (np.zeros(len(rows)) for _ in range(3))
+                own = ids[rows]
+                for k, (keys, owner) in enumerate(grams):
+                    at = np.searchsorted(hot_keys, keys)
+                    at[at == len(hot_keys)] = 0
+                    there = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
+                    score += np.bincount(owner[there], hot_values[at[there]], len(rows))
+                    if not k:
+                        known += np.bincount(owner[there], minlength=len(rows))
+                        base += np.bincount(
+                            owner[there], np.log10((hot_counts[at[there]] + 0.5) / smooth), len(rows))
+                    cold = keys[~there]
+                    if len(cold):
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(own[owner[~there]]), pa.array(cold.view(np.int64)),
+                            pa.array(np.full(len(cold), not k)), pa.nulls(len(cold), pa.int64()),
+                            pa.nulls(len(cold), pa.int64()), pa.nulls(len(cold), pa.float64()),
+                            pa.nulls(len(cold), pa.float64()), *[pa.nulls(len(cold), x.type) for x in blank],
+                        ], names=names)
+                # the text's own row; its key is like any other, so that these rows are dealt out
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(own), pa.array(mixed(own.view(np.uint64)).view(np.int64)),
+                    pa.nulls(len(own), pa.bool_()), pa.array(lengths), pa.array(known.astype(np.int64)),
+                    pa.array(base), pa.array(score), *kept.take(pa.array(rows)).columns,
+                ], names=names)
+
+    found = numbered.mapInArrow(run, schema).join(
+        values.select("key", (F.col("k") == 1).alias("word"), F.col("n").alias("c"), "value")
+        .withColumnRenamed("word", "_word"), "key", "left")
+    # a word and a longer n-gram with one hash are told apart
+    there = F.col("word") == F.col("_word")
+    count = F.when(F.col("word"), F.when(there, F.col("c")).otherwise(F.lit(0)))
+    count = F.when(F.col("word"), F.coalesce(count, F.lit(0)))
+    found = found.select(
+        "id", "n", F.coalesce("known", (count > 0).cast("long")).alias("known"),
+        F.coalesce("base", F.log10((count + 0.5) / F.lit(smooth))).alias("base"),
+        F.coalesce("score", F.when(there, F.col("value")), F.when(F.col("word"), F.lit(unseen))).alias("score"),
+        *[f"_{k}" for k in range(len(keep))])
+    return found.groupBy("id").agg(
+        *[F.max(f"_{k}").alias(name) for k, name in enumerate(keep)], F.max("n").alias("n_tokens"),
+        F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("id")
 
 
 def score_documents(
-    docs: DataFrame, held_out: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, held_out: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text",
+    word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE,
 ) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), trained on the
     documents that are not ``held_out``.
 
-    Tokens are words in lower-cased A-Z and one end. Null text is empty: one token. Null ids,
-    ties and repeated rows are scored each; without training documents every probability is 1.
-    Other columns are not read. No rows: no rows.
+    Every word is a context, and every n-gram that occurs twice in training is learned, whatever
+    its share; the shares say only what is looked up from a broadcast. Tokens are words in
+    lower-cased A-Z and one end. Null text is empty: one token. Null ids, ties and repeated rows
+    are scored each; without training documents every probability is 1. Other columns are not
+    read. No rows: no rows.
     """
     read = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
         text_bytes(text_col).alias("text"))
-    automaton, words = train(read.where(~F.col("held_out")).select("text"), order)
-    return score_texts(read, automaton, words, ["doc_id", "held_out"]).withColumn(
-        "train_tokens", F.lit(automaton.tokens).cast("long"))
+    counts = stage(gram_counts(read.where(~F.col("held_out")).select("text"), order), "lm-counts")
+    row = counts.where("k = 1").agg(
+        F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    totals = (row[0] or 0, *row[1:])
+    values = stage(gram_values(counts, order, totals), "lm-values") if totals[0] else counts.select(
+        "key", "k", "n", F.lit(0.0).alias("value"))
+    share = F.when(F.col("k") == 1, F.lit(word_share)).otherwise(F.lit(gram_share))
+    often = values.where(F.col("n") >= share * totals[0]).toArrow()
+    keys = np.array(often["key"], np.int64).view(np.uint64)
+    by_key = np.argsort(keys)
+    hot = Hot(keys[by_key], np.array(often["value"], np.float64)[by_key],
+              np.where(np.array(often["k"]) == 1, np.array(often["n"]), 0)[by_key].astype(np.float64))
+    return score_texts(read, values, hot, order, totals, ["doc_id", "held_out"]).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[0]).cast("long").alias("train_tokens"),
+        "base_score", "score")
 
 
 def op10_language_model(spark, sf_dir: str) -> DataFrame:

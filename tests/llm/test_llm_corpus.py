@@ -317,3 +317,26 @@ def test_language_model_edges(spark):
     nothing = language_model.score_documents(edge_docs(spark), F.lit(True)).collect()
     assert len(nothing) == len(ROWS) and all(r.train_tokens == 0 and r.score == 0 and r.n_known == 0 for r in nothing)
     assert language_model.score_documents(no_docs(spark), held).count() == 0
+
+
+@pytest.mark.parametrize("gram_share,word_share", [(4e-6, 1e-6), (1.0, 1.0), (1e-3, 1e-3)])
+def test_rare_n_grams_are_learned_and_scores_equal_the_whole_automaton(spark, gram_share, word_share):
+    rng = random.Random(10)
+    rows = [(k, " ".join(rng.choices(WORDS, k=500))) for k in range(80)]
+    rows += [(k, f"zig zag zog w{k} {'zig zag' if k % 2 else ''}") for k in range(80, 84)] + [(85, None), (86, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id").isin(83, 79, 86)
+    found = {r.doc_id: r for r in language_model.score_documents(
+        docs, held, word_share=word_share, gram_share=gram_share).collect()}
+    whole, words = language_model.train(
+        docs.where(~held).select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")), 3, 0.0, 0.0, 0.0)
+    assert whole.tokens * language_model.CONTEXT_SHARE > 3  # "zog" is rarer than a share would allow
+    scorer = language_model.Scorer(whole)
+    assert len(found) == len(rows)
+    for k, text in rows:
+        n, n_known, base, score, rest = scorer.of((text or "").encode())
+        score += sum(rest.values()) * whole.unigram(0)
+        base += sum(rest.values()) * whole.base(0)
+        r = found[k]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, n_known, whole.tokens)
+        assert abs(r.score - score) < 1e-6 and abs(r.base_score - base) < 1e-6
