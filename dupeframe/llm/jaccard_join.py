@@ -233,8 +233,10 @@ def jaccard_components(
     sketches = told.select(F.col("row_id").alias("node"), "n", "sketch")
 
     members = stage(_regions(nodes), "regions")
-    verified: list[DataFrame] = []  # (a, b, apart, union) with a < b, distance apart / union
-    comps: DataFrame | None = None
+    # (a, b, apart, union) with a < b, distance apart / union; without links every node is its own component
+    spark = docs.sparkSession
+    verified = [spark.createDataFrame([], "a long, b long, apart long, union long")]
+    comps = spark.createDataFrame([], "node long, comp long")
     for step in range(rounds + 1):
         if step:
             members = _undecided(members, comps)
@@ -251,12 +253,9 @@ def jaccard_components(
         wanted = pairs.where(_may_link(
             F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent
         )).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if verified:
-            wanted = wanted.join(_all(verified).select("a", "b"), ["a", "b"], "left_anti")
+        wanted = wanted.join(_all(verified).select("a", "b"), ["a", "b"], "left_anti")
         wanted = stage(_near_sketches(wanted, sketches, percent), "candidates")
         if wanted.isEmpty():
-            if not verified:
-                break
             continue
         verified.append(stage(_compared(wanted, classes, texts, size), "verified"))
         links = _all(verified).where(
@@ -403,15 +402,12 @@ def _compared(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int)
     return met.mapInArrow(run, "a long, b long, apart long, union long")
 
 
-def _named(told: DataFrame, classes: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _named(told: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
     """The smallest document id of each component, for all documents."""
-    if comps is None:
-        named = classes.select("digest", F.col("least_id").alias("component_id"), F.col("node").alias("component"))
-    else:
-        known = classes.select("node", "digest", "least_id").join(comps, "node", "left").withColumn(
-            "comp", F.coalesce("comp", "node"))
-        least = known.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-        named = known.join(least, "comp").select("digest", "component_id", F.col("comp").alias("component"))
+    known = classes.select("node", "digest", "least_id").join(comps, "node", "left").withColumn(
+        "comp", F.coalesce("comp", "node"))
+    least = known.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    named = known.join(least, "comp").select("digest", "component_id", F.col("comp").alias("component"))
     return told.select("doc_id", "text_hash", "n", "digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),

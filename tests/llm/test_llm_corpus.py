@@ -78,6 +78,30 @@ def test_components_equal_brute_force(spark, seed, common, rounds):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in found], key=repr) == brute_force_components(rows)
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_links_are_found_where_every_pivot_is_ruled_out(spark, rounds):
+    """A long text with the whole of two near copies is the pivot of all that they share."""
+    def prefix(text):
+        own = shingles(WordHashes(lower=True).of(text.encode()), 5)
+        return set(own[:jaccard_join._prefix_length(len(own), 80)].tolist())
+
+    for seed in range(2000):
+        rng = random.Random(seed)
+        words = rng.choices(WORDS, k=40)
+        b, c = " ".join(words), " ".join([*words[:-1], "other"])
+        a = " ".join([b, c, *rng.choices(WORDS, k=120)])
+        if prefix(b) & prefix(c) <= prefix(a):
+            break
+    least = min(spark.range(3).select("id", F.xxhash64("id", F.lit(0)).alias("by")).collect(), key=lambda r: r.by).id
+    texts = [b, c]
+    texts.insert(least, a)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = jaccard_join.jaccard_components(docs, rounds=rounds).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in found], key=repr) == brute_force_components(rows)
+    assert len({r.component_id for r in found}) == 2
+
+
 def test_components_of_edges(spark):
     found = jaccard_join.jaccard_components(edge_docs(spark)).collect()
     wordless = [row for row in ROWS if not tokens(row[1])]
