@@ -278,6 +278,35 @@ def test_radius_search_equals_brute_force(spark, radius, blocks):
     assert {(int(r.query, 16), int(r.found, 16)) for r in found} == wanted
 
 
+def edited_texts(rng, n=500):
+    """(text, similarity to the first text) of one text and copies with single words changed."""
+    words = [f"v{rng.randrange(5000)}" for _ in range(n)]
+    for changed in (0, 1, 2, 4, 8, 11, 16, 30):
+        copy = list(words)
+        for k in rng.sample(range(n), changed):
+            copy[k] = f"new{rng.randrange(10 ** 6)}"
+        text, own, other = " ".join(copy), sets(" ".join(words)), sets(" ".join(copy))
+        yield text, len(own & other) / len(own | other)
+
+
+def test_edited_texts_are_found_as_by_brute_force(spark):
+    rng, maker, made, queries, likeness = random.Random(11), simhash.SimHash(), [], [], {}
+    for _ in range(20):
+        for k, (text, similar) in enumerate(edited_texts(rng)):
+            made.append(maker.of(text.encode()))
+            if not k:
+                queries.append(made[-1])
+            likeness[simhash.hexadecimal(queries[-1]), simhash.hexadecimal(made[-1])] = similar
+    table = lambda x: spark.createDataFrame(
+        [(simhash.hexadecimal(w), w.view(np.int64).tolist()) for w in x], "fingerprint string, words array<long>")
+    found = {(r.query, r.found): r.distance for r in simhash.within_radius(table(queries), table(made)).collect()}
+    apart = {(simhash.hexadecimal(q), simhash.hexadecimal(w)): int(np.bitwise_count(q ^ w).sum())
+             for q in queries for w in made}
+    assert found == {pair: d for pair, d in apart.items() if d <= simhash.RADIUS}
+    near = [pair for pair, similar in likeness.items() if similar >= 0.85]
+    assert len(near) > 80 and sum(pair in found for pair in near) >= 0.95 * len(near)
+
+
 # -- language model ---------------------------------------------------------------------------
 
 
