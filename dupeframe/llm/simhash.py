@@ -217,6 +217,14 @@ def compare_with_next(docs: DataFrame, bits: int = BITS, id_col: str = "doc_id",
     return walked.where("place = 'row'").select(*names).unionByName(ends)
 
 
+def with_counts(compared: DataFrame, queried: Column, counts: DataFrame) -> DataFrame:
+    """``compared`` with n_within of ``counts`` (query, n_within); rows that are not ``queried``
+    have null and take no part in the join."""
+    asked = F.coalesce(queried, F.lit(False))
+    joined = compared.where(asked).join(counts, F.col("fingerprint") == F.col("query"), "left").drop("query")
+    return joined.unionByName(compared.where(~asked).withColumn("n_within", F.lit(None).cast("long")))
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their edited texts; for every id divisible by 50 also
     the number of documents within ``RADIUS`` bits, itself included (else null)."""
@@ -227,7 +235,6 @@ def op9_simhash(spark, sf_dir: str) -> DataFrame:
     copies = compared.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"))
     counts = found.join(copies, F.col("found") == F.col("fingerprint")).groupBy("query").agg(
         F.sum("copies").alias("n_within"))
-    asked = F.when(queried, F.col("fingerprint"))
-    return compared.join(counts, asked == F.col("query"), "left").select(
+    return with_counts(compared, queried, counts).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
         "near_next", "n_within")

@@ -307,6 +307,17 @@ def test_edited_texts_are_found_as_by_brute_force(spark):
     assert len(near) > 80 and sum(pair in found for pair in near) >= 0.95 * len(near)
 
 
+def test_rows_that_are_not_queried_take_no_part_in_the_join(spark):
+    rows = [(k, f"f{k % 7}") for k in range(60)] + [(None, "f1")]
+    table = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    counts = spark.createDataFrame([("f0", 3), ("f3", 5)], "query string, n_within long")
+    made = simhash.with_counts(table, F.col("doc_id") % 20 == 0, counts)
+    wanted = [(k, f, {"f0": 3, "f3": 5}.get(f) if k is not None and k % 20 == 0 else None) for k, f in rows]
+    assert sorted([(r.doc_id, r.fingerprint, r.n_within) for r in made.collect()], key=repr) == sorted(wanted, key=repr)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Union") < plan.index("Join")
+
+
 # -- language model ---------------------------------------------------------------------------
 
 
