@@ -440,8 +440,11 @@ def rates(spark, d):
 @query
 def list_join(spark, d):
     """Each file with its directories, joined as a report joins its folders."""
+    above = F.transform(
+        paths.beginnings(F.col("path")), lambda start: F.when(start == "", F.lit("/")).otherwise(start)
+    )
     return corpus.files(spark, d).select(
-        "path", formats.join_list(paths.ancestors(F.col("path"))).alias("folders")
+        "path", formats.join_list(F.array_append(above, F.col("path"))).alias("folders")
     )
 
 
