@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from dupeframe.llm import (
-    chat_format, jaccard_join, language_model, mixing, ordinal, packing, quality_rules, simhash,
-    token_output, url_filters,
+    chat_format, collocations, jaccard_join, language_model, licenses, mixing, ordinal, packing,
+    quality_rules, simhash, token_output, url_filters, whitening,
 )
 
 QUERIES = {
@@ -18,10 +18,14 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_simhash": simhash.op9_simhash,
     "op10_language_model": language_model.op10_language_model,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op7_url_filters": url_filters.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
 }
