@@ -117,9 +117,12 @@ class _Chunks:
         return mixed(found ^ np.repeat(own, counts)), np.cumsum(counts) - counts, counts
 
 
-def _pairs(hashes: np.ndarray) -> np.ndarray:
-    """A hash for each word and the next."""
-    return mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each place: of its word and the size - 1 after it."""
+    value = hashes[:max(0, len(hashes) - size + 1)].copy()
+    for k in range(1, size):
+        value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + len(value)])
+    return value
 
 
 def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -167,83 +170,102 @@ def _word_hashes(words: DataFrame) -> DataFrame:
     return words.select("lang", "phrase").mapInArrow(run, "hash long")
 
 
-def _pair_counts(dictionary: DataFrame, word_map) -> DataFrame:
-    """Rows (hash, n) of the word pairs whose words are both in the map, added up over chunks."""
+class _Slice:
+    """The words of some chunks, and the places at which phrases of any size start."""
+
+    def __init__(self, reader: _Chunks, langs: list[str], chunks: list[str], owned: np.ndarray):
+        self.hashes, self.first, self.counts = reader.read(langs, chunks)
+        self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        place = np.arange(len(self.hashes)) - self.first[self.owner]
+        self.mine = place < owned[self.owner]
+        # a number of 32 bits for each chunk, from its words
+        sums = np.add.reduceat(mixed(self.hashes + place.astype(np.uint64)), self.first)
+        self.numbers = (mixed(sums) >> np.uint64(32)).astype(np.uint32)
+
+    def starts(self, size: int) -> np.ndarray:
+        """True where ``size`` words of one chunk start with a word that it owns."""
+        count = max(0, len(self.hashes) - size + 1)
+        return self.mine[:count] & (self.owner[:count] == self.owner[size - 1:])
+
+
+def _gram_counts(dictionary: DataFrame, sizes: range, marks, marked_size: int) -> DataFrame:
+    """Rows (hash, a, chunk) of the phrases of ``sizes`` words whose every ``marked_size`` neighbouring words
+    are in the map ``marks``: how often they occur, and the number of a chunk that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, bits, kept, weights, held = _Chunks(), word_map.value, [], [], 0
+        reader, bits, kept, held = _Chunks(), marks.value, [], 0
 
         def out() -> pa.RecordBatch:
-            keys, times = np.concatenate(kept), np.concatenate(weights)
+            keys, times, numbers = (np.concatenate(column) for column in zip(*kept))
             order = np.argsort(keys, kind="stable")
-            keys, times = keys[order], times[order]
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, times, numbers = keys[order], times[order], numbers[order]
+            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             return pa.RecordBatch.from_arrays([
-                pa.array(keys[starts].view(np.int64)), pa.array(np.add.reduceat(times, starts))], names=["hash", "n"])
+                pa.array(keys[at].view(np.int64)), pa.array(np.add.reduceat(times, at)),
+                pa.array(np.minimum.reduceat(numbers, at).view(np.int32))], names=["hash", "a", "chunk"])
 
         for batch in batches:
             for langs, chunks, owned, times in _slices(batch):
-                hashes, first, counts = reader.read(langs, chunks)
-                known = _marked(bits, hashes)
-                owner = np.repeat(np.arange(len(counts)), counts)
-                place = np.arange(len(hashes)) - first[owner]
-                pair = known[:-1] & known[1:] & (owner[:-1] == owner[1:]) & (place[:-1] < owned[owner[:-1]])
-                at = np.flatnonzero(pair)
-                if len(at):
-                    kept.append(_pairs(hashes)[at])
-                    weights.append(times[owner[at]])
-                    held += len(at)
-                if held > 4 * _HELD:
+                part = _Slice(reader, langs, chunks, owned)
+                known = _marked(bits, _grams(part.hashes, marked_size))
+                for size in sizes:
+                    starts = part.starts(size)
+                    for k in range(size - marked_size + 1):
+                        starts &= known[k:k + len(starts)]
+                    at = np.flatnonzero(starts)
+                    if len(at):
+                        owner = part.owner[at]
+                        kept.append((_grams(part.hashes, size)[at], times[owner], part.numbers[owner]))
+                        held += len(at)
+                if held > 8 * _HELD:
                     yield out()
-                    kept, weights, held = [], [], 0
+                    kept, held = [], 0
         if held:
             yield out()
 
-    return dictionary.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return dictionary.mapInArrow(run, "hash long, a long, chunk int").groupBy("hash").agg(
+        F.sum("a").alias("a"), F.min("chunk").alias("chunk"))
 
 
-def _phrase_counts(dictionary: DataFrame, pair_map, most_words: int) -> DataFrame:
-    """Rows (lang, phrase, words, a) of the phrases of 2 to ``most_words`` words of which all word pairs
-    are in the map, by their text."""
+def _entry(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return mixed(hashes ^ (numbers.astype(np.uint64) << np.uint64(32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, bits, found = _Chunks(), pair_map.value, Counter()
 
-        def out() -> pa.RecordBatch:
-            keys = list(found)
-            return pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                pa.array([k[2] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64()),
-            ], names=["lang", "phrase", "words", "a"])
+def _with_texts(grams: DataFrame, dictionary: DataFrame, most_words: int) -> DataFrame:
+    """The ``grams`` (hash, a, chunk) with lang, phrase and words, from the chunk that each names."""
 
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for langs, chunks, owned, times in _slices(batch):
-                hashes, first, counts = reader.read(langs, chunks)
-                owner = np.repeat(np.arange(len(counts)), counts)
-                pair = _marked(bits, _pairs(hashes)) & (owner[:-1] == owner[1:])
-                at = np.flatnonzero(pair)
-                if not len(at):
-                    continue
-                # runs of marked pairs: how many pairs still follow at each place, this one included
-                ends = np.append(at[1:] != at[:-1] + 1, True)
-                stop = at[np.flatnonzero(ends)[np.cumsum(ends) - ends]]
-                place = at - first[owner[at]]
-                mine = place < owned[owner[at]]
-                split, words = -1, []
-                for i, p, more, c in zip(at[mine].tolist(), place[mine].tolist(), (stop - at + 1)[mine].tolist(),
-                                         owner[at][mine].tolist()):
-                    if c != split:
-                        split, words, lang, n = c, chunks[c].split(" "), langs[c], int(times[c])
-                    for size in range(2, min(more + 1, most_words) + 1):
-                        found[lang, " ".join(words[p:p + size]), size] += n
-                if len(found) > _HELD:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
+            hashes, numbers = (batch.column(k).to_numpy() for k in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_entry(hashes.view(np.uint64), numbers.view(np.uint32)).view(np.int64))], names=["entry"])
+
+    entries = grams.select("hash", "chunk").mapInArrow(enter, "entry long")
+    marks = grams.sparkSession.sparkContext.broadcast(frequent_map(entries, grams.count()))
 
-    return dictionary.mapInArrow(run, "lang string, phrase string, words int, a long").groupBy(
-        "lang", "phrase", "words").agg(F.sum("a").alias("a"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, bits = _Chunks(), marks.value
+        for batch in batches:
+            for langs, chunks, owned, _ in _slices(batch):
+                part, rows = _Slice(reader, langs, chunks, owned), []
+                for size in range(2, most_words + 1):
+                    hashes, starts = _grams(part.hashes, size), part.starts(size)
+                    at = np.flatnonzero(starts)
+                    at = at[_marked(bits, _entry(hashes[at], part.numbers[part.owner[at]]))]
+                    for place, c in zip(at.tolist(), part.owner[at].tolist()):
+                        first = place - int(part.first[c])
+                        phrase = " ".join(chunks[c].split(" ")[first:first + size])
+                        rows.append((int(hashes[place].view(np.int64)), langs[c], phrase, size))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int32()))],
+                        names=["hash", "lang", "phrase", "words"])
+
+    named = dictionary.mapInArrow(run, "hash long, lang string, phrase string, words int").groupBy("hash").agg(
+        F.min(F.struct("lang", "phrase", "words")).alias("text"))
+    found = stage(grams.join(named, "hash").select("text.*", "a"), "phrases")
+    marks.unpersist()
+    return found
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, most_words: int = MOST_WORDS,
@@ -252,27 +274,31 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, most_words: int =
     occur ``min_count`` times or more in a language, and rows (lang, n) of its word occurrences.
 
     Everything is counted inside the distinct chunks of ``chunk_dictionary``, weighted by how often the
-    parse has them. A frequent phrase has frequent parts only, so counting goes up in three steps: words by
-    their text; pairs of words in a map of the frequent words, by hash; phrases whose pairs are
-    in a map of the frequent pairs, by their text. Maps and hashes only rule out what cannot be
-    frequent: counts come from texts and are exact. No counts but those of phrases that may be frequent
-    are kept by text, and no text is shuffled but the dictionary.
+    parse has them. A frequent phrase has frequent parts only, so counting goes up in steps: words by
+    their text; two and three words in a row that are all in a map of the frequent words; more
+    words whose every three are in a map of the frequent threes. Maps rule out only what cannot be
+    frequent. Phrases of several words are counted by a 64-bit hash of their language and words; of each
+    frequent one a chunk is known that has it, and its text is read there once. No text is
+    shuffled but the dictionary.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     dictionary = stage(chunk_dictionary(docs, most_words, trigger, text_col, lang_col), "chunks")
     words = stage(dictionary.select(
         "lang", F.explode(F.slice(F.split("chunk", " "), F.lit(1), F.col("owned"))).alias("phrase"), "times").groupBy(
         "lang", "phrase").agg(F.sum("times").alias("a")), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = words.where(F.col("a") >= min_count)
-    word_map = spark.sparkContext.broadcast(frequent_map(_word_hashes(frequent), frequent.count()))
-    pairs = stage(_pair_counts(dictionary, word_map).where(F.col("n") >= min_count).select("hash"), "pairs")
-    pair_map = spark.sparkContext.broadcast(frequent_map(pairs, pairs.count()))
-    longer = _phrase_counts(dictionary, pair_map, most_words).where(F.col("a") >= min_count)
-    phrases = stage(longer.unionByName(frequent.select("lang", "phrase", F.lit(1).alias("words"), "a")), "phrases")
-    word_map.unpersist()
-    pair_map.unpersist()
-    return phrases, totals
+    marks = context.broadcast(frequent_map(_word_hashes(frequent), frequent.count()))
+    often = F.col("a") >= min_count
+    grams = stage(_gram_counts(dictionary, range(2, min(3, most_words) + 1), marks, 1).where(often), "grams")
+    marks.unpersist()
+    if most_words > 3:  # the map of twos and threes has the threes
+        marks = context.broadcast(frequent_map(grams.select("hash"), grams.count()))
+        longer = _gram_counts(dictionary, range(4, most_words + 1), marks, 3).where(often)
+        grams = stage(grams.unionByName(longer), "grams")
+        marks.unpersist()
+    phrases = _with_texts(grams, dictionary, most_words)
+    return phrases.unionByName(frequent.select("lang", "phrase", F.lit(1).alias("words"), "a")), totals
 
 
 # -- scores ------------------------------------------------------------------------------------
