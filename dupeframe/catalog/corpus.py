@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dupeframe.plans.scan import local_path
 from dupeframe.schemas import MANIFEST
+from dupeframe.sources.places import is_uri
 from dupeframe.sources.table import manifest_from_table
 from dupeframe.staging import stage_path
 
@@ -87,28 +88,56 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select(*MANIFEST.names)
 
 
-def write_tree(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
-    """Write every document as a file below the staging folder, with its time; the folder that
-    stands for ``/``, and the corpus' roots in order. Tasks write where they run."""
+def write_tree(
+    spark: SparkSession, sf_dir: str, documents: DataFrame | None = None, links: bool = False
+) -> tuple[str, list[str]]:
+    """Write every document (or those of a manifest with content) as a file below the staging folder,
+    with its time; the folder that stands for ``/``, and the corpus' roots in order.
+
+    Tasks write where they run, so the staging folder must be a mount that all of them share.
+    With ``links``, a German file gets a symbolic link beside it, a French one a pipe, and a
+    Spanish one's folder a link to itself; none of these is a regular file.
+    """
     top = local_path(stage_path(spark, "tree"))
+    if is_uri(top):
+        raise RuntimeError(f"files can be written to a mounted staging folder only, not to {top}")
 
     def write(batches):
         import os
 
         for batch in batches:
             for path, content, mtime in zip(*[column.to_pylist() for column in batch.columns]):
-                os.makedirs(os.path.dirname(top + path), exist_ok=True)
-                with open(top + path, "wb") as stream:
+                name = top + path
+                os.makedirs(os.path.dirname(name), exist_ok=True)
+                with open(name, "wb") as stream:
                     stream.write(content)
-                os.utime(top + path, (mtime, mtime))
+                os.utime(name, (mtime, mtime))
+                for place, odd, make in (
+                    ("/de/", name + ".link", lambda odd: os.symlink(name, odd)),
+                    ("/fr/", name + ".pipe", os.mkfifo),
+                    ("/es/", os.path.dirname(name) + "/again", lambda odd: os.symlink(os.path.dirname(name), odd)),
+                ):
+                    if links and place in path:
+                        try:
+                            make(odd)
+                        except FileExistsError:  # of another file of the folder, or an earlier attempt
+                            pass
             yield batch.select(["path"])
 
-    written = files(spark, sf_dir).select("path", F.col("content").cast("binary"), "mtime")
+    source = files(spark, sf_dir) if documents is None else documents
+    written = source.select("path", F.col("content").cast("binary"), "mtime")
     written.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
     last = table(spark, sf_dir, "documents").agg(F.max(_source_number())).first()[0]
     return top, [f"{top}/corpus/src{i}" for i in range(last + 1)]
 
 
+def with_hidden_and_empty(documents: DataFrame) -> DataFrame:
+    """German files under hidden names, and those of every seventh source empty."""
+    name = F.when(F.col("path").contains("/de/"), F.regexp_replace("path", "/([^/]*)$", "/.$1")).otherwise(F.col("path"))
+    content = F.when(F.col("root_ord") % 7 == 0, F.lit("")).otherwise(F.col("content"))
+    return documents.withColumns({"path": name, "content": content})
+
+
 def below(top: str, name: str = "path") -> Column:
     """A path of ``write_tree`` as it is in the corpus."""
     return F.substring(name, F.lit(len(top) + 1), F.length(name)).alias(name)

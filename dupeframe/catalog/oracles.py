@@ -51,6 +51,14 @@ def _uri_scope(sources: range) -> str:
     )
 
 
+# Objects: German ones under hidden names, those of every seventh source empty.
+_OBJECTS = FILES_SQL.replace("files AS", "raw AS", 1) + """,
+files AS (
+  SELECT CASE WHEN lang = 'de' THEN regexp_replace(path, '/([^/]*)$', '/.\\1') ELSE path END AS path,
+         root, root_ord, CASE WHEN root_ord % 7 = 0 THEN 0 ELSE size END AS size, mtime,
+         CASE WHEN root_ord % 7 = 0 THEN '' ELSE content END AS content, doc_id, lang
+  FROM raw)"""
+
 _MANY = [f"/corpus/src{i}/{lang}" for i in range(3, 20) for lang in ("de", "fr", "es")]
 
 _PAGE_PATHS = "(SELECT page_id, '/web/' || regexp_replace(url, '^https?://', '') AS path FROM pages)"
@@ -336,6 +344,28 @@ FROM events GROUP BY 1""",
     "rates": f"""
 WITH {STORE_SQL}, {_LOOKUP}
 SELECT root, CAST(count(hash) AS DOUBLE) / count(*) * 100 AS hit_rate FROM looked GROUP BY root""",
+    "incremental_store": f"""
+WITH {FILES_SQL},
+kept AS (
+  SELECT * FROM files WHERE NOT (
+    doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+    AND (path LIKE '/corpus/src1/%' OR path LIKE '/corpus/src7/en/%' OR path LIKE '/corpus/src4/%')))
+SELECT path AS filepath, size, mtime, sha256(content) AS hash, 'sha256' AS algorithm FROM kept
+UNION ALL
+SELECT path, size, mtime, md5(content), 'md5' FROM kept
+WHERE path LIKE '/corpus/src1/%' OR path LIKE '/corpus/src10/en/%' OR path LIKE '/corpus/src7/%'
+   OR path LIKE '/corpus/src12/de/%'""",
+    "store_reset": f"""
+WITH {FILES_SQL}
+SELECT 'scanned' AS state, path AS filepath, sha256(content) AS hash FROM files
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "store_two_runs": f"""
+WITH {FILES_SQL},
+found AS (SELECT *, root IN ('/corpus/src1', '/corpus/src3', '/corpus/src7') AS scanned FROM files)
+SELECT path AS filepath, size, mtime,
+       CASE WHEN scanned THEN sha256(content) ELSE sha256('') END AS hash, 'sha256' AS algorithm
+FROM found
+WHERE scanned OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""",
     "list_join": f"""
 WITH {FILES_SQL}
 SELECT path, '/, /corpus, ' || root || ', ' || root || '/' || lang || ', ' || path AS folders
@@ -490,6 +520,15 @@ ORACLES |= {
     "tree_manifest": ORACLES["manifest"],
     "tree_scan": ORACLES["dup_members"],
     "tree_scan_excludes": ORACLES["dup_members_scoped"],
+    "tree_links": f"WITH {FILES_SQL} SELECT path, size FROM files",
+    "object_scan": f"""
+WITH {_OBJECTS + MEMBERS_SQL[len(FILES_SQL):]}
+SELECT group_idx, hash, n_members, member_pos, path, size FROM members""",
+    "object_manifest": f"""
+WITH {_OBJECTS}
+SELECT path, {_first_root(OVERLAPPING, lambda i, base: f"'{base}'")} AS root,
+       CAST({_first_root(OVERLAPPING, lambda i, base: str(i))} AS INTEGER) AS root_ord, size
+FROM files WHERE {_beneath('path', OVERLAPPING)} AND NOT {_beneath('path', EXCLUDES)}""",
     "tree_incremental": f"""
 WITH {FILES_SQL}
 SELECT path, sha256(content) AS hash, NOT {_beneath('path', EXCLUDES)} AS hit FROM files""",

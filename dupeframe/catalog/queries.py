@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from dupeframe import hadoop
 from dupeframe.catalog import corpus
 from dupeframe.catalog.corpus import table
 from dupeframe.functions import formats, paths
@@ -19,6 +20,7 @@ from dupeframe.schemas import MANIFEST
 from dupeframe.session import HOT_ROWS_KEY
 from dupeframe.sources import report
 from dupeframe.sources.actions import parse_actions
+from dupeframe.sources.store import FingerprintStore, open_store
 from dupeframe.sources.tree import read_tree
 from dupeframe.staging import stage, stage_path
 
@@ -370,6 +372,69 @@ def incremental_scan(spark, d):
     return _scan(spark, d, store=store).fingerprints.select("path", "hash", "hit")
 
 
+def _store_rows(spark, directory: str) -> DataFrame:
+    return open_store(spark, directory).read().select("filepath", "size", "mtime", "hash", "algorithm")
+
+
+def _without_toxic(spark, d) -> DataFrame:
+    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return corpus.as_files(table(spark, d, "documents").join(toxic, "doc_id", "left_anti"))
+
+
+@query
+def incremental_store(spark, d):
+    """The rows of a store after scans under two algorithms, and one of some roots after the toxic
+    documents were deleted: it prunes rows of both algorithms there."""
+    store = stage_path(spark, "store")
+    scan_table(corpus.files(spark, d), algorithm="sha256", store=store, paths_unique=True)
+    scan_table(corpus.files(spark, d), INCLUDES, algorithm="md5", store=store, paths_unique=True)
+    scan_table(_without_toxic(spark, d), PRUNE_ROOTS, algorithm="sha256", store=store, paths_unique=True)
+    return _store_rows(spark, store)
+
+
+@query
+def store_reset(spark, d):
+    """A store whose version has another layout starts anew; a scan then fills it."""
+    store = stage_path(spark, "store")
+    corpus.stored(spark, d).drop("algorithm").write.parquet(f"{store}/v00000001")
+    hadoop.write_text(spark, f"{store}/v00000001/_layout.json", '{"columns": {}, "key": []}')
+    emptied = open_store(spark, store).read().select(F.lit("reset").alias("state"), "filepath", "hash")
+    emptied = stage(emptied, "emptied")
+    scan_table(_without_toxic(spark, d), algorithm="sha256", store=store, paths_unique=True)
+    return emptied.unionByName(_store_rows(spark, store).select(F.lit("scanned").alias("state"), "filepath", "hash"))
+
+
+class _Overtaken(FingerprintStore):
+    """A store where another run publishes its version just before this one's."""
+
+    def __init__(self, spark, directory: str, other: Callable[[], None]):
+        super().__init__(spark, directory)
+        self.other = [other]
+
+    def _publish(self, state, parts) -> bool:
+        while self.other:
+            self.other.pop()()
+        return super()._publish(state, parts)
+
+
+@query
+def store_two_runs(spark, d):
+    """Two runs over different roots build on one version; the later one merges again."""
+    store = stage_path(spark, "store")
+    scan_table(corpus.present(spark, d).withColumn("content", F.lit("")), algorithm="sha256", store=store,
+               paths_unique=True)
+    hashed = stage(fp_sha256(spark, d).join(corpus.metadata(spark, d), "path"), "hashed")
+
+    def run(opened: FingerprintStore, roots: list[str]) -> None:
+        opened.apply_scan(stage(scope.in_scope(hashed, roots), "found"), "sha256", roots)
+
+    def other() -> None:
+        run(open_store(spark, store), ["/corpus/src3", "/corpus/src7"])
+
+    run(_Overtaken(spark, store, other), ["/corpus/src1", "/corpus/src3"])
+    return _store_rows(spark, store)
+
+
 # -- summaries and formats --------------------------------------------------------------------
 
 
@@ -809,6 +874,31 @@ def tree_incremental(spark, d):
         corpus.below(top), "hash", "hit")
 
 
+@query
+def tree_links(spark, d):
+    """Links, links to folders and pipes beside the files are no items."""
+    top, roots = corpus.write_tree(spark, d, links=True)
+    return read_tree(spark, roots).select(corpus.below(top), "size")
+
+
+@query
+def object_scan(spark, d):
+    """The same files as objects of a store, named by URIs; hidden and empty ones count."""
+    top, roots = corpus.write_tree(spark, d, corpus.with_hidden_and_empty(corpus.files(spark, d)))
+    result = scan_tree(spark, [f"file://{root}/" for root in roots], algorithm="sha256")
+    return result.members.select(
+        "group_idx", "hash", "n_members", "member_pos", corpus.below(f"file://{top}"), "size")
+
+
+@query
+def object_manifest(spark, d):
+    """Objects below overlapping prefixes, without excluded ones."""
+    top, _ = corpus.write_tree(spark, d, corpus.with_hidden_and_empty(corpus.files(spark, d)))
+    found = read_tree(
+        spark, [f"file://{top}{p}" for p in OVERLAPPING], [f"file://{top}{p}" for p in EXCLUDES])
+    return found.select(corpus.below(f"file://{top}"), corpus.below(f"file://{top}", "root"), "root_ord", "size")
+
+
 def _tree_plan(spark, d) -> tuple[str, ReclaimPlan]:
     top, roots = corpus.write_tree(spark, d)
     result = scan_tree(spark, roots, algorithm="sha256")

@@ -3,6 +3,10 @@ so that they work on any store the session can read."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -54,6 +58,51 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file, whole, where there is none; False if there is one.
+
+    The text goes to a file beside it, which then gets the name: by a hard link on a local or
+    mounted file system, elsewhere by a rename that does not replace (atomic on HDFS and the like; an object
+    store must refuse to overwrite for two writers to be told apart).
+    """
+    fs, hpath = _fs(spark, path)
+    parent = hpath.getParent()
+    fs.mkdirs(parent)
+    beside = f"{parent}/.{uuid.uuid4().hex}"
+    write_text(spark, beside, text)
+    try:
+        if fs.getScheme() == "file":
+            local = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside).toUri().getPath()
+            try:
+                os.link(local, hpath.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        return _rename_new(spark, fs, beside, hpath)
+    finally:
+        delete(spark, beside)
+
+
+def _rename_new(spark: SparkSession, fs, source: str, target) -> bool:
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(jvm.org.apache.hadoop.fs.Path(source), target, none)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def modified(spark: SparkSession, path: str) -> float:
+    """When a file or folder was last changed, in seconds since 1970."""
+    fs, hpath = _fs(spark, path)
+    return fs.getFileStatus(hpath).getModificationTime() / 1000
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, hpath = _fs(spark, path)
     stream = fs.open(hpath)

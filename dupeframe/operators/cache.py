@@ -22,18 +22,19 @@ def lookup(manifest: DataFrame, store: DataFrame, algorithm: str) -> DataFrame:
     """
     stored = store.where(
         (F.col("algorithm") == F.lit(algorithm)) & (F.col("hash") != "")
-    ).select(
-        F.col("filepath").alias("path"),
-        F.col("size").alias("_size"),
-        F.col("mtime").alias("_mtime"),
-        F.col("hash").alias("_hash"),
-    )
-    fresh = is_fresh(F.col("size"), F.col("mtime"), F.col("_size"), F.col("_mtime"))
+    ).select(F.col("filepath").alias("path"), F.struct("size", "mtime", "hash").alias("_stored"))
+    return answered(manifest.join(stored, "path", "left"), manifest.columns)
+
+
+def answered(attached: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns``, ``hash`` and ``hit`` of items that have the store's row of their path as
+    ``_stored`` (size, mtime, hash; NULL without one)."""
+    stored = F.col("_stored")
+    fresh = is_fresh(F.col("size"), F.col("mtime"), stored["size"], stored["mtime"]) & (stored["hash"] != "")
     return (
-        manifest.join(stored, "path", "left")
-        .withColumn("hash", F.when(fresh, F.col("_hash")))
+        attached.withColumn("hash", F.when(fresh, stored["hash"]))
         .withColumn("hit", F.col("hash").isNotNull())
-        .select(*manifest.columns, "hash", "hit")
+        .select(*columns, "hash", "hit")
     )
 
 
@@ -114,3 +115,19 @@ def merge_scan(
         F.when(F.col("_found"), F.col("algorithm") != F.lit(algorithm)).otherwise(outside)
     )
     return kept.select(*store.columns).unionByName(fresh.select(*store.columns))
+
+
+def removed_rows(
+    current: DataFrame, seen: DataFrame, roots: list[str] | None, file_roots: list[str] = ()
+) -> DataFrame:
+    """The rows of a scan's scope whose ``filepath`` was not ``seen``, marked as removed."""
+    return current.where(in_prune_scope(F.col("filepath"), roots, file_roots)).join(
+        seen, "filepath", "left_anti"
+    ).select("filepath", "size", "mtime", "hash", F.lit(True).alias("removed"))
+
+
+def written_rows(attached: DataFrame) -> DataFrame:
+    """The rows of found items that differ from the store's row ``_stored``, or have none."""
+    differs = ~F.struct("size", "mtime", "hash").eqNullSafe(F.col("_stored"))
+    return attached.where(differs).select(
+        F.col("path").alias("filepath"), "size", "mtime", "hash", F.lit(False).alias("removed"))

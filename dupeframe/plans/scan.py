@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 import time
 from dataclasses import dataclass
 
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dupeframe.functions.fingerprint import check_algorithm, fingerprint
 from dupeframe.operators.bitmap import among
-from dupeframe.operators.cache import lookup, merge_scan
 from dupeframe.operators.groups import (
     group_table,
     number_groups,
@@ -20,6 +20,7 @@ from dupeframe.operators.groups import (
 from dupeframe.operators.scope import dedupe_paths, exclude, in_scope
 from dupeframe.schemas import MANIFEST
 from dupeframe.sources.files import fingerprint_files
+from dupeframe.sources.places import is_uri, resolved, stat
 from dupeframe.sources.report import Summary, check_report_paths, write_reports
 from dupeframe.sources.store import FingerprintStore, open_store
 from dupeframe.sources.tree import read_tree
@@ -89,8 +90,7 @@ def scan_table(
     if includes is not None:
         scoped = in_scope(scoped, includes)
     if opened is not None:
-        stored = None if opened.current_version() is None else opened.read()
-        hashed = _reuse_table(scoped, stored, algorithm, paths_unique)
+        hashed = _reuse_table(scoped, opened, algorithm, paths_unique)
     else:
         wanted = _prefilter_content(scoped) if size_prefilter else scoped
         hashed = _hash_table(wanted, algorithm)
@@ -113,25 +113,24 @@ def scan_tree(
     on_error: str = "fail",
     outputs: list[str] = (),
 ) -> ScanResult:
-    """Scan file trees that all executors mount.
+    """Scan file trees that all executors mount, or the objects below URIs of stores.
 
     Sizes come from the listing, so files of a size that occurs once are not read at all. With
     a store every file is fingerprinted, as the store must hold all of them.
     """
-    import os
-
     started = time.perf_counter()
     check_algorithm(algorithm)
     check_report_paths(list(outputs))
     opened = open_store(spark, store) if store else None
     # the library's own files are no items where a root is above them
-    dropped = [*excludes, *[local_path(store)] * bool(store)]
-    staged = os.path.realpath(local_path(stage_root(spark)))
-    if not any(f"{os.path.realpath(root)}/".startswith(f"{staged}/") for root in includes):
-        dropped.append(staged)
+    own = [store] * bool(store)
+    staged = stage_root(spark)
+    if not any(f"{resolved(local_path(root))}/".startswith(f"{resolved(local_path(staged))}/") for root in includes):
+        own.append(staged)
+    dropped = [*excludes, *[name for path in own for name in _spellings(path)]]
     manifest = read_tree(spark, includes, dropped)
     if opened is not None:
-        looked = stage(lookup(manifest, opened.read(), algorithm), "lookup")
+        looked = stage(opened.look_up(manifest, algorithm), "lookup")
         read = stage(fingerprint_files(
             looked.where(~F.col("hit")).select(*MANIFEST.names), algorithm, on_error), "read")
         fresh = read.drop("error").withColumn("hit", F.lit(False))
@@ -145,11 +144,17 @@ def scan_tree(
             hashed = _with_hashes(manifest, hashed)
         hashed = hashed.withColumn("hit", F.lit(False))
     errors = read.where(F.col("error").isNotNull()).select("path", "error")
-    folders = [os.path.realpath(root) for root in includes]
-    files = [root for root in folders if os.path.isfile(root)]
+    folders = [resolved(root) for root in includes]
+    files = [root for root in folders if stat(root)[0] == "file"]
     return _finish(hashed, folders, files, algorithm, opened, outputs, started, errors)
 
 
+def _spellings(path: str) -> list[str]:
+    """A path as a mounted one and as the URI of a store, as roots may be either."""
+    local = local_path(path)
+    return [local] if is_uri(local) else [local, f"file://{os.path.realpath(local)}"]
+
+
 def local_path(name: str) -> str:
     """A ``file:`` URI as a path; other names as they are."""
     from urllib.parse import unquote, urlparse
@@ -176,7 +181,7 @@ def _prefilter_content(manifest: DataFrame) -> DataFrame:
 
 
 def _reuse_table(
-    manifest: DataFrame, stored: DataFrame | None, algorithm: str, paths_unique: bool
+    manifest: DataFrame, opened: FingerprintStore, algorithm: str, paths_unique: bool
 ) -> DataFrame:
     """Fingerprints of a table, computed only for rows the store does not answer.
 
@@ -187,10 +192,10 @@ def _reuse_table(
     def one_per_path(rows: DataFrame) -> DataFrame:
         return rows if paths_unique else dedupe_paths(rows)
 
-    if stored is None:
+    if not opened.has(algorithm):
         return one_per_path(_hash_table(manifest, algorithm)).withColumn("hit", F.lit(False))
     looked = stage(
-        lookup(one_per_path(manifest.select(*MANIFEST.names)), stored, algorithm), "lookup")
+        opened.look_up(one_per_path(manifest.select(*MANIFEST.names)), algorithm), "lookup")
     misses = looked.where(~F.col("hit")).select(*MANIFEST.names)
     to_hash = among(manifest, F.col("path"), misses.select("path"))
     hashed = one_per_path(_hash_table(to_hash, algorithm)).select("path", "hash")
@@ -225,15 +230,9 @@ def _finish(
         errors=errors,
     )
     if opened is not None:
-        opened.replace(_next_version(opened, result, roots, file_roots))
+        directories = None if roots is None else [root for root in roots if root not in file_roots]
+        opened.apply_scan(
+            fingerprints.where(F.col("hash").isNotNull()), algorithm, directories, file_roots)
     if outputs:
         result.write(list(outputs))
     return result
-
-
-def _next_version(
-    opened: FingerprintStore, result: ScanResult, roots: list[str] | None, file_roots: list[str]
-) -> DataFrame:
-    found = result.fingerprints.where(F.col("hash").isNotNull())
-    directories = None if roots is None else [root for root in roots if root not in file_roots]
-    return merge_scan(opened.read(), found, result.algorithm, directories, file_roots)

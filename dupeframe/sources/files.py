@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dupeframe.functions.fingerprint import check_algorithm, new_hasher
+from dupeframe.sources.places import open_stream
+from dupeframe.staging import stage
 
 CHUNK_BYTES = 1024 * 1024
 BYTES_PER_TASK = 256 * 1024 * 1024
@@ -19,7 +21,7 @@ def fingerprint_files(
 
     Files are streamed in 1 MiB chunks, so memory does not depend on file size. An unreadable
     file fails the job, or with ``on_error='skip'`` has a NULL hash and the reason in
-    ``error``. The number of tasks follows the bytes to read; paths are spread by hash.
+    ``error``. Tasks get about equal bytes to read. Paths with a scheme are objects of a store.
     """
     check_algorithm(algorithm)
     if on_error not in ("fail", "skip"):
@@ -50,22 +52,48 @@ def fingerprint_files(
 
 
 def spread_files(manifest: DataFrame) -> DataFrame:
-    """Spread files by path over as many tasks as their bytes and number call for."""
+    """Deal files into tasks of about equal bytes.
+
+    A file larger than ``BYTES_PER_TASK`` has a task to itself. The others are laid end to end in
+    path order, each as long as its size plus a share for opening it, and cut every ``BYTES_PER_TASK``:
+    no task has more than twice as many bytes, nor more than ``FILES_PER_TASK`` files. Lengths are
+    summed within the ranges of a sort, and the driver adds up one sum for each range.
+    """
     spark = manifest.sparkSession
-    totals = manifest.agg(
-        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("files")
-    ).first()
-    tasks = max(
-        spark.sparkContext.defaultParallelism,
-        -(-totals["bytes"] // BYTES_PER_TASK),
-        -(-totals["files"] // FILES_PER_TASK),
-    )
-    return manifest.repartition(int(tasks), "path")
+    large = F.col("size") > BYTES_PER_TASK
+    length = F.when(large, F.lit(0)).otherwise(
+        F.coalesce("size", F.lit(0)) + F.lit(BYTES_PER_TASK // FILES_PER_TASK))
+    ordered = stage(
+        manifest.withColumns({"_length": length, "_large": F.coalesce(large, F.lit(False)).cast("int")})
+        .orderBy("path", "size").withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id()), "files")
+    sums = sorted(ordered.groupBy("_part").agg(F.sum("_length"), F.sum("_large")).collect())
+    if not sums:
+        return ordered.select(*manifest.columns)
+    bytes_before = files_before = 0
+    offsets = []
+    for part, bytes_of, large_of in sums:
+        offsets.append((part, bytes_before, files_before))
+        bytes_before, files_before = bytes_before + bytes_of, files_before + large_of
+    # a small scan still uses every core
+    each = max(1, min(BYTES_PER_TASK, -(-bytes_before // spark.sparkContext.defaultParallelism)))
+    tasks = -(-bytes_before // each)
+    before = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.join(
+        F.broadcast(spark.createDataFrame(offsets, "_part int, _bytes long, _files long")), "_part")
+
+    def start(own: str, offset: str) -> Column:
+        return F.coalesce(F.sum(own).over(before), F.lit(0)) + F.col(offset)
+
+    task = F.when(F.col("_large") == 1, F.lit(tasks) + start("_large", "_files")).otherwise(
+        F.floor(start("_length", "_bytes") / F.lit(each)))
+    return placed.withColumn("_task", task.cast("int")).repartitionById(
+        max(1, int(tasks + files_before)), "_task").select(*manifest.columns)
 
 
 def _digest_file(path: str, algorithm: str) -> str:
     hasher = new_hasher(algorithm)
-    with open(path, "rb") as stream:
+    with open_stream(path) as stream:
         while chunk := stream.read(CHUNK_BYTES):
             hasher.update(chunk)
     return hasher.hexdigest()

@@ -108,15 +108,31 @@ def test_misses_are_found_by_short_keys_and_hashed_after(spark, tmp_path):
     store = open_store(spark, f"{tmp_path}/s")
     store.upsert(corpus.stored(spark, DATA))
     plan = plan_text(
-        scan._reuse_table(corpus.files(spark, DATA), store.read(), "sha256", True))
+        scan._reuse_table(corpus.files(spark, DATA), store, "sha256", True))
     assert plan.index("sha2(") < plan.rindex("BroadcastHashJoin") and "_word" in plan
 
 
-def test_store_look_up_prunes_partitions(spark, tmp_path):
-    from dupeframe.operators.cache import lookup
-    from dupeframe.sources.store import open_store
+def test_a_store_look_up_reads_one_algorithm_and_does_not_shuffle_the_store(spark, tmp_path):
+    from dupeframe.sources.store import BUCKET_ROWS_KEY, open_store
 
-    store = open_store(spark, f"{tmp_path}/s")
-    store.upsert(corpus.stored(spark, DATA))
-    plan = plan_text(lookup(corpus.metadata(spark, DATA), store.read(), "sha256"))
-    assert "PartitionFilters: [isnotnull(algorithm" in plan
+    stored = corpus.stored(spark, DATA)
+    spark.conf.set(BUCKET_ROWS_KEY, "30")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = open_store(spark, f"{tmp_path}/s")
+        store.upsert(stored.unionByName(stored.withColumn("algorithm", F.lit("md5"))))
+        store.upsert(stored.limit(3).withColumn("hash", F.lit("changed")))  # a folder of changes
+        found = corpus.metadata(spark, DATA)
+        for name, exchanged in (("md5", 1), ("sha256", 2)):
+            looked = store.look_up(found, name)
+            plan = plan_text(looked)
+            # the items are shuffled, and the changes to one row per path; the full set is not
+            assert plan.count("Exchange") == exchanged and plan.count("Bucketed: true") == exchanged
+            above = plan[:plan.index("Bucketed: true")].splitlines()[-3:]
+            assert not any("Exchange" in line for line in above)
+            files = [path for path in looked.inputFiles() if "/data/" in path]
+            assert files and all(f"/{name}-" in path for path in files)
+        assert all("/md5-" in path for path in store.read().where("algorithm = 'md5'").inputFiles())
+    finally:
+        spark.conf.unset(BUCKET_ROWS_KEY)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

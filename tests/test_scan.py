@@ -264,3 +264,87 @@ def test_rows_with_nulls_are_equal_to_each_other(spark, hot):
 def test_size_candidates(spark, hot):
     meta = _items(spark, [("/a", 0, "xx"), ("/b", 0, "yy"), ("/c", 0, "z"), ("/d", 0, "")]).drop("content")
     assert rows(groups.size_candidates(meta), "path") == [("/a",), ("/b",)]
+
+
+def walked(lines, allowance):
+    """What one task of the listing gives back for one directory."""
+    import pyarrow as pa
+    from dupeframe.sources import tree
+
+    walk = tree._walker([(0, lines)], [], allowance)
+    frontier = [("root", lines, lines, 0, None, None, None)]
+    return [row for batch in walk([tree._batch(frontier, tree._ENTRIES)]) for row in batch.to_pylist()]
+
+
+def test_a_flat_directory_is_looked_at_by_many_tasks(spark, tmp_path):
+    from dupeframe.sources.tree import read_tree
+    from dupeframe.staging import stage_root
+
+    count = 200_000
+    (tmp_path / "flat").mkdir()
+    for k in range(count):
+        os.mknod(tmp_path / "flat" / f"f{k}")
+    (tmp_path / "flat" / "sub").mkdir()
+    (tmp_path / "flat" / "sub" / "inner").write_bytes(b"x")
+    (tmp_path / "flat" / "link").symlink_to(tmp_path / "flat" / "f1")
+    given = walked(f"{tmp_path}/flat", 10_000)
+    seen = [row for row in given if row["kind"] == "file"]
+    names = [name for row in given if row["kind"] == "names" for name in row["names"]]
+    assert len(seen) <= 10_000 and len(seen) + len(names) >= count
+    assert max(len(row["names"]) for row in given if row["kind"] == "names") <= 1000
+    found = read_tree(spark, [f"{tmp_path}/flat"], entries_per_task=10_000)
+    assert found.count() == count + 1 and found.where("path LIKE '%/inner' AND size = 1").count() == 1
+    # the second round's files come from many tasks: its staged table has many parts with files
+    rounds = sorted((os.path.join(stage_root(spark), name) for name in os.listdir(stage_root(spark))
+                     if name.startswith("tree-")), key=os.path.getmtime)
+    second = spark.read.parquet(rounds[-1]) if len(rounds) else None
+    parts = [spark.read.parquet(path).where("kind = 'file' AND path LIKE '%/flat/%'").groupBy(
+        F.input_file_name()).count().collect() for path in rounds[-3:]]
+    assert second is not None and max(len(p) for p in parts) >= 16
+    assert max(row["count"] for p in parts for row in p) <= 45_000
+
+
+def test_objects_of_a_store_are_all_listed(spark, tmp_path):
+    from dupeframe.sources.tree import read_tree, stat_paths
+
+    root = make_tree(tmp_path / "a b", {
+        ".hidden": b"same", "_under": b"u", "empty": b"", ".d/inner": b"same", "d/e/f/deep %41.txt": b"x"})
+    uri = f"file://{root}"
+    expected = sorted([".d/inner", ".hidden", "_under", "d/e/f/deep %41.txt", "empty"])
+    for allowance in (1, 50_000):
+        found = read_tree(spark, [uri + "/", f"file://{tmp_path}/nowhere"], entries_per_task=allowance)
+        assert rows(found, "path") == [(f"{uri}/{name}",) for name in expected]
+    assert rows(read_tree(spark, [f"{uri}/d", uri, f"{uri}/empty"], [f"{uri}/.d"]), "path", "root_ord") == sorted([
+        (f"{uri}/d/e/f/deep %41.txt", 0), (f"{uri}/.hidden", 1), (f"{uri}/_under", 1), (f"{uri}/empty", 1)])
+    assert rows(read_tree(spark, [f"{uri}/empty"]), "path", "size") == [(f"{uri}/empty", 0)]
+    mounted = scan_tree(spark, [str(root)])
+    result = scan_tree(spark, [uri], store=f"{root}/store")
+    assert (result.total_files, result.duplicate_groups) == (5, 1)
+    assert rows(result.members, "hash", "size") == rows(mounted.members, "hash", "size")
+    again = scan_tree(spark, [uri], store=f"{root}/store")  # the store's files are no objects
+    assert (again.total_files, again.cache_hits) == (5, 5)
+    paths = spark.createDataFrame([(f"{uri}/_under",), (f"{uri}/gone",)], "path string")
+    assert rows(stat_paths(paths).select("path", "size")) == [(f"{uri}/_under", 1)]
+
+
+def test_files_are_dealt_by_their_bytes(spark, monkeypatch):
+    from dupeframe.sources import files
+
+    monkeypatch.setattr(files, "BYTES_PER_TASK", 1000)
+    monkeypatch.setattr(files, "FILES_PER_TASK", 50)
+    rng = random.Random(5)
+    sizes = [rng.choice([0, 1, 10, 400, 999, 1000, 1001, 50_000]) for _ in range(400)] + [None]
+    manifest = spark.createDataFrame(
+        [(f"/{k}", "/", 0, size, 0.0) for k, size in enumerate(sizes)],
+        "path string, root string, root_ord int, size long, mtime double")
+    dealt = files.spread_files(manifest).withColumn("task", F.spark_partition_id())
+    tasks = dealt.groupBy("task").agg(
+        F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.count("*").alias("n")).collect()
+    assert sum(task.n for task in tasks) == len(sizes)
+    for task in tasks:
+        assert task.n <= 51 and ((task.bytes or 0) <= 2000 or task.n == 1)
+    total = sum(size or 0 for size in sizes if (size or 0) <= 1000)
+    assert len(tasks) <= total / 1000 + len(sizes) / 50 + sum((size or 0) > 1000 for size in sizes) + 2
+    assert files.spread_files(manifest.limit(0)).count() == 0
+    plan = plan_text(files.spread_files(manifest))
+    assert "_task" in plan and "hashpartitioning(path" not in plan

@@ -204,3 +204,163 @@ def test_merge_equals_upsert_and_prune(spark):
     expected = cache.prune(cache.upsert(stored, fresh, list(STORE_KEY)), ["/a", "/b"], found)
     assert rows(cache.merge_scan(stored, found, "md5", ["/a", "/b"])) == rows(
         expected.select(*stored.columns))
+
+
+# -- buckets, changes and the commit protocol -------------------------------------------------
+
+
+@pytest.fixture
+def small_buckets(spark):
+    from dupeframe.sources.store import BUCKET_ROWS_KEY
+
+    spark.conf.set(BUCKET_ROWS_KEY, "10")
+    yield
+    spark.conf.unset(BUCKET_ROWS_KEY)
+
+
+def files_of(directory):
+    return {os.path.join(top, name): os.stat(os.path.join(top, name)).st_mtime_ns
+            for top, _, names in os.walk(f"{directory}/data") for name in names if name.startswith("part-")}
+
+
+def scan_rows(spark, items):
+    return spark.createDataFrame(items, "path string, size long, mtime double, hash string")
+
+
+def stored_state(store):
+    return rows(store.read(), "filepath", "size", "mtime", "hash", "algorithm")
+
+
+def test_a_run_adds_changes_and_leaves_all_buckets_as_they_are(spark, tmp_path, small_buckets):
+    store = open_store(spark, f"{tmp_path}/s")
+    items = [(f"/r/{i}", i, 1.0, f"h{i}") for i in range(100)]
+    store.apply_scan(scan_rows(spark, items), "md5", ["/r"])
+    before = files_of(store.directory)
+    assert len(before) > 8  # one file in each bucket
+    changed = [("/r/1", 1, 2.0, "new"), *items[3:], ("/r/x", 7, 1.0, "x")]
+    store.apply_scan(scan_rows(spark, changed), "md5", ["/r"])
+    after = files_of(store.directory)
+    assert before.items() <= after.items() and 0 < len(after) - len(before) <= 4
+    assert store.current_version() == 2
+    assert stored_state(store) == sorted((*row, "md5") for row in changed)
+    store.apply_scan(scan_rows(spark, changed), "md5", ["/r"])
+    assert store.current_version() == 2 and files_of(store.directory) == after  # nothing changed
+
+
+def test_changes_are_merged_once_they_are_many(spark, tmp_path, small_buckets):
+    store = open_store(spark, f"{tmp_path}/s")
+    expected = {f"/r/{i}": (f"/r/{i}", i, 1.0, "h") for i in range(60)}
+    store.apply_scan(scan_rows(spark, list(expected.values())), "md5", ["/r"])
+    folders = []
+    for k in range(6):
+        expected |= {f"/r/{i}": (f"/r/{i}", i, 2.0 + k, f"h{k}") for i in range(k, 66, 9)}
+        expected.pop(f"/r/{10 + k}", None)
+        store.apply_scan(scan_rows(spark, list(expected.values())), "md5", ["/r"])
+        folders.append(len(store._state().parts["md5"].folders))
+        assert stored_state(store) == sorted((*row, "md5") for row in expected.values())
+    assert 1 in folders[1:] and max(folders) > 1
+    store.compact()
+    assert len(store._state().parts["md5"].folders) == 1
+    assert stored_state(store) == sorted((*row, "md5") for row in expected.values())
+    before = store.current_version()
+    store.compact()
+    assert store.current_version() == before
+
+
+def test_merging_does_not_shuffle_the_full_set(spark, tmp_path, small_buckets):
+    from conftest import plan_text
+
+    store = open_store(spark, f"{tmp_path}/s")
+    store.upsert(store_rows(spark, [(f"/{i}", i, 1.0, "h", "md5") for i in range(60)]))
+    store.upsert(store_rows(spark, [(f"/{i}", i, 2.0, "h", "md5") for i in range(3)]))
+    part = store._state().parts["md5"]
+    assert len(part.folders) == 2 and part.buckets == 8
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(store._rows(part))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    full = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    assert "SortMergeJoin" in plan and not any("Exchange" in line for line in lines[:full])
+    for _ in range(3):
+        before = {r.filepath: r.mtime for r in store.read().collect()}
+        store.compact()
+        assert {r.filepath: r.mtime for r in store.read().collect()} == before
+        folder = store._state().parts["md5"].folders[0][0]
+        buckets = [name.split("_")[-1] for name in files_of(f"{tmp_path}/s") if folder in name]
+        assert len(set(buckets)) <= 8 and max(buckets.count(name) for name in buckets) <= 2
+        store.upsert(store_rows(spark, [(f"/{i}", i, 3.0, "h", "md5") for i in range(5, 9)]))
+
+
+@pytest.mark.parametrize("first, second", [("md5", "md5"), ("md5", "sha256")])
+def test_of_two_runs_the_later_merges_again(spark, tmp_path, first, second):
+    from dupeframe.catalog.queries import _Overtaken
+
+    store = open_store(spark, f"{tmp_path}/s")
+    store.apply_scan(scan_rows(spark, [(f"/{r}/{i}", i, 1.0, "old") for r in "abc" for i in range(4)]), "md5", None)
+    one = scan_rows(spark, [("/a/0", 0, 1.0, "one"), ("/b/0", 0, 1.0, "one")])
+    two = scan_rows(spark, [("/b/0", 0, 1.0, "two"), ("/c/9", 9, 1.0, "two")])
+    overtaken = _Overtaken(spark, store.directory, lambda: store.apply_scan(two, second, ["/b", "/c"]))
+    overtaken.apply_scan(one, first, ["/a", "/b"])
+    assert store.current_version() == 3
+    expected = {("/a/0", 0, 1.0, "one", "md5"), ("/b/0", 0, 1.0, "one", "md5"), ("/c/9", 9, 1.0, "two", second)}
+    if second == "sha256":  # the other run's rows of paths that this one found stay
+        expected |= {("/b/0", 0, 1.0, "two", "sha256")}
+    assert set(stored_state(store)) == expected
+
+
+def test_a_new_marker_never_replaces_one(spark, tmp_path):
+    path = f"{tmp_path}/below/marker"
+    assert hadoop.create_new(spark, path, "first")
+    assert not hadoop.create_new(spark, path, "second")
+    assert hadoop.read_text(spark, path) == "first" and os.listdir(f"{tmp_path}/below") == ["marker"]
+    # the way of other file systems, here over the local one
+    fs, hpath = hadoop._fs(spark, f"{tmp_path}/below/other")
+    for text, made in (("first", True), ("second", False)):
+        hadoop.write_text(spark, f"{tmp_path}/below/.beside", text)
+        assert hadoop._rename_new(spark, fs, f"{tmp_path}/below/.beside", hpath) is made
+    assert hadoop.read_text(spark, f"{tmp_path}/below/other") == "first"
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_path}/marker"
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda k: hadoop.create_new(spark, path, str(k) * 1000), range(8)))
+    assert sum(made) == 1 and hadoop.read_text(spark, path) == str(made.index(True)) * 1000
+    store = open_store(spark, f"{tmp_path}/s")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: open_store(spark, store.directory).apply_scan(
+            scan_rows(spark, [(f"/r{k}/{i}", i, 1.0, "h") for i in range(5)]), "md5", [f"/r{k}"]), range(4)))
+    assert store.read().count() == 20 and store.current_version() == 4
+
+
+def test_a_copied_marker_does_not_count(spark, tmp_path):
+    store = open_store(spark, f"{tmp_path}/s")
+    store.upsert(store_rows(spark, [("/a", 1, 1.0, "h", "xxh3")]))
+    marker = hadoop.read_text(spark, f"{tmp_path}/s/v00000001/_layout.json")
+    hadoop.write_text(spark, f"{tmp_path}/s/v00000002/_layout.json", marker)
+    assert ensure_store_schema(store) and store.read().count() == 0 and store.current_version() == 3
+
+
+def test_vacuum_keeps_listed_and_recent_data(spark, tmp_path):
+    store = open_store(spark, f"{tmp_path}/s")
+    for k in range(4):
+        store.replace(store_rows(spark, [(f"/{k}", 1, 1.0, "h", "xxh3"), ("/b", 1, 1.0, "h", "md5")]))
+    runs = set(os.listdir(f"{tmp_path}/s/data"))
+    store.vacuum()
+    assert set(os.listdir(f"{tmp_path}/s/data")) == runs  # a run that has not ended may own them
+    store.vacuum(keep=2, older_than=-1)
+    assert len(os.listdir(f"{tmp_path}/s/data")) == 2
+    assert [n for n in sorted(os.listdir(f"{tmp_path}/s")) if n[0] == "v"] == ["v00000003", "v00000004"]
+    assert rows(store.read(), "filepath") == [("/3",), ("/b",)]
+
+
+def test_reads_outlive_the_table_names_and_odd_algorithm_names(spark, tmp_path):
+    tables = {t.name for t in spark.catalog.listTables()}
+    store = open_store(spark, f"{tmp_path}/it's a store")
+    store.upsert(store_rows(spark, [("/a", 1, 1.0, "h", "b/3 x"), ("/a", None, None, None, "md5")]))
+    assert rows(store.read(), "filepath", "hash", "algorithm") == [("/a", "h", "b/3 x"), ("/a", None, "md5")]
+    assert {t.name for t in spark.catalog.listTables()} == tables
