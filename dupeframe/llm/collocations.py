@@ -35,14 +35,14 @@ MAP_BITS = (20, 28)  # of a map of frequent grams: its size follows their number
 def parse(words: list[bytes], most_words: int = MOST_WORDS, trigger: int = TRIGGER) -> Iterator[tuple[int, int, int]]:
     """Chunks (first word, end, owned) of a piece.
 
-    Windows of most_words - 1 words with a checksum divisible by ``trigger`` cut the piece: a chunk
-    runs from the start of one such window to the end of the next, so neighbours share just that window, and
+    Windows of most_words - 1 words with a checksum divisible by ``trigger`` cut the piece, if it has
+    more words than ``trigger``: a chunk runs from the start of one such window to the end of the next, so neighbours share just that window, and
     what a chunk is depends on its own words only. A phrase of up to ``most_words`` words belongs
     to the chunk that owns its first word: every word but those of the closing window, which the next chunk
     owns, or all words of the last chunk.
     """
     shared = most_words - 1
-    first, last = 0, len(words) - shared
+    first, last = 0, len(words) - shared if len(words) > trigger else 0
     for at in range(1, last):  # a window at the very end would own nothing more than its words
         if crc32(b" ".join(words[at:at + shared])) % trigger == 0:
             yield first, at + shared, at - first
@@ -52,8 +52,8 @@ def parse(words: list[bytes], most_words: int = MOST_WORDS, trigger: int = TRIGG
 
 def chunk_dictionary(docs: DataFrame, most_words: int = MOST_WORDS, trigger: int = TRIGGER,
                      text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows (lang, chunk, owned, times): the distinct chunks of all texts, with A-Z lowered and
-    words one space apart, and how often the parse has them.
+    """Rows (lang, chunk, owned, times, number): the distinct chunks of all texts, with A-Z lowered and
+    words one space apart, how often the parse has them, and a hash as their number.
 
     Null texts are empty and have none; a null lang is ``und``. Equal chunks are added up in the
     task, then by Spark. Only the two columns are read.
@@ -74,7 +74,7 @@ def chunk_dictionary(docs: DataFrame, most_words: int = MOST_WORDS, trigger: int
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
                 for piece in text.as_py().lower().translate(_TO_GAPS).split(b"\n"):
                     words = piece.split()
-                    if len(words) <= most_words:
+                    if len(words) <= trigger:
                         if words:
                             found[lang, b" ".join(words), len(words)] += 1
                     else:
@@ -89,7 +89,7 @@ def chunk_dictionary(docs: DataFrame, most_words: int = MOST_WORDS, trigger: int
     read = docs.select(text_bytes(text_col).alias("text"), F.coalesce(
         F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
     return read.mapInArrow(run, "lang string, chunk string, owned int, times long").groupBy(
-        "lang", "chunk", "owned").agg(F.sum("times").alias("times"))
+        "lang", "chunk", "owned").agg(F.sum("times").alias("times")).withColumn("number", F.hash("lang", "chunk"))
 
 
 # -- counting in distinct chunks ---------------------------------------------------------------
@@ -109,12 +109,32 @@ class _Chunks:
             self.langs[lang] = int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little")
         return self.langs[lang]
 
-    def read(self, langs: list[str], chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of all words in order, first word of each chunk, words of each chunk)."""
-        counts = np.array([chunk.count(" ") for chunk in chunks], np.int64) + 1
+    def read(self, langs: list[str], chunks: list[str], counts: np.ndarray | int) -> np.ndarray:
+        """Hashes of all words in order, for chunks of ``counts`` words."""
         found = self.hashes.of("\n".join(chunks).encode())
         own = np.array([self.of_lang(lang) for lang in langs], np.uint64)
-        return mixed(found ^ np.repeat(own, counts)), np.cumsum(counts) - counts, counts
+        return mixed(found ^ np.repeat(own, counts))
+
+
+class _Slice:
+    """Some chunks of the dictionary: the hashes of all their words, one after the other, and the places
+    at which phrases of any size start."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.langs, self.chunks = batch.column("lang").to_pylist(), batch.column("chunk").to_pylist()
+        owned, self.times, self.numbers = (batch.column(k).to_numpy() for k in ("owned", "times", "number"))
+        self.counts = pc.count_substring(batch.column("chunk"), " ").to_numpy().astype(np.int64) + 1
+        self.first = np.cumsum(self.counts) - self.counts
+        self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.mine = np.arange(len(self.owner)) - self.first[self.owner] < owned[self.owner]
+
+    def hashes(self, reader: _Chunks) -> np.ndarray:
+        return reader.read(self.langs, self.chunks, self.counts)
+
+    def starts(self, size: int) -> np.ndarray:
+        """True where ``size`` words of one chunk start with a word that it owns."""
+        count = max(0, len(self.owner) - size + 1)
+        return self.mine[:count] & (self.owner[:count] == self.owner[size - 1:])
 
 
 def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -131,25 +151,23 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[str], np.ndarray, np.ndarray]]:
-    """(langs, chunks, owned, times) of about ``_BYTES`` bytes of chunks at a time."""
+def _slices(batch: pa.RecordBatch) -> Iterator[_Slice]:
+    """The chunks of a batch, of about ``_BYTES`` bytes at a time."""
     sizes, at = np.cumsum(pc.binary_length(batch.column("chunk")).to_numpy().astype(np.int64)), 0
     while at < len(sizes):
         start = sizes[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(sizes, start + _BYTES)))
-        part = batch.slice(at, end - at)
-        yield (part.column("lang").to_pylist(), part.column("chunk").to_pylist(),
-               part.column("owned").to_numpy().astype(np.int64), part.column("times").to_numpy())
+        yield _Slice(batch.slice(at, end - at))
         at = end
 
 
 def frequent_map(hashes: DataFrame, number: int) -> np.ndarray:
     """A map of 64-bit ``hashes`` (one column of distinct longs), as bytes of bits.
 
-    It has 16 bits for each of ``number`` hashes, within the powers of two of ``MAP_BITS``, so it
+    It has 1024 bits for each of ``number`` hashes, within the powers of two of ``MAP_BITS``, so it
     is 32 MiB at most; a fuller map only lets more pass that is counted in vain.
     """
-    power = min(max(MAP_BITS[0], (16 * max(number, 1)).bit_length()), MAP_BITS[1])
+    power = min(max(MAP_BITS[0], (1024 * max(number, 1)).bit_length()), MAP_BITS[1])
     place = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << power) - 1))
     words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(
         F.expr(f"bit_or(shiftleft(1L, int({hashes.columns[0]} & 63)))").alias("bits")).toArrow()
@@ -164,30 +182,12 @@ def _word_hashes(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Chunks()
         for batch in batches:
-            hashes = reader.read(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())[0]
+            hashes = reader.read(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), 1)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
 
     return words.select("lang", "phrase").mapInArrow(run, "hash long")
 
 
-class _Slice:
-    """The words of some chunks, and the places at which phrases of any size start."""
-
-    def __init__(self, reader: _Chunks, langs: list[str], chunks: list[str], owned: np.ndarray):
-        self.hashes, self.first, self.counts = reader.read(langs, chunks)
-        self.owner = np.repeat(np.arange(len(self.counts)), self.counts)
-        place = np.arange(len(self.hashes)) - self.first[self.owner]
-        self.mine = place < owned[self.owner]
-        # a number of 32 bits for each chunk, from its words
-        sums = np.add.reduceat(mixed(self.hashes + place.astype(np.uint64)), self.first)
-        self.numbers = (mixed(sums) >> np.uint64(32)).astype(np.uint32)
-
-    def starts(self, size: int) -> np.ndarray:
-        """True where ``size`` words of one chunk start with a word that it owns."""
-        count = max(0, len(self.hashes) - size + 1)
-        return self.mine[:count] & (self.owner[:count] == self.owner[size - 1:])
-
-
 def _gram_counts(dictionary: DataFrame, sizes: range, marks, marked_size: int) -> DataFrame:
     """Rows (hash, a, chunk) of the phrases of ``sizes`` words whose every ``marked_size`` neighbouring words
     are in the map ``marks``: how often they occur, and the number of a chunk that has them."""
@@ -196,18 +196,17 @@ def _gram_counts(dictionary: DataFrame, sizes: range, marks, marked_size: int) -
         reader, bits, kept, held = _Chunks(), marks.value, [], 0
 
         def out() -> pa.RecordBatch:
-            keys, times, numbers = (np.concatenate(column) for column in zip(*kept))
-            order = np.argsort(keys, kind="stable")
-            keys, times, numbers = keys[order], times[order], numbers[order]
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            return pa.RecordBatch.from_arrays([
-                pa.array(keys[at].view(np.int64)), pa.array(np.add.reduceat(times, at)),
-                pa.array(np.minimum.reduceat(numbers, at).view(np.int32))], names=["hash", "a", "chunk"])
+            columns = [pa.array(np.concatenate(column)) for column in zip(*kept)]
+            table = pa.table(columns, names=["hash", "a", "chunk"]).group_by("hash", use_threads=False).aggregate(
+                [("a", "sum"), ("chunk", "min")])
+            return pa.RecordBatch.from_arrays(
+                [table.column(name).combine_chunks() for name in ("hash", "a_sum", "chunk_min")],
+                names=["hash", "a", "chunk"])
 
         for batch in batches:
-            for langs, chunks, owned, times in _slices(batch):
-                part = _Slice(reader, langs, chunks, owned)
-                known = _marked(bits, _grams(part.hashes, marked_size))
+            for part in _slices(batch):
+                hashes = part.hashes(reader)
+                known = _marked(bits, _grams(hashes, marked_size))
                 for size in sizes:
                     starts = part.starts(size)
                     for k in range(size - marked_size + 1):
@@ -215,7 +214,7 @@ def _gram_counts(dictionary: DataFrame, sizes: range, marks, marked_size: int) -
                     at = np.flatnonzero(starts)
                     if len(at):
                         owner = part.owner[at]
-                        kept.append((_grams(part.hashes, size)[at], times[owner], part.numbers[owner]))
+                        kept.append((_grams(hashes, size)[at].view(np.int64), part.times[owner], part.numbers[owner]))
                         held += len(at)
                 if held > 8 * _HELD:
                     yield out()
@@ -227,43 +226,45 @@ def _gram_counts(dictionary: DataFrame, sizes: range, marks, marked_size: int) -
         F.sum("a").alias("a"), F.min("chunk").alias("chunk"))
 
 
-def _entry(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    return mixed(hashes ^ (numbers.astype(np.uint64) << np.uint64(32)))
-
-
 def _with_texts(grams: DataFrame, dictionary: DataFrame, most_words: int) -> DataFrame:
     """The ``grams`` (hash, a, chunk) with lang, phrase and words, from the chunk that each names."""
 
+    def entries(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        return mixed(hashes.view(np.uint64) ^ (numbers.view(np.uint32).astype(np.uint64) << np.uint64(32)))
+
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, numbers = (batch.column(k).to_numpy() for k in (0, 1))
+            hashes, numbers = batch.column("hash").to_numpy(), batch.column("chunk").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_entry(hashes.view(np.uint64), numbers.view(np.uint32)).view(np.int64))], names=["entry"])
+                [pa.array(entries(hashes, numbers).view(np.int64))], names=["entry"])
 
-    entries = grams.select("hash", "chunk").mapInArrow(enter, "entry long")
-    marks = grams.sparkSession.sparkContext.broadcast(frequent_map(entries, grams.count()))
+    count, context = grams.count(), grams.sparkSession.sparkContext
+    marks = context.broadcast((
+        frequent_map(grams.select(F.xxhash64("chunk").alias("number")), count),
+        frequent_map(grams.select("hash", "chunk").mapInArrow(enter, "entry long"), count)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, bits = _Chunks(), marks.value
+        reader, (named, entered) = _Chunks(), marks.value
         for batch in batches:
-            for langs, chunks, owned, _ in _slices(batch):
-                part, rows = _Slice(reader, langs, chunks, owned), []
+            wanted = _marked(named, batch.column("key").to_numpy().view(np.uint64))
+            for part in _slices(batch.filter(pa.array(wanted))):
+                hashes, rows = part.hashes(reader), []
                 for size in range(2, most_words + 1):
-                    hashes, starts = _grams(part.hashes, size), part.starts(size)
-                    at = np.flatnonzero(starts)
-                    at = at[_marked(bits, _entry(hashes[at], part.numbers[part.owner[at]]))]
+                    own, at = _grams(hashes, size), np.flatnonzero(part.starts(size))
+                    at = at[_marked(entered, entries(own[at], part.numbers[part.owner[at]]))]
                     for place, c in zip(at.tolist(), part.owner[at].tolist()):
                         first = place - int(part.first[c])
-                        phrase = " ".join(chunks[c].split(" ")[first:first + size])
-                        rows.append((int(hashes[place].view(np.int64)), langs[c], phrase, size))
+                        phrase = " ".join(part.chunks[c].split(" ")[first:first + size])
+                        rows.append((int(own[place].view(np.int64)), part.langs[c], phrase, size))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int32()))],
                         names=["hash", "lang", "phrase", "words"])
 
-    named = dictionary.mapInArrow(run, "hash long, lang string, phrase string, words int").groupBy("hash").agg(
+    texts = dictionary.withColumn("key", F.xxhash64("number")).mapInArrow(
+        run, "hash long, lang string, phrase string, words int").groupBy("hash").agg(
         F.min(F.struct("lang", "phrase", "words")).alias("text"))
-    found = stage(grams.join(named, "hash").select("text.*", "a"), "phrases")
+    found = stage(grams.join(texts, "hash").select("text.*", "a"), "phrases")
     marks.unpersist()
     return found
 
