@@ -40,6 +40,9 @@ PERCENT = 80
 COMMON = 8
 BITS = 26
 PIVOT_ROUNDS = 1
+# Shingles at the head of a prefix that go with a member into the last join: a pair that shares one of
+# them leaves it only in the region of the first.
+HEAD = 24
 # Pivots of a region of a common shingle in the first round.
 PIVOTS = 8
 
@@ -230,7 +233,8 @@ def jaccard_components(
         F.first("spot").alias("spot")), "shingle-classes")
     nodes = told.select("row_id", "rare", "frequent").join(
         classes.select(F.col("node").alias("row_id"), "n"), "row_id").withColumnRenamed("row_id", "node")
-    sketches = told.select(F.col("row_id").alias("node"), "n", "sketch")
+    sketches = told.select(F.col("row_id").alias("node"), "n", "sketch", F.slice(
+        F.concat("rare", "frequent"), F.lit(1), F.lit(HEAD)).alias("head"))
 
     members = stage(_regions(nodes), "regions")
     # (a, b, apart, union) with a < b, distance apart / union; without links every node is its own component
@@ -334,21 +338,25 @@ def _windowed(members: DataFrame, verified: DataFrame, sketches: DataFrame, perc
     """Pairs of a member outside the region's first component with members of other components,
     whose distances to the first pivot, where both are known, differ by the limit at most, and
     whose sketches allow a link; what a bound rules out leaves the join as no row. The first
-    component, often nearly the whole region, is never paired with itself."""
+    component, often nearly the whole region, is never paired with itself. Of the regions that a pair
+    shares, it leaves those after its first one too, if that is at the head of both prefixes; pairs
+    that may link nearly always share a shingle there."""
     both = verified.select("a", "b", (F.col("apart") / F.col("union")).alias("d"))
     ways = both.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d").unionByName(
         both.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "d"))
-    placed = members.join(ways, ["node", "pivot"], "left").join(sketches.select("node", "sketch"), "node")
-    left = placed.where("comp <> first").select("h", "node", "n", "at", "comp", "d", "sketch")
-    right = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "at", "comp", "d", "sketch")],
+    placed = members.join(ways, ["node", "pivot"], "left").join(
+        sketches.select("node", "sketch", "head"), "node").withColumn(
+        "head", F.slice("head", F.lit(1), F.least("at", F.lit(HEAD))))  # what comes before h
+    left = placed.where("comp <> first").select("h", "node", "n", "at", "comp", "d", "sketch", "head")
+    right = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "at", "comp", "d", "sketch", "head")],
                           F.col("node").alias("other"))
     near = F.coalesce(
         F.abs(F.col("d") - F.col("other_d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
     sketched = _sketches_allow(
         F.col("sketch"), F.col("other_sketch"), F.col("n") + F.col("other_n"), percent)
     return left.join(right, (left["h"] == right["h"]) & (F.col("comp") != F.col("other_comp")) & near & _may_link(
-        F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent) & sketched).select(
-        "node", "n", "at", "other", "other_n", "other_at")
+        F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent) & sketched
+        & ~F.arrays_overlap("head", "other_head")).select("node", "n", "at", "other", "other_n", "other_at")
 
 
 def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
