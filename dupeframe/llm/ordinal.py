@@ -82,6 +82,9 @@ class Features:
                 np.append(values, [4.0] * len(steps)).astype(np.float32))
 
 
+_BLOCK = 1 << 18  # features that the fit handles at once
+
+
 @dataclass
 class OrdinalModel:
     """P(grade <= k) = sigmoid(thresholds[k] - weights . features); thresholds rise."""
@@ -106,11 +109,17 @@ def fit_ordinal(
     """Full-batch Adam on the cumulative-link likelihood of sparse rows, from zero weights: the
     same rows in the same order give the same model. Grades count alike, not by frequency;
     features of fewer than ``min_rows`` rows keep weight 0."""
-    common = np.flatnonzero(np.bincount(numbers, minlength=dimensions) >= min_rows)
-    place = np.full(dimensions, -1)
-    place[common] = np.arange(len(common))
-    used = place[numbers] >= 0
-    rows, numbers, values = rows[used], place[numbers[used]], values[used]
+    tally = np.zeros(dimensions, np.int64)
+    for at in range(0, len(numbers), _BLOCK):
+        tally += np.bincount(numbers[at:at + _BLOCK], minlength=dimensions)
+    common = np.flatnonzero(tally >= min_rows)
+    place = np.full(dimensions, -1, np.int32)
+    place[common] = np.arange(len(common), dtype=np.int32)
+    numbers = place[numbers]
+    used = numbers >= 0
+    # 32 bits for what is kept for all features; what is derived from them is made block by block
+    rows, numbers, values = rows[used].astype(np.int32, copy=False), numbers[used], values[used]
+    blocks = [slice(at, at + _BLOCK) for at in range(0, len(numbers), _BLOCK)]
     full, dimensions = dimensions, len(common)
     n = len(grades)
     share = np.bincount(grades, minlength=n_grades)
@@ -127,7 +136,9 @@ def fit_ordinal(
         free = params[dimensions:]
         cuts = thresholds(free)
         edges = np.concatenate([[-40.0], cuts, [40.0]])
-        score = np.bincount(rows, values * params[numbers], minlength=n)
+        score = np.zeros(n)
+        for part in blocks:
+            score += np.bincount(rows[part], values[part] * params[numbers[part]], minlength=n)
         upper, lower = _sigmoid(edges[ends[grades] + 1] - score), _sigmoid(edges[grades] - score)
         chance = np.maximum(upper - lower, 1e-9)
         du, dl = upper * (1 - upper) / chance, lower * (1 - lower) / chance
@@ -138,9 +149,10 @@ def fit_ordinal(
         by_cut = by_cut[1:-1]
         chain = np.cumsum(by_cut[::-1])[::-1]
         chain[1:] *= np.exp(np.clip(free[1:], -5, 5))
-        slope = np.concatenate([
-            np.bincount(numbers, values * by_score[rows], minlength=dimensions)
-            + decay * params[:dimensions], chain])
+        slope = np.concatenate([decay * params[:dimensions], chain])
+        for part in blocks:
+            slope[:dimensions] += np.bincount(
+                numbers[part], values[part] * by_score[rows[part]], minlength=dimensions)
         mean = 0.9 * mean + 0.1 * slope
         spread = 0.99 * spread + 0.01 * slope * slope
         params -= rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(spread / (1 - 0.99 ** step)) + 1e-8)
@@ -168,7 +180,8 @@ def train(
     """A model from at most about ``sample_rows`` rated documents; None if none is rated.
 
     The sample is bounded by its documented parameter: rated ids below a hash limit that lets
-    about as many through, the same at every run. Only its hashed features reach the driver
+    about as many through, the same at every run, with one text each (of several, that with the
+    least hash). Only its hashed features reach the driver
     (features of a text are at most as many as ``DIMENSIONS``).
     """
     n_rated = grades.count()
@@ -177,7 +190,8 @@ def train(
     limit = min(1.0, sample_rows / n_rated)
     chosen = grades.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(limit * (1 << 30)))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), F.col("_id") == chosen["doc_id"]).select("_id", "grade", "text")
+    sample = texts.join(F.broadcast(chosen), F.col("_id") == chosen["doc_id"]).groupBy("_id").agg(
+        F.first("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -196,7 +210,7 @@ def train(
     numbers = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["numbers"]]
     values = [np.frombuffer(x.as_buffer(), np.float32) for x in rows["values"]]
     return fit_ordinal(
-        np.array(rows["grade"]), np.repeat(np.arange(len(rows)), [len(x) for x in numbers]),
+        np.array(rows["grade"]), np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in numbers]),
         np.concatenate(numbers), np.concatenate(values), n_grades)
 
 

@@ -78,6 +78,32 @@ def test_components_equal_brute_force(spark, seed, common, rounds):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in found], key=repr) == brute_force_components(rows)
 
 
+def test_pairs_of_a_large_group_of_near_copies_leave_the_last_join_about_once(spark, monkeypatch):
+    """400 copies of one text with 2 to 12 words changed share nearly all regions of their prefixes."""
+    rng = random.Random(7)
+    base = rng.choices(WORDS, k=300)
+    rows = []
+    for _ in range(400):
+        words = list(base)
+        for _ in range(rng.randint(2, 12)):
+            words[rng.randrange(300)] = "".join(rng.choices("abcdefgh", k=6))
+        rows.append((len(rows), " ".join(words)))
+    rows += [(k, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))) for k in range(400, 500)]
+    made, original = [], jaccard_join._windowed
+
+    def counted(*args):
+        pairs = original(*args)
+        ends = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+        made.append((pairs.count(), pairs.select(*ends).distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "_windowed", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = jaccard_join.jaccard_components(docs).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in found], key=repr) == brute_force_components(rows)
+    assert made[0][1] > 100 and made[0][0] <= 2 * made[0][1]
+
+
 @pytest.mark.parametrize("rounds", [1, 2])
 def test_links_are_found_where_every_pivot_is_ruled_out(spark, rounds):
     """A long text with the whole of two near copies is the pivot of all that they share."""
@@ -195,6 +221,58 @@ def test_mixing_edges(spark):
 # -- ordinal classifier -----------------------------------------------------------------------
 
 
+def dense_fit(grades, features, n_grades, rounds=200, rate=0.04, decay=3e-4):
+    """``fit_ordinal`` on a dense matrix, with slopes from differences of the loss itself."""
+    share = np.bincount(grades, minlength=n_grades)
+    weight = (1 / np.maximum(share, 1))[grades] / np.count_nonzero(share)
+
+    def loss(params):
+        w, free = params[:features.shape[1]], params[features.shape[1]:]
+        cuts = np.concatenate([[-40.0], np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])), [40.0]])
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+        score = features @ w
+        chance = sigmoid(cuts[grades + 1] - score) - sigmoid(cuts[grades] - score)
+        return -(weight * np.log(np.maximum(chance, 1e-9))).sum() + decay / 2 * (w ** 2).sum()
+
+    params = np.zeros(features.shape[1] + n_grades - 1)
+    mean, spread = np.zeros_like(params), np.zeros_like(params)
+    for step in range(1, rounds + 1):
+        slope = np.array([(loss(params + e) - loss(params - e)) / 2e-6 for e in 1e-6 * np.eye(len(params))])
+        mean, spread = 0.9 * mean + 0.1 * slope, 0.99 * spread + 0.01 * slope * slope
+        params -= rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(spread / (1 - 0.99 ** step)) + 1e-8)
+    free = params[features.shape[1]:]
+    return params[:features.shape[1]], np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+
+
+def test_the_sparse_fit_equals_a_dense_one_by_differences(monkeypatch):
+    rng = np.random.default_rng(6)
+    features = rng.random((60, 5)) * (rng.random((60, 5)) < 0.6)
+    grades = np.clip((features @ [2, -1, 1, 0, 3] + rng.normal(0, 0.4, 60)).astype(int), 0, 2)
+    rows, numbers = np.nonzero(features)
+    values = features[rows, numbers].astype(np.float32)
+    features = features.astype(np.float32).astype(np.float64)
+    weights, cuts = dense_fit(grades, features, 3, rounds=60)
+    for block in (7, 1 << 18):
+        monkeypatch.setattr(ordinal, "_BLOCK", block)
+        model = ordinal.fit_ordinal(
+            grades, rows.astype(np.int32), numbers.astype(np.int32), values, 3, dimensions=8, min_rows=1, rounds=60)
+        assert np.allclose(model.weights[:5], weights, atol=1e-3) and np.allclose(model.thresholds, cuts, atol=1e-3)
+
+
+def test_an_id_with_many_rows_is_one_rated_text(spark, monkeypatch):
+    from dupeframe.llm import ordinal as module
+
+    docs = spark.createDataFrame(
+        [(1, f"text number {k % 7}") for k in range(300)] + [(k, f"other words {k}") for k in range(2, 150)],
+        "doc_id long, text string").repartition(4)
+    seen, original = [], module.fit_ordinal
+    monkeypatch.setattr(module, "fit_ordinal", lambda grades, *rest: seen.append(len(grades)) or original(grades, *rest))
+    grades = docs.select("doc_id").distinct().withColumn("grade", (F.col("doc_id") % 3).cast("int"))
+    one, two = (ordinal.train(frame, grades) for frame in (docs, docs.repartition(9)))
+    assert seen == [149, 149]
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.thresholds, two.thresholds)
+
+
 def test_held_out_grades(spark):
     rng = random.Random(5)
 
