@@ -235,6 +235,21 @@ FROM {_PAGE_PATHS}""",
     "scope_include_many": _uri_scope(range(0, 20)),
     "scope_exclude_store": f"""
 WITH {FILES_SQL} SELECT path FROM files WHERE NOT {_beneath('path', [*EXCLUDES, STORE_DIR])}""",
+    "scope_include_table": f"""
+WITH {FILES_SQL},
+labelled AS (SELECT f.*, l.toxic FROM files f JOIN labels l USING (doc_id)),
+roots AS (
+  SELECT root || '/' || lang AS r, CAST(root_ord * 7 % 11 AS INTEGER) AS n FROM labelled WHERE doc_id % 5 = 0
+  UNION ALL SELECT path, CAST(doc_id % 13 AS INTEGER) FROM labelled WHERE toxic = 1
+  UNION ALL VALUES ('/corpus/src3', 4), ('/corpus/src1', 9), ('/corpus/none', 0)),
+named AS (SELECT r, min(n) AS n FROM roots GROUP BY r)
+SELECT f.path, r AS root, n AS root_ord, f.size
+FROM files f JOIN named ON r IN (f.path, f.root || '/' || f.lang, f.root, '/corpus', '/')
+QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY n, r) = 1""",
+    "scope_exclude_table": f"""
+WITH {FILES_SQL}
+SELECT path, root, root_ord FROM files
+WHERE NOT {_beneath('path', EXCLUDES)} AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "scope_overlap": _scoped(OVERLAPPING),
     "scope_union": f"WITH {_ALL_FILES} SELECT path, root, root_ord, size FROM everything",
     "fp_sha256": f"WITH {FILES_SQL} SELECT path, sha256(content) AS hash FROM files",
@@ -243,6 +258,12 @@ WITH {FILES_SQL} SELECT path FROM files WHERE NOT {_beneath('path', [*EXCLUDES,
     "dup_groups": f"""
 WITH {MEMBERS_SQL}
 SELECT group_idx, hash, n_members, path AS first_path FROM members WHERE member_pos = 1""",
+    "dup_rows_documents": """
+WITH written AS (
+  SELECT doc_id, sha256(coalesce(strlen(text) || ':' || text, '-') || coalesce(strlen(lang) || ':' || lang, '-')) AS digest,
+         count(*) OVER (PARTITION BY text, lang) AS n_copies
+  FROM documents)
+SELECT doc_id, digest, n_copies FROM written WHERE n_copies > 1""",
     "dup_members": f"""
 WITH {MEMBERS_SQL}
 SELECT group_idx, hash, n_members, member_pos, path, size, mtime FROM members""",
@@ -543,6 +564,19 @@ WITH {MEMBERS_SQL}
 SELECT '{_TRASHED_HEAD}' || hash || '{_TRASHED_TAIL}' AS message
 FROM members WHERE group_idx = 1 AND member_pos = 1""",
 }
+ORACLES |= {
+    "report_document_roundtrip": ORACLES["report_json_roundtrip"],
+    "report_rewrite_roundtrip": f"""
+SELECT 'file' AS form, group_idx, hash, member_pos, path FROM ({ORACLES["dup_members"]})
+UNION ALL SELECT 'folder', group_idx, hash, member_pos, path FROM ({ORACLES["dup_members_scoped"]})""",
+    "report_txt_roundtrip": f"""
+SELECT row_number() OVER (ORDER BY section, group_idx, line_no) AS line_no, line
+FROM ({ORACLES["report_txt_lines"]})""",
+    "action_payload_repeats": f"""
+WITH {MEMBERS_SQL}
+SELECT hash, path, CASE WHEN member_pos = 1 THEN 'trash' ELSE 'keep' END AS decision
+FROM members WHERE member_pos = 1 OR member_pos = n_members""",
+}
 ORACLES |= {
     "dup_members_hot": ORACLES["dup_members"],
     "dup_row_members_hot": ORACLES["dup_row_members_lineitem"],

@@ -22,7 +22,7 @@ from dupeframe.sources import report
 from dupeframe.sources.actions import parse_actions
 from dupeframe.sources.store import FingerprintStore, open_store
 from dupeframe.sources.tree import read_tree
-from dupeframe.staging import stage, stage_path
+from dupeframe.staging import stage, stage_path, with_global_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,6 +150,31 @@ def survivors_prefiltered(spark, d):
     return planned.survivors(scanned.fingerprints).select("path", "size")
 
 
+@query
+def scope_include_table(spark, d):
+    """Roots given as a table: folders that the labels name, and files of toxic documents, which lie
+    within some of them; the first root by its number counts."""
+    documents = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    folder = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang")
+    number = F.substring("source", F.lit(4), F.length("source")).cast("int")
+    folders = documents.where("doc_id % 5 = 0").select(folder.alias("root"), (number * 7 % 11).alias("root_ord"))
+    names = documents.where("toxic = 1").select(
+        F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("root"),
+        (F.col("doc_id") % 13).cast("int").alias("root_ord"))
+    roots = folders.unionByName(names).unionByName(
+        spark.createDataFrame([("/corpus/src3/", 4), ("/corpus/src1", 9), ("/corpus/none", 0)], "root string, root_ord int"))
+    return scope.in_scope_table(corpus.metadata(spark, d), roots).select("path", "root", "root_ord", "size")
+
+
+@query
+def scope_exclude_table(spark, d):
+    """Excludes given as a table: a path for each toxic document, and some folders."""
+    toxic = corpus.as_files(table(spark, d, "documents").join(
+        table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id")).select("path")
+    folders = spark.createDataFrame([(path,) for path in EXCLUDES], "path string")
+    return scope.exclude_table(corpus.metadata(spark, d), toxic.unionByName(folders)).select("path", "root", "root_ord")
+
+
 @query
 def scope_exclude_store(spark, d):
     return scope.exclude(corpus.metadata(spark, d), EXCLUDES, STORE_DIR).select("path")
@@ -261,6 +286,13 @@ def dup_rows_part(spark, d):
     return groups.duplicate_rows(table(spark, d, "part"), ["p_name"])
 
 
+@query
+def dup_rows_documents(spark, d):
+    """Documents of one text in one language, by a digest: the texts are not shuffled."""
+    found = groups.duplicate_wide_rows(table(spark, d, "documents"), ["text", "lang"], ["doc_id"])
+    return found.select("doc_id", "digest", "n_copies")
+
+
 @query
 def dup_rows_lineitem(spark, d):
     return groups.duplicate_rows(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
@@ -549,6 +581,50 @@ def report_json_summary(spark, d):
     )
 
 
+@query
+def report_document_roundtrip(spark, d):
+    """One JSON document, read in many small ranges of its lines."""
+    result = _scan(spark, d)
+    path = stage_path(spark, "report") + ".json"
+    report.write_report_json(result.members, _summary(result), path, True)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1k")  # the lines are staged when the reader is made
+    try:
+        members = report.read_report(spark, path).members
+    finally:
+        spark.conf.set(key, before)
+    return members.select("group_idx", "hash", "n_members", "member_pos", "path")
+
+
+@query
+def report_rewrite_roundtrip(spark, d):
+    """A folder over an earlier file, then a file over that folder; each is read back."""
+    result = _scan(spark, d)
+    scoped = scan_table(corpus.files(spark, d), OVERLAPPING, EXCLUDES, "sha256")
+    path = stage_path(spark, "report") + ".json"
+    report.write_report_json(result.members, _summary(result), path, True)
+    read = []
+    for form, written, single_file in (("folder", scoped, False), ("file", result, True)):
+        report.write_report_json(written.members, _summary(written), path, single_file)
+        found = report.read_report(spark, path).members.select(
+            F.lit(form).alias("form"), "group_idx", "hash", "member_pos", "path")
+        read.append(stage(found, "read"))
+    return read[0].unionByName(read[1])
+
+
+@query
+def report_txt_roundtrip(spark, d):
+    """The lines of a text report that was written as one file."""
+    result = _scan(spark, d)
+    path = stage_path(spark, "report") + ".txt"
+    report.write_report_txt(result.members, _summary(result), path, True)
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    return with_global_index(lines, ["block", "at"], "line_no").select("line_no", "line")
+
+
 @query
 def report_csv_roundtrip(spark, d):
     result = _scan(spark, d)
@@ -611,22 +687,26 @@ def choose_keep(spark, d):
 
 @query
 def keep_oldest(spark, d):
-    return decisions.apply_rule(_enriched(spark, d), "oldest")
+    members = _enriched(spark, d)
+    return decisions.apply_rule(members, "oldest", largest=decisions.largest_group(members))
 
 
 @query
 def keep_newest(spark, d):
-    return decisions.apply_rule(_enriched(spark, d), "newest")
+    members = _enriched(spark, d)
+    return decisions.apply_rule(members, "newest", largest=decisions.largest_group(members))
 
 
 @query
 def keep_shortest(spark, d):
-    return decisions.apply_rule(_enriched(spark, d), "shortest")
+    members = _enriched(spark, d)
+    return decisions.apply_rule(members, "shortest", largest=decisions.largest_group(members))
 
 
 @query
 def keep_longest(spark, d):
-    return decisions.apply_rule(_enriched(spark, d), "longest")
+    members = _enriched(spark, d)
+    return decisions.apply_rule(members, "longest", largest=decisions.largest_group(members))
 
 
 def _prior(members: DataFrame) -> DataFrame:
@@ -663,8 +743,9 @@ def _edits(members: DataFrame) -> DataFrame:
 @query
 def manual_edits(spark, d):
     members = _enriched(spark, d)
+    largest = decisions.largest_group(members)
     return decisions.apply_overrides(
-        members, decisions.apply_rule(members, "oldest"), _edits(members)
+        members, decisions.apply_rule(members, "oldest", largest=largest), _edits(members), largest
     )
 
 
@@ -709,6 +790,22 @@ def action_payloads(spark, d):
     return parse_actions(pairs.select(payload.alias("value")), "value").distinct()
 
 
+@query
+def action_payload_repeats(spark, d):
+    """Payloads that decide on a group twice: the last entry counts."""
+    members = _scan(spark, d).members
+    ends = members.groupBy("hash").agg(
+        F.min_by("path", "member_pos").alias("first"), F.max_by("path", "member_pos").alias("last"))
+
+    def detail(keep: str, trash: str):
+        return F.to_json(F.struct(F.col(keep).alias("keep"), F.array(trash).alias("trash")))
+
+    key = F.concat(F.lit('"'), F.col("hash"), F.lit('": '))
+    payload = F.concat(
+        F.lit('{"actions": {'), key, detail("first", "last"), F.lit(", "), key, detail("last", "first"), F.lit("}}"))
+    return parse_actions(ends.select(payload.alias("value")), "value")
+
+
 # -- validation -------------------------------------------------------------------------------
 
 

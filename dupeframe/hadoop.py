@@ -49,6 +49,23 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not rename {source} to {target}")
 
 
+def swap(spark: SparkSession, source: str, target: str) -> None:
+    """Give ``source`` the place of ``target``, a file or a folder, which goes; if that fails,
+    ``target`` is as it was."""
+    parent, name = os.path.split(target.rstrip("/"))
+    earlier = os.path.join(parent, f".{name}.{uuid.uuid4().hex}") if exists(spark, target) else None
+    if earlier:
+        rename(spark, target, earlier)
+    try:
+        rename(spark, source, target)
+    except Exception:
+        if earlier:
+            rename(spark, earlier, target)
+        raise
+    if earlier:
+        delete(spark, earlier)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, hpath = _fs(spark, path)
     out = fs.create(hpath, True)

@@ -64,32 +64,45 @@ def choose_keep(members: DataFrame, rule: str) -> DataFrame:
     )
 
 
-def _decide(members: DataFrame, keepers: DataFrame, n_col: str) -> DataFrame:
+def largest_group(members: DataFrame) -> int:
+    """The member count of the largest group; ``members`` should be staged."""
+    return members.agg(F.max("n_members")).first()[0] or 0
+
+
+def _decide(members: DataFrame, keepers: DataFrame, n_col: str, largest: int | None) -> DataFrame:
     joined = skew_join(
-        existing(members).select("hash", "path"), keepers, ["hash"], n_col, ["path"]
+        existing(members).select("hash", "path"), keepers, ["hash"], n_col, ["path"], largest=largest
     )
     decision = F.when(F.col("path") == F.col("keep"), F.lit("keep")).otherwise(F.lit("trash"))
     return joined.select("hash", "path", decision.alias("decision"))
 
 
-def apply_rule(members: DataFrame, rule: str, prior: DataFrame | None = None) -> DataFrame:
-    """Selection by ``rule`` for every eligible group; other groups keep ``prior``."""
+def apply_rule(
+    members: DataFrame, rule: str, prior: DataFrame | None = None, largest: int | None = None
+) -> DataFrame:
+    """Selection by ``rule`` for every eligible group; other groups keep ``prior``.
+
+    ``largest`` is the member count of the largest group, if the caller knows it (``largest_group``).
+    """
     keepers = choose_keep(members, rule)
-    selection = _decide(members, keepers, "n_existing")
+    selection = _decide(members, keepers, "n_existing", largest)
     if prior is None:
         return selection
     untouched = skew_join(
-        prior, keepers.select("hash", "n_existing"), ["hash"], "n_existing", ["path"], "left_anti"
+        prior, keepers.select("hash", "n_existing"), ["hash"], "n_existing", ["path"], "left_anti",
+        largest=largest,
     )
     return selection.unionByName(untouched.select("hash", "path", "decision"))
 
 
-def default_selection(members: DataFrame) -> DataFrame:
+def default_selection(members: DataFrame, largest: int | None = None) -> DataFrame:
     """The first existing member is kept, the other existing ones are trash."""
-    return apply_rule(members, "first")
+    return apply_rule(members, "first", largest=largest)
 
 
-def apply_overrides(members: DataFrame, selection: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_overrides(
+    members: DataFrame, selection: DataFrame, edits: DataFrame, largest: int | None = None
+) -> DataFrame:
     """Apply ordered edits ``seq, hash, action, path`` to the groups of ``selection``.
 
     ``keep p`` keeps p. ``trash p`` matters only if p is the kept one: then the first other
@@ -120,7 +133,7 @@ def apply_overrides(members: DataFrame, selection: DataFrame, edits: DataFrame)
             F.max(F.when(F.col("_place") == 2, F.col("path"))).alias("_m2"),
         )
     )
-    states = (
+    states = stage(
         valid.groupBy("hash")
         .agg(
             F.count(F.lit(1)).alias("_n_edits"),
@@ -132,10 +145,12 @@ def apply_overrides(members: DataFrame, selection: DataFrame, edits: DataFrame)
             "hash", "_n_edits", "n_members", "_m1", "_m2",
             F.coalesce("_last.path", "_start").alias("_kept"),
             F.col("_last.seq").alias("_since"),
-        )
+        ),
+        "edit-states",
     )
+    most_edits = states.agg(F.max("_n_edits")).first()[0] or 0
     trashed = skew_join(
-        valid.where("action = 'trash'"), states, ["hash"], "_n_edits", ["path"]
+        valid.where("action = 'trash'"), states, ["hash"], "_n_edits", ["path"], largest=most_edits
     ).where(F.col("_since").isNull() | (F.col("seq") > F.col("_since")))
     facts = trashed.groupBy("hash").agg(
         F.min(F.when(F.col("path") == F.col("_kept"), F.col("seq"))).alias("_lost"),
@@ -154,14 +169,16 @@ def apply_overrides(members: DataFrame, selection: DataFrame, edits: DataFrame)
     outcome = states.join(facts, "hash", "left").select(
         "hash", "n_members", kept.alias("_keep")
     )
-    updated = skew_join(selection, outcome, ["hash"], "n_members", ["path"], "left")
+    updated = skew_join(selection, outcome, ["hash"], "n_members", ["path"], "left", largest=largest)
     decision = F.when(F.col("_keep").isNull(), F.col("decision")).otherwise(
         F.when(F.col("path") == F.col("_keep"), F.lit("keep")).otherwise(F.lit("trash"))
     )
     return updated.select("hash", "path", decision.alias("decision"))
 
 
-def apply_choices(members: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_choices(
+    members: DataFrame, choices: DataFrame, largest: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Apply one choice per group and return ``(selection, rejected choices)``.
 
     ``choice`` is the number of an existing member, counted among the existing ones: it is
@@ -182,7 +199,7 @@ def apply_choices(members: DataFrame, choices: DataFrame) -> tuple[DataFrame, Da
     )
     rejected = chosen.where(F.col("keep").isNull()).select("hash", "choice")
     keepers = chosen.where(F.col("keep").isNotNull()).select("hash", "keep", "n_members")
-    return _decide(members, keepers, "n_members"), rejected
+    return _decide(members, keepers, "n_members", largest), rejected
 
 
 def decision_sets(selection: DataFrame) -> DataFrame:

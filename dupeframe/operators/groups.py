@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dupeframe.operators.skew import skew_join
 from dupeframe.session import hot_rows
-from dupeframe.staging import global_index, with_global_index
+from dupeframe.staging import global_index, stage, with_global_index
 
 
 def group_table(fingerprints: DataFrame) -> DataFrame:
@@ -122,9 +122,38 @@ def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def duplicate_row_members(df: DataFrame, columns: list[str], row_id: list[str]) -> DataFrame:
     """The rows behind ``duplicate_rows``; ``row_id`` names columns that tell rows apart."""
+    repeated = stage(duplicate_rows(df, columns), "repeated")
+    largest = repeated.agg(F.max("n_copies")).first()[0] or 0
+    return skew_join(df, repeated, columns, "n_copies", row_id, null_safe=True, largest=largest)
+
+
+def row_digest(columns: list[str]) -> Column:
+    """SHA-256 of the values of ``columns``; NULL differs from any value, and no two lists of
+    values are written alike."""
+    written = [
+        F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+        for c in columns
+    ]
+    return F.sha2(F.concat(*written), 256)
+
+
+def duplicate_wide_rows(df: DataFrame, columns: list[str], row_id: list[str]) -> DataFrame:
+    """``row_id``, ``digest`` and ``n_copies`` of rows that agree in ``columns``, for columns that are
+    too long to be shuffled: rows are grouped by their digest, made where they are read.
+
+    That rows of one digest agree is checked by a second hash; RuntimeError if not.
+    """
+    keyed = stage(df.select(
+        *row_id, row_digest(columns).alias("digest"), F.xxhash64(*columns).alias("_check")), "digests")
+    repeated = stage(keyed.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n_copies"), F.min("_check").alias("_least"), F.max("_check").alias("_most")
+    ).where("n_copies > 1"), "repeated")
+    largest, unequal = repeated.agg(F.max("n_copies"), F.count_if(F.col("_least") != F.col("_most"))).first()
+    if unequal:
+        raise RuntimeError(f"{unequal} digests stand for rows that differ")
     return skew_join(
-        df, duplicate_rows(df, columns), columns, "n_copies", row_id, null_safe=True
-    )
+        keyed.drop("_check"), repeated.select("digest", "n_copies"), ["digest"], "n_copies", row_id,
+        largest=largest or 0)
 
 
 def size_candidates(manifest: DataFrame) -> DataFrame:
@@ -132,5 +161,7 @@ def size_candidates(manifest: DataFrame) -> DataFrame:
 
     Works on metadata; ``content`` must not be in ``manifest``, as it would be shuffled.
     """
-    sizes = manifest.groupBy("size").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return skew_join(manifest, sizes, ["size"], "_n", ["path"], "left_semi")
+    sizes = stage(
+        manifest.groupBy("size").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sizes")
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    return skew_join(manifest, sizes, ["size"], "_n", ["path"], "left_semi", largest=largest)

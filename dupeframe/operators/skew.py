@@ -17,6 +17,7 @@ def skew_join(
     salt_by: list[str],
     how: str = "inner",
     null_safe: bool = False,
+    largest: int | None = None,
 ) -> DataFrame:
     """Join to ``right``, which has one row per key and the key's ``left`` row count ``n_col``.
 
@@ -25,11 +26,14 @@ def skew_join(
     keys keep salt 0. The broadcast table holds 64-bit hashes of hot keys only, at most
     (left rows / hot_rows) of them, so its bytes are bounded by construction; a key whose hash
     agrees with a hot one's is spread as well, on both sides, which changes no result. ``null_safe`` lets
-    NULL keys match each other, as they do in a ``groupBy``.
+    NULL keys match each other, as they do in a ``groupBy``. ``largest`` is a bound of ``n_col``, if
+    the caller knows one: when no key can be hot, nothing is salted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     limit = hot_rows(left.sparkSession)
+    if largest is not None and largest <= limit:
+        return _join(left, right, keys, how, null_safe)
     salts = F.ceil(F.col(n_col) / F.lit(limit)).cast("int")
     hot = F.broadcast(
         right.where(F.col(n_col) > limit)

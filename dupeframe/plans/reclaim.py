@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -14,6 +15,7 @@ from dupeframe.operators.decisions import (
     apply_rule,
     default_selection,
     enrich,
+    largest_group,
 )
 from dupeframe.operators.validate import require_safe, validate
 from dupeframe.sources.quarantine import quarantine
@@ -22,11 +24,21 @@ from dupeframe.staging import stage
 
 @dataclass
 class ReclaimPlan:
+    """``members`` and ``selection`` are staged. ``violations`` and ``plan`` are computed and staged
+    when they are first read, each once."""
+
     members: DataFrame
     selection: DataFrame
-    violations: DataFrame
-    plan: DataFrame
     rejected_choices: DataFrame | None = None
+    strict: bool = True
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        return stage(validate(self.members, self.selection, self.strict), "violations")
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        return stage(ops.reclaim_plan(self.selection, self.members), "plan").orderBy("path")
 
     def totals(self) -> DataFrame:
         return ops.reclaim_totals(self.plan)
@@ -62,20 +74,20 @@ def plan_reclaim(
     if choices is not None and (rule or edits is not None or selection is not None):
         raise ValueError("choices stand alone")
     members = stage(enrich(members, present), "enriched")
+    largest = largest_group(members)
     rejected = None
     if choices is not None:
-        selection, rejected = apply_choices(members, choices)
+        selection, rejected = apply_choices(members, choices, largest)
     elif rule is not None:
-        selection = apply_rule(members, rule, selection)
+        selection = apply_rule(members, rule, selection, largest)
     elif selection is None:
-        selection = default_selection(members)
+        selection = default_selection(members, largest)
     selection = stage(selection, "selection")
     if edits is not None:
-        selection = stage(apply_overrides(members, selection, edits), "selection")
+        selection = stage(apply_overrides(members, selection, edits, largest), "selection")
     return ReclaimPlan(
         members=members,
         selection=selection,
-        violations=stage(validate(members, selection, strict), "violations"),
-        plan=ops.reclaim_plan(selection, members),
         rejected_choices=rejected,
+        strict=strict,
     )

@@ -92,12 +92,14 @@ def scan_table(
     if opened is not None:
         hashed = _reuse_table(scoped, opened, algorithm, paths_unique)
     else:
-        wanted = _prefilter_content(scoped) if size_prefilter else scoped
+        wanted = scoped
+        if size_prefilter:
+            items = stage(scoped.select(*MANIFEST.names), "manifest")
+            wanted = _prefilter_content(scoped, items)
         hashed = _hash_table(wanted, algorithm)
         if not paths_unique:
             hashed = dedupe_paths(hashed)
         if size_prefilter:
-            items = scoped.select(*MANIFEST.names)
             hashed = _with_hashes(items if paths_unique else dedupe_paths(items), hashed)
         hashed = hashed.withColumn("hit", F.lit(False))
     return _finish(hashed, includes, (), algorithm, opened, outputs, started)
@@ -174,10 +176,12 @@ def _hash_table(manifest: DataFrame, algorithm: str) -> DataFrame:
     )
 
 
-def _prefilter_content(manifest: DataFrame) -> DataFrame:
-    """Keep rows of repeated sizes (and some others, which form no group), where they are read."""
-    sizes = manifest.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size")
-    return among(manifest, F.col("size"), sizes)
+def _prefilter_content(manifest: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Keep rows of repeated sizes (and some others, which form no group), where they are read.
+    ``items`` is the staged metadata, so that sizes are derived from the content once."""
+    items = manifest if items is None else items
+    sizes = items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size")
+    return among(manifest, F.col("size"), stage(sizes, "sizes"))
 
 
 def _reuse_table(
@@ -185,8 +189,8 @@ def _reuse_table(
 ) -> DataFrame:
     """Fingerprints of a table, computed only for rows the store does not answer.
 
-    The look-up joins metadata. A map of the misses is broadcast, so that content is hashed where
-    it is read and does not move; what passes the map by chance is dropped by the join on the
+    The look-up joins metadata. A filter of the misses is broadcast, so that content is hashed where
+    it is read and does not move; what passes the filter by chance is dropped by the join on the
     path. Stored hashes win for hits.
     """
     def one_per_path(rows: DataFrame) -> DataFrame:

@@ -13,18 +13,26 @@ def read_actions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_actions(payloads: DataFrame, column: str) -> DataFrame:
-    """Selection rows ``hash, path, decision`` of JSON payloads; ``keep`` is a path or a list."""
-    entries = payloads.select(
-        F.explode(F.from_json(F.col(column), ACTIONS)["actions"]).alias("hash", "detail")
-    )
+    """Selection rows ``hash, path, decision`` of JSON payloads; ``keep`` is a path or a list.
+
+    Of a hash that a payload has several times, the last entry counts.
+    """
+    numbered = payloads.select(
+        F.monotonically_increasing_id().alias("payload"),
+        F.from_json(F.col(column), ACTIONS)["actions"].alias("actions"))
+    entries = numbered.select(
+        "payload", F.posexplode("actions").alias("place", "hash", "detail")
+    ).groupBy("payload", "hash").agg(F.max_by("detail", "place").alias("detail"))
     keep = F.coalesce(
         F.when(F.col("detail.keep").startswith("["), F.from_json("detail.keep", "array<string>")),
         F.array("detail.keep"),
     )
-    decided = [
-        entries.select("hash", F.explode(keep).alias("path"), F.lit("keep").alias("decision")),
-        entries.select(
-            "hash", F.explode("detail.trash").alias("path"), F.lit("trash").alias("decision")
-        ),
-    ]
-    return decided[0].unionByName(decided[1]).where(F.col("path").isNotNull())
+    decisions = F.array(
+        F.struct(F.lit("keep").alias("decision"), keep.alias("paths")),
+        F.struct(F.lit("trash").alias("decision"), F.col("detail.trash").alias("paths")),
+    )
+    return (
+        entries.select("hash", F.explode(decisions).alias("own"))
+        .select("hash", F.explode("own.paths").alias("path"), "own.decision")
+        .where(F.col("path").isNotNull())
+    )

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import datetime
 import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dupeframe import hadoop
 from dupeframe.functions.fingerprint import LABELS
 from dupeframe.operators.groups import report_order
+from dupeframe.operators.skew import skew_join
 from dupeframe.schemas import REPORT_DOCUMENT, REPORT_ROWS, SUMMARY
 from dupeframe.staging import stage, stage_path, with_global_index
 
@@ -148,22 +152,39 @@ def json_lines(members: DataFrame, summary: Summary) -> DataFrame:
     return _lines(spark, 0, head).unionByName(body).unionByName(_lines(spark, 2, ["  }", "}"]))
 
 
+@contextmanager
+def publication(spark: SparkSession, path: str) -> Iterator[str]:
+    """A place beside ``path`` to write to, which takes the place of ``path`` at the end.
+
+    A reader finds the earlier report, whole, until the new one is complete. If writing fails, or
+    the swap does, the earlier report stays. File or folder may replace either.
+    """
+    parent, name = os.path.split(path.rstrip("/"))
+    if parent:
+        hadoop.mkdirs(spark, parent)
+    beside = os.path.join(parent, f".{name}.{uuid.uuid4().hex}")
+    try:
+        yield beside
+        hadoop.swap(spark, beside, path)
+    finally:
+        hadoop.delete(spark, beside)
+
+
 def write_lines(lines: DataFrame, path: str, single_file: bool = False, line_sep: str = "\n") -> None:
     """Write lines in order, replacing what ``path`` holds: a folder of parts, or one file.
 
     Many tasks sort and write parts either way; for one file the parts' bytes are then appended
-    to each other, so no task and no row grows with the report.
+    to each other, so no task and no row grows with the report. (They pass through the driver, a
+    buffer at a time.)
     """
     spark = lines.sparkSession
-    parts = stage_path(spark, "report") if single_file else path
-    lines.orderBy("section", "group_idx", "line_no").select("line").write.mode("overwrite").option(
-        "lineSep", line_sep).text(parts)
-    if single_file:
-        parent = os.path.dirname(path)
-        if parent:
-            hadoop.mkdirs(spark, parent)
-        names = [name for name in hadoop.list_names(spark, parts) if name.startswith("part-")]
-        hadoop.concatenate(spark, [f"{parts}/{name}" for name in names], path)
+    with publication(spark, path) as beside:
+        parts = stage_path(spark, "report") if single_file else beside
+        lines.orderBy("section", "group_idx", "line_no").select("line").write.option(
+            "lineSep", line_sep).text(parts)
+        if single_file:
+            names = [name for name in hadoop.list_names(spark, parts) if name.startswith("part-")]
+            hadoop.concatenate(spark, [f"{parts}/{name}" for name in names], beside)
 
 
 def write_report_txt(members: DataFrame, summary: Summary, path: str, single_file: bool = False) -> None:
@@ -179,7 +200,8 @@ def write_report_csv(members: DataFrame, summary: Summary, path: str, single_fil
         F.col("group_idx").alias("Group"), F.col("hash").alias("Hash"),
         F.col("path").alias("FilePath"),
     )
-    rows.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    with publication(members.sparkSession, path) as beside:
+        rows.write.options(**CSV_OPTIONS).csv(beside)
 
 
 # Spaces, quotes, backslashes and line ends in a path survive writing and reading.
@@ -203,8 +225,9 @@ def write_report_json(members: DataFrame, summary: Summary, path: str, single_fi
     if single_file:
         write_lines(json_lines(members, summary), path, True)
         return
-    summary.as_row(members.sparkSession).write.mode("overwrite").json(f"{path}/summary")
-    report_order(members).select(*REPORT_ROWS.names).write.mode("overwrite").json(f"{path}/members")
+    with publication(members.sparkSession, path) as beside:
+        summary.as_row(members.sparkSession).write.json(f"{beside}/summary")
+        report_order(members).select(*REPORT_ROWS.names).write.json(f"{beside}/members")
 
 
 _SINKS = {".txt": write_report_txt, ".json": write_report_json, ".csv": write_report_csv}
@@ -231,12 +254,16 @@ def write_reports(
 def read_report(spark: SparkSession, path: str) -> Report:
     """Read a JSON report in either form; members are in long form and report order is
     ``group_idx, member_pos``. Absent sections are empty; an empty group is one row with a
-    NULL path and ``n_members`` 0."""
+    NULL path and ``n_members`` 0. A document with an indent of 2 is read by many tasks, one
+    that is written otherwise by one."""
     if hadoop.is_directory(spark, f"{path}/members"):
         return Report(
             spark.read.schema(SUMMARY).json(f"{path}/summary"),
             spark.read.schema(REPORT_ROWS).json(f"{path}/members"),
         )
+    by_lines = _read_by_lines(spark, path)
+    if by_lines is not None:
+        return by_lines
     document = spark.read.schema(REPORT_DOCUMENT).option("multiLine", "true").json(path)
     summary = document.select(
         F.coalesce("summary", F.lit(None).cast(SUMMARY)).alias("summary")
@@ -244,6 +271,133 @@ def read_report(spark: SparkSession, path: str) -> Report:
     return Report(summary, _document_members(document))
 
 
+# Kinds of lines of a document that is written with an indent of 2, by what they begin and end with.
+_KINDS = {
+    "top": ("{", "{"),
+    "bottom": ("}", "}"),
+    "open": ('  "', '": {'),
+    "shut": ('  "', '": {}'),
+    "end": ("  }", "  }"),
+    "head": ('    "', '": ['),
+    "none": ('    "', '": []'),
+    "member": ('      "', '"'),
+    "tail": ("    ]", "    ]"),
+}
+
+
+def _classified(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a document as ``file, block, at, kind, text``.
+
+    Spark reads a file in ranges; lines of a range follow each other in one task, so
+    monotonically_increasing_id() counts them. ``text`` is a key or path as JSON has it, or the line.
+    """
+    line = F.regexp_replace("value", "[,\r ]*$", "")
+    kind = F.coalesce(*[
+        F.when(line.startswith(first) & line.endswith(last) & (F.length(line) >= F.lit(len(first) if first == last else len(first + last) - 1)),
+               F.lit(name))
+        for name, (first, last) in _KINDS.items()
+        if name not in ("top", "bottom", "end", "tail")
+    ], *[F.when(line == first, F.lit(name)) for name, (first, _) in _KINDS.items() if name in ("top", "bottom", "end", "tail")],
+        F.lit("other"))
+    literal = F.when(kind.isin("open", "shut", "head", "none"), F.regexp_extract(line, "(?s)^ *(\".*\"): [^\"]*$", 1)).when(
+        kind == "member", F.ltrim(line)).otherwise(F.col("value"))
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), kind.alias("kind"), literal.alias("text"))
+
+
+def _plain(literal: Column) -> Column:
+    """The string of a JSON string; NULL if it is none."""
+    return F.get(F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>"), F.lit(0))
+
+
+def _read_by_lines(spark: SparkSession, path: str) -> Report | None:
+    """The document read by many tasks, if each key, path and bracket has its own line, as in
+    reports with an indent of 2; None otherwise.
+
+    The section and the group that a range of lines starts in are those in which the ranges before it
+    end: the driver carries them on, with one row for each range. A member's position is the
+    distance to its group's first line.
+    """
+    lines = stage(_classified(spark, path), "report-lines")
+    events = F.col("kind").isin("open", "shut", "end", "bottom")
+    ranges = lines.groupBy("file", "block").agg(
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"),
+        F.max(F.when(events, F.struct("at", "kind", "text"))).alias("event"),
+        F.max(F.when(F.col("kind") == "head", F.col("at"))).alias("head"),
+    ).collect()
+    carried, total, section, head = [], 0, "", None
+    for row in sorted(ranges, key=lambda row: (row["file"], row["block"])):
+        carried.append((row["file"], row["block"], row["first"], total, section, head))
+        if row["event"] is not None:
+            section = row["event"]["text"] if row["event"]["kind"] == "open" else ""
+        if row["head"] is not None:
+            head = total + row["head"] - row["first"] + 1
+        total += row["n"]
+    if not carried or len({row[0] for row in carried}) > 1:
+        return None
+    starts = spark.createDataFrame(
+        carried, "file string, block long, first long, before long, section0 string, head0 long")
+    order = Window.partitionBy("block").orderBy("at")
+    known = lines.join(F.broadcast(starts), ["file", "block"]).withColumn(
+        "line", F.col("before") + F.col("at") - F.col("first") + 1)
+    own = F.when(F.col("kind") == "open", F.col("text")).when(events, F.lit(""))
+    placed = stage(known.select(
+        "line", "kind", "text",
+        F.coalesce(F.last(own, True).over(order), "section0").alias("section"),
+        F.coalesce(F.last(F.when(F.col("kind") == "head", F.col("line")), True).over(order), "head0").alias("head"),
+    ), "report-lines")
+    inside = (F.col("section") == '"duplicates"') & ~events
+    value = F.when(F.col("kind").isin("head", "none", "member"), _plain(F.col("text")))
+    checks = placed.agg(
+        F.count_if(inside & ~F.col("kind").isin("head", "none", "member", "tail")).alias("foreign"),
+        F.count_if(inside & F.col("kind").isin("head", "none", "member") & value.isNull()).alias("broken"),
+        (F.count_if(inside & (F.col("kind") == "head")) - F.count_if(inside & (F.col("kind") == "tail"))).alias("open"),
+        F.count_if((F.col("kind") == "open") & (F.col("text") == '"duplicates"')).alias("sections"),
+        F.count_if(~F.col("text").isin('"summary"', '"duplicates"') & F.col("kind").isin("open", "shut")).alias("unknown"),
+        F.count_if((F.col("section") != '"summary"') & (F.col("kind") == "other")).alias("loose"),
+        F.max(F.struct("line", "kind")).alias("last"), F.min(F.struct("line", "kind")).alias("first"),
+    ).first()
+    whole = checks["first"]["kind"] == "top" and checks["last"]["kind"] == "bottom"
+    if not whole or checks["sections"] > 1 or any(
+            checks[k] for k in ("foreign", "broken", "open", "unknown", "loose")):
+        return None
+    return Report(_summary_of_lines(placed), _members_of_lines(placed.where(inside)))
+
+
+def _summary_of_lines(placed: DataFrame) -> DataFrame:
+    """The summary, which has a few lines and one for each scanned folder."""
+    text = F.when(F.col("kind") == "other", F.col("text"))
+    rows = placed.where("section = '\"summary\"' AND kind NOT IN ('open', 'end')").agg(F.array_sort(F.collect_list(
+        F.struct("line", "kind", "text"))).alias("lines"))
+    written = F.transform("lines", lambda x: F.when(x["kind"] == "head", F.concat(x["text"], F.lit(": [")))
+                          .when(x["kind"] == "none", F.concat(x["text"], F.lit(": [],")))
+                          .when(x["kind"] == "member", F.concat(x["text"], F.lit(",")))
+                          .when(x["kind"] == "tail", F.lit("],")).otherwise(x["text"]))
+    joined = F.regexp_replace(F.concat(F.lit("{"), F.array_join(written, "\n"), F.lit("}")), ",\\s*([\\]}])", "$1")
+    return rows.select(F.from_json(joined, SUMMARY).alias("summary")).select("summary.*")
+
+
+def _members_of_lines(lines: DataFrame) -> DataFrame:
+    groups = lines.where("kind = 'tail'").select("head", (F.col("line") - F.col("head") - 1).alias("n_members")).join(
+        lines.where("kind = 'head'").select("head", _plain(F.col("text")).alias("hash")), "head"
+    ).unionByName(lines.where("kind = 'none'").select(
+        F.col("line").alias("head"), F.lit(0).cast("long").alias("n_members"), _plain(F.col("text")).alias("hash")))
+    # a repeated key keeps its first place and its last value
+    unique = groups.groupBy("hash").agg(
+        F.min("head").alias("_pos"), F.max(F.struct("head", "n_members")).alias("last"))
+    numbered = stage(with_global_index(unique, ["_pos"], "group_idx").select(
+        "group_idx", "hash", "last.*"), "report-groups")
+    members = lines.where("kind = 'member'").select(
+        "head", (F.col("line") - F.col("head")).alias("member_pos"), _plain(F.col("text")).alias("path"))
+    joined = skew_join(members, numbered.where("n_members > 0"), ["head"], "n_members", ["member_pos"],
+                       largest=numbered.agg(F.max("n_members")).first()[0] or 0)
+    empty = numbered.where("n_members = 0").select(
+        "group_idx", "hash", "n_members", F.lit(None).cast("long").alias("member_pos"),
+        F.lit(None).cast("string").alias("path"))
+    return joined.select(*empty.columns).unionByName(empty)
+
+
 def _document_members(document: DataFrame) -> DataFrame:
     entries = document.select(F.posexplode("duplicates").alias("_pos", "hash", "paths"))
     # a repeated key keeps its first place and its last value

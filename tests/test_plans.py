@@ -86,8 +86,9 @@ def test_groups_are_counted_before_the_shuffle(spark):
     assert "partial_count" in plan.split("Exchange", 1)[1]
 
 
-def test_edits_need_only_two_members_of_a_group(spark):
-    plan = plan_text(REGISTRY["manual_edits"](spark, DATA))
+def test_edits_need_only_two_members_of_a_group(spark, staged_plans):
+    REGISTRY["manual_edits"](spark, DATA)
+    plan = dict(staged_plans)["edit-states"]
     # members beyond the second are dropped before the shuffle, also in a hot group
     assert "row_number(), 2, Partial" in plan and "row_number(), 2, Final" in plan
 
@@ -136,3 +137,47 @@ def test_a_store_look_up_reads_one_algorithm_and_does_not_shuffle_the_store(spar
     finally:
         spark.conf.unset(BUCKET_ROWS_KEY)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_columns_of_repeated_rows_are_not_shuffled(spark, monkeypatch):
+    from dupeframe.operators import groups as module
+
+    plans = []
+    original = module.stage
+    monkeypatch.setattr(module, "stage", lambda df, label: plans.append(plan_text(df)) or original(df, label))
+    plan = plan_text(REGISTRY["dup_rows_documents"](spark, DATA))
+    for text in (*plans, plan):
+        assert "Exchange" not in text or "text#" not in text[text.index("Exchange"):]
+
+
+def test_plans_and_violations_are_computed_once_and_when_read(spark, monkeypatch):
+    from dupeframe.plans import reclaim as module
+    from dupeframe.plans.reclaim import plan_reclaim
+
+    staged = []
+    original = module.stage
+    monkeypatch.setattr(module, "stage", lambda df, label: staged.append(label) or original(df, label))
+    members = scan.scan_table(corpus.files(spark, DATA), algorithm="sha256").members.drop("size", "mtime")
+    present = corpus.metadata(spark, DATA)
+    planned = plan_reclaim(members, present, rule="newest")
+    assert staged == ["enriched", "selection"]
+    planned.totals().collect()
+    planned.totals().collect()
+    assert staged == ["enriched", "selection", "plan"]
+    planned.survivors(present).count()
+    planned.survivors(present).count()
+    assert staged == ["enriched", "selection", "plan", "violations"]
+
+
+def test_content_is_read_twice_where_sizes_are_derived(spark, monkeypatch):
+    read = []
+    original = scan.stage
+
+    def recording(df, label):
+        plan = plan_text(df)
+        read.append((label, plan.count("text:string")))
+        return original(df, label)
+
+    monkeypatch.setattr(scan, "stage", recording)
+    scan.scan_table(corpus.files(spark, DATA), algorithm="sha256", size_prefilter=True, paths_unique=True)
+    assert sum(n for _, n in read) == 2

@@ -202,3 +202,108 @@ def test_action_payloads(spark, tmp_path):
         ("h4", "/ü", "trash"), ("h4", "[odd name", "keep")]
     (tmp_path / "empty.json").write_text("{}")
     assert rows(read_actions(spark, f"{tmp_path}/empty.json")) == []
+
+
+def whole_document(path):
+    """The members as a plain JSON reader sees them; of a repeated key, the last value at its first place."""
+    data = json.loads(path.read_text())
+    out = []
+    for number, (name, paths) in enumerate(data.get("duplicates", {}).items(), start=1):
+        out += [(number, name, len(paths), p, path) for p, path in enumerate(paths, start=1)] or [
+            (number, name, 0, None, None)]
+    return sorted(out, key=repr)
+
+
+@pytest.fixture
+def small_ranges(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("groups", [
+    GROUPS, {}, {"h": []}, {"a": ["/1"], "b": [], "c": ["/x" * 100, "/2", "/3"] * 9},
+    {"odd \"key\": [": ['/a": [', "    ]", "/},", "  }", "/\\"], "k": ["{", "}", '": {}']},
+])
+def test_documents_are_read_by_lines(spark, tmp_path, small_ranges, groups):
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps(document(groups, summary(groups)), ensure_ascii=False, indent=2))
+    by_lines = report._read_by_lines(spark, str(path))
+    assert rows(by_lines.members) == whole_document(path)
+    read = by_lines.summary.first().asDict()
+    assert read == document(groups, summary(groups))["summary"]
+    assert rows(report.read_report(spark, str(path)).members) == whole_document(path)
+    # the sections the other way round, and Windows line ends
+    turned = dict(reversed(document(groups, summary(groups)).items()))
+    path.write_bytes(json.dumps(turned, indent=2).replace("\n", "\r\n").encode())
+    by_lines = report._read_by_lines(spark, str(path))
+    assert rows(by_lines.members) == whole_document(path) and by_lines.summary.first().asDict() == read
+
+
+def test_repeated_keys_by_lines(spark, tmp_path, small_ranges):
+    path = tmp_path / "r.json"
+    path.write_text('{\n  "duplicates": {\n    "a": [\n      "/1",\n      "/2"\n    ],\n    "b": [\n      "/3"\n    ],\n'
+                    '    "a": [\n      "/4"\n    ],\n    "c": []\n  }\n}\n')
+    by_lines = report._read_by_lines(spark, str(path))
+    assert rows(by_lines.members) == [(1, "a", 1, 1, "/4"), (2, "b", 1, 1, "/3"), (3, "c", 0, None, None)]
+    assert rows(by_lines.summary) == [(None,) * 6]
+
+
+@pytest.mark.parametrize("text", [
+    '{"duplicates": {"a": ["/1"]}}', "{}", '{\n  "duplicates": {\n    "a": ["/1", "/2"]\n  }\n}',
+    '{\n "duplicates": {\n  "a": [\n   "/1"\n  ]\n }\n}', '{\n  "duplicates": {\n    "a": [\n      "/1"\n',
+    '{\n  "duplicates": {\n    "a": [\n      7\n    ]\n  }\n}',
+])
+def test_other_layouts_are_left_to_the_whole_reader(spark, tmp_path, text):
+    (tmp_path / "r.json").write_text(text)
+    assert report._read_by_lines(spark, f"{tmp_path}/r.json") is None
+    report.read_report(spark, f"{tmp_path}/r.json").members.collect()
+
+
+@pytest.mark.parametrize("kind", ["json", "txt", "csv"])
+@pytest.mark.parametrize("earlier, later", [(True, False), (False, True)])
+def test_files_and_folders_replace_each_other(spark, tmp_path, kind, earlier, later):
+    path = f"{tmp_path}/r.{kind}"
+    report.write_reports(members(spark), summary(), [path], earlier)
+    report.write_reports(members(spark, {"n": ["/n1", "/n2"]}), summary({"n": []}), [path], later)
+    assert (tmp_path / f"r.{kind}").is_file() is later
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == [f"r.{kind}"]
+    if kind == "json":
+        assert rows(report.read_report(spark, path).members, "path") == [("/n1",), ("/n2",)]
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_a_write_that_fails_half_way_leaves_the_old_report(spark, tmp_path, monkeypatch, single):
+    from dupeframe import hadoop
+    from pyspark.sql import functions as F
+
+    path = f"{tmp_path}/r.json"
+    report.write_report_json(members(spark), summary(), path, single)
+    before = rows(report.read_report(spark, path).members)
+    broken = members(spark, {f"h{i}": [f"/{i}/a", f"/{i}/b"] for i in range(50)}).withColumn(
+        "path", F.when(F.col("path") == "/40/b", F.raise_error(F.lit("lost"))).otherwise(F.col("path")))
+    with pytest.raises(Exception, match="lost"):
+        report.write_report_json(broken, summary(), path, single)
+    assert rows(report.read_report(spark, path).members) == before
+
+    real, calls = hadoop.rename, []
+
+    def fails_second(spark, source, target):
+        calls.append(target)
+        if len(calls) == 2:
+            raise OSError("lost")
+        real(spark, source, target)
+
+    monkeypatch.setattr(hadoop, "rename", fails_second)
+    with pytest.raises(OSError, match="lost"):
+        report.write_report_json(members(spark, {"n": ["/1", "/2"]}), summary(), path, single)
+    assert rows(report.read_report(spark, path).members) == before
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["r.json"]
+
+
+def test_the_last_of_repeated_decisions_counts(spark, tmp_path):
+    (tmp_path / "p.json").write_text(
+        '{"actions": {"h": {"keep": "/a", "trash": ["/b"]}, "g": {"keep": "/c", "trash": []},'
+        ' "h": {"keep": "/b", "trash": ["/a"]}}}')
+    assert rows(read_actions(spark, f"{tmp_path}/p.json")) == [
+        ("g", "/c", "keep"), ("h", "/a", "trash"), ("h", "/b", "keep")]

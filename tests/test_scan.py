@@ -11,7 +11,7 @@ from dupeframe.plans.reclaim import plan_reclaim
 from dupeframe.sources.files import fingerprint_files
 from dupeframe.sources.table import manifest_from_objects
 from dupeframe.sources.tree import read_tree, stat_paths
-from dupeframe.staging import with_global_index
+from dupeframe.staging import stage, with_global_index
 
 COPIES = {"a/one.txt": b"common content", "b/two.txt": b"common content", "c.txt": b"unique"}
 
@@ -348,3 +348,67 @@ def test_files_are_dealt_by_their_bytes(spark, monkeypatch):
     assert files.spread_files(manifest.limit(0)).count() == 0
     plan = plan_text(files.spread_files(manifest))
     assert "_task" in plan and "hashpartitioning(path" not in plan
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_scopes_of_a_table_of_any_size(spark, parts):
+    rng = random.Random(parts)
+    names = ["a", "ab", "a!", "a0", "b", "ü", "c d"]
+
+    def path():
+        return "".join("/" + rng.choice(names) for _ in range(rng.randint(1, 5)))
+
+    paths = sorted({path() for _ in range(400)})
+    roots = [(path() + rng.choice(["", "/"]), rng.randrange(6)) for _ in range(60)]
+    for chosen in (roots, roots[:1], [], [*roots, ("/", 3)], [("/", 0)]):
+        items = _items(spark, [(p, 0, "x") for p in paths]).drop("content").repartition(parts)
+        expected = []
+        for p in paths:
+            held = [(n, r.rstrip("/") or "/") for r, n in chosen if f"{p}/".startswith(r.rstrip("/") + "/")]
+            if held:
+                least = {}
+                for n, r in held:
+                    least[r] = min(n, least.get(r, n))
+                number, name = min((n, "" if r == "/" else r) for r, n in least.items())
+                expected.append((p, name or "/", number))
+        table = spark.createDataFrame(chosen, "root string, root_ord int")
+        assert rows(scope.in_scope_table(items, table), "path", "root", "root_ord") == sorted(expected, key=repr)
+        left = scope.exclude_table(items, table.select("root"))
+        assert left.columns == items.columns
+        assert rows(left, "path") == sorted(((p,) for p in paths if p not in {e[0] for e in expected}), key=repr)
+    with pytest.raises(ValueError, match="content"):
+        scope.exclude_table(_items(spark, [("/a", 0, "x")]), table.select("root"))
+
+
+def test_a_scope_with_most_paths_is_no_single_task(spark, monkeypatch):
+    plans, original = [], scope.stage
+    monkeypatch.setattr(scope, "stage", lambda df, label: plans.append(plan_text(df)) or original(df, label))
+    items = spark.range(20_000).select(
+        F.concat(F.lit("/big/"), F.col("id").cast("string")).alias("path"), F.lit(1).alias("size"))
+    found = scope.in_scope_table(items, spark.createDataFrame([("/big", 1), ("/z", 2)], "root string, root_ord int"))
+    assert found.count() == 20_000 and found.where("root = '/big' AND root_ord = 1").count() == 20_000
+    # paths are dealt by their place in the order, not by their scope
+    assert "Exchange rangepartitioning(_key" in plans[-1] and plans[-1].count("Exchange rangepartitioning") == 1
+
+
+def test_few_foreign_keys_pass_the_filter(spark):
+    from dupeframe.operators.bitmap import among
+
+    keys = stage(spark.range(1_000_000).select(F.concat(F.lit("/k/"), F.col("id").cast("string")).alias("path")), "keys")
+    rows_ = spark.range(900_000, 2_000_000).select(
+        "id", F.concat(F.lit("/k/"), F.col("id").cast("string")).alias("path"))
+    passed = among(rows_, F.col("path"), keys)
+    own, foreign = passed.agg(F.count_if(F.col("id") < 1_000_000), F.count_if(F.col("id") >= 1_000_000)).first()
+    assert own == 100_000 and foreign < 0.01 * 1_000_000
+    assert among(rows_, F.col("path"), keys.limit(0)).count() == 0
+    tight = among(rows_, F.col("path"), keys, bits_per_key=2)  # a small filter loses nothing
+    assert tight.where("id < 1000000").count() == 100_000
+
+
+def test_wide_rows_are_grouped_by_digest(spark, hot):
+    df = spark.createDataFrame(
+        [(1, "a", None), (2, "a", None), (3, None, "a"), (4, "x:1", "b"), (5, "x:1", "b"), (6, "x", "1b"), (7, "", None),
+         (8, None, ""), (9, None, None), (10, None, None)], "id int, x string, y string")
+    found = groups.duplicate_wide_rows(df, ["x", "y"], ["id"])
+    assert rows(found, "id", "n_copies") == [(1, 2), (10, 2), (2, 2), (4, 2), (5, 2), (9, 2)]
+    assert groups.duplicate_wide_rows(df.limit(0), ["x", "y"], ["id"]).count() == 0
