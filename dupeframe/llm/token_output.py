@@ -95,7 +95,8 @@ def pack_token_ids(
     def pack(pieces: list[tuple]) -> dict:
         rows = best_fit_decreasing([len(ids) for _, _, ids in pieces], capacity)
         matrix = np.full((len(rows), capacity), pad_id, np.int32)
-        positions = np.zeros((len(rows), capacity), np.int32)
+        positions = np.empty((len(rows), capacity), np.int32)
+        count = np.arange(capacity, dtype=np.int32)
         out: dict[str, list] = {k: [] for k in ("cu_seqlens", "doc_ids", "starts", "n_tokens")}
         for r, row in enumerate(rows):
             ends = [0]
@@ -103,9 +104,9 @@ def pack_token_ids(
                 ids = pieces[item][2]
                 at, end = ends[-1], ends[-1] + len(ids)
                 matrix[r, at:end] = ids
-                positions[r, at:end] = np.arange(len(ids))
+                positions[r, at:end] = count[:len(ids)]
                 ends.append(end)
-            positions[r, ends[-1]:] = np.arange(capacity - ends[-1])
+            positions[r, ends[-1]:] = count[:capacity - ends[-1]]
             out["cu_seqlens"].append(ends)
             out["doc_ids"].append([pieces[item][0] for item in row])
             out["starts"].append([pieces[item][1] for item in row])

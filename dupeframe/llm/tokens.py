@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from array import array
 from itertools import chain
+from string import ascii_letters
 from types import ModuleType
 
 import numpy as np
@@ -15,6 +16,8 @@ CACHED_WORDS = 1 << 20
 # Characters that end a sentence, and closing marks that may follow them.
 SENTENCE_ENDS = tuple(mark.encode() for mark in ".!?…。！？")
 CLOSING = b"\"')]}"
+# Fixed value: marks that may stand behind a word of letters.
+MARKS = b".,;:!?"
 
 
 class _Index(dict):
@@ -56,6 +59,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.by_word = end_id, by_word
+        self.fold = self._letter_fold()
+        self.mark_ids: dict[bytes, list[int]] = {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
@@ -63,6 +68,48 @@ class Encoder:
             self.ends_word[number] = token.endswith(suffix)
         self._clear()
 
+    def _letter_fold(self):
+        """What the tokenizer does to ASCII letters before its model sees them, if that is nothing or
+        lower case only and marks behind letters are a piece of their own; else None."""
+        normal, pieces = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if not self.by_word or normal is None or pieces is None:
+            return None
+        folded = normal.normalize_str(ascii_letters)
+        whole = [piece for piece, _ in pieces.pre_tokenize_str(folded)] == [folded]
+        apart = all(
+            normal.normalize_str(mark) == mark
+            and [piece for piece, _ in pieces.pre_tokenize_str("a" + mark)] == ["a", mark]
+            for mark in (*MARKS.decode(), MARKS.decode()))
+        if not whole or not apart:
+            return None
+        return {ascii_letters.lower(): bytes.lower, ascii_letters: bytes}.get(folded)
+
+    def _of_letters(self, word: bytes) -> list[int]:
+        """The ids of ASCII letters, straight from the model."""
+        return [token.id for token in self.tokenizer.model.tokenize(self.fold(word).decode())]
+
+    def _learn_letters(self, first: int, words: list[bytes]) -> list[int]:
+        """Learn the words of ASCII letters, with marks behind them or not; returns the places of the rest."""
+        which, flat, lengths, rest = [], array("I"), [], []
+        for k, word in enumerate(words):
+            core = word if word.isalpha() else word.rstrip(MARKS)
+            if not core.isalpha():
+                rest.append(k)
+                continue
+            ids = self._of_letters(core)
+            if len(core) < len(word):
+                mark = word[len(core):]
+                if mark not in self.mark_ids:
+                    self.mark_ids[mark] = self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids
+                ids += self.mark_ids[mark]
+                self.closes[first + k] = mark.endswith(SENTENCE_ENDS)
+            which.append(k)
+            flat.extend(ids)
+            lengths.append(len(ids))
+        if which:
+            self._put(first, which, np.frombuffer(flat, np.uint32) if flat else np.empty(0, np.uint32), np.array(lengths))
+        return rest
+
     def _clear(self) -> None:
         self.index, self.flat = _Index(), array("I")
         self.starts, self.lengths, self.closes = array("q"), array("q"), array("b")
@@ -73,8 +120,9 @@ class Encoder:
         self.starts.frombytes(bytes(8 * len(words)))
         self.lengths.frombytes(bytes(8 * len(words)))
         self.closes.frombytes(bytes(len(words)))
-        texts = [word.decode("utf-8", "replace") for word in words]
-        plain = [k for k, text in enumerate(texts) if text.isalpha()] if self.ends_word is not None else []
+        left = self._learn_letters(first, words) if self.fold else list(range(len(words)))
+        texts = {k: words[k].decode("utf-8", "replace") for k in left}
+        plain = [k for k, text in texts.items() if text.isalpha()] if self.ends_word is not None else []
         if plain:
             # letters only: in one call with the others, told apart by the word ends
             joined = self.tokenizer.encode_batch_fast(
@@ -86,7 +134,7 @@ class Encoder:
             else:
                 plain = []
         known = set(plain)
-        rest = [k for k in range(len(words)) if k not in known]
+        rest = [k for k in left if k not in known]
         if rest:
             found = [one.ids for one in self.tokenizer.encode_batch_fast(
                 [texts[k] for k in rest], add_special_tokens=False)]

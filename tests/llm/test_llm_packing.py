@@ -139,3 +139,24 @@ def test_pack_token_ids_round_trip(spark):
         assert sorted(documents[5])[0][0] == 0
         assert [i for _, ids in sorted(documents[5]) for i in ids] == plain_ids(ROWS[8][1])
     assert pack_token_ids(no_docs(spark), NAME).count() == 0
+
+
+def test_words_with_marks_are_encoded_as_the_tokenizer_does():
+    rng = random.Random(11)
+    parts = ["ab", "Cd", "the", "x", "'s", "'", "n't", ".", ",", "!?", "...", ";", ":", "é", "Ü", "中", "7", "-", " ", "<|", "“"]
+    encoder = Encoder(NAME, 2)
+    assert encoder.fold is bytes.lower
+    for _ in range(400):
+        text = " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12)))
+        ids, ends = encoder.encode(text.encode())
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert ends[-1] == len(ids)
+    assert Encoder(NAME, 2, by_word=False).fold is None
+
+
+def test_sentence_ends_do_not_depend_on_the_way_a_word_is_learned():
+    one, other = Encoder(NAME, 2), Encoder(NAME, 2)
+    other.fold = None
+    for text in ("One two. Three, four! five", "a. b.) c? \"d!\" e", "...", "x;y. z"):
+        found = [encoder.encode(text.encode()) for encoder in (one, other)]
+        assert [list(a) for a in found[0]] == [list(a) for a in found[1]]
