@@ -30,7 +30,10 @@ def _parser() -> argparse.ArgumentParser:
     scan.add_argument("-o", "--output", action="append", default=[])
     scan.add_argument("--store", help="folder of the fingerprint store")
     scan.add_argument("--algorithm", choices=STREAMED + NATIVE, default="xxh3")
-    scan.add_argument("--single-file", action="store_true", help="write each report as one file")
+    form = scan.add_mutually_exclusive_group()
+    form.add_argument("--single-file", action="store_true", help="write each report as one file (as by default)")
+    form.add_argument("--folder", action="store_true", help="write each report as a folder of parts")
+    scan.add_argument("--progress", action="store_true", help="tell on the error stream how many files are read")
     reclaim = jobs.add_parser("reclaim", help="move all but one file per group aside")
     reclaim.add_argument("--report", required=True)
     reclaim.add_argument("--rule", choices=("first", "oldest", "newest", "shortest", "longest"))
@@ -43,10 +46,14 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _scan(spark, args) -> None:
+    def tell(progress):
+        print(f"read {progress.files} of {progress.total} files", file=sys.stderr)
+
     result = scan_tree(
-        spark, args.include, args.exclude, args.algorithm, args.store
+        spark, args.include, args.exclude, args.algorithm, args.store,
+        on_progress=tell if args.progress else None,
     )
-    result.write(args.output, args.single_file)
+    result.write(args.output, not args.folder)
     print(f"{result.total_files} files, {result.duplicate_groups} duplicate groups, "
           f"{result.elapsed_seconds:.2f} s")
     if args.store and result.total_files:

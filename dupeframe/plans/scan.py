@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,7 +26,7 @@ from dupeframe.sources.report import Summary, check_report_paths, write_reports
 from dupeframe.sources.store import FingerprintStore, open_store
 from dupeframe.sources.tree import read_tree
 from dupeframe.staging import stage, stage_root
-from dupeframe.streaming.progress import observe_scan
+from dupeframe.streaming.progress import ReadProgress, observe_scan, reported
 
 
 @dataclass
@@ -114,15 +115,19 @@ def scan_tree(
     size_prefilter: bool = True,
     on_error: str = "fail",
     outputs: list[str] = (),
+    on_progress: Callable[[ReadProgress], None] | None = None,
+    every: float = 1.0,
 ) -> ScanResult:
     """Scan file trees that all executors mount, or the objects below URIs of stores.
 
     Sizes come from the listing, so files of a size that occurs once are not read at all. With
-    a store every file is fingerprinted, as the store must hold all of them.
+    a store every file is fingerprinted, as the store must hold all of them. ``on_progress`` is
+    called ``every`` so many seconds while files are read.
     """
     started = time.perf_counter()
     check_algorithm(algorithm)
     check_report_paths(list(outputs))
+    progress = ReadProgress(spark) if on_progress else None
     opened = open_store(spark, store) if store else None
     # the library's own files are no items where a root is above them
     own = [store] * bool(store)
@@ -133,14 +138,13 @@ def scan_tree(
     manifest = read_tree(spark, includes, dropped)
     if opened is not None:
         looked = stage(opened.look_up(manifest, algorithm), "lookup")
-        read = stage(fingerprint_files(
-            looked.where(~F.col("hit")).select(*MANIFEST.names), algorithm, on_error), "read")
+        read = _read(looked.where(~F.col("hit")).select(*MANIFEST.names), algorithm, on_error, progress, on_progress, every)
         fresh = read.drop("error").withColumn("hit", F.lit(False))
         hashed = looked.where("hit").unionByName(fresh)
     else:
         manifest = stage(manifest, "manifest")
         wanted = stage(size_candidates(manifest), "candidates") if size_prefilter else manifest
-        read = stage(fingerprint_files(wanted, algorithm, on_error), "read")
+        read = _read(wanted, algorithm, on_error, progress, on_progress, every)
         hashed = read.drop("error")
         if size_prefilter:
             hashed = _with_hashes(manifest, hashed)
@@ -151,6 +155,18 @@ def scan_tree(
     return _finish(hashed, folders, files, algorithm, opened, outputs, started, errors)
 
 
+def _read(
+    wanted: DataFrame, algorithm: str, on_error: str, progress: ReadProgress | None,
+    on_progress: Callable[[ReadProgress], None] | None, every: float,
+) -> DataFrame:
+    """The staged fingerprints of the files ``wanted``."""
+    if progress is None:
+        return stage(fingerprint_files(wanted, algorithm, on_error), "read")
+    progress.total = wanted.count()
+    with reported(progress, on_progress, every):
+        return stage(fingerprint_files(wanted, algorithm, on_error, progress), "read")
+
+
 def _spellings(path: str) -> list[str]:
     """A path as a mounted one and as the URI of a store, as roots may be either."""
     local = local_path(path)

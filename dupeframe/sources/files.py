@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dupeframe.functions.fingerprint import check_algorithm, new_hasher
 from dupeframe.sources.places import open_stream
 from dupeframe.staging import stage
+from dupeframe.streaming.progress import ReadProgress
 
 CHUNK_BYTES = 1024 * 1024
 BYTES_PER_TASK = 256 * 1024 * 1024
@@ -15,13 +16,15 @@ FILES_PER_TASK = 20_000
 
 
 def fingerprint_files(
-    manifest: DataFrame, algorithm: str = "xxh3", on_error: str = "fail"
+    manifest: DataFrame, algorithm: str = "xxh3", on_error: str = "fail",
+    progress: ReadProgress | None = None,
 ) -> DataFrame:
     """Add ``hash`` and ``error`` to a manifest of files.
 
     Files are streamed in 1 MiB chunks, so memory does not depend on file size. An unreadable
     file fails the job, or with ``on_error='skip'`` has a NULL hash and the reason in
     ``error``. Tasks get about equal bytes to read. Paths with a scheme are objects of a store.
+    ``progress`` is raised as files are read.
     """
     check_algorithm(algorithm)
     if on_error not in ("fail", "skip"):
@@ -32,6 +35,8 @@ def fingerprint_files(
         + ["hash string", "error string"]
     )
 
+    count = progress.counter() if progress else None
+
     def read(batches):
         for batch in batches:
             hashes, errors = [], []
@@ -44,6 +49,8 @@ def fingerprint_files(
                         raise RuntimeError(f"cannot read {path}: {error}") from error
                     hashes.append(None)
                     errors.append(str(error))
+            if count:
+                count(len(batch), sum(filter(None, batch.column("size").to_pylist())))
             yield batch.append_column(
                 "hash", pa.array(hashes, type=pa.string())
             ).append_column("error", pa.array(errors, type=pa.string()))

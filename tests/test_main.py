@@ -38,6 +38,16 @@ def test_unsafe_payload_is_refused(spark, tmp_path, capsys):
     assert sorted(os.listdir(root)) == ["a", "b"]
 
 
+def test_reports_are_files_unless_folders_are_asked_for(spark, tmp_path, capsys):
+    root = make_tree(tmp_path / "t", {"a": b"same", "b": b"same"})
+    out = tmp_path / "r.json"
+    assert main(["scan", "-i", str(root), "-o", str(out), "--progress"]) == 0
+    assert json.loads(out.read_text())["summary"]["total_files"] == 2
+    assert "read 2 of 2 files" in capsys.readouterr().err
+    assert main(["scan", "-i", str(root), "-o", str(out), "--folder"]) == 0 and out.is_dir()
+    assert main(["scan", "-i", str(root), "-o", str(out)]) == 0 and out.is_file()
+
+
 def test_suffix_errors_stop_before_the_session(tmp_path):
     with pytest.raises(SystemExit):
         main(["scan", "-i", str(tmp_path), "-o", "r.pdf"])

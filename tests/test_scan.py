@@ -412,3 +412,14 @@ def test_wide_rows_are_grouped_by_digest(spark, hot):
     found = groups.duplicate_wide_rows(df, ["x", "y"], ["id"])
     assert rows(found, "id", "n_copies") == [(1, 2), (10, 2), (2, 2), (4, 2), (5, 2), (9, 2)]
     assert groups.duplicate_wide_rows(df.limit(0), ["x", "y"], ["id"]).count() == 0
+
+
+def test_progress_grows_while_files_are_read(spark, tmp_path, monkeypatch):
+    from dupeframe.sources import files
+
+    monkeypatch.setattr(files, "FILES_PER_TASK", 2)
+    root = make_tree(tmp_path, {f"d/f{k}": b"%04d" % (k % 5) for k in range(400)})
+    seen = []
+    result = scan_tree(spark, [str(root)], on_progress=lambda p: seen.append((p.files, p.bytes, p.total)), every=0.02)
+    assert result.total_files == 400 and seen[-1] == (400, 1600, 400)
+    assert seen == sorted(seen) and any(0 < n < 400 for n, _, _ in seen)
