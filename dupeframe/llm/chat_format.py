@@ -7,6 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 TURNS_PER_ROW = 256
 # The marks of the chat template.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+# What marks begin with, and what stands for that in names and words, so that no one can write a turn.
+MARK, ESCAPED = "<|im_", "<| im_"
+
+
+def _harmless(text: Column) -> Column:
+    return F.replace(text, F.lit(MARK), F.lit(ESCAPED))
 
 
 def rotate_perspectives(
@@ -29,15 +35,16 @@ def rotate_perspectives(
     A row holds the turns of one ``part``, the turn numbers divided by ``turns_per_row``: one row
     for usual dialogues, and a conversation with a third of all turns is dealt over many tasks
     and rows, none of which grows with it. Turns are in order of number, speaker and text, so
-    ties and repeated rows are all rendered. A null speaker is ``unnamed``, a null text empty, a
+    ties and repeated rows are all rendered. What looks like a mark in a name or in words is
+    written apart, and line ends in a name are spaces, so a turn cannot pose as others. A null speaker is ``unnamed``, a null text empty, a
     null turn comes in a part of its own (null), a null conversation is a conversation.
     Other columns are not read. No rows: no rows.
     """
     read = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(speaker_col).cast("string"), F.lit(unnamed)).alias("name"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"),
+        F.translate(_harmless(F.coalesce(F.col(speaker_col).cast("string"), F.lit(unnamed))), "\r\n", "  ").alias("name"),
+        _harmless(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("body"),
     ).withColumn("part", F.floor(F.col("turn") / turns_per_row))
     parts = read.groupBy("conv_id", "part").agg(
         F.sort_array(F.collect_list(F.struct("turn", "name", "body"))).alias("turns"))
@@ -85,7 +92,9 @@ def op8_chat_format(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH turns AS (
-  SELECT conv_id, turn, turn // 256 AS part, coalesce(role, 'unknown') AS name, coalesce(text, '') AS body
+  SELECT conv_id, turn, turn // 256 AS part,
+    translate(replace(coalesce(role, 'unknown'), '<|im_', '<| im_'), chr(13) || chr(10), '  ') AS name,
+    replace(coalesce(text, ''), '<|im_', '<| im_') AS body
   FROM conversations
 ), people AS (
   SELECT DISTINCT conv_id, name AS speaker FROM turns WHERE name <> 'system'
