@@ -578,6 +578,7 @@ SELECT hash, path, CASE WHEN member_pos = 1 THEN 'trash' ELSE 'keep' END AS deci
 FROM members WHERE member_pos = 1 OR member_pos = n_members""",
 }
 ORACLES |= {
+    "index_choices_hot": ORACLES["index_choices"],
     "dup_members_hot": ORACLES["dup_members"],
     "dup_row_members_hot": ORACLES["dup_row_members_lineitem"],
     "keep_newest_hot": ORACLES["keep_newest"],

@@ -1048,3 +1048,4 @@ def _hot(name: str, function: Query) -> None:
 _hot("dup_members_hot", dup_members)
 _hot("dup_row_members_hot", dup_row_members_lineitem)
 _hot("keep_newest_hot", keep_newest)
+_hot("index_choices_hot", index_choices)

@@ -87,7 +87,7 @@ def scan_table(
     check_algorithm(algorithm)
     check_report_paths(list(outputs))
     opened = open_store(manifest.sparkSession, store) if store else None
-    scoped = exclude(manifest, list(excludes), store)
+    scoped = exclude(manifest, [*excludes, *(_spellings(store) if store else [])], store)
     if includes is not None:
         scoped = in_scope(scoped, includes)
     if opened is not None:
@@ -168,9 +168,9 @@ def _read(
 
 
 def _spellings(path: str) -> list[str]:
-    """A path as a mounted one and as the URI of a store, as roots may be either."""
+    """A path as a mounted one and as a URI, as items may be named either way."""
     local = local_path(path)
-    return [local] if is_uri(local) else [local, f"file://{os.path.realpath(local)}"]
+    return [local] if is_uri(local) else [local, f"file:{local}", f"file://{os.path.realpath(local)}"]
 
 
 def local_path(name: str) -> str:
@@ -178,7 +178,7 @@ def local_path(name: str) -> str:
     from urllib.parse import unquote, urlparse
 
     parsed = urlparse(name)
-    return unquote(parsed.path) if parsed.scheme == "file" else name
+    return unquote(parsed.path) if parsed.scheme == "file" and not parsed.netloc else name
 
 
 def _with_hashes(items: DataFrame, hashed: DataFrame) -> DataFrame:

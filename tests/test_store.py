@@ -364,3 +364,13 @@ def test_reads_outlive_the_table_names_and_odd_algorithm_names(spark, tmp_path):
     store.upsert(store_rows(spark, [("/a", 1, 1.0, "h", "b/3 x"), ("/a", None, None, None, "md5")]))
     assert rows(store.read(), "filepath", "hash", "algorithm") == [("/a", "h", "b/3 x"), ("/a", None, "md5")]
     assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_a_store_is_no_item_however_it_is_named(spark, tmp_path):
+    root = make_tree(tmp_path / "t", {"a": b"same"})
+    names = [f"{root}/a", f"file:{root}/s/x", f"file://{root}/s/y", f"{root}/s/z", f"{root}/sz"]
+    table = spark.createDataFrame(
+        [(n, "/", 0, 1, 1.0, "c") for n in names],
+        "path string, root string, root_ord int, size long, mtime double, content string")
+    for store in (f"{root}/s", f"file://{root}/s"):
+        assert scan_table(table, algorithm="md5", store=store).total_files == 2
