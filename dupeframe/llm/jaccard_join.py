@@ -40,9 +40,9 @@ PERCENT = 80
 COMMON = 8
 BITS = 26
 PIVOT_ROUNDS = 1
-# Shingles at the head of a prefix that go with a member into the last join: a pair that shares one of
-# them leaves it only in the region of the first.
-HEAD = 24
+# Regions of a member, the first ones by place, that go with it into the last join: a pair that shares
+# some of them leaves it in the first of these only.
+HEAD = 8
 # Pivots of a region of a common shingle in the first round.
 PIVOTS = 8
 
@@ -94,9 +94,9 @@ def _digest(own: np.ndarray) -> bytes:
 
 
 def parity_sketch(own: np.ndarray) -> np.ndarray:
-    """One bit for each place that a hash can fall on, set if an odd number does; as many places
+    """One bit for each place that a hash can fall on, set if an odd number does; twice as many places
     as the next power of two, 64 at least."""
-    places = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    places = max(64, 2 << (len(own) - 1).bit_length()) if len(own) else 64
     hits = np.bincount((own >> np.uint64(20)).astype(np.int64) & (places - 1), minlength=places)
     return np.packbits((hits & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -233,8 +233,7 @@ def jaccard_components(
         F.first("spot").alias("spot")), "shingle-classes")
     nodes = told.select("row_id", "rare", "frequent").join(
         classes.select(F.col("node").alias("row_id"), "n"), "row_id").withColumnRenamed("row_id", "node")
-    sketches = told.select(F.col("row_id").alias("node"), "n", "sketch", F.slice(
-        F.concat("rare", "frequent"), F.lit(1), F.lit(HEAD)).alias("head"))
+    sketches = told.select(F.col("row_id").alias("node"), "n", "sketch")
 
     members = stage(_regions(nodes), "regions")
     # (a, b, apart, union) with a < b, distance apart / union; without links every node is its own component
@@ -338,15 +337,17 @@ def _windowed(members: DataFrame, verified: DataFrame, sketches: DataFrame, perc
     """Pairs of a member outside the region's first component with members of other components,
     whose distances to the first pivot, where both are known, differ by the limit at most, and
     whose sketches allow a link; what a bound rules out leaves the join as no row. The first
-    component, often nearly the whole region, is never paired with itself. Of the regions that a pair
-    shares, it leaves those after its first one too, if that is at the head of both prefixes; pairs
-    that may link nearly always share a shingle there."""
+    component, often nearly the whole region, is never paired with itself. Two members of different
+    components share the same regions here as before, and a pair that met in one of the first
+    regions of both is not made again in later ones."""
     both = verified.select("a", "b", (F.col("apart") / F.col("union")).alias("d"))
     ways = both.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d").unionByName(
         both.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "d"))
+    heads = members.groupBy("node").agg(F.slice(
+        F.sort_array(F.collect_list(F.struct("at", "h"))), F.lit(1), F.lit(HEAD)).alias("head"))
+    earlier = F.transform(F.filter("head", lambda x: x["at"] < F.col("at")), lambda x: x["h"])
     placed = members.join(ways, ["node", "pivot"], "left").join(
-        sketches.select("node", "sketch", "head"), "node").withColumn(
-        "head", F.slice("head", F.lit(1), F.least("at", F.lit(HEAD))))  # what comes before h
+        heads.join(sketches.select("node", "sketch"), "node"), "node").withColumn("head", earlier)
     left = placed.where("comp <> first").select("h", "node", "n", "at", "comp", "d", "sketch", "head")
     right = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "at", "comp", "d", "sketch", "head")],
                           F.col("node").alias("other"))
