@@ -160,3 +160,22 @@ def test_sentence_ends_do_not_depend_on_the_way_a_word_is_learned():
     for text in ("One two. Three, four! five", "a. b.) c? \"d!\" e", "...", "x;y. z"):
         found = [encoder.encode(text.encode()) for encoder in (one, other)]
         assert [list(a) for a in found[0]] == [list(a) for a in found[1]]
+
+
+def test_texts_and_words_longer_than_a_chunk():
+    """Texts are handled in pieces of 1 MiB; none is cut in a word, and no word is too long."""
+    from dupeframe.llm.words import CHUNK_BYTES, WordHashes, chunks
+
+    rng = random.Random(12)
+    words = [rng.choice(["alpha", "beta.", "Gamma", "delta!", "é", "x1"]) for _ in range(3 * CHUNK_BYTES // 5)]
+    text = " ".join(words).encode()
+    assert len(text) > 2 * CHUNK_BYTES and b" ".join(chunks(text)) == text and len(list(chunks(text))) > 2
+    hashes, one = WordHashes(), WordHashes()
+    each = {word: one.of(word.encode())[0] for word in set(words)}
+    assert hashes.of(text).tolist() == [each[word] for word in words]
+    ids, ends = Encoder(NAME, 2).encode(text)
+    encoder = Encoder(NAME, 2)
+    parts = {word: encoder.encode(word.encode())[0][:-1].tolist() for word in set(words)}
+    assert ids.tolist() == [i for word in words for i in parts[word]] + [2] and ends[-1] == len(ids)
+    long = b"y" * (3 * CHUNK_BYTES)
+    assert len(hashes.of(long)) == 1 and list(chunks(long)) == [long]
