@@ -587,13 +587,7 @@ def report_document_roundtrip(spark, d):
     result = _scan(spark, d)
     path = stage_path(spark, "report") + ".json"
     report.write_report_json(result.members, _summary(result), path, True)
-    key = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "1k")  # the lines are staged when the reader is made
-    try:
-        members = report.read_report(spark, path).members
-    finally:
-        spark.conf.set(key, before)
+    members = report.read_report(spark, path, range_bytes="1k").members
     return members.select("group_idx", "hash", "n_members", "member_pos", "path")
 
 

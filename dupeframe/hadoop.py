@@ -33,6 +33,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(status.getPath().getName() for status in fs.listStatus(hpath))
 
 
+def length(spark: SparkSession, path: str) -> int:
+    """Bytes of the files and folders that a path or a pattern names."""
+    fs, hpath = _fs(spark, path)
+    return sum(fs.getContentSummary(status.getPath()).getLength() for status in fs.globStatus(hpath) or [])
+
+
 def mkdirs(spark: SparkSession, path: str) -> None:
     fs, hpath = _fs(spark, path)
     fs.mkdirs(hpath)

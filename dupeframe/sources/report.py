@@ -251,17 +251,18 @@ def write_reports(
         _SINKS[os.path.splitext(path)[1].lower()](members, summary, path, single_file)
 
 
-def read_report(spark: SparkSession, path: str) -> Report:
+def read_report(spark: SparkSession, path: str, range_bytes: str | None = None) -> Report:
     """Read a JSON report in either form; members are in long form and report order is
     ``group_idx, member_pos``. Absent sections are empty; an empty group is one row with a
     NULL path and ``n_members`` 0. A document with an indent of 2 is read by many tasks, one
-    that is written otherwise by one."""
+    that is written otherwise by one. ``range_bytes`` is the length of the document's ranges, if
+    not that of ``spark.sql.files.maxPartitionBytes``; a task reads as many as make up its share."""
     if hadoop.is_directory(spark, f"{path}/members"):
         return Report(
             spark.read.schema(SUMMARY).json(f"{path}/summary"),
             spark.read.schema(REPORT_ROWS).json(f"{path}/members"),
         )
-    by_lines = _read_by_lines(spark, path)
+    by_lines = _read_by_lines(spark, path, range_bytes)
     if by_lines is not None:
         return by_lines
     document = spark.read.schema(REPORT_DOCUMENT).option("multiLine", "true").json(path)
@@ -271,6 +272,9 @@ def read_report(spark: SparkSession, path: str) -> Report:
     return Report(summary, _document_members(document))
 
 
+# Bytes of a document that one task reads at least, in one range or in many, once all cores have work.
+TASK_BYTES = 16 << 20
+
 # Kinds of lines of a document that is written with an indent of 2, by what they begin and end with.
 _KINDS = {
     "top": ("{", "{"),
@@ -311,35 +315,51 @@ def _plain(literal: Column) -> Column:
     return F.get(F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>"), F.lit(0))
 
 
-def _read_by_lines(spark: SparkSession, path: str) -> Report | None:
+def _staged_lines(spark: SparkSession, path: str, range_bytes: str | None) -> DataFrame:
+    """``_classified``, staged. The tasks follow the bytes, not the ranges, however short these are:
+    each task costs the driver some kilobytes. Only the document is read in such ranges."""
+    tasks = max(spark.sparkContext.defaultParallelism, -(-hadoop.length(spark, path) // TASK_BYTES))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, range_bytes or before)
+    try:
+        return stage(_classified(spark, path).coalesce(tasks), "report-lines")
+    finally:
+        spark.conf.set(key, before)
+
+
+def _read_by_lines(spark: SparkSession, path: str, range_bytes: str | None = None) -> Report | None:
     """The document read by many tasks, if each key, path and bracket has its own line, as in
     reports with an indent of 2; None otherwise.
 
-    The section and the group that a range of lines starts in are those in which the ranges before it
-    end: the driver carries them on, with one row for each range. A member's position is the
-    distance to its group's first line.
+    The lines are sorted by their place into parts. The section and the group that a part starts in are
+    those in which the parts before it end: the driver carries them on, with one row for each part,
+    however many ranges there were. A member's position is the distance to its group's first line.
     """
-    lines = stage(_classified(spark, path), "report-lines")
+    lines = _staged_lines(spark, path, range_bytes)
+    files = lines.agg(F.min("file"), F.max("file")).first()
+    if files[0] is None or files[0] != files[1]:
+        return None
     events = F.col("kind").isin("open", "shut", "end", "bottom")
-    ranges = lines.groupBy("file", "block").agg(
+    lines = stage(lines.orderBy("block", "at").select(
+        F.monotonically_increasing_id().alias("at"), "kind", "text"), "report-lines").withColumn(
+        "part", F.shiftright("at", 33))
+    parts = lines.groupBy("part").agg(
         F.min("at").alias("first"), F.count(F.lit(1)).alias("n"),
         F.max(F.when(events, F.struct("at", "kind", "text"))).alias("event"),
         F.max(F.when(F.col("kind") == "head", F.col("at"))).alias("head"),
     ).collect()
     carried, total, section, head = [], 0, "", None
-    for row in sorted(ranges, key=lambda row: (row["file"], row["block"])):
-        carried.append((row["file"], row["block"], row["first"], total, section, head))
+    for row in sorted(parts, key=lambda row: row["part"]):
+        carried.append((row["part"], row["first"], total, section, head))
         if row["event"] is not None:
             section = row["event"]["text"] if row["event"]["kind"] == "open" else ""
         if row["head"] is not None:
             head = total + row["head"] - row["first"] + 1
         total += row["n"]
-    if not carried or len({row[0] for row in carried}) > 1:
-        return None
-    starts = spark.createDataFrame(
-        carried, "file string, block long, first long, before long, section0 string, head0 long")
-    order = Window.partitionBy("block").orderBy("at")
-    known = lines.join(F.broadcast(starts), ["file", "block"]).withColumn(
+    starts = spark.createDataFrame(carried, "part long, first long, before long, section0 string, head0 long")
+    order = Window.partitionBy("part").orderBy("at")
+    known = lines.join(F.broadcast(starts), "part").withColumn(
         "line", F.col("before") + F.col("at") - F.col("first") + 1)
     own = F.when(F.col("kind") == "open", F.col("text")).when(events, F.lit(""))
     placed = stage(known.select(

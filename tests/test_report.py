@@ -307,3 +307,21 @@ def test_the_last_of_repeated_decisions_counts(spark, tmp_path):
         ' "h": {"keep": "/b", "trash": ["/a"]}}}')
     assert rows(read_actions(spark, f"{tmp_path}/p.json")) == [
         ("g", "/c", "keep"), ("h", "/a", "trash"), ("h", "/b", "keep")]
+
+
+def test_tasks_follow_the_bytes_of_a_document_not_its_ranges(spark, tmp_path):
+    groups = {f"h{g}": [f"/path/{g}/{k}" for k in range(20)] for g in range(200)}
+    path = tmp_path / "r.json"
+    path.write_text(json.dumps(document(groups, summary(groups)), indent=2))
+    context, ranges = spark.sparkContext, path.stat().st_size // 64
+    context.setJobGroup("short-ranges", "")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = report.read_report(spark, str(path), range_bytes="64")
+    found = rows(read.members, "group_idx", "hash", "n_members", "member_pos", "path")
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("short-ranges") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert found == sorted(((g, h, 20, k, p) for g, (h, paths) in enumerate(groups.items(), 1)
+                            for k, p in enumerate(paths, 1)), key=repr)
+    assert ranges > 1000 and max(stage.numTasks for stage in stages if stage) <= 2 * context.defaultParallelism
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
