@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import sys
 from array import array
-from itertools import chain
-from string import ascii_letters
+from itertools import chain, islice
+from string import ascii_letters, punctuation
 from types import ModuleType
 
 import numpy as np
@@ -17,7 +17,7 @@ CACHED_WORDS = 1 << 20
 SENTENCE_ENDS = tuple(mark.encode() for mark in ".!?…。！？")
 CLOSING = b"\"')]}"
 # Fixed value: marks that may stand behind a word of letters.
-MARKS = b".,;:!?"
+MARKS = punctuation.encode()
 
 
 class _Index(dict):
@@ -59,60 +59,119 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.by_word = end_id, by_word
+        self.normal, self.cut, self.model = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
         self.fold = self._letter_fold()
-        self.mark_ids: dict[bytes, list[int]] = {}
+        self.tails: dict[bytes, tuple[list[int], bool] | None] = {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
         for token, number in vocabulary.items() if suffix else ():
             self.ends_word[number] = token.endswith(suffix)
-        self._clear()
+        self.index, self.flat = _Index(), array("I")
+        self.starts, self.lengths, self.closes = array("q"), array("q"), array("b")
+
+    def _pieces(self, text: str) -> list[str]:
+        return [piece for piece, _ in self.cut.pre_tokenize_str(text)]
 
     def _letter_fold(self):
         """What the tokenizer does to ASCII letters before its model sees them, if that is nothing or
-        lower case only and marks behind letters are a piece of their own; else None."""
-        normal, pieces = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-        if not self.by_word or normal is None or pieces is None:
+        lower case only; else None."""
+        if not self.by_word or self.normal is None or self.cut is None:
             return None
-        folded = normal.normalize_str(ascii_letters)
-        whole = [piece for piece, _ in pieces.pre_tokenize_str(folded)] == [folded]
-        apart = all(
-            normal.normalize_str(mark) == mark
-            and [piece for piece, _ in pieces.pre_tokenize_str("a" + mark)] == ["a", mark]
-            for mark in (*MARKS.decode(), MARKS.decode()))
-        if not whole or not apart:
+        added = [str(token.content).rstrip(MARKS.decode()) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        folded = self.normal.normalize_str(ascii_letters)
+        if self._pieces(folded) != [folded] or any(token.isalpha() for token in added):
             return None
         return {ascii_letters.lower(): bytes.lower, ascii_letters: bytes}.get(folded)
 
-    def _of_letters(self, word: bytes) -> list[int]:
-        """The ids of ASCII letters, straight from the model."""
-        return [token.id for token in self.tokenizer.model.tokenize(self.fold(word).decode())]
+    def _tail(self, marks: bytes) -> tuple[list[int], bool] | None:
+        """The ids of marks behind letters, and whether they end a sentence; None if the tokenizer does
+        not take them apart from the letters."""
+        if marks not in self.tails:
+            text = marks.decode()
+            apart = self.normal.normalize_str("a" + text) == "a" + text and (
+                self._pieces("a" + text) == ["a", *self._pieces(text)])
+            if len(self.tails) > CACHED_WORDS:
+                self.tails.clear()
+            self.tails[marks] = (
+                self.tokenizer.encode(text, add_special_tokens=False).ids, marks.rstrip(CLOSING).endswith(SENTENCE_ENDS)
+            ) if apart else None
+        return self.tails[marks]
+
+    def _letter_pieces(self, texts: list[str]) -> list[str] | None:
+        """What the model sees of words of letters, all made in one call; None if one of them is
+        not one piece."""
+        joined = self.normal.normalize_str(" ".join(texts))
+        found, at = self.cut.pre_tokenize_str(joined), 0
+        words = joined.split(" ")
+        if len(found) != len(texts) or len(words) != len(texts):
+            return None
+        for word, (_, span) in zip(words, found):
+            if span != (at, at + len(word)):
+                return None
+            at += len(word) + 1
+        return [piece for piece, _ in found]
 
     def _learn_letters(self, first: int, words: list[bytes]) -> list[int]:
-        """Learn the words of ASCII letters, with marks behind them or not; returns the places of the rest."""
-        which, flat, lengths, rest = [], array("I"), [], []
+        """Learn the words of letters, with marks behind them or not, straight from the model; returns the
+        places of the rest. Words of ASCII letters whose folded form is known take its ids."""
+        which, found, rest, others, texts = [], [], [], [], []
+        tokenize, fold, known, tails = self.model.tokenize, self.fold, self.index.get, self.tails
         for k, word in enumerate(words):
-            core = word if word.isalpha() else word.rstrip(MARKS)
-            if not core.isalpha():
-                rest.append(k)
-                continue
-            ids = self._of_letters(core)
-            if len(core) < len(word):
-                mark = word[len(core):]
-                if mark not in self.mark_ids:
-                    self.mark_ids[mark] = self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids
-                ids += self.mark_ids[mark]
-                self.closes[first + k] = mark.endswith(SENTENCE_ENDS)
-            which.append(k)
-            flat.extend(ids)
-            lengths.append(len(ids))
+            core, tail = word, None
+            if not word.isalpha():
+                core = word.rstrip(MARKS)
+                if len(core) < len(word):
+                    marks = word[len(core):]
+                    tail = tails[marks] if marks in tails else self._tail(marks)
+                    if tail is None:
+                        rest.append(k)
+                        continue
+            if core.isalpha():
+                folded = fold(core)
+                at = known(folded, first)
+                if at < first:
+                    start = self.starts[at]
+                    ids = self.flat[start:start + self.lengths[at]].tolist()
+                else:
+                    ids = [token.id for token in tokenize(folded.decode())]
+                which.append(k)
+                if tail:
+                    ids += tail[0]
+                    self.closes[first + k] = tail[1]
+                found.append(ids)
+            else:
+                text = core.decode("utf-8", "replace")
+                if text.isalpha():
+                    others.append((k, tail))
+                    texts.append(text)
+                else:
+                    rest.append(k)
+        pieces = self._letter_pieces(texts) if texts else []
+        if pieces is None:
+            rest.extend(k for k, _ in others)
+        else:
+            for (k, tail), piece in zip(others, pieces):
+                ids = [token.id for token in tokenize(piece)]
+                which.append(k)
+                if tail:
+                    ids += tail[0]
+                    self.closes[first + k] = tail[1]
+                found.append(ids)
         if which:
-            self._put(first, which, np.frombuffer(flat, np.uint32) if flat else np.empty(0, np.uint32), np.array(lengths))
+            self._put(first, which, np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found))))
         return rest
 
-    def _clear(self) -> None:
-        self.index, self.flat = _Index(), array("I")
-        self.starts, self.lengths, self.closes = array("q"), array("q"), array("b")
+    def _forget(self) -> None:
+        """Drop the later half of the words; those met first are the frequent ones."""
+        kept = len(self.starts) // 2
+        index = _Index()
+        index.update(islice(self.index.items(), kept))
+        starts, lengths = (np.frombuffer(x, np.int64)[:kept] for x in (self.starts, self.lengths))
+        ends = np.cumsum(lengths)
+        flat = np.frombuffer(self.flat, np.uint32)[np.repeat(starts - ends + lengths, lengths) + np.arange(lengths.sum())]
+        self.index, self.flat, self.closes = index, array("I", flat.tobytes()), self.closes[:kept]
+        self.starts, self.lengths = array("q", (ends - lengths).tobytes()), array("q", lengths.tobytes())
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode words whose places follow the last known one."""
@@ -151,7 +210,7 @@ class Encoder:
 
     def _piece(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > CACHED_WORDS:
-            self._clear()
+            self._forget()
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.new:
             self._learn(self.index.new)

@@ -179,3 +179,25 @@ def test_texts_and_words_longer_than_a_chunk():
     assert ids.tolist() == [i for word in words for i in parts[word]] + [2] and ends[-1] == len(ids)
     long = b"y" * (3 * CHUNK_BYTES)
     assert len(hashes.of(long)) == 1 and list(chunks(long)) == [long]
+
+
+def test_letters_of_any_script_go_straight_to_the_model():
+    encoder, plain = Encoder(NAME, 2), Tokenizer.from_file(NAME)
+    text = "Naïve ÉLÈVE, ΣΑΣ. 각자 中文*** word.*** word$$$ (end.)\" don't² x y"
+    left = encoder._learn_letters
+    rest = []
+    encoder._learn_letters = lambda first, words: [rest.append(words[k]) or k for k in left(first, words)]
+    ids, _ = encoder.encode(text.encode())
+    assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    assert not {"Naïve", "ÉLÈVE,", "中文***", "word.***", "word$$$"} & {word.decode() for word in rest}
+
+
+def test_frequent_words_stay_when_the_cache_is_full(monkeypatch):
+    from dupeframe.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 8)
+    encoder, plain = Encoder(NAME, 2), Tokenizer.from_file(NAME)
+    texts = ["The cat, of é! " + " ".join(f"w{k}x{j} Über{'a' * k}." for j in range(2)) for k in range(30)]
+    for text in [*texts, *texts[::-1]]:
+        assert encoder.encode(text.encode())[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert b"The" in encoder.index and len(encoder.index) <= 8 + 8
