@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,23 +28,21 @@ def best_cuts(lengths: list[int], penalties: list[float], capacity: int) -> list
     cost[j] = capacity - S[j] + penalty[j] + min(cost[i] + S[i]) over the i that fit; the
     minimum comes from a queue of rising values, so the whole is linear.
     """
-    queue: deque[int] = deque([0])
-    sums, best, back = [0], [0.0], [0]
-    value = [0.0]  # best[i] + sums[i]
+    # (place, sums, best + sums), by rising values
+    queue: deque[tuple[int, int, float]] = deque([(0, 0, 0.0)])
+    back = [0]
     total = 0
-    for j, length in enumerate(lengths, 1):
+    for j, (length, penalty) in enumerate(zip(lengths, penalties), 1):
         total += length
-        sums.append(total)
-        while total - sums[queue[0]] > capacity:
+        least = total - capacity
+        while queue[0][1] < least:
             queue.popleft()
-        start = queue[0]
-        cost = value[start] + capacity - total + penalties[j - 1]
-        best.append(cost)
+        start, _, before = queue[0]
         back.append(start)
-        value.append(cost + total)
-        while queue and value[queue[-1]] >= value[-1]:
+        value = before + capacity - total + penalty + total  # cost[j] + sums[j]
+        while queue and queue[-1][2] >= value:
             queue.pop()
-        queue.append(j)
+        queue.append((j, total, value))
     cuts, at = [], len(lengths)
     while at:
         cuts.append(at)
@@ -105,6 +104,7 @@ def pack_in_order(
         lengths: list[int] = []
         penalties: list[float] = []
         held = 0
+        paid = (0.0, sentence_penalty, inner_penalty)
 
         def emit(cuts: list[int]) -> pa.RecordBatch:
             nonlocal sequence
@@ -133,15 +133,13 @@ def pack_in_order(
         for batch in rows:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids, ends = encoder.encode(data.as_py())
-                doc, at = (doc_id, ids), 0
                 sizes, kinds = split_units(ends, min(longest_unit, capacity))
-                for k, length in enumerate(sizes):
-                    units.append((doc, at))
-                    lengths.append(length)
-                    at += length
-                    penalties.append(0.0 if k == len(sizes) - 1 else
-                                     sentence_penalty if kinds[k] == 1 else inner_penalty)
-                held += at
+                units.extend(zip(repeat((doc_id, ids)), accumulate(sizes, initial=0)) if sizes else ())
+                del units[len(lengths) + len(sizes):]  # the end of the document starts no unit
+                lengths.extend(sizes)
+                penalties.extend(map(paid.__getitem__, kinds))
+                penalties[-1] = 0.0
+                held += len(ids)
                 if held >= block_tokens:
                     cuts = best_cuts(lengths, penalties, capacity)
                     if len(cuts) > 1:
