@@ -246,10 +246,13 @@ def jaccard_components(
         if step < rounds:
             if step:
                 members = stage(_next_pivot(members), "regions")
-            pairs = members.select("*", F.explode("pivots").alias("p")).where(
+            pairs = members.where(F.lit(bool(step)) | ~F.col("frequent")).select(
+                "*", F.explode("pivots").alias("p")).where(
                 "node <> p.node" + (" AND comp <> p.comp" if step else "")).select(
                 "node", "n", "at", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"),
                 F.col("p.at").alias("other_at"))
+            if not step:
+                pairs = pairs.unionByName(_with_pivots(members.where("frequent"), sketches, percent))
             members = members.select("h", "node", "n", "at", F.col("pivots")[0]["node"].alias("pivot"))
         else:
             pairs = _windowed(members, _all(verified), sketches, percent)
@@ -272,8 +275,8 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """(h, node, n, at, pivots) of regions with two members or more; ``at`` is the place of h in
-    the member's prefix. Pivots are the members with the least hashes (of one or more hash
+    """(h, node, n, at, frequent, pivots) of regions with two members or more; ``at`` is the place of h
+    in the member's prefix, ``frequent`` whether h is common. Pivots are the members with the least hashes (of one or more hash
     functions), which makes regions of one group agree on them.
 
     Regions of rare shingles are small and take one pivot from a window; those of common ones may
@@ -297,7 +300,24 @@ def _regions(nodes: DataFrame) -> DataFrame:
     least = [F.min(order(k)).alias(f"p{k}") for k in range(PIVOTS)]
     pivots = frequent.groupBy("h").agg(F.count(F.lit(1)).alias("members"), *least).where("members > 1").select(
         "h", places(*[F.col(f"p{k}") for k in range(PIVOTS)]).alias("pivots"))
-    return small.unionByName(frequent.join(pivots, "h")).select("h", "node", "n", "at", "pivots")
+    return small.withColumn("frequent", F.lit(False)).unionByName(
+        frequent.join(pivots, "h").withColumn("frequent", F.lit(True))).select(
+        "h", "node", "n", "at", "frequent", "pivots")
+
+
+def _with_pivots(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a member and a pivot of its region that sizes, places and sketches allow to link. The
+    bounds hold inside the join: a large region makes no row for a pair that they rule out."""
+    own = sketches.select("node", "sketch")
+    pivots = members.groupBy("h").agg(F.first("pivots").alias("pivots")).select(
+        F.col("h").alias("region"), F.explode("pivots").alias("p")).select(
+        "region", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.at").alias("other_at")).join(
+        own.select(F.col("node").alias("other"), F.col("sketch").alias("other_sketch")), "other")
+    return members.select("h", "node", "n", "at").join(own, "node").join(
+        pivots, (F.col("h") == F.col("region")) & (F.col("node") != F.col("other")) & _may_link(
+            F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent) & _sketches_allow(
+            F.col("sketch"), F.col("other_sketch"), F.col("n") + F.col("other_n"), percent)).select(
+        "node", "n", "at", "other", "other_n", "other_at")
 
 
 def _undecided(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -348,16 +368,21 @@ def _windowed(members: DataFrame, verified: DataFrame, sketches: DataFrame, perc
     earlier = F.transform(F.filter("head", lambda x: x["at"] < F.col("at")), lambda x: x["h"])
     placed = members.join(ways, ["node", "pivot"], "left").join(
         heads.join(sketches.select("node", "sketch"), "node"), "node").withColumn("head", earlier)
-    left = placed.where("comp <> first").select("h", "node", "n", "at", "comp", "d", "sketch", "head")
-    right = placed.select("h", *[F.col(c).alias(f"other_{c}") for c in ("n", "at", "comp", "d", "sketch", "head")],
-                          F.col("node").alias("other"))
-    near = F.coalesce(
-        F.abs(F.col("d") - F.col("other_d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-    sketched = _sketches_allow(
-        F.col("sketch"), F.col("other_sketch"), F.col("n") + F.col("other_n"), percent)
-    return left.join(right, (left["h"] == right["h"]) & (F.col("comp") != F.col("other_comp")) & near & _may_link(
-        F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent) & sketched
-        & ~F.arrays_overlap("head", "other_head")).select("node", "n", "at", "other", "other_n", "other_at")
+    # members outside are shuffled once: as one side of both joins and as the other side of one
+    columns = ["h", "node", "n", "at", "comp", "d", "sketch", "head"]
+    outside = placed.where("comp <> first").select(*columns)
+    inside = placed.where("comp = first").select(*columns)
+
+    def met(others: DataFrame, also: Column) -> DataFrame:
+        x, y = ({name: F.col(f"{side}.{name}") for name in columns} for side in "xy")
+        near = F.coalesce(F.abs(x["d"] - y["d"]) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+        return outside.alias("x").join(
+            others.alias("y"), (x["h"] == y["h"]) & (x["comp"] != y["comp"]) & also & near & _may_link(
+                x["n"], x["at"], y["n"], y["at"], percent) & _sketches_allow(
+                x["sketch"], y["sketch"], x["n"] + y["n"], percent) & ~F.arrays_overlap(x["head"], y["head"])).select(
+            x["node"], x["n"], x["at"], y["node"].alias("other"), y["n"].alias("other_n"), y["at"].alias("other_at"))
+
+    return met(outside, F.col("x.node") < F.col("y.node")).unionByName(met(inside, F.lit(True)))
 
 
 def _near_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
