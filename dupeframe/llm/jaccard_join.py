@@ -235,7 +235,7 @@ def jaccard_components(
         classes.select(F.col("node").alias("row_id"), "n"), "row_id").withColumnRenamed("row_id", "node")
     sketches = told.select(F.col("row_id").alias("node"), "n", "sketch")
 
-    members = stage(_regions(nodes), "regions")
+    members = stage(_regions(nodes, common), "regions")
     # (a, b, apart, union) with a < b, distance apart / union; without links every node is its own component
     spark = docs.sparkSession
     verified = [spark.createDataFrame([], "a long, b long, apart long, union long")]
@@ -246,7 +246,7 @@ def jaccard_components(
         if step < rounds:
             if step:
                 members = stage(_next_pivot(members), "regions")
-            pairs = members.where(F.lit(bool(step)) | ~F.col("frequent")).select(
+            pairs = (members if step else members.where("NOT frequent")).select(
                 "*", F.explode("pivots").alias("p")).where(
                 "node <> p.node" + (" AND comp <> p.comp" if step else "")).select(
                 "node", "n", "at", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"),
@@ -274,10 +274,10 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _regions(nodes: DataFrame) -> DataFrame:
+def _regions(nodes: DataFrame, common: int) -> DataFrame:
     """(h, node, n, at, frequent, pivots) of regions with two members or more; ``at`` is the place of h
-    in the member's prefix, ``frequent`` whether h is common. Pivots are the members with the least hashes (of one or more hash
-    functions), which makes regions of one group agree on them.
+    in the member's prefix, ``frequent`` whether h is common, or has more than ``common`` members though
+    it is not. Pivots are the members with the least hashes (of one or more hash functions), which makes regions of one group agree on them.
 
     Regions of rare shingles are small and take one pivot from a window; those of common ones may
     hold a third of all nodes, so their ``PIVOTS`` pivots come from a combining aggregation and
@@ -294,13 +294,13 @@ def _regions(nodes: DataFrame) -> DataFrame:
     region = Window.partitionBy("h")
     small = rare.withColumn("p", F.min(order(0)).over(region)).withColumn(
         "members", F.count(F.lit(1)).over(region)).where("members > 1").withColumn(
-        "pivots", places(F.col("p"))).drop("members", "p")
+        "pivots", places(F.col("p"))).drop("p")
     frequent = nodes.select(F.posexplode("frequent").alias("at", "h"), "node", "n", F.size("rare").alias("skip"))
     frequent = frequent.withColumn("at", F.col("at") + F.col("skip")).drop("skip")
     least = [F.min(order(k)).alias(f"p{k}") for k in range(PIVOTS)]
     pivots = frequent.groupBy("h").agg(F.count(F.lit(1)).alias("members"), *least).where("members > 1").select(
         "h", places(*[F.col(f"p{k}") for k in range(PIVOTS)]).alias("pivots"))
-    return small.withColumn("frequent", F.lit(False)).unionByName(
+    return small.withColumn("frequent", F.col("members") > common).drop("members").unionByName(
         frequent.join(pivots, "h").withColumn("frequent", F.lit(True))).select(
         "h", "node", "n", "at", "frequent", "pivots")
 

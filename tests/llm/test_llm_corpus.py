@@ -482,3 +482,20 @@ def test_rare_n_grams_are_learned_and_scores_equal_the_whole_automaton(spark, gr
         r = found[k]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, n_known, whole.tokens)
         assert abs(r.score - score) < 1e-6 and abs(r.base_score - base) < 1e-6
+
+
+def test_pivots_of_large_regions_make_no_pairs_that_sketches_rule_out(spark, monkeypatch):
+    """Texts of one set of words in common and many of their own share regions but do not link."""
+    rng = random.Random(8)
+    base = rng.choices(WORDS, k=120)
+    rows = [(k, " ".join([*base, *("".join(rng.choices("abcdefgh", k=6)) for _ in range(45))])) for k in range(120)]
+    met, original = [], jaccard_join._near_sketches
+
+    def counted(pairs, *args):
+        met.append(pairs.count())
+        return original(pairs, *args)
+
+    monkeypatch.setattr(jaccard_join, "_near_sketches", counted)
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in found], key=repr) == brute_force_components(rows)
+    assert max(met) <= len(rows)
