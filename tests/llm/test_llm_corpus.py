@@ -485,10 +485,10 @@ def test_rare_n_grams_are_learned_and_scores_equal_the_whole_automaton(spark, gr
 
 
 def test_pivots_of_large_regions_make_no_pairs_that_sketches_rule_out(spark, monkeypatch):
-    """Texts of one set of words in common and many of their own share regions but do not link."""
+    """Each text takes one of two words at 14 places, so all shingles are shared and few texts link."""
     rng = random.Random(8)
-    base = rng.choices(WORDS, k=120)
-    rows = [(k, " ".join([*base, *("".join(rng.choices("abcdefgh", k=6)) for _ in range(45))])) for k in range(120)]
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(word + rng.choice("ab") if at % 14 == 7 else word for at, word in enumerate(base))) for k in range(120)]
     met, original = [], jaccard_join._near_sketches
 
     def counted(pairs, *args):
@@ -498,4 +498,4 @@ def test_pivots_of_large_regions_make_no_pairs_that_sketches_rule_out(spark, mon
     monkeypatch.setattr(jaccard_join, "_near_sketches", counted)
     found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in found], key=repr) == brute_force_components(rows)
-    assert max(met) <= len(rows)
+    assert met[0] <= 2 * len(rows)
