@@ -139,8 +139,8 @@ def pack_token_ids(
         encoder = worker_encoder(tokenizer, end_id, by_word)
         number, pieces, held = TaskContext.get().partitionId() << 33, [], 0
         for batch in rows:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, _ = encoder.encode(data.as_py())
+            texts = (data.as_py() for data in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts)):
                 for start in range(0, len(ids), capacity):
                     pieces.append((doc_id, start, ids[start:start + capacity]))
                     held += len(pieces[-1][2])

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import sys
 from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 from string import ascii_letters, punctuation
 from types import ModuleType
 
 import numpy as np
 
-from dupeframe.llm.words import chunks
+from dupeframe.llm.words import CHUNK_BYTES, chunks
 
 CACHED_WORDS = 1 << 20
+# Short texts are looked up together, about so many words at once.
+TOGETHER = 1 << 13
 # Characters that end a sentence, and closing marks that may follow them.
 SENTENCE_ENDS = tuple(mark.encode() for mark in ".!?…。！？")
 CLOSING = b"\"')]}"
@@ -208,9 +211,8 @@ class Encoder:
         np.frombuffer(self.lengths, np.int64)[places] = lengths
         self.flat.frombytes(ids.tobytes())
 
-    def _piece(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHED_WORDS:
-            self._forget()
+    def _look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the words, the place of each word and the number of ids up to its end."""
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.new:
             self._learn(self.index.new)
@@ -221,6 +223,12 @@ class Encoder:
         source = np.repeat(np.frombuffer(self.starts, np.int64)[at] - ends + lengths, lengths)
         ids = np.frombuffer(self.flat, np.uint32)[source + np.arange(total)] if total else (
             np.empty(0, np.uint32))
+        return ids, at, ends
+
+    def _piece(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.index) > CACHED_WORDS:
+            self._forget()
+        ids, at, ends = self._look_up(words)
         return ids, ends[np.frombuffer(self.closes, np.int8)[at] > 0]
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -241,3 +249,37 @@ class Encoder:
         if len(last) and last[-1] == total:  # the closing id stays with the last sentence
             last = last[:-1]
         return np.concatenate(parts), np.append(last, total + 1)
+
+    def _together(self, words: list[bytes], lengths: list[int]) -> Iterator[np.ndarray]:
+        """The ids of texts of so many words, each with an empty word behind it that has the closing id."""
+        if len(self.index) > CACHED_WORDS:
+            self._forget()
+        if b"" not in self.index:
+            self.index[b""] = len(self.index)
+            self.starts.append(len(self.flat))
+            self.lengths.append(1)
+            self.closes.append(0)
+            self.flat.append(self.end_id)
+        ids, _, ends = self._look_up(words)
+        start = 0
+        for end in ends[np.cumsum(lengths) - 1].tolist():
+            yield ids[start:end]
+            start = end
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text as ``encode`` gives them, without sentence ends."""
+        words, lengths = [], []
+        for data in texts:
+            short = self.by_word and len(data) <= CHUNK_BYTES
+            if short:
+                before = len(words)
+                words += data.split()
+                words.append(b"")
+                lengths.append(len(words) - before)
+            if lengths and (not short or len(words) >= TOGETHER):
+                yield from self._together(words, lengths)
+                words, lengths = [], []
+            if not short:
+                yield self.encode(data)[0]
+        if lengths:
+            yield from self._together(words, lengths)

@@ -7,6 +7,7 @@ from llm_cases import ROWS, edge_docs, no_docs
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
+from dupeframe.llm import tokens
 from dupeframe.llm.packing import best_cuts, digests, pack_in_order
 from dupeframe.llm.token_output import CapacityTree, best_fit_decreasing, pack_token_ids
 from dupeframe.llm.tokens import Encoder
@@ -201,3 +202,14 @@ def test_frequent_words_stay_when_the_cache_is_full(monkeypatch):
     for text in [*texts, *texts[::-1]]:
         assert encoder.encode(text.encode())[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
         assert b"The" in encoder.index and len(encoder.index) <= 8 + 8
+
+
+def test_texts_that_are_looked_up_together_have_the_ids_of_each(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 20)
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 30)
+    texts = [b"", b"one two, three", b" \n", "Ünïcode wörds — 中文".encode(), b"long " * 300_000, b"end."]
+    texts += [b" ".join(b"%d" % (7 * k + j) for j in range(9)) for k in range(20)]
+    for by_word in (True, False):
+        one, many = (Encoder(path("word_bpe_49k.json"), 2, by_word) for _ in range(2))
+        for _ in range(2):
+            assert [x.tolist() for x in many.encode_all(iter(texts))] == [one.encode(x)[0].tolist() for x in texts]
