@@ -1,9 +1,13 @@
+import time
+
 import corpus_pipeline
 from conftest import DATA
 from llm_cases import ROWS, SCHEMA, edge_docs
+from pyspark.sql import functions as F
 from test_llm_corpus import brute_force_components, tokens
 
 from dupeframe.llm.quality_rules import clean_lines
+from dupeframe.staging import CLEANUP_KEY, stage
 
 
 def test_stages_and_columns(spark):
@@ -40,3 +44,18 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_staging_leaves_no_shuffle_files(spark, tmp_path):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name for name in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    before = files()
+    staged = stage(spark.range(1000).groupBy(F.col("id") % 7).count(), "counted")
+    ends = time.time() + 20  # they are deleted in the background
+    while files() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not files() - before
+    assert staged.count() == 7
+    assert spark.conf.get(CLEANUP_KEY) == "false"
