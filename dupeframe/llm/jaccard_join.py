@@ -313,7 +313,9 @@ def _with_pivots(members: DataFrame, sketches: DataFrame, percent: int) -> DataF
         F.col("h").alias("region"), F.explode("pivots").alias("p")).select(
         "region", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.at").alias("other_at")).join(
         own.select(F.col("node").alias("other"), F.col("sketch").alias("other_sketch")), "other")
-    return members.select("h", "node", "n", "at").join(own, "node").join(
+    # a node meets its sketch once, not once for each of its regions
+    placed = members.groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("h", "at")).alias("places"))
+    return placed.join(own, "node").select("node", "n", "sketch", F.inline("places")).join(
         pivots, (F.col("h") == F.col("region")) & (F.col("node") != F.col("other")) & _may_link(
             F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent) & _sketches_allow(
             F.col("sketch"), F.col("other_sketch"), F.col("n") + F.col("other_n"), percent)).select(
@@ -363,11 +365,16 @@ def _windowed(members: DataFrame, verified: DataFrame, sketches: DataFrame, perc
     both = verified.select("a", "b", (F.col("apart") / F.col("union")).alias("d"))
     ways = both.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d").unionByName(
         both.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "d"))
-    heads = members.groupBy("node").agg(F.slice(
-        F.sort_array(F.collect_list(F.struct("at", "h"))), F.lit(1), F.lit(HEAD)).alias("head"))
-    earlier = F.transform(F.filter("head", lambda x: x["at"] < F.col("at")), lambda x: x["h"])
-    placed = members.join(ways, ["node", "pivot"], "left").join(
-        heads.join(sketches.select("node", "sketch"), "node"), "node").withColumn("head", earlier)
+    # a node meets its distances and its sketch once, not once for each of its regions
+    placed = members.groupBy("node", "pivot").agg(
+        F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_list(F.struct("at", "h", "first")).alias("places")
+    ).join(ways, ["node", "pivot"], "left").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("comp").alias("comp"), F.sort_array(F.flatten(F.collect_list(F.transform(
+            "places", lambda x: F.struct(x["at"], x["h"], x["first"], F.col("d")))))).alias("places"))
+    placed = placed.join(sketches.select("node", "sketch"), "node").select(
+        "node", "n", "comp", "sketch", F.slice("places", 1, HEAD).alias("head"), F.inline("places"))
+    placed = placed.withColumn("head", F.transform(
+        F.filter("head", lambda x: x["at"] < F.col("at")), lambda x: x["h"]))
     # members outside are shuffled once: as one side of both joins and as the other side of one
     columns = ["h", "node", "n", "at", "comp", "d", "sketch", "head"]
     outside = placed.where("comp <> first").select(*columns)

@@ -499,3 +499,39 @@ def test_pivots_of_large_regions_make_no_pairs_that_sketches_rule_out(spark, mon
     found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in found], key=repr) == brute_force_components(rows)
     assert met[0] <= 2 * len(rows)
+
+
+def rows_of_joins_on_nodes(df):
+    """Rows that each join on ``node`` of a query made."""
+    df.collect()
+    found = []
+
+    def walk(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if plan.nodeName().endswith("QueryStage"):
+            return walk(plan.plan())
+        if "Join" in plan.nodeName() and "Join [node#" in plan.simpleString(25):
+            found.append(plan.metrics().apply("numOutputRows").value())
+        for k in range(plan.children().size()):
+            walk(plan.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_a_node_meets_its_sketch_once_not_in_each_region(spark):
+    """60 nodes in the same 40 regions; each has another sketch, so that no pair is left."""
+    nodes, regions = 60, 40
+    sketches = spark.createDataFrame(
+        [(k, 100, [random.Random(k).getrandbits(63) for _ in range(4)]) for k in range(nodes)],
+        "node long, n long, sketch array<long>")
+    members = spark.range(nodes * regions).selectExpr(
+        "id % 40 AS h", "id div 40 AS node", "100L AS n", "int(id % 40) AS at", "0L AS pivot", "id div 40 AS comp",
+        "0L AS first", "array(named_struct('node', 0L, 'n', 100L, 'at', int(id % 40))) AS pivots")
+    verified = spark.createDataFrame([(0, 1, 90, 190)], "a long, b long, apart long, union long")
+    first = jaccard_join._with_pivots(members.select("h", "node", "n", "at", "pivots"), sketches, 80)
+    last = jaccard_join._windowed(members.drop("pivots"), verified, sketches, 80)
+    for pairs in (first, last):
+        made = rows_of_joins_on_nodes(pairs)
+        assert made and max(made) <= nodes
