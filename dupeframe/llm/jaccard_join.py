@@ -45,6 +45,8 @@ PIVOT_ROUNDS = 1
 HEAD = 8
 # Pivots of a region of a common shingle in the first round.
 PIVOTS = 8
+# Pivots that any region of more than ``common`` members has besides, from the middle of its groups.
+MIDDLE_PIVOTS = 2
 
 
 def _prefix_length(n: int, percent: int) -> int:
@@ -307,14 +309,24 @@ def _regions(nodes: DataFrame, common: int) -> DataFrame:
 
 def _with_pivots(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs of a member and a pivot of its region that sizes, places and sketches allow to link. The
-    bounds hold inside the join: a large region makes no row for a pair that they rule out."""
+    bounds hold inside the join: a large region makes no row for a pair that they rule out.
+
+    To the region's own pivots come ``MIDDLE_PIVOTS`` members with the most large regions for their size:
+    in the middle of a group of near copies they link to more of it than others, so that little of
+    the group is left to compare in the last join.
+    """
     own = sketches.select("node", "sketch")
-    pivots = members.groupBy("h").agg(F.first("pivots").alias("pivots")).select(
-        F.col("h").alias("region"), F.explode("pivots").alias("p")).select(
-        "region", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.at").alias("other_at")).join(
-        own.select(F.col("node").alias("other"), F.col("sketch").alias("other_sketch")), "other")
     # a node meets its sketch once, not once for each of its regions
     placed = members.groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("h", "at")).alias("places"))
+    middle = placed.select(
+        "node", "n", (-F.floor(100 * F.size("places") / F.col("n"))).alias("middle"), F.inline("places")).groupBy("h").agg(
+        F.array(*[F.min(F.struct("middle", F.xxhash64("node", F.lit(k)).alias("by"), "node", "n", "at"))
+                  for k in range(MIDDLE_PIVOTS)]).alias("pivots"))
+    pivots = members.groupBy("h").agg(F.first("pivots").alias("pivots")).unionByName(middle.withColumn(
+        "pivots", F.transform("pivots", lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"), x["at"].alias("at"))))
+    ).select(F.col("h").alias("region"), F.explode("pivots").alias("p")).select(
+        "region", F.col("p.node").alias("other"), F.col("p.n").alias("other_n"), F.col("p.at").alias("other_at")).distinct().join(
+        own.select(F.col("node").alias("other"), F.col("sketch").alias("other_sketch")), "other")
     return placed.join(own, "node").select("node", "n", "sketch", F.inline("places")).join(
         pivots, (F.col("h") == F.col("region")) & (F.col("node") != F.col("other")) & _may_link(
             F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"), percent) & _sketches_allow(
