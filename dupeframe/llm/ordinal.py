@@ -11,6 +11,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from dupeframe.llm.words import chunks, text_bytes
@@ -101,6 +102,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def _chosen(source: np.ndarray, used: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """``source[used]`` in ``target``, block by block."""
+    start = 0
+    for at in range(0, len(source), _BLOCK):
+        part = source[at:at + _BLOCK][used[at:at + _BLOCK]]
+        target[start:start + len(part)] = part
+        start += len(part)
+    return target
+
+
+def _joined(column: pa.ChunkedArray, order: np.ndarray, sizes: np.ndarray, kind: type) -> np.ndarray:
+    """The bytes of all rows of ``column``, in ``order``, as one array; ``sizes`` are its rows' lengths."""
+    starts = np.zeros(len(order), np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    joined = np.empty(int(sizes.sum()), kind)
+    for start, x in zip(starts.tolist(), column):
+        own = np.frombuffer(x.as_buffer(), kind)
+        joined[start:start + len(own)] = own
+    return joined
+
+
 def fit_ordinal(
     grades: np.ndarray, rows: np.ndarray, numbers: np.ndarray, values: np.ndarray, n_grades: int,
     dimensions: int = DIMENSIONS, min_rows: int = 8, rounds: int = 200, rate: float = 0.04,
@@ -115,11 +137,19 @@ def fit_ordinal(
     common = np.flatnonzero(tally >= min_rows)
     place = np.full(dimensions, -1, np.int32)
     place[common] = np.arange(len(common), dtype=np.int32)
-    numbers = place[numbers]
-    used = numbers >= 0
-    # 32 bits for what is kept for all features; what is derived from them is made block by block
-    rows, numbers, values = rows[used].astype(np.int32, copy=False), numbers[used], values[used]
-    blocks = [slice(at, at + _BLOCK) for at in range(0, len(numbers), _BLOCK)]
+    # 32 bits for what is kept for all features; what is derived from them is made block by block, and
+    # each argument goes before the next is copied
+    kept = int(tally[common].sum())
+    used = np.empty(len(numbers), bool)
+    for at in range(0, len(numbers), _BLOCK):
+        used[at:at + _BLOCK] = place[numbers[at:at + _BLOCK]] >= 0
+    rows = _chosen(rows, used, np.empty(kept, np.int32))
+    values = _chosen(values, used, np.empty(kept, values.dtype))
+    numbers = _chosen(numbers, used, np.empty(kept, np.int32))
+    del used
+    blocks = [slice(at, at + _BLOCK) for at in range(0, kept, _BLOCK)]
+    for part in blocks:
+        numbers[part] = place[numbers[part]]
     full, dimensions = dimensions, len(common)
     n = len(grades)
     share = np.bincount(grades, minlength=n_grades)
@@ -203,15 +233,21 @@ def train(
                 pa.array([f[1].tobytes() for f in found], pa.binary()),
             ], names=["id", "grade", "numbers", "values"])
 
-    rows = sample.mapInArrow(
-        featured, "id long, grade int, numbers binary, values binary").toArrow().sort_by("id")
+    rows = sample.mapInArrow(featured, "id long, grade int, numbers binary, values binary").toArrow()
     if not len(rows):
         return None
-    numbers = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["numbers"]]
-    values = [np.frombuffer(x.as_buffer(), np.float32) for x in rows["values"]]
+    # the driver holds what is fitted and no second copy of it: a column goes once it is joined
+    order = np.argsort(np.array(rows["id"]), kind="stable")
+    sizes = np.array(pc.binary_length(rows["numbers"]), np.int64) // 4
+    grades = np.array(rows["grade"])[order]
+    numbers = [_joined(rows["numbers"], order, sizes, np.int32)]
+    rows = rows.drop_columns("numbers")
+    values = [_joined(rows["values"], order, sizes, np.float32)]
+    del rows
+    pa.default_memory_pool().release_unused()
+    # popped, so that the fit can let go of them
     return fit_ordinal(
-        np.array(rows["grade"]), np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in numbers]),
-        np.concatenate(numbers), np.concatenate(values), n_grades)
+        grades, np.repeat(np.arange(len(order), dtype=np.int32), sizes[order]), numbers.pop(), values.pop(), n_grades)
 
 
 def grade_documents(

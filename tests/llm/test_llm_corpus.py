@@ -1,10 +1,12 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from llm_cases import ROWS, edge_docs, no_docs
@@ -273,6 +275,28 @@ def test_an_id_with_many_rows_is_one_rated_text(spark, monkeypatch):
     assert np.array_equal(one.weights, two.weights) and np.array_equal(one.thresholds, two.thresholds)
 
 
+def test_the_driver_holds_the_sample_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"words {k} and some more {k % 5}") for k in range(200)], "doc_id long, text string")
+    held, original = [], ordinal.fit_ordinal
+
+    def fit(*args):
+        held.append(pa.total_allocated_bytes())
+        return original(*args)
+
+    monkeypatch.setattr(ordinal, "fit_ordinal", fit)
+    before = pa.total_allocated_bytes()
+    ordinal.train(docs, docs.selectExpr("doc_id", "int(doc_id % 3) AS grade"))
+    assert held == [before]
+    size, n = 1 << 20, 4000
+    tracemalloc.start()
+    original(
+        np.arange(n) % 3, np.arange(size, dtype=np.int32) % n, np.arange(size, dtype=np.int32) % 5000,
+        np.ones(size, np.float32), 3, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * size  # little more than the features twice, at 12 bytes each (28 before)
+
+
 def test_held_out_grades(spark):
     rng = random.Random(5)
 
