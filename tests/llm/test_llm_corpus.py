@@ -286,7 +286,7 @@ def test_the_driver_holds_the_sample_once(spark, monkeypatch):
     monkeypatch.setattr(ordinal, "fit_ordinal", fit)
     before = pa.total_allocated_bytes()
     ordinal.train(docs, docs.selectExpr("doc_id", "int(doc_id % 3) AS grade"))
-    assert held == [before]
+    assert len(held) == 1 and held[0] <= before
     size, n = 1 << 20, 4000
     tracemalloc.start()
     original(
