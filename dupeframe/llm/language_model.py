@@ -1,6 +1,7 @@
 """Operator 10: language-model scores from a weighted backoff model.
 
-``score_documents`` keeps all n-grams that occur twice as Spark tables, and scores texts by a join.
+``score_documents`` learns all n-grams that occur twice. Blocks of texts ask buckets of hashes for the
+counts and weights of their distinct n-grams, and are answered; no step sends a row for an n-gram.
 ``train`` and ``Scorer`` are the same model as an automaton in one process, for training texts whose
 n-grams fit it; tests compare the two.
 """
@@ -19,19 +20,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dupeframe.llm.words import WordHashes, chunks, mixed, text_bytes, windows
+from dupeframe.llm.words import WordHashes, chunks, text_bytes, windows
 from dupeframe.staging import stage
 
 # Shares of all training tokens. A word or n-gram with at least a share s of N tokens is one of
-# at most 1 / s (of each length), which bounds what is broadcast whatever the corpus. Rarer ones
-# are joined; the automaton of ``train`` leaves them out.
+# at most 1 / s (of each length), which bounds the automaton of ``train`` whatever the corpus.
 WORD_SHARE = 1e-6
 CONTEXT_SHARE = 1e-4
 GRAM_SHARE = 4e-6
 FLUSH_WORDS = 1 << 18
-FLUSH_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 20
+BUCKET_KEYS = 1 << 22  # at most so many n-grams of a length meet in a bucket, on average
+SLICES = 4  # at most so many parts in which texts are scored, so that disk holds the weights of one at a time
 END = b""  # no word is empty
 END_HASH = np.uint64(0)
+ASKED = "block long, k int, bucket int, data binary"
+ANSWER = "block long, k int, bucket int, back boolean, data binary"
 
 
 def _hash(word: bytes) -> int:
@@ -310,176 +314,342 @@ def train(
     return build_automaton(totals, hashes, counts, context_share * tokens, grams), words
 
 
-@dataclass
-class Hot:
-    """Frequent words and n-grams, at most 1 / share of each length; the rest is joined."""
-
-    keys: np.ndarray  # sorted
-    values: np.ndarray
-    counts: np.ndarray  # of words; 0 for longer n-grams
-
-
-def _sequences(
-    texts: Iterator[tuple[object, bytes]], order: int
-) -> Iterator[tuple[list, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Parts of about FLUSH_TOKENS tokens: (tags, length of each text, [(hash, text) of the
-    n-grams of 1 to ``order`` words]); no n-gram spans two texts, and each text has its end."""
-    maker, tags, parts = WordHashes(lower=True), [], []
-
-    def made() -> tuple[list, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        lengths = np.array([len(part) for part in parts])
-        seq, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), lengths)
-        grams = [(seq, owner)]
-        for k in range(1, order):
-            same = owner[:-k] == owner[k:]
-            grams.append((windows(seq, k + 1)[same], owner[k:][same]))
-        return tags, lengths, grams
-
-    held = 0
-    for tag, text in texts:
-        tags.append(tag)
-        parts.append(np.append(maker.of(text), END_HASH))
-        held += len(parts[-1])
-        if held > FLUSH_TOKENS:
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """Rows (block, doc_id, held_out, tokens, lengths, words, seq) of about BLOCK_TOKENS tokens
+    from columns ``doc_id``, ``held_out`` and ``text`` (bytes): the sorted hashes of a block's distinct
+    words and how often each is there, and each token's word by its place in the order of frequency,
+    which takes less room. Each text has its end, none is cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker, ids, held, parts, size = WordHashes(lower=True), [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            words, seq = _numbered(np.concatenate(parts))
+            times = np.bincount(seq)
+            place = np.empty(len(words), np.int32)
+            place[_by_frequency(times)] = np.arange(len(words))
+            return pa.RecordBatch.from_arrays([
+                pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([size]),
+                pa.array([_packed(np.array([len(part) for part in parts]))]), pa.array([_packed(_gaps(words), times)]),
+                pa.array([_packed(place[seq])]),
+            ], names=["doc_id", "held_out", "tokens", "lengths", "words", "seq"])
+
+        for batch in batches:
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"))
+            for doc, out, text in rows:
+                ids.append(doc)
+                held.append(out)
+                parts.append(np.append(maker.of(text.as_py()), END_HASH))
+                size += len(parts[-1])
+                if size > BLOCK_TOKENS:
+                    yield made()
+                    ids, held, parts, size = [], [], [], 0
+        if parts:
             yield made()
-            tags, parts, held = [], [], 0
-    if parts:
-        yield made()
 
+    made = docs.select("doc_id", "held_out", "text").mapInArrow(
+        run, "doc_id array<long>, held_out array<boolean>, tokens long, lengths binary, words binary, seq binary")
+    return made.select(F.monotonically_increasing_id().alias("block"), "*")
 
-def gram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """Rows (key, k, n, prefix, suffix) of all words (k = 1) and of all n-grams of k words that
-    occur twice or more: 64-bit hashes of the n-gram, of it without its last and without its
-    first word. No other limit: what is kept grows with the corpus and stays in Spark."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, grams in _sequences(((None, x.as_py()) for b in batches for x in b.column("text")), order):
-            shorter = None
-            for k, (keys, owner) in enumerate(grams, 1):
-                found, at, n = np.unique(keys, return_index=True, return_counts=True)
-                prefix = suffix = np.zeros(len(found), np.uint64)
-                if k > 1:
-                    # texts with fewer than k - 1 words have no n-gram of either length
-                    codes, of_text = shorter
-                    same = np.flatnonzero(of_text[:-1] == of_text[1:])
-                    prefix, suffix = codes[same[at]], codes[same[at] + 1]
-                shorter = (keys, owner)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(found.view(np.int64)), pa.array(np.full(len(found), k, np.int32)), pa.array(n),
-                    pa.array(prefix.view(np.int64)), pa.array(suffix.view(np.int64)),
-                ], names=["key", "k", "n", "prefix", "suffix"])
-
-    return texts.select("text").mapInArrow(run, "key long, k int, n long, prefix long, suffix long").groupBy(
-        "key", "k").agg(F.sum("n").alias("n"), F.first("prefix").alias("prefix"), F.first("suffix").alias("suffix")
-    ).where("k = 1 OR n > 1")
-
-
-def gram_values(counts: DataFrame, order: int, totals: tuple[int, int, int, int]) -> DataFrame:
-    """Rows (key, k, n, value): a text's score is the sum of the values of its words and n-grams
-    of 2 to ``order`` words, where an n-gram that is not in the table has 0.
-
-    A word's value is log p(w) + b(w), with b the log of its backoff weight. An n-gram's is
-    log p - (log p of it without its first word + b of it without its last word) + b: what it
-    adds to the backoff that the shorter n-grams sum to. Both shorter n-grams of one that is kept
-    are kept. b is 0 for what nothing kept follows.
+def _by_frequency(times: np.ndarray) -> np.ndarray:
+    return np.argsort(-times, kind="stable")
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Arrays of one length, compressed by byte planes: the high bytes of small numbers take next to
+    nothing."""
+    data = b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in columns)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    size, widths = int.from_bytes(data[:8], "little"), [np.dtype(kind).itemsize for kind in kinds]
+    if not size:
+        return [np.empty(0, kind) for kind in kinds]
+    planes = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), np.uint8).reshape(sum(widths), -1)
+    return [
+        np.ascontiguousarray(part.T).view(kind).ravel()
+        for part, kind in zip(np.split(planes, np.cumsum(widths)[:-1]), kinds)]
+
+
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted 64-bit keys; their running sum is the keys again."""
+    gaps = keys.copy()
+    gaps[1:] -= keys[:-1]
+    return gaps
+
+
+def _keys(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+@dataclass
+class Level:
+    """The n-grams of one length in a block. Those with a shorter n-gram that does not occur twice in
+    training are left out, as they cannot either."""
+
+    keys: np.ndarray  # sorted, distinct
+    at: np.ndarray  # by place of the last word: number in ``keys``, or -1
+    n: np.ndarray  # in all of training; 0 for an n-gram of two words or more that does not occur twice
+    first: np.ndarray  # of all blocks that have the n-gram, this one adds it to its state
+    back: np.ndarray  # log10 of the backoff weight as a context
+
+
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at], and 0 where ``at`` is -1."""
+    return np.append(values, values.dtype.type(0))[at]
+
+
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts 64-bit keys, and the sorted keys. The place of a key replaces its low bits, so
+    that one sort of numbers does; keys that differ in these bits only are sorted again."""
+    low = (np.uint64(1) << np.uint64(len(keys).bit_length())) - np.uint64(1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():
+        order = np.argsort(keys)
+        found = keys[order]
+    return order, found
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the number of each key in them."""
+    order, keys = _sorted(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return keys[new], number
+
+
+def _levels(block: dict, answers: pa.Table, size: int) -> tuple[np.ndarray, list[Level]]:
+    """The text of each token and the n-grams of 1 to ``size`` words, with what is answered so far."""
+    known: dict[tuple[bool, int], list[np.ndarray]] = {}
+    for row in sorted(answers.to_pylist(), key=lambda row: row["bucket"]):
+        known.setdefault((row["back"], row["k"]), []).extend(
+            _unpacked(row["data"], np.float64 if row["back"] else np.int64))
+    lengths, = _unpacked(block["lengths"], np.int64)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    gaps, times = _unpacked(block["words"], np.uint64, np.int64)
+    words = _keys(gaps)
+    seq = _by_frequency(times)[_unpacked(block["seq"], np.int32)[0]]
+    hashes, levels = words[seq], []
+    for k in range(1, size + 1):
+        keys, at = words, seq
+        if k > 1:
+            kept = _take(levels[-1].n, levels[-1].at) > 1
+            there = np.zeros(len(seq), bool)
+            there[k - 1:] = kept[k - 2:-1] & kept[k - 1:] & (owner[:1 - k] == owner[k - 1:])
+            keys, number = _numbered(windows(hashes, k)[there[k - 1:]])
+            at = np.full(len(seq), -1)
+            at[there] = number
+        n = np.concatenate([np.empty(0, np.int64), *known.get((False, k), [])])
+        level = Level(keys, at, n >> 1, (n & 1) > 0, np.zeros(len(keys)))
+        if (True, k) in known:
+            level.back[level.n > 1] = np.concatenate(known[True, k])
+        levels.append(level)
+    return owner, levels
+
+
+def _asked(block: int, k: int, bits: int, keys: np.ndarray, *columns: np.ndarray) -> list[dict]:
+    """A row for each bucket, i.e. value of the first ``bits`` bits, that has some of the sorted keys."""
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    edges = [0, *edges.tolist(), len(keys)]
+    return [
+        {"block": block, "k": k, "bucket": bucket,
+         "data": _packed(_gaps(keys[start:end]), *(column[start:end] for column in columns))}
+        for bucket, (start, end) in enumerate(zip(edges, edges[1:])) if start < end]
+
+
+def _table(asked: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(asked, pa.schema([
+        ("block", pa.int64()), ("k", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())]))
+
+
+def _answered(asked: pa.Table, back: bool, data: list[bytes]) -> pa.Table:
+    return pa.table({name: asked[name] for name in ("block", "k", "bucket")} | {
+        "back": pa.array([back] * len(data), pa.bool_()), "data": pa.array(data, pa.binary())})
+
+
+def _met(asked: pa.Table, *kinds: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of the rows of one bucket: where each row's keys end, all keys sorted, the order that sorts them,
+    where each distinct key starts in it, and the columns, all rows' one after the other."""
+    rows = [_unpacked(data.as_py(), np.uint64, *kinds) for data in asked["data"]]
+    order, keys = _sorted(np.concatenate([_keys(row[0]) for row in rows]))
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return np.cumsum([len(row[0]) for row in rows]), keys, order, starts, [
+        np.concatenate(column) for column in list(zip(*rows))[1:]]
+
+
+def _by_row(order: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of its distinct key for each key, in the order of the rows."""
+    found = np.empty(len(order), values.dtype)
+    found[order] = np.repeat(values, np.diff(np.append(starts, len(order))))
+    return found
+
+
+def gram_counts(blocks: DataFrame, answers: DataFrame, k: int, bits: int) -> DataFrame:
+    """Answers (block, k, bucket, back, data) with the counts in training of each block's n-grams of
+    ``k`` words, doubled, and 1 more in one of the blocks; one row of each bucket has its totals.
+
+    A block asks with its distinct n-grams, once each however frequent, and is answered in their
+    order: what is learned is all that occurs twice, and none of it leaves Spark.
     """
-    tokens, _, once, twice = totals
-    discount = min(once / (once + 2 * twice), 0.9) if once else 0.5
-    lower = counts.where("k = 1").select(
-        "key", "k", "n", F.log10((F.col("n") - discount) / tokens).alias("lp"),
-        F.log10((F.col("n") - discount) / tokens).alias("value"))
-    made = []
-    for k in range(2, order + 1):
-        level = stage(counts.where(F.col("k") == k).join(
-            lower.select(F.col("key").alias("suffix"), F.col("lp").alias("lower")), "suffix"), "lm-grams")
-        states = level.groupBy("prefix").agg(
-            F.sum("n").alias("total"), F.count(F.lit(1)).alias("arcs"), F.sum(F.pow(F.lit(10.0), "lower")).alias("mass")
-        ).join(lower.select(F.col("key").alias("prefix"), F.col("n").alias("of")), "prefix")
-        left = 1 - (F.col("total") - F.col("arcs") * discount) / F.col("of")
-        least = F.lit(1e-12)
-        states = stage(states.select("prefix", "of", F.log10(
-            F.greatest(left, least) / F.greatest(1 - F.col("mass"), least)).alias("b")), "lm-states")
-        made.append(lower.join(states.select(F.col("prefix").alias("key"), "b"), "key", "left").select(
-            "key", "k", "n", (F.col("value") + F.coalesce("b", F.lit(0.0))).alias("value")))
-        lp = F.log10((F.col("n") - discount) / F.col("of"))
-        lower = stage(level.join(states, "prefix").select(
-            "key", "k", "n", lp.alias("lp"), (lp - F.col("lower") - F.col("b")).alias("value")), "lm-level")
-    return reduce(DataFrame.unionByName, made, lower.select("key", "k", "n", "value")) if made else lower.drop("lp")
-
-
-def score_texts(
-    docs: DataFrame, values: DataFrame, hot: Hot, order: int, totals: tuple[int, int, int, int], keep: list[str]
+
+    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
+        for row in block.to_pylist():
+            owner, levels = _levels(row, answers, k)
+            level = levels[-1]
+            training = ~np.array(row["held_out"], bool)[owner] & (level.at >= 0)
+            made += _asked(row["block"], k, bits, level.keys, np.bincount(level.at[training], minlength=len(level.keys)))
+        return _table(made)
+
+    def count(asked: pa.Table) -> pa.Table:
+        ends, _, order, starts, (n,) = _met(asked, np.int64)
+        total = np.add.reduceat(n[order], starts)
+        totals = [int(x) for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())]
+        if k > 1:
+            total[total < 2] = 0
+        found = _by_row(order, starts, total * 2)
+        found[order[starts[total > 1]]] += 1
+        made = _answered(asked, False, [_packed(x) for x in np.split(found, ends[:-1])])
+        for name, x in zip(("tokens", "words", "once", "twice"), totals):
+            made = made.append_column(name, pa.array([x, *[None] * (len(ends) - 1)], pa.int64()))
+        return made
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, ASKED).groupBy(
+        "bucket").applyInArrow(count, f"{ANSWER}, tokens long, words long, once long, twice long")
+
+
+def _logs(levels: list[Level], discount: float, tokens: int, unseen: float) -> list[np.ndarray]:
+    """log10 probabilities after their context of the n-grams of each length; 0 if not kept."""
+    logs = []
+    for k, level in enumerate(levels):
+        of = np.full(len(level.keys), tokens)
+        if k:
+            of = levels[k - 1].n[_ends(level, levels[k - 1])[0]]
+        log, kept = np.full(len(level.keys), 0.0 if k else unseen), level.n > 0
+        log[kept] = np.log10((level.n[kept] - discount) / of[kept])
+        logs.append(log)
+    return logs
+
+
+def _ends(level: Level, below: Level) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each n-gram without its last and without its first word."""
+    there = np.flatnonzero(level.at >= 0)
+    place = np.empty(len(level.keys), np.int64)
+    place[level.at[there]] = there
+    return below.at[place - 1], below.at[place]
+
+
+def gram_backoffs(
+    blocks: DataFrame, answers: DataFrame, order: int, bits: int, totals: tuple[int, int, int, int]
 ) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with n_tokens, n_known, base_score and score of the bytes in
-    its column ``text``.
+    """Rows (k, bucket, data): the keys and backoff weights of all words and n-grams of k words that a kept
+    n-gram continues.
 
-    What is hot is looked up in the task; every other word and n-gram of a text is a row, joined
-    with all values and summed by text. Those keys are infrequent in training by definition; one
-    that is frequent in unseen texts only is split by AQE.
+    The weight of a context shares what absolute discounting leaves of its count among all words that
+    do not follow it in a kept n-gram, in proportion to the next shorter context. Each kept n-gram
+    is added to its context by one block.
     """
-    spark = docs.sparkSession
-    # arrays only: executors have no copy of this package
-    shared = spark.sparkContext.broadcast((hot.keys, hot.values, hot.counts))
-    tokens, vocabulary, once, twice = totals
-    discount = min(once / (once + 2 * twice), 0.9) if once else 0.5
-    smooth = tokens + 0.5 * (vocabulary + 1)
-    unseen = log10(discount * vocabulary / tokens) if tokens else 0.0
-    numbered = docs.withColumn("id", F.monotonically_increasing_id()).select("id", *keep, "text")
-    kinds = [field.dataType.simpleString() for field in docs.select(*keep).schema]
-    schema = ", ".join([
-        "id long, key long, word boolean, n long, known long, base double, score double",
-        *[f"_{k} {kind}" for k, kind in enumerate(kinds)]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys, hot_values, hot_counts = shared.value
-        for batch in batches:
-            ids = np.array(batch.column("id"), np.int64)
-            kept = batch.select(keep)
-            names = ["id", "key", "word", "n", "known", "base", "score", *[f"_{k}" for k in range(len(keep))]]
-            blank = [pa.nulls(0, column.type) for column in kept.columns]
-            texts = ((row, x.as_py()) for row, x in enumerate(batch.column("text")))
-            for rows, lengths, grams in _sequences(texts, order):
-                score, base, known = (np.zeros(len(rows)) for _ in range(3))
-                own = ids[rows]
-                for k, (keys, owner) in enumerate(grams):
-                    at = np.searchsorted(hot_keys, keys)
-                    at[at == len(hot_keys)] = 0
-                    there = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
-                    score += np.bincount(owner[there], hot_values[at[there]], len(rows))
-                    if not k:
-                        known += np.bincount(owner[there], minlength=len(rows))
-                        base += np.bincount(
-                            owner[there], np.log10((hot_counts[at[there]] + 0.5) / smooth), len(rows))
-                    cold = keys[~there]
-                    if len(cold):
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(own[owner[~there]]), pa.array(cold.view(np.int64)),
-                            pa.array(np.full(len(cold), not k)), pa.nulls(len(cold), pa.int64()),
-                            pa.nulls(len(cold), pa.int64()), pa.nulls(len(cold), pa.float64()),
-                            pa.nulls(len(cold), pa.float64()), *[pa.nulls(len(cold), x.type) for x in blank],
-                        ], names=names)
-                # the text's own row; its key is like any other, so that these rows are dealt out
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own), pa.array(mixed(own.view(np.uint64)).view(np.int64)),
-                    pa.nulls(len(own), pa.bool_()), pa.array(lengths), pa.array(known.astype(np.int64)),
-                    pa.array(base), pa.array(score), *kept.take(pa.array(rows)).columns,
-                ], names=names)
-
-    found = numbered.mapInArrow(run, schema).join(
-        values.select("key", (F.col("k") == 1).alias("word"), F.col("n").alias("c"), "value")
-        .withColumnRenamed("word", "_word"), "key", "left")
-    # a word and a longer n-gram with one hash are told apart
-    there = F.col("word") == F.col("_word")
-    count = F.when(F.col("word"), F.when(there, F.col("c")).otherwise(F.lit(0)))
-    count = F.when(F.col("word"), F.coalesce(count, F.lit(0)))
-    found = found.select(
-        "id", "n", F.coalesce("known", (count > 0).cast("long")).alias("known"),
-        F.coalesce("base", F.log10((count + 0.5) / F.lit(smooth))).alias("base"),
-        F.coalesce("score", F.when(there, F.col("value")), F.when(F.col("word"), F.lit(unseen))).alias("score"),
-        *[f"_{k}" for k in range(len(keep))])
-    return found.groupBy("id").agg(
-        *[F.max(f"_{k}").alias(name) for k, name in enumerate(keep)], F.max("n").alias("n_tokens"),
-        F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("id")
+    tokens, discount, unseen = totals[0], _discount(totals), _unseen(totals)
+
+    def add(block: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
+        for row in block.to_pylist():
+            levels = _levels(row, answers, order)[1]
+            logs = _logs(levels, discount, tokens, unseen)
+            for k in range(1, order):
+                level, below = levels[k], levels[k - 1]
+                prefix, suffix = (numbers[level.first] for numbers in _ends(level, below))
+                states, number = np.unique(prefix, return_inverse=True)
+                made += _asked(
+                    row["block"], k, bits, below.keys[states], below.n[states],
+                    np.bincount(number, level.n[level.first], len(states)).astype(np.int64),
+                    np.bincount(number, minlength=len(states)),
+                    np.bincount(number, 10.0 ** logs[k - 1][suffix], len(states)))
+        return _table(made)
+
+    def weigh(added: pa.Table) -> pa.Table:
+        _, keys, order, starts, columns = _met(added, np.int64, np.int64, np.int64, np.float64)
+        total, arcs, mass = (np.add.reduceat(column[order], starts) for column in columns[1:])
+        left, lower = 1 - (total - arcs * discount) / columns[0][order[starts]], 1 - mass
+        back = np.log10(np.maximum(left, 1e-12) / np.maximum(lower, 1e-12))
+        return pa.table({name: added[name][:1] for name in ("k", "bucket")} | {
+            "data": pa.array([_packed(_gaps(keys[starts]), back)])})
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add, ASKED).groupBy(
+        "k", "bucket").applyInArrow(weigh, "k int, bucket int, data binary")
+
+
+def with_backoffs(blocks: DataFrame, answers: DataFrame, weights: DataFrame, order: int, bits: int) -> DataFrame:
+    """``answers`` and those with the weights of the words and n-grams of ``blocks``; 0 if nothing kept
+    follows."""
+
+    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
+        for row in block.to_pylist():
+            for k, level in enumerate(_levels(row, answers, order - 1)[1], 1):
+                made += _asked(row["block"], k, bits, level.keys[level.n > 1])
+        return _table(made)
+
+    def look_up(asked: pa.Table, weights: pa.Table) -> pa.Table:
+        made, keys, back = [], np.empty(0, np.uint64), np.empty(0)
+        for data in weights["data"]:  # one or none
+            gaps, back = _unpacked(data.as_py(), np.uint64, np.float64)
+            keys = _keys(gaps)
+        for data in asked["data"]:
+            wanted = _keys(*_unpacked(data.as_py(), np.uint64))
+            at = np.searchsorted(keys, wanted)
+            there = _take(keys, np.where(at < len(keys), at, -1)) == wanted
+            made.append(_packed(np.where(there, _take(back, np.where(there, at, -1)), 0.0)))
+        return _answered(asked, True, made)
+
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask, ASKED).groupBy(
+        "k", "bucket").cogroup(weights.groupBy("k", "bucket")).applyInArrow(look_up, ANSWER)
+    return answers.unionByName(found)
+
+
+def _discount(totals: tuple[int, int, int, int]) -> float:
+    _, _, once, twice = totals
+    return min(once / (once + 2 * twice), 0.9) if once else 0.5
+
+
+def _unseen(totals: tuple[int, int, int, int]) -> float:
+    """log10 probability of any word not seen in training."""
+    return log10(_discount(totals) * totals[1] / totals[0]) if totals[0] else 0.0
+
+
+def score_texts(blocks: DataFrame, answers: DataFrame, order: int, totals: tuple[int, int, int, int]) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, base_score, score) of the texts of all blocks. A token
+    has the probability of the longest kept n-gram that ends with it, times the weights of the longer contexts."""
+    tokens, vocabulary = totals[:2]
+    discount, unseen, smooth = _discount(totals), _unseen(totals), tokens + 0.5 * (vocabulary + 1)
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
+        for position, row in enumerate(block.to_pylist()):
+            owner, levels = _levels(row, answers, order)
+            logs, texts = _logs(levels, discount, tokens, unseen), len(row["doc_id"])
+            words = levels[0]
+            score = logs[0][words.at]
+            for below, level, log in zip(levels, levels[1:], logs[1:]):
+                follows = owner[1:] == owner[:-1]
+                score[1:][follows] += _take(below.back, below.at)[:-1][follows]
+                kept = _take(level.n, level.at) > 0
+                score[kept] = log[level.at[kept]]
+            made.append(pa.table({
+                "doc_id": block["doc_id"][position].values, "held_out": block["held_out"][position].values,
+                "n_tokens": pa.array(np.bincount(owner, minlength=texts)),
+                "n_known": pa.array(np.bincount(owner, words.n[words.at] > 0, texts).astype(np.int64)),
+                "base_score": pa.array(np.bincount(owner, np.log10((words.n + 0.5) / smooth)[words.at], texts)),
+                "score": pa.array(np.bincount(owner, score, texts))}))
+        return pa.concat_tables(made)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_documents(
@@ -490,27 +660,35 @@ def score_documents(
     documents that are not ``held_out``.
 
     Every word is a context, and every n-gram that occurs twice in training is learned, whatever
-    its share; the shares say only what is looked up from a broadcast. Tokens are words in
+    its share; the shares are of no effect, as nothing is broadcast. Tokens are words in
     lower-cased A-Z and one end. Null text is empty: one token. Null ids, ties and repeated rows
     are scored each; without training documents every probability is 1. Other columns are not
     read. No rows: no rows.
     """
-    read = docs.select(
+    spark = docs.sparkSession
+    blocks = stage(text_blocks(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
-        text_bytes(text_col).alias("text"))
-    counts = stage(gram_counts(read.where(~F.col("held_out")).select("text"), order), "lm-counts")
-    row = counts.where("k = 1").agg(
-        F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    totals = (row[0] or 0, *row[1:])
-    values = stage(gram_values(counts, order, totals), "lm-values") if totals[0] else counts.select(
-        "key", "k", "n", F.lit(0.0).alias("value"))
-    share = F.when(F.col("k") == 1, F.lit(word_share)).otherwise(F.lit(gram_share))
-    often = values.where(F.col("n") >= share * totals[0]).toArrow()
-    keys = np.array(often["key"], np.int64).view(np.uint64)
-    by_key = np.argsort(keys)
-    hot = Hot(keys[by_key], np.array(often["value"], np.float64)[by_key],
-              np.where(np.array(often["k"]) == 1, np.array(often["n"]), 0)[by_key].astype(np.float64))
-    return score_texts(read, values, hot, order, totals, ["doc_id", "held_out"]).select(
+        text_bytes(text_col).alias("text"))), "lm-blocks")
+    size = blocks.agg(F.sum("tokens")).first()[0] or 0
+    bits = max(6, (size // BUCKET_KEYS).bit_length())
+    answers = spark.createDataFrame([], ANSWER)
+    totals = (0, 0, 0, 0)
+    for k in range(1, order + 1):
+        counts = stage(gram_counts(blocks, answers, k, bits), "lm-counts")
+        answers = answers.unionByName(counts.select(*answers.columns))
+        if k == 1:
+            totals = tuple(x or 0 for x in counts.agg(*map(F.sum, ("tokens", "words", "once", "twice"))).first())
+        if not totals[0]:
+            break
+    weights = stage(gram_backoffs(blocks, answers, order, bits, totals), "lm-backoffs") if totals[0] else None
+    slices = max(1, min(SLICES, size // BLOCK_TOKENS))
+    scores = []
+    for k in range(slices):
+        some, known = (x.where(F.pmod(F.xxhash64("block"), F.lit(slices)) == k) for x in (blocks, answers))
+        if weights is not None:
+            known = with_backoffs(some, known, weights, order, bits)
+        scores.append(stage(score_texts(some, known, order, totals), "lm-scores"))
+    return reduce(DataFrame.unionByName, scores).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[0]).cast("long").alias("train_tokens"),
         "base_score", "score")
 

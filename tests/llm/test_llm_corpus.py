@@ -4,6 +4,7 @@ import random
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from conftest import DATA
 from llm_cases import ROWS, edge_docs, no_docs
 from pyspark.sql import functions as F
 
+from dupeframe import staging
 from dupeframe.llm import jaccard_join, language_model, mixing, ordinal, simhash
 from dupeframe.llm.words import WordHashes, shingles
 
@@ -508,6 +510,47 @@ def test_rare_n_grams_are_learned_and_scores_equal_the_whole_automaton(spark, gr
         assert abs(r.score - score) < 1e-6 and abs(r.base_score - base) < 1e-6
 
 
+def bytes_below(*folders):
+    return sum(f.stat().st_size for folder in folders for f in Path(folder).rglob("*") if f.is_file())
+
+
+def test_disk_of_the_language_model_stays_below_four_times_the_texts(spark, monkeypatch):
+    """Shuffle files of one step and all staged tables; the words are varied, so most n-grams occur once."""
+    rng = random.Random(11)
+    rows = [(k, " ".join(f"{rng.choice(WORDS)}{int(rng.paretovariate(0.4))}" for _ in range(2000))) for k in range(100)]
+    size = sum(len(text) for _, text in rows)
+    docs = spark.createDataFrame(rows + [(k + 100, text) for k, text in rows[:30]], "doc_id long, text string").coalesce(1)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    local, staged, used = list(blocks.localDirsString()), [], []
+
+    def watched(df, label):
+        """As ``stage``, but shuffle files stay and are counted."""
+        path, before = staging.stage_path(df.sparkSession, label), bytes_below(*local)
+        df.write.parquet(path)
+        staged.append(path)
+        used.append(bytes_below(*local) - before + bytes_below(*staged))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(language_model, "stage", watched)
+    assert language_model.score_documents(docs, F.col("doc_id") % 5 == 1).count() == 130
+    assert max(used) < 4 * size
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_blocks_and_slices_do_not_change_scores(spark, monkeypatch, order):
+    rng = random.Random(12)
+    rows = [(k, " ".join(rng.choices(WORDS, k=rng.randrange(1, 60)))) for k in range(120)] + [(None, "the the the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    held = F.col("doc_id") % 4 == 1
+    whole = language_model.score_documents(docs, held, order).collect()
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", 200)
+    monkeypatch.setattr(language_model, "BUCKET_KEYS", 20)
+    found = language_model.score_documents(docs, held, order).collect()
+    assert len(found) == len(whole) == len(rows)
+    for a, b in zip(*(sorted(x, key=lambda r: (r.doc_id is None, r.doc_id)) for x in (whole, found))):
+        assert a[:5] == b[:5] and abs(a.score - b.score) < 1e-9 and abs(a.base_score - b.base_score) < 1e-9
+
+
 def test_pivots_of_large_regions_make_no_pairs_that_sketches_rule_out(spark, monkeypatch):
     """Each text takes one of two words at 14 places, so all shingles are shared and few texts link."""
     rng = random.Random(8)
